@@ -40,7 +40,7 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "lz4raw").parquet(path)
+        df.write.option("compression", "lz4_raw").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.made[id(out)] = path
         return out
