@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, line_templates, substring_dedup, token_output, vector_packing
+from . import jaccard_join, license_scan, line_templates, string_tiling, substring_dedup, token_output, toxicity_crf, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_crf.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    return string_tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("_k")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_table(spark, sf_dir, "documents"))
 
