@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, line_templates, string_tiling, substring_dedup, token_output, toxicity_crf, vector_packing
+from . import jaccard_join, lattice_hash, license_scan, line_templates, string_tiling, substring_dedup, token_output, toxicity_crf, url_rules, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.digest(_table(spark, sf_dir, "pages"))
+
+
+def op7_lattice_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_hash.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
