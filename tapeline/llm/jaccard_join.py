@@ -102,7 +102,7 @@ def _index_rows(s: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(sums, seg, value)
         count = np.bincount(seg, minlength=plan.m)
         filled = int((count >= (2 if plan.deletion else 1)).sum())
-        base = (np.array([plan.code], np.uint64) * _C)[0]
+        base = np.array([plan.code], np.uint64) * _C
         spare = min(2047, max(0, (filled - plan.needed) // 2))
         head = plan.code << 25 | spare << 12
         used = np.flatnonzero(count)
