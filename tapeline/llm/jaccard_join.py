@@ -16,7 +16,7 @@ which is exact too. Candidates are compared by their whole sets.
 
 Only components are asked for, so groups of many copies are first joined through one member and
 its neighbour in order in a part of the index; the full index then gives only pairs between different
-components. Copies (equal sets) are one node throughout.
+components, and of these only such whose parity sketches (a lower bound of their difference) allow a link. Copies (equal sets) are one node throughout.
 
 Defined cases: null or empty text has an empty set and links with nothing; texts of fewer words than
 n are one shingle; a null doc_id keeps a null component unless its group has another id; equal rows
@@ -41,6 +41,9 @@ BORDERS = (1, 6, 13, 25, 50, *(100 << k for k in range(40)))
 DELETION_BELOW = 100
 EXACT, DELETION, PREFIX = 0, 1, 2
 DELETION_GROUPS = list(range(2 * BORDERS.index(DELETION_BELOW)))
+#: Longs of the parity sketch, and its columns.
+PARITY = 8
+BITS = [f"p{i}" for i in range(PARITY)]
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -120,13 +123,20 @@ def _index_rows(s: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(tags)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY buckets whether the set has an odd number of elements there; two sets differ in as many elements at least as bits."""
+    odd = np.bincount((mix(s + _C) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(n: int, lower: bool, kind: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, sid = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            parity = np.zeros((PARITY, batch.num_rows), np.int64)
             for i, s in _sets(batch.column("text"), n, lower, kind):
-                size[i], sid[i] = len(s), _set_id(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(sid), pa.array(size)], ["doc_id", "_k1", "_k2", "sid", "n"])
+                size[i], sid[i], parity[:, i] = len(s), _set_id(s), _parity(s)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(sid), pa.array(size), *map(pa.array, parity)], ["doc_id", "_k1", "_k2", "sid", "n", *BITS])
 
     return run
 
@@ -229,11 +239,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    info = scratch.table(texts.mapInArrow(_describe(n, lower, kind), f"doc_id {id_type}, _k1 long, _k2 long, sid long, n int"))
+    info = scratch.table(texts.mapInArrow(_describe(n, lower, kind), f"doc_id {id_type}, _k1 long, _k2 long, sid long, n int, {', '.join(f'{p} long' for p in BITS)}"))
     index = texts.select("text").mapInArrow(_index(n, lower, kind, threshold), "key long, sid long, tag int")
     matched = scratch.table(by_runs(index, "key", ["sid", "tag"], _matched, "key long, sid long, tag int, freq int"))
-    one = info.where("n > 0").groupBy("sid").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("n").alias("n"))
-    one = one.select("sid", "n", "k._k1", "k._k2")
+    one = info.where("n > 0").groupBy("sid").agg(F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(c).alias(c) for c in ("n", *BITS)])
+    one = one.select("sid", "n", *BITS, "k._k1", "k._k2")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of set ids whose sets are similar."""
@@ -251,7 +261,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     early = linked(by_runs(sure.select("key", "sid"), "key", ["sid"], _first_pairs, "a long, b long"))
     roots = components(early.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
-    nodes = one.select("sid", "n").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root"))
+    nodes = one.select("sid", "n", *BITS).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", *BITS, F.coalesce("root", "sid").alias("root"))
     group, kind_of = F.shiftrightunsigned("tag", 25), F.shiftright("tag", 23).bitwiseAND(3)
     rows = matched.select("key", "sid", "freq", group.alias("grp"), kind_of.alias("kind"), F.shiftright("tag", 12).bitwiseAND(2047).alias("spare"), F.col("tag").bitwiseAND(4095).cast("long").alias("seg"))
     # a subset that is indexed without deletions is told by its key alone
@@ -265,9 +275,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spared = spared.union(prefix).join(nodes, "sid")
     open_keys = spared.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     left = scratch.table(spared.join(open_keys, "key"))
-    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "kind", "n", "root")])
-    size_fits = (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & ((F.col("kind") != DELETION) | (F.col("kind2") != DELETION))
-    late = linked(left.join(right, "key").where((F.col("root") != F.col("root2")) & (F.col("sid") < F.col("sid2")) & size_fits).select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
+    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "kind", "n", "root", *BITS)])
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}2"))) for p in BITS[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p02"))))
+    may = (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & (differ * (100 + threshold) <= (100 - threshold) * (F.col("n") + F.col("n2"))) & ((F.col("kind") != DELETION) | (F.col("kind2") != DELETION))
+    late = linked(left.join(right, "key").where((F.col("root") != F.col("root2")) & (F.col("sid") < F.col("sid2")) & may).select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
 
     edges = early.union(late).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges, scratch)
