@@ -1,0 +1 @@
+"""PySpark-native research engine for cross-sections of daily (or resampled) price panels."""
