@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-The tree has a fixed depth: a line goes by its number of tokens, then by its first LEAD tokens
+The tree has a fixed depth: a line goes by its number of tokens (spaces cut them), then by its first LEAD tokens
 (tokens with digits are variable fields there). In each leaf that lines of several documents reach,
 a token is constant at its place if several documents have it there; all others are variable fields.
 What remains is the line's template. A template is dropped, with all its lines, if it recurs in
@@ -36,17 +36,21 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     """One row for each distinct text that loses lines: its key (_k1, _k2) and the places of these lines (from 0)."""
     scratch = Scratch(docs.sparkSession)
     longest = F.array_max(F.transform(_lines(F.col(text)), lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("line"), x)))["line"]
-    lines = docs.select(*text_key(text), F.xxhash64(F.slice(F.split(F.trim(longest), r"\s+", LEAD + 1), 1, LEAD)).alias("family"), F.posexplode(_lines(F.col(text))).alias("place", "line"))
-    lines = lines.withColumn("tokens", F.split(F.trim("line"), r"\s+")).where(F.size("tokens") >= least_tokens)
-    lead = [_general(F.get("tokens", F.lit(k))) for k in range(LEAD)]
-    lines = lines.select("_k1", "_k2", "family", "place", "tokens", F.xxhash64("line").alias("line"), F.xxhash64(F.size("tokens"), *lead).alias("leaf"))
+    # keys and family are worked out below the explode, once for each document
+    whole = docs.select(*text_key(text), F.xxhash64(F.slice(F.split(longest, " ", LEAD + 1), 1, LEAD)).alias("family"), _lines(F.col(text)).alias("lines"))
+    lines = whole.select("_k1", "_k2", "family", F.posexplode("lines").alias("place", "text"))
+    count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("lead", F.split("text", " ", LEAD + 1)).withColumn("count", count).where(F.col("count") >= least_tokens)
+    lead = [_general(F.get("lead", F.lit(k))) for k in range(LEAD)]
+    lines = lines.select("_k1", "_k2", "family", "place", "text", F.xxhash64("count", *lead).alias("leaf"))
 
     leaves = lines.groupBy("leaf", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("one").alias("n")).where(F.col("n") >= least_docs).select("leaf")
     leaves = scratch.table(leaves)
-    held = scratch.table(joined(lines, leaves, leaves.count(), 16, ["leaf"], "inner"))
+    held = joined(lines, leaves, leaves.count(), 16, ["leaf"], "inner")
+    held = scratch.table(held.select("_k1", "_k2", "family", "place", "leaf", F.xxhash64("text").alias("line"), "text"))
 
-    distinct = held.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    tokens = distinct.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    distinct = held.groupBy("leaf", "line").agg(F.min("text").alias("text"))
+    tokens = distinct.select("leaf", "line", F.posexplode(F.split("text", " ")).alias("at", "token"))
     carried = held.groupBy("leaf", "line", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count("one").alias("docs"))
     # documents that have a token at a place: at most counted twice if one document has it in two lines
     constant = tokens.join(carried, ["leaf", "line"]).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).where(~F.col("token").rlike("[0-9]"))
