@@ -14,9 +14,9 @@ the most frequent ones, half of its slack at most, which keeps the pigeonhole va
 Sets that have too few filled segments (chance only) are joined among themselves by prefix filtering,
 which is exact too. Candidates are compared by their whole sets.
 
-Only components are asked for, so groups of many copies are first joined through one member and
-its neighbour in order in a part of the index; the full index then gives only pairs between different
-components, and of these only such whose parity sketches (a lower bound of their difference) allow a link. Copies (equal sets) are one node throughout.
+Only components are asked for, so groups of many copies are first joined through neighbours in an
+order of each key, in a part of the index and then where sets of different components still share a
+key; the full index then gives only pairs between different components, and of these only such whose parity sketches (a lower bound of their difference) allow a link. Copies (equal sets) are one node throughout.
 
 Defined cases: null or empty text has an empty set and links with nothing; texts of fewer words than
 n are one shingle; a null doc_id keeps a null component unless its group has another id; equal rows
@@ -177,19 +177,20 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member of a run with the run's first and with the one before it."""
-    key, first, last = None, 0, 0
+    """Each member of a run with the run's first and with the one before it, if their roots differ."""
+    key, first, last = None, (0, 0), (0, 0)
     for batch in batches:
-        k, s = batch.column("key").to_numpy(), batch.column("sid").to_numpy()
+        k, s, r = (batch.column(c).to_numpy() for c in ("key", "sid", "root"))
         if not len(k):
             continue
         new = np.append(key is None or k[0] != key, k[1:] != k[:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        centre = np.where(start >= 0, s[np.maximum(start, 0)], first)
-        before = np.append(last, s[:-1])
-        key, first, last = k[-1], centre[-1], s[-1]
+        centre, centre_root = (np.where(start >= 0, x[np.maximum(start, 0)], f) for x, f in ((s, first[0]), (r, first[1])))
+        before, before_root = np.append(last[0], s[:-1]), np.append(last[1], r[:-1])
+        key, first, last = k[-1], (centre[-1], centre_root[-1]), (s[-1], r[-1])
         a, b = np.concatenate([centre[~new], before[~new]]), np.concatenate([s[~new], s[~new]])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        apart = np.concatenate([centre_root[~new] != r[~new], before_root[~new] != r[~new]])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[apart], axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
@@ -257,11 +258,26 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         scratch.drop(ids, pairs)
         return found
 
+    def near(rows: DataFrame) -> DataFrame:
+        """Links found among neighbours in the runs of equal keys, each key in an order of its own."""
+        rows = rows.select("key", "sid", "root", F.xxhash64("key", "sid").alias("turn"))
+        return linked(by_runs(rows, "key", ["turn", "sid"], _first_pairs, "a long, b long"))
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        """Set ids with size, parity sketch and root of their component."""
+        roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        nodes = one.select("sid", "n", *BITS).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
+        return scratch.table(nodes.withColumn("root", F.coalesce("root", "sid")))
+
+    def undecided(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows (key, sid, kind) of keys that sets of different components share."""
+        rows = keys.join(nodes, "sid")
+        apart = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        return rows.join(apart, "key")
+
     sure = matched.where(F.col("tag").bitwiseAND(3 << 23) == EXACT).where(F.col("key").bitwiseAND(7) == 0)
-    early = linked(by_runs(sure.select("key", "sid"), "key", ["sid"], _first_pairs, "a long, b long"))
-    roots = components(early.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    links = near(sure.select("key", "sid", F.col("sid").alias("root")))
 
-    nodes = one.select("sid", "n", *BITS).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", *BITS, F.coalesce("root", "sid").alias("root"))
     group, kind_of = F.shiftrightunsigned("tag", 25), F.shiftright("tag", 23).bitwiseAND(3)
     rows = matched.select("key", "sid", "freq", group.alias("grp"), kind_of.alias("kind"), F.shiftright("tag", 12).bitwiseAND(2047).alias("spare"), F.col("tag").bitwiseAND(4095).cast("long").alias("seg"))
     # a subset that is indexed without deletions is told by its key alone
@@ -271,22 +287,22 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cost = rows.groupBy("sid", "grp", "seg").agg(F.max("freq").alias("cost"))
     rank = F.row_number().over(Window.partitionBy("sid", "grp").orderBy(F.desc("cost"), "seg"))
     spared = rows.join(cost.withColumn("rank", rank), ["sid", "grp", "seg"]).where("rank > spare").select("key", "sid", "kind")
-    prefix = matched.where(kind_of == PREFIX).select("key", "sid", kind_of.alias("kind"))
-    spared = spared.union(prefix).join(nodes, "sid")
-    open_keys = spared.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = scratch.table(spared.join(open_keys, "key"))
+    keys = spared.union(matched.where(kind_of == PREFIX).select("key", "sid", kind_of.alias("kind")))
+    open_rows = scratch.table(undecided(keys, rooted(links)))
+    links = links.union(near(open_rows.where(F.col("kind") == EXACT)))
+
+    left = scratch.table(undecided(open_rows.select("key", "sid", "kind"), rooted(links)))
     right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "kind", "n", "root", *BITS)])
     differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}2"))) for p in BITS[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p02"))))
     may = (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & (differ * (100 + threshold) <= (100 - threshold) * (F.col("n") + F.col("n2"))) & ((F.col("kind") != DELETION) | (F.col("kind2") != DELETION))
     late = linked(left.join(right, "key").where((F.col("root") != F.col("root2")) & (F.col("sid") < F.col("sid2")) & may).select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
 
-    edges = early.union(late).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(edges, scratch)
+    roots = components(links.union(late).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     nodes = info.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
     nodes = nodes.select("sid", "least", F.coalesce("root", "sid").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component"))
     nodes = nodes.join(least, "root").select("sid", "component")
-    scratch.drop(matched, left)
+    scratch.drop(matched, open_rows, left)
     full = info.join(nodes, "sid", "left")
     return full.select("doc_id", "_k1", "_k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
