@@ -277,3 +277,44 @@ def qa_year(spark: SparkSession, sf: str) -> DataFrame:
     from tapeline.operators import qa
 
     return qa.by_year(week_panel(spark, sf))
+
+
+_W5 = "OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+_IMAGE = {
+    "avgd": f"SELECT *, CASE WHEN count(close_adj) {_W5} = 5 THEN avg(close_adj) {_W5} END AS m FROM feat",
+    "wins": f"""SELECT * FROM (SELECT date, code, is_tradable, future_ret_5d, open_adj AS o, high_adj AS h, low_adj AS l, close_adj AS c, amount AS a, m, max(greatest(high_adj, m)) {_W5} AS p_max, min(least(low_adj, m)) {_W5} AS p_min, max(amount) {_W5} AS amount_max,
+        sum(CASE WHEN open_adj IS NOT NULL AND high_adj IS NOT NULL AND low_adj IS NOT NULL AND close_adj IS NOT NULL AND amount IS NOT NULL AND m IS NOT NULL THEN 1 ELSE 0 END) {_W5} AS n_full, row_number() OVER (PARTITION BY code ORDER BY date) AS k FROM avgd) AS x""",
+    "valid": "SELECT date, code, k, p_min, p_max, amount_max FROM wins WHERE future_ret_5d IS NOT NULL AND is_tradable = 1 AND n_full = 5 AND p_max > p_min AND amount_max > 0",
+    "px": "SELECT v.date, v.code, CAST(w.k - v.k + 4 AS INTEGER) AS i, v.amount_max, w.a, " + ", ".join(f"CAST(greatest(0, least(25, round_even((v.p_max - w.{c}) / (v.p_max - v.p_min) * 25, 0))) AS INTEGER) AS {c}" for c in "ohlcm") + " FROM valid AS v JOIN wins AS w ON w.code = v.code AND w.k BETWEEN v.k - 4 AND v.k",
+    "lit": """SELECT date, code, i * 3 AS x, o AS y FROM px UNION ALL SELECT date, code, i * 3 + 2, c FROM px UNION ALL SELECT date, code, i * 3 + 1, unnest(range(h, l + 1)) FROM px
+        UNION ALL SELECT date, code, i * 3 + j, 31 - unnest(range(0, greatest(1, CAST(round_even(a / amount_max * 5, 0) AS INTEGER)))) FROM px, (SELECT unnest([0, 1, 2]) AS j) AS t
+        UNION ALL SELECT date, code, CAST(round_even(i * 3 + 1 + s * (3.0::DOUBLE / n), 0) AS INTEGER), CAST(round_even(m + s * ((m2 - m)::DOUBLE / n), 0) AS INTEGER) FROM (SELECT *, greatest(3, abs(m2 - m)) AS n, unnest(range(0, greatest(3, abs(m2 - m)) + 1)) AS s FROM (SELECT p.*, q.m AS m2 FROM px AS p JOIN px AS q ON q.date = p.date AND q.code = p.code AND q.i = p.i + 1) AS z) AS y""",
+}
+
+
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    from tapeline.operators import images
+
+    return images.windows(week_features(spark, sf), 5, CFG)
+
+
+@query("date:d code:s p_min:f p_max:f amount_max:f", steps("feat", "SELECT * FROM valid", _IMAGE))
+def image_window_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _windows(spark, sf)
+
+
+@query("date:d code:s n_pixels:i sum_x:i sum_y:i sum_xy:i", steps("feat", "SELECT date, code, count(*) AS n_pixels, sum(x) AS sum_x, sum(y) AS sum_y, sum(x * y) AS sum_xy FROM (SELECT DISTINCT date, code, x, y FROM lit) AS p GROUP BY date, code", _IMAGE))
+def image_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Lit pixels of the images of window 5: their number and moments."""
+    from tapeline.operators import images
+
+    total = lambda f: F.aggregate("pixels", F.lit(0).cast("long"), lambda s, p: s + f(p))
+    lit = images.pixels(_windows(spark, sf), 5, CFG)
+    return lit.select("date", "code", F.size("pixels").alias("n_pixels"), total(lambda p: p["x"]).alias("sum_x"), total(lambda p: p["y"]).alias("sum_y"), total(lambda p: p["x"] * p["y"]).alias("sum_xy"))
+
+
+@query("n_images:i n_wrong_size:i n_not_binary:i n_duplicate_keys:i n_unpaired_labels:i first:d last:d", steps("feat", "SELECT count(*) AS n_images, 0 AS n_wrong_size, 0 AS n_not_binary, 0 AS n_duplicate_keys, 0 AS n_unpaired_labels, min(date) AS first, max(date) AS last FROM valid", _IMAGE))
+def image_qa(spark: SparkSession, sf: str) -> DataFrame:
+    from tapeline.operators import images, qa
+
+    return qa.images(images.dense(images.pixels(_windows(spark, sf), 5, CFG), 5, CFG), 32, 15, CFG.horizons_of_window(5))
