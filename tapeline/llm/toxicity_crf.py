@@ -14,6 +14,7 @@ labels every score is the share of toxic labels (0 if there are none).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +129,16 @@ def summary(p: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of the chain and of the document score."""
+    """Weights of the chain and of the document score; as bytes they are about 1 MB, whatever they were fitted on."""
+
+    def to_bytes(self) -> bytes:
+        return pickle.dumps({k: v for k, v in vars(self).items()})
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Model:
+        model = cls.__new__(cls)
+        vars(model).update(pickle.loads(data))
+        return model
 
     def __init__(self, texts: pa.Array, label: np.ndarray):
         self.weight = np.zeros(1 << BITS, np.float32)
@@ -139,32 +149,37 @@ class Model:
             self._fit(texts, label)
 
     def _fit(self, texts: pa.Array, label: np.ndarray) -> None:
-        parts = [(row, *features(data, at)) for row, data, at in chunks(texts)]
         # words and stems of toxic documents, by the number of documents; copies and near copies (one smallest trigram) count once
-        seen, toxic, families = [], [], set()
-        for row, units, _, _, _, _, before in parts:
-            g = grams(units[0], 3)
+        units, counts, bads = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        families: set[int] = set()
+        for row, data, at in chunks(texts):
+            own, _, _, _, _, before = features(data, at)
+            g = grams(own[0], 3)
+            seen, toxic = [units], [bads]
             for i in range(len(before) - 1):
-                own = g[before[i] : max(before[i], before[i + 1] - 2)]
-                family = int(own.min()) if len(own) else -1
+                trigrams = g[before[i] : max(before[i], before[i + 1] - 2)]
+                family = int(trigrams.min()) if len(trigrams) else -1
                 if family in families:
                     continue
                 families.add(family)
-                seen.append(np.unique(np.concatenate([u[before[i] : before[i + 1]] for u in units])))
+                seen.append(np.unique(np.concatenate([u[before[i] : before[i + 1]] for u in own])))
                 toxic.append(np.full(len(seen[-1]), label[row + i]))
-        unit, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-        count = np.bincount(inverse)
-        bad = np.bincount(inverse, weights=np.concatenate(toxic))
-        z = (bad - count * self.share) / np.sqrt(count * self.share * (1 - self.share))
-        listed = unit[(z >= Z) & (bad >= LEAST_RATE * count) & (bad >= max(5, LEAST_SHARE * label.sum())) & (unit != 0)]
-        gains, moved, began = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
-        golds = []
-        for row, units, _, _, _, _, before in parts:
+            number = [counts, *(np.ones(len(x)) for x in seen[1:])]
+            units, inverse = np.unique(np.concatenate(seen), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate(number), minlength=len(units))
+            bads = np.bincount(inverse, weights=np.concatenate(toxic), minlength=len(units))
+        z = (bads - counts * self.share) / np.sqrt(counts * self.share * (1 - self.share))
+        listed = units[(z >= Z) & (bads >= LEAST_RATE * counts) & (bads >= max(5, LEAST_SHARE * label.sum())) & (units != 0)]
+        del units, counts, bads, z
+        parts = []
+        for row, data, at in chunks(texts):
+            own, table, sentence, _, _, before = features(data, at)
             doc = np.repeat(label[row : row + len(before) - 1], np.diff(before))
-            found = np.logical_or.reduce([np.isin(u, listed) for u in units])
-            golds.append((found & (doc == 1)).astype(np.float64))
+            found = np.logical_or.reduce([np.isin(u, listed) for u in own]) & (doc == 1)
+            parts.append((table, sentence, before, found.astype(np.float32)))
+        gains, moved, began = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
         for _ in range(EPOCHS):
-            for (_, _, table, sentence, _, _, _), gold in zip(parts, golds, strict=True):
+            for table, sentence, _, gold in parts:
                 if not len(gold):
                     continue
                 score = self.weight[table].sum(axis=1)
@@ -183,7 +198,7 @@ class Model:
                 lead = np.array([(1 - p[first]).sum() - (1 - gold[first]).sum(), p[first].sum() - gold[first].sum()])
                 began += lead**2
                 self.begin -= RATE * lead / np.sqrt(began)
-        x = np.concatenate([summary(marginals(self.weight[t].sum(axis=1), s, self.move, self.begin)[0], b) if len(t) else summary(np.zeros(0), b) for _, _, t, s, _, _, b in parts])
+        x = np.concatenate([summary(marginals(self.weight[t].sum(axis=1), s, self.move, self.begin)[0], b) if len(t) else summary(np.zeros(0), b) for t, s, b, _ in parts])
         w = np.zeros(x.shape[1])
         for _ in range(30):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -232,8 +247,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(known), "_id")
-    rows = rows.orderBy(F.xxhash64("_id"), "t").limit(sample).select("t", F.col("_label").cast("int").alias("y")).toArrow()
-    return Model(rows["t"].combine_chunks(), rows["y"].to_numpy().astype(np.float64))
+    rows = rows.select("t", F.col("_label").cast("int").alias("y"), F.xxhash64("_id").alias("o")).orderBy("o", "t").limit(sample)
+    # the sample's rows are in one partition, where the model is fitted
+    found = rows.mapInArrow(_fit_here, "model binary").first()
+    return Model.from_bytes(found[0]) if found else Model(pa.array([], pa.string()), np.zeros(0))
+
+
+def _fit_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        rows = pa.Table.from_batches(held)
+        model = Model(rows["t"].combine_chunks(), rows["y"].to_numpy().astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary())], ["model"])
 
 
 def tagged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
