@@ -1,0 +1,45 @@
+"""Image model: the interface of a convolutional scorer. Training needs torch, which this environment may lack.
+
+``policy`` functions are plain arithmetic and always available; ``fit`` raises a clear error without
+torch. A pixel model that Spark can fit itself is ``pixel_logistic``, a different model by name.
+"""
+
+from __future__ import annotations
+
+import importlib.util
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tapeline.config import image_shape
+from tapeline.models import logistic
+
+
+def fit(images: DataFrame, **options):
+    if importlib.util.find_spec("torch") is None:
+        raise RuntimeError("the convolutional model needs torch (pyspark.ml.torch.distributor); use pixel_logistic for a model of Spark's own")
+    raise NotImplementedError("bring a training function and run it by TorchDistributor over the image table")
+
+
+def improves(value: float, best: float, min_delta: float) -> bool:
+    """Early stopping: strictly better by more than ``min_delta``."""
+    return value < best - min_delta
+
+
+def blocks(window: int) -> int:
+    """Convolution blocks of a window."""
+    return {5: 2, 20: 3}.get(window, 4)
+
+
+def pixel_logistic(train: DataFrame, window: int, bands: int = 8):
+    """Logistic regression on the share of lit pixels in ``bands`` bands of rows; returns a function that adds pred_prob."""
+    height, width, _, _ = image_shape(window)
+    step = -(-height // bands)
+
+    def with_bands(df: DataFrame) -> DataFrame:
+        text = F.hex("image")
+        cut = lambda b: F.substring(text, 1 + 2 * b * step * width, 2 * step * width)
+        return df.withColumns({f"_b{b}": F.length(F.replace(cut(b), F.lit("00"), F.lit(""))) / (2.0 * step * width) for b in range(bands)})
+
+    model = logistic.fit(with_bands(train), [f"_b{b}" for b in range(bands)])
+    return lambda df: model.predict(with_bands(df)).drop(*[f"_b{b}" for b in range(bands)])

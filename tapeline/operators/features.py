@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from tapeline.config import EngineConfig
 from tapeline.functions.exprs import limit_threshold, over_full, safe_div
 
-W = Window.partitionBy("code").orderBy("date")
+def by_code():
+    """Rows of a code in order of date."""
+    return Window.partitionBy("code").orderBy("date")
 
 
 def last_rows(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return by_code().rowsBetween(-(n - 1), 0)
 
 
 def _positive(c: Column) -> Column:
@@ -24,22 +26,22 @@ def _positive(c: Column) -> Column:
 
 def returns(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     """ret_nd; a missing close is filled with the last one first if the configuration pads."""
-    df = df.withColumn("_c", F.last("close_adj", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0)) if cfg.pad_missing_returns else F.col("close_adj"))
-    return df.withColumns({f"ret_{n}d": safe_div(F.col("_c"), F.lag("_c", n).over(W)) - 1 for n in cfg.return_windows}).drop("_c")
+    df = df.withColumn("_c", F.last("close_adj", ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0)) if cfg.pad_missing_returns else F.col("close_adj"))
+    return df.withColumns({f"ret_{n}d": safe_div(F.col("_c"), F.lag("_c", n).over(by_code())) - 1 for n in cfg.return_windows}).drop("_c")
 
 
 def labels(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     """open_to_close_ret_1d; future_ret_hd from the next open to the h-th close, and its sign as a label."""
     out = {"open_to_close_ret_1d": safe_div(F.col("close_adj"), _positive(F.col("open_adj"))) - 1}
     for h in cfg.horizons:
-        out[f"future_ret_{h}d"] = safe_div(_positive(F.lead("close_adj", h).over(W)), _positive(F.lead("open_adj", 1).over(W))) - 1
+        out[f"future_ret_{h}d"] = safe_div(_positive(F.lead("close_adj", h).over(by_code())), _positive(F.lead("open_adj", 1).over(by_code()))) - 1
     df = df.withColumns(out)
     return df.withColumns({f"label_{h}d": F.when(F.col(f"future_ret_{h}d").isNotNull(), (F.col(f"future_ret_{h}d") > 0).cast("double")) for h in cfg.horizons})
 
 
 def constraints(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Volume against the mean of the 20 rows before, and limit moves on little volume."""
-    before = W.rowsBetween(-20, -1)
+    before = by_code().rowsBetween(-20, -1)
     df = df.withColumns({"limit_pct": limit_threshold(F.col("code"), F.col("date"), F.col("is_st"), cfg), "volume_mean_20d_prev": over_full(F.avg("volume"), F.col("volume"), before, 20)})
     mean = F.col("volume_mean_20d_prev")
     low = (mean > 0) & (F.col("volume") <= cfg.low_volume_ratio * mean)
@@ -82,7 +84,7 @@ def tradable(df: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 def build_features(panel: DataFrame, cfg: EngineConfig) -> DataFrame:
     if "pct_chg" not in panel.columns:
-        panel = panel.withColumn("pct_chg", (safe_div(F.col("close_adj"), F.lag("close_adj", 1).over(W)) - 1) * 100)
+        panel = panel.withColumn("pct_chg", (safe_div(F.col("close_adj"), F.lag("close_adj", 1).over(by_code())) - 1) * 100)
     return tradable(baselines(constraints(labels(returns(panel, cfg), cfg), cfg), cfg), cfg)
 
 

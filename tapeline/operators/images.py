@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from tapeline.config import EngineConfig, image_shape
 from tapeline.functions.exprs import pixel_row, safe_div
 
-W = Window.partitionBy("code").orderBy("date")
-
 
 def windows(df: DataFrame, window: int, cfg: EngineConfig) -> DataFrame:
     """Valid windows: date, code, p_min, p_max, amount_max and ``days``, an array of (open, high, low, close, amount, ma).
 
     Valid are tradable rows with w complete rows, a known return at one horizon at least, a price range and some amount.
     """
-    span = W.rowsBetween(-(window - 1), 0)
+    span = Window.partitionBy("code").orderBy("date").rowsBetween(-(window - 1), 0)
     ma = F.when(F.count("close_adj").over(span) == window, F.avg("close_adj").over(span))
     df = df.withColumn("_ma", ma)
     fields = {"o": "open_adj", "h": "high_adj", "l": "low_adj", "c": "close_adj", "a": "amount", "m": "_ma"}

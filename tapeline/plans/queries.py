@@ -318,3 +318,13 @@ def image_qa(spark: SparkSession, sf: str) -> DataFrame:
     from tapeline.operators import images, qa
 
     return qa.images(images.dense(images.pixels(_windows(spark, sf), 5, CFG), 5, CFG), 32, 15, CFG.horizons_of_window(5))
+
+
+@query("date:d code:s label:f pred_prob:f")
+def logistic_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Test rows scored by the logistic baseline (iterative: no SQL)."""
+    from tapeline.models import logistic
+
+    split = targets.fixed_split(_sample(spark, sf), 5, CFG)
+    model = logistic.fit(split.where("split = 'train'"), ["reversal_5d", "momentum_20d", "vol_20", "ma_20_gap", "position_20"])
+    return model.predict(split.where("split = 'test'"))
