@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dist import Scratch, by_runs, components, joined, repeated
+from .dist import Scratch, by_runs, components, hidden, joined, repeated
 from .substring_dedup import text_key
 from .words import NOT_SPACE, chunks, grams, mix, sequence_hash, words
 
@@ -313,9 +313,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = similar_groups(docs, **options)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_k1", "_k2", "n_shingles").distinct()
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("_k1").alias("_a1"), F.col("_k2").alias("_a2"), "n_shingles")
-    keyed = docs.select(*[docs[c] for c in docs.columns], *text_key(text))
-    same = (F.col("_id").eqNullSafe(F.col(doc_id))) & (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2"))
-    return keyed.join(kept, same).drop("_id", "_a1", "_a2", "_k1", "_k2", "n_shingles")
+    inner, names = hidden(docs)
+    keyed = inner.select("*", *text_key(names[text]))
+    same = F.col("_id").eqNullSafe(F.col(names[doc_id])) & (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2"))
+    both = keyed.join(kept, same)
+    # of rows equal in id and text one stays; empty texts stay as they are
+    first = F.row_number().over(Window.partitionBy(names[doc_id], "_k1", "_k2").orderBy(*[F.col(n) for n in names.values() if inner.schema[n].dataType.typeName() != "map"]))
+    one = both.withColumn("_row", first).where((F.col("_row") == 1) | (F.col("n_shingles") == 0))
+    return one.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dist import hidden
+
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Templates: label, statement, mandatory key phrases.
@@ -61,7 +63,7 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: list[str]) -> dic
 
 
 def scanned(docs: DataFrame, text: str = "text", templates=TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """``docs`` (columns of these names give way) with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
     share = document_frequency(docs, text, vocabulary)
     rare = sorted((w for w in vocabulary if share.get(w, 0.0) <= COMMON), key=lambda w: (share.get(w, 0.0), w))
@@ -77,7 +79,8 @@ def scanned(docs: DataFrame, text: str = "text", templates=TEMPLATES, base: dict
     mandatory = F.array(*keys)
     names = _strings([label for label, _, _ in templates])
 
-    out = docs.withColumn("_w", words(F.col(text)))
+    inner, own = hidden(docs)
+    out = inner.withColumn("_w", words(F.col(own[text])))
     w = F.col("_w")
     out = out.withColumn("_rare", F.slice(F.array_intersect(_strings(rare), w), 1, RARE))
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains(F.col("_rare"), h["w"]))
@@ -108,7 +111,7 @@ def scanned(docs: DataFrame, text: str = "text", templates=TEMPLATES, base: dict
         "labels": F.array_join(F.array_sort(labels), ","),
         "score": F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(best),
     }
-    return out.select(*[c for c in docs.columns if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
+    return out.select(*[F.col(n).alias(c) for c, n in own.items() if c not in fresh], *[v.alias(k) for k, v in fresh.items()])
 
 
 def _places(w: Column, phrase: list[str], label: str) -> Column:

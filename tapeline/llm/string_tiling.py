@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dist import hidden
 from .words import ALNUM, chunks, grams, words
 
 LEAST, COVERAGE = 5, 0.8
@@ -137,4 +138,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     bad = contaminated(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_id"), "_k").distinct()
-    return docs.join(bad, F.col("_id").eqNullSafe(docs[doc_id]) & (F.col("_k") == F.xxhash64(F.coalesce(docs[text], F.lit("")))), "left_anti")
+    inner, names = hidden(docs)
+    same = F.col("_id").eqNullSafe(F.col(names[doc_id])) & (F.col("_k") == F.xxhash64(F.coalesce(F.col(names[text]), F.lit(""))))
+    return inner.join(bad, same, "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])

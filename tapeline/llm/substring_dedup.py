@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dist import by_runs, repeated
+from .dist import by_runs, hidden, repeated
 from .words import chunks, grams, signed, words
 
 WINDOW = 35
@@ -173,8 +173,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``text`` replaced by what is left of it, words joined by one space."""
     spans = repeated_spans(docs, text, window).dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", F.col("kept_text").alias("_kept"))
-    keyed = docs.select(*[docs[c] for c in docs.columns], *text_key(text))
-    return keyed.join(spans, ["_k1", "_k2"]).select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns])
+    inner, names = hidden(docs)
+    both = inner.select("*", *text_key(names[text])).join(spans, ["_k1", "_k2"])
+    return both.select(*[F.col("_kept" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def digest(docs: DataFrame) -> DataFrame:
