@@ -53,7 +53,7 @@ def pixels(valid: DataFrame, window: int, cfg: EngineConfig) -> DataFrame:
         x = i * step
         at = lambda dx, y: F.struct((x + dx).cast("int").alias("x"), y.cast("int").alias("y"))
         bar = F.transform(F.sequence(row(d["h"]), row(d["l"])), lambda y: at(1, y))
-        tall = F.greatest(F.lit(1), F.rint(safe_div(d["a"], F.col("amount_max")) * (volume - 1)).cast("int"))
+        tall = F.rint(safe_div(d["a"], F.col("amount_max")) * (volume - 1)).cast("int") + 1
         flow = F.flatten(F.transform(F.sequence(F.lit(0), tall - 1), lambda k: F.array(*[at(j, F.lit(height - 1) - k) for j in range(step)])))
         return F.concat(F.array(at(0, row(d["o"])), at(2, row(d["c"]))), bar, flow)
 

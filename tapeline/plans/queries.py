@@ -287,7 +287,7 @@ _IMAGE = {
     "valid": "SELECT date, code, k, p_min, p_max, amount_max FROM wins WHERE future_ret_5d IS NOT NULL AND is_tradable = 1 AND n_full = 5 AND p_max > p_min AND amount_max > 0",
     "px": "SELECT v.date, v.code, CAST(w.k - v.k + 4 AS INTEGER) AS i, v.amount_max, w.a, " + ", ".join(f"CAST(greatest(0, least(25, round_even((v.p_max - w.{c}) / (v.p_max - v.p_min) * 25, 0))) AS INTEGER) AS {c}" for c in "ohlcm") + " FROM valid AS v JOIN wins AS w ON w.code = v.code AND w.k BETWEEN v.k - 4 AND v.k",
     "lit": """SELECT date, code, i * 3 AS x, o AS y FROM px UNION ALL SELECT date, code, i * 3 + 2, c FROM px UNION ALL SELECT date, code, i * 3 + 1, unnest(range(h, l + 1)) FROM px
-        UNION ALL SELECT date, code, i * 3 + j, 31 - unnest(range(0, greatest(1, CAST(round_even(a / amount_max * 5, 0) AS INTEGER)))) FROM px, (SELECT unnest([0, 1, 2]) AS j) AS t
+        UNION ALL SELECT date, code, i * 3 + j, 31 - unnest(range(0, CAST(round_even(a / amount_max * 5, 0) AS INTEGER) + 1)) FROM px, (SELECT unnest([0, 1, 2]) AS j) AS t
         UNION ALL SELECT date, code, CAST(round_even(i * 3 + 1 + s * (3.0::DOUBLE / n), 0) AS INTEGER), CAST(round_even(m + s * ((m2 - m)::DOUBLE / n), 0) AS INTEGER) FROM (SELECT *, greatest(3, abs(m2 - m)) AS n, unnest(range(0, greatest(3, abs(m2 - m)) + 1)) AS s FROM (SELECT p.*, q.m AS m2 FROM px AS p JOIN px AS q ON q.date = p.date AND q.code = p.code AND q.i = p.i + 1) AS z) AS y""",
 }
 
