@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from tapeline.config import EngineConfig
 from tapeline.plans import pipeline
 from tapeline.session import build
-from tapeline.sources import bars, tables
+from tapeline.sources import bars, prices, tables
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("stage", choices=("panel", "features", "images", "logistic", "backtest", "nonoverlap", "qa"))
     p.add_argument("--out", required=True)
-    p.add_argument("--data", help="directory of the tick tables (panel)")
+    p.add_argument("--raw-dir", help="directory of raw price CSV files (panel)")
+    p.add_argument("--adjusted-dir", help="directory of adjusted price CSV files (panel)")
+    p.add_argument("--encoding", help="of all price files, if known")
+    p.add_argument("--data", help="directory of tick tables instead of price files (panel)")
+    p.add_argument("--limit-codes", help="codes to keep, with commas (panel)")
     p.add_argument("--experiments", help="names, with commas")
     p.add_argument("--pred-dir")
     p.add_argument("--pred-pattern", default="*.parquet")
@@ -23,8 +29,15 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark, cfg = build(), EngineConfig()
     if a.stage == "panel":
-        b = bars.supplier_bars(spark, a.data)
-        pipeline.build_panel(bars.raw_prices(b), bars.adjusted_prices(b), cfg, a.out)
+        if a.data:
+            b = bars.supplier_bars(spark, a.data)
+            raw, adjusted = bars.raw_prices(b), bars.adjusted_prices(b)
+        else:
+            raw = prices.raw_table(spark, a.raw_dir, cfg, a.encoding) if a.raw_dir else None
+            adjusted = prices.adjusted_table(spark, a.adjusted_dir, cfg, a.encoding) if a.adjusted_dir else None
+        keep = a.limit_codes.split(",") if a.limit_codes else None
+        raw, adjusted = (df.where(F.col("code").isin(keep)) if keep and df is not None else df for df in (raw, adjusted))
+        pipeline.build_panel(raw, adjusted, cfg, a.out)
     elif a.stage == "features":
         pipeline.build_features(spark, cfg, a.out)
     elif a.stage == "images":

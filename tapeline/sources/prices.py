@@ -11,6 +11,30 @@ from tapeline.operators import panel
 #: The encodings that are tried in turn.
 ENCODINGS = ("gbk", "utf-8-sig", "utf-8", "gb18030")
 
+#: Headers of a raw price file and the panel's names, in the files' order.
+RAW_HEADERS = {
+    "日期": "date", "代码": "code", "名称": "name", "所属行业": "industry",
+    "开盘价": "open_raw", "最高价": "high_raw", "最低价": "low_raw", "收盘价": "close_raw", "前收盘价": "prev_close_raw",
+    "成交量（股）": "volume", "成交额（元）": "amount", "换手率": "turnover_rate", "涨幅%": "pct_chg", "振幅%": "amplitude", "是否ST": "is_st", "量比": "volume_ratio",
+    "3日涨幅%": "ret_3d_raw", "6日涨幅%": "ret_6d_raw", "10日涨幅%": "ret_10d_raw", "25日涨幅%": "ret_25d_raw", "是否涨停": "is_limit_up",
+    "总股本（股）": "total_shares", "流通股本（股）": "float_shares", "总市值（元）": "total_mktcap", "流通市值（元）": "float_mktcap",
+    "滚动市盈率": "pe_ttm", "市净率": "pb", "滚动市销率": "ps_ttm", "上市时间": "list_date", "退市时间": "delist_date",
+}
+#: The same of an adjusted price file.
+ADJUSTED_HEADERS = {"日期": "date", "代码": "code", "开盘价": "open_adj", "最高价": "high_adj", "最低价": "low_adj", "收盘价": "close_adj"}
+_FLAGS, _DAYS, _TEXTS = ["is_st", "is_limit_up"], ["list_date", "delist_date"], {"date", "code", "name", "industry"}
+
+
+def raw_table(spark: SparkSession, path: str, cfg: EngineConfig, encoding: str | None = None) -> DataFrame:
+    """The cleaned raw prices of a directory."""
+    numbers = [c for c in RAW_HEADERS.values() if c not in {*_TEXTS, *_FLAGS, *_DAYS}]
+    return read_prices(spark, path, RAW_HEADERS, numbers, _FLAGS, _DAYS, cfg, encoding)
+
+
+def adjusted_table(spark: SparkSession, path: str, cfg: EngineConfig, encoding: str | None = None) -> DataFrame:
+    """The cleaned adjusted prices of a directory."""
+    return read_prices(spark, path, ADJUSTED_HEADERS, [c for c in ADJUSTED_HEADERS.values() if c not in _TEXTS], [], [], cfg, encoding)
+
 
 def read_csv_files(spark: SparkSession, path: str, columns: list[str], encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
     """``columns`` of all CSV files under ``path``, as text, with ``file_stem``; each file in the first encoding that reads it.

@@ -244,6 +244,8 @@ def test_price_files_in_several_encodings(spark, tmp_path):
     (tmp_path / "000002.csv").write_bytes("日期,代码\n2020-01-03,2\n".encode("utf-8-sig"))
     df = prices.read_prices(spark, str(tmp_path), {"日期": "date", "代码": "code", "收盘": "close"}, ["close"], [], [], EngineConfig())
     assert sorted((r.code, str(r.date), r.close) for r in df.collect()) == [("000001", "2020-01-02", 15.0), ("000002", "2020-01-03", None)]
+    raw = prices.raw_table(spark, str(tmp_path), EngineConfig())
+    assert set(raw.columns) == set(prices.RAW_HEADERS.values()) and raw.where("is_st = 0 and volume is null").count() == 2
 
 
 def test_streaming_bars(spark, tmp_path):
