@@ -145,17 +145,23 @@ def return_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return performance.attribution(performance.with_costs(_days(spark, sf, True), CFG), CFG)
 
 
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    """Holdings from a day on that both models have scores for, so that they rebalance on the same days."""
+    return portfolio.holdings(ranked(spark, sf).where("date >= date '1996-01-01'"), week_features(spark, sf))
+
+
 def _hold_steps() -> dict[str, str]:
     ok = "d.pos IS NOT NULL AND d.susp = 0 AND d.{0} = 0 AND d.o2c IS NOT NULL AND d.vol > 0"
     keys = f"{GS}, horizon, signal_pos, t_start, t_end"
     legs = {f"{n}_leg": f"SELECT {keys}, list_sort(list(DISTINCT code)) AS codes FROM (SELECT sig.* FROM sig JOIN d ON d.code = sig.code AND d.pos = t_start WHERE decile = {k} AND {ok.format(b)}) AS x GROUP BY {keys}" for n, k, b in (("long", 10, "up"), ("short", 1, "down"))}
     one = "SELECT c.*, '{0}' AS portfolio_name, '{1}' AS leg, coalesce(codes, []) AS codes FROM cycles AS c LEFT JOIN {1}_leg USING (" + keys + ")"
-    return _N | {"cycles": f"SELECT DISTINCT {keys} FROM sig"} | legs | {"held0": " UNION ALL ".join(one.format(p, s) for p, s in (("D10", "long"), ("D10_minus_D1", "long"), ("D10_minus_D1", "short"))), "held": "SELECT s.date AS signal_date, r.date AS rebalance_date, t.date AS target_end_date, h.* FROM held0 AS h JOIN cal AS s ON s.pos = signal_pos JOIN cal AS r ON r.pos = t_start JOIN cal AS t ON t.pos = t_end"}
+    since = {"sig0": _N["sig0"] + " AND date >= DATE '1996-01-01'"}
+    return _N | since | {"cycles": f"SELECT DISTINCT {keys} FROM sig"} | legs | {"held0": " UNION ALL ".join(one.format(p, s) for p, s in (("D10", "long"), ("D10_minus_D1", "long"), ("D10_minus_D1", "short"))), "held": "SELECT s.date AS signal_date, r.date AS rebalance_date, t.date AS target_end_date, h.* FROM held0 AS h JOIN cal AS s ON s.pos = signal_pos JOIN cal AS r ON r.pos = t_start JOIN cal AS t ON t.pos = t_end"}
 
 
 @query(f"signal_date:d rebalance_date:d target_end_date:d horizon:i {G} portfolio_name:s leg:s n_holdings:i code_list:s", steps("dec", "SELECT *, len(codes) AS n_holdings, array_to_string(codes, '|') AS code_list FROM held", _hold_steps()))
 def holdings(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.holdings(ranked(spark, sf), week_features(spark, sf)).withColumn("code_list", F.array_join("codes", "|"))
+    return _held(spark, sf).withColumn("code_list", F.array_join("codes", "|"))
 
 
 _K = "experiment_name, universe_group, portfolio_name, leg"
@@ -164,12 +170,12 @@ _JAC = {"jac": f"SELECT {_K}, rebalance_date, len(a.codes) AS logistic_n, len(b.
 
 @query("experiment_name:s universe_group:s portfolio_name:s leg:s rebalance_date:d logistic_n:i cnn_n:i intersection_n:i union_n:i jaccard_overlap:f intersection_codes:s", steps("dec", "SELECT * FROM jacs", _hold_steps() | _JAC))
 def holding_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.holding_overlap(portfolio.holdings(ranked(spark, sf), week_features(spark, sf)))
+    return portfolio.holding_overlap(_held(spark, sf))
 
 
 @query("experiment_name:s universe_group:s portfolio_name:s leg:s n_rebalances:i jaccard_mean:f jaccard_median:f jaccard_p25:f jaccard_p75:f avg_intersection_n:f avg_logistic_n:f avg_cnn_n:f", steps("dec", f"SELECT {_K}, count(*) AS n_rebalances, avg(jaccard_overlap) AS jaccard_mean, median(jaccard_overlap) AS jaccard_median, quantile_cont(jaccard_overlap, 0.25) AS jaccard_p25, quantile_cont(jaccard_overlap, 0.75) AS jaccard_p75, avg(intersection_n) AS avg_intersection_n, avg(logistic_n) AS avg_logistic_n, avg(cnn_n) AS avg_cnn_n FROM jacs GROUP BY {_K}", _hold_steps() | _JAC))
 def overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.overlap_summary(portfolio.holding_overlap(portfolio.holdings(ranked(spark, sf), week_features(spark, sf))))
+    return portfolio.overlap_summary(portfolio.holding_overlap(_held(spark, sf)))
 
 
 @query(f"date:d {G} portfolio_name:s gross_return:f turnover:f start_turnover:f end_turnover:f num_holdings:i valid_weight:f")
