@@ -1,11 +1,12 @@
 """Licence scans by a positional rare-token index, in DataFrame operations only.
 
-Templates are short licence statements. The index has the places of each template's words. Words are
-ranked by inverse document frequency, counted over all documents; of each document the RARE highest
-licence words are looked up, their places minus the postings' places give alignments, and those of
-one template that agree are one alignment. There the whole template is compared, and its mandatory
-key phrases must stand exactly. Base phrases are matched on their own, wherever their words stand
-consecutively.
+Templates are short licence statements. Words are ranked by inverse document frequency, counted over
+all documents. As a template's mandatory key phrases must stand exactly, its rarest word in them is
+at its place wherever the template matches, so the index has this one place of each template. All
+indexed words are looked up in every document; their places minus the postings' places give
+alignments. There the whole template is compared, and its key phrases must stand. A template without
+key phrases is indexed by so many of its rarest places that a match has one of them. Base phrases are
+matched on their own, wherever their words stand consecutively.
 
 Words are the ranges of ASCII letters and digits and of all other characters, after A-Z are lower
 case. Defined cases: null text is empty; all rows are kept one by one; other columns are ignored.
@@ -39,7 +40,7 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
-RARE, COMMON, LEAST_MATCH = 8, 0.2, 0.6
+COMMON, LEAST_MATCH = 0.2, 0.6
 _DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -62,19 +63,34 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: list[str]) -> dic
     return {r.w: r["count"] / total for r in found.collect()}
 
 
+def _key_places(statement: str, phrases) -> list[int]:
+    """Where each key phrase stands in the statement."""
+    s = statement.split()
+    return [next(i for i in range(len(s)) if s[i : i + len(k.split())] == k.split()) for k in phrases]
+
+
+def anchors(templates, share: dict[str, float]) -> list[tuple[str, int, int]]:
+    """(word, template, place): of each template the rarest places such that every match has one of them."""
+    out = []
+    for t, (_, statement, phrases) in enumerate(templates):
+        s = statement.split()
+        key = {at + i for at, k in zip(_key_places(statement, phrases), phrases, strict=True) for i in range(len(k.split()))}
+        n = 1 if key else len(s) - next(k for k in range(len(s) + 1) if k / len(s) >= LEAST_MATCH) + 1
+        out += [(s[p], t, p) for p in sorted(key or range(len(s)), key=lambda p: (share.get(s[p], 0.0), s[p], p))[:n]]
+    return out
+
+
 def scanned(docs: DataFrame, text: str = "text", templates=TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """``docs`` (columns of these names give way) with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
     share = document_frequency(docs, text, vocabulary)
-    rare = sorted((w for w in vocabulary if share.get(w, 0.0) <= COMMON), key=lambda w: (share.get(w, 0.0), w))
-
-    postings = [(w, t, p) for t, (_, statement, _) in enumerate(templates) for p, w in enumerate(statement.split()) if w in set(rare)]
+    postings = [(w, t, p) for w, t, p in anchors(templates, share) if share.get(w, 0.0) <= COMMON]
+    rare = sorted({w for w, _, _ in postings})
     index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in postings])
     texts = F.array(*[_strings(statement.split()) for _, statement, _ in templates])
     keys = []
     for _, statement, phrases in templates:
-        s = statement.split()
-        at = [next(i for i in range(len(s)) if s[i : i + len(k.split())] == k.split()) for k in phrases]
+        at = _key_places(statement, phrases)
         keys.append(F.array(*[F.struct(F.lit(i).alias("at"), _strings(k.split()).alias("w")) for i, k in zip(at, phrases, strict=True)]))
     mandatory = F.array(*keys)
     names = _strings([label for label, _, _ in templates])
@@ -82,7 +98,7 @@ def scanned(docs: DataFrame, text: str = "text", templates=TEMPLATES, base: dict
     inner, own = hidden(docs)
     out = inner.withColumn("_w", words(F.col(own[text])))
     w = F.col("_w")
-    out = out.withColumn("_rare", F.slice(F.array_intersect(_strings(rare), w), 1, RARE))
+    out = out.withColumn("_rare", F.array_intersect(_strings(rare), w))
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains(F.col("_rare"), h["w"]))
     out = out.withColumn("_hits", F.when(F.size("_rare") > 0, hits))
     aligned = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.transform(F.filter(index, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"))))))

@@ -206,6 +206,30 @@ def test_license_templates(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def plain_licences(text):
+    w = re.findall(r"[a-z0-9]+", text.lower())
+    out = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in f" {' '.join(w)} "}
+    for label, statement, phrases in license_scan.TEMPLATES:
+        s = statement.split()
+        for o in range(-len(s), len(w)):
+            at = lambda i: w[i] if 0 <= i < len(w) else None  # noqa: B023, E731
+            keys = [(next(i for i in range(len(s)) if s[i : i + len(k.split())] == k.split()), k.split()) for k in phrases]
+            if all(at(o + i + j) == x for i, k in keys for j, x in enumerate(k)) and sum(at(o + i) == x for i, x in enumerate(s)) >= 0.6 * len(s):
+                out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_license_scan_has_no_cap_of_words(spark):
+    rng = random.Random(4)
+    statements = [s for _, s, _ in license_scan.TEMPLATES]
+    texts = [" filler words ".join([statements[13], "licensed under the apache license version 2 0", "released under the mit license"]), " and then ".join(statements), " x ".join(reversed(statements))]
+    texts += [" so ".join(rng.sample(statements, rng.randint(2, 6))).replace(" of ", rng.choice([" of ", " from "])) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts + ["plain words"] * 800)), "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in license_scan.digest(df).collect()}
+    assert {"apache-2.0", "bsd", "mit"} <= set(found[0].split(","))
+    assert [found[i] for i in range(len(texts))] == [plain_licences(x) for x in texts]
+
+
 def test_string_tiling(spark, none):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
