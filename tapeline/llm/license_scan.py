@@ -2,9 +2,9 @@
 
 Templates are short licence statements. Words are ranked by inverse document frequency, counted over
 all documents. As a template's mandatory key phrases must stand exactly, its rarest word in them is
-at its place wherever the template matches, so the index has this one place of each template. All
-indexed words are looked up in every document; their places minus the postings' places give
-alignments. There the whole template is compared, and its key phrases must stand. A template without
+at its place wherever the template matches, so the index has this one place of each template, however
+common the word is. All indexed words are looked up in every document; their places minus the
+postings' places give alignments. There the whole template is compared, and its key phrases must stand. A template without
 key phrases is indexed by so many of its rarest places that a match has one of them. Base phrases are
 matched on their own, wherever their words stand consecutively.
 
@@ -40,7 +40,7 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
-COMMON, LEAST_MATCH = 0.2, 0.6
+LEAST_MATCH = 0.6
 _DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -84,7 +84,7 @@ def scanned(docs: DataFrame, text: str = "text", templates=TEMPLATES, base: dict
     """``docs`` (columns of these names give way) with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
     share = document_frequency(docs, text, vocabulary)
-    postings = [(w, t, p) for w, t, p in anchors(templates, share) if share.get(w, 0.0) <= COMMON]
+    postings = anchors(templates, share)
     rare = sorted({w for w, _, _ in postings})
     index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in postings])
     texts = F.array(*[_strings(statement.split()) for _, statement, _ in templates])

@@ -230,6 +230,15 @@ def test_license_scan_has_no_cap_of_words(spark):
     assert [found[i] for i in range(len(texts))] == [plain_licences(x) for x in texts]
 
 
+def test_license_scan_finds_common_statements(spark):
+    texts = {0: "Licensed under the Apache License, Version 2.0", 1: "Released under the MIT License", 2: "Licensed under CC BY 4.0 and released under the MIT license"}
+    df = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)] + [(i, "plain words") for i in range(60, 90)], "doc_id long, text string")
+    assert all(r.labels == (plain_licences(texts[r.doc_id % 3]) if r.doc_id < 60 else "") for r in license_scan.digest(df).collect())
+    bare = (("own", "alpha beta gamma delta epsilon", ()),)
+    df = spark.createDataFrame([(0, "alpha beta gamma x y"), (1, "x y gamma delta epsilon"), (2, "alpha x y z epsilon")] * 5, "doc_id long, text string")
+    assert {(r.doc_id, r.labels) for r in license_scan.scanned(df, templates=(*license_scan.TEMPLATES, *bare)).collect()} == {(0, "own"), (1, "own"), (2, "")}
+
+
 def test_string_tiling(spark, none):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
