@@ -4,9 +4,11 @@ The tree has a fixed depth: a line goes by its number of tokens (spaces cut them
 (tokens with digits are variable fields there). In each leaf that lines of several documents reach,
 a token is constant at its place if several documents have it there; all others are variable fields.
 What remains is the line's template. A template is dropped, with all its lines, if it recurs in
-``least_docs`` documents or more and these aren't copies of each other: documents are counted by
-distinct text, and at least ``least_spread`` of them must differ in family, the lead of their longest
-line. So the lines of copied documents stay, as whole documents are another operator's task.
+``least_docs`` families of documents or more. Documents are counted by distinct text, and families by
+what a document has besides the template: three marks from its longest lines of another lead (their
+leads, or tails where lines are few). Of the three counts of distinct marks the middle one holds, so
+one more recurring line, or longest lines that start alike, don't make one family of different
+documents. The lines of copied documents stay, as whole documents are another operator's task.
 
 Defined cases: null text is empty; lines of fewer than ``least_tokens`` tokens stay; a document that
 loses all lines becomes empty, and its row stays; equal rows count as one document; other columns pass.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .dist import Scratch, joined
 from .substring_dedup import text_key
 
-LEAD, LEAST_DOCS, LEAST_SPREAD, LEAST_TOKENS, LEAST_CONSTANT = 3, 5, 0.5, 3, 0.7
-FIELD = "<*>"
+LEAD, LEAST_DOCS, LEAST_TOKENS, LEAST_CONSTANT = 3, 5, 3, 0.7
+FIELD, MARKS = "<*>", 3
 
 
 def _general(token: Column) -> Column:
@@ -32,22 +34,47 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_spread: float = LEAST_SPREAD, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def _lead(line: Column) -> Column:
+    tokens = F.split(line, " ", LEAD + 1)
+    return F.xxhash64(*[_general(F.get(tokens, F.lit(k))) for k in range(LEAD)])
+
+
+def _longest(lines: Column) -> Column:
+    """(lead, tail) of lines by length, all or so many that MARKS + 1 leads are among them."""
+    ranked = F.sort_array(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct((-F.length(x)).alias("size"), x.alias("text"))))
+    marked = lambda some: F.transform(some, lambda x: F.struct(_lead(x["text"]).alias("lead"), F.xxhash64(F.substring_index(x["text"], " ", -LEAD)).alias("tail")))
+    few = marked(F.slice(ranked, 1, MARKS + 2))
+    return F.when((F.size(ranked) <= MARKS + 2) | (F.size(F.array_distinct(few["lead"])) > MARKS), few).otherwise(marked(ranked))
+
+
+def _marks(lead: Column) -> list[Column]:
+    """Marks of a document besides lines of ``lead``: leads of its longest other lines, tails where these are few, 0 without any."""
+    top = [F.col(f"top{k}") for k in range(MARKS + 1)]
+    own = [x["lead"] == lead for x in top]
+    first, second, third = F.when(own[0], top[1]).otherwise(top[0]), F.when(own[0] | own[1], top[2]).otherwise(top[1]), F.when(own[0] | own[1] | own[2], top[3]).otherwise(top[2])
+    return [F.coalesce(*x, F.lit(0)) for x in ([first["lead"]], [second["lead"], first["tail"]], [third["lead"], second["tail"], first["tail"]])]
+
+
+def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """One row for each distinct text that loses lines: its key (_k1, _k2) and the places of these lines (from 0)."""
     scratch = Scratch(docs.sparkSession)
-    longest = F.array_max(F.transform(_lines(F.col(text)), lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("line"), x)))["line"]
-    # keys and family are worked out below the explode, once for each document
-    whole = docs.select(*text_key(text), F.xxhash64(F.slice(F.split(longest, " ", LEAD + 1), 1, LEAD)).alias("family"), _lines(F.col(text)).alias("lines"))
-    lines = whole.select("_k1", "_k2", "family", F.posexplode("lines").alias("place", "text"))
+    # keys and the longest lines are worked out below the explode, once for each document
+    whole = docs.select(*text_key(text), _lines(F.col(text)).alias("lines"))
+    whole = whole.withColumn("rest", _longest(F.col("lines")))
+    for k in range(MARKS + 1):  # the longest line of each of the first leads: one of them may be the judged template's
+        whole = whole.withColumn(f"top{k}", F.get("rest", F.lit(0)))
+        known = F.col(f"top{k}")["lead"]
+        whole = whole.withColumn("rest", F.filter("rest", lambda x: x["lead"] != known))  # noqa: B023
+    lines = whole.select("_k1", "_k2", *[f"top{k}" for k in range(MARKS + 1)], F.posexplode("lines").alias("place", "text"))
     count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("lead", F.split("text", " ", LEAD + 1)).withColumn("count", count).where(F.col("count") >= least_tokens)
-    lead = [_general(F.get("lead", F.lit(k))) for k in range(LEAD)]
-    lines = lines.select("_k1", "_k2", "family", "place", "text", F.xxhash64("count", *lead).alias("leaf"))
+    lines = lines.withColumn("count", count).where(F.col("count") >= least_tokens).withColumn("lead", _lead(F.col("text")))
+    marks = [f"mark{k}" for k in range(MARKS)]
+    lines = lines.select("_k1", "_k2", *[m.alias(c) for m, c in zip(_marks(F.col("lead")), marks, strict=True)], "place", "text", F.xxhash64("count", "lead").alias("leaf"))
 
     leaves = lines.groupBy("leaf", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("one").alias("n")).where(F.col("n") >= least_docs).select("leaf")
     leaves = scratch.table(leaves)
     held = joined(lines, leaves, leaves.count(), 16, ["leaf"], "inner")
-    held = scratch.table(held.select("_k1", "_k2", "family", "place", "leaf", F.xxhash64("text").alias("line"), "text"))
+    held = scratch.table(held.select("_k1", "_k2", *marks, "place", "leaf", F.xxhash64("text").alias("line"), "text"))
 
     distinct = held.groupBy("leaf", "line").agg(F.min("text").alias("text"))
     tokens = distinct.select("leaf", "line", F.posexplode(F.split("text", " ")).alias("at", "token"))
@@ -59,10 +86,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     templates = masked.groupBy("leaf", "line").agg(F.xxhash64(shape).alias("template"), (F.count("fixed") / F.count("*")).alias("share"))
     templates = templates.where(F.col("share") >= LEAST_CONSTANT).select("leaf", "line", "template")
 
-    used = held.join(templates, ["leaf", "line"]).groupBy("leaf", "template", "_k1", "_k2").agg(F.first("family").alias("family"))
-    families = used.groupBy("leaf", "template", "family").agg(F.count("*").alias("docs"))
-    recurring = families.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.count("*").alias("families"))
-    recurring = recurring.where((F.col("docs") >= least_docs) & (F.col("families") >= least_spread * F.col("docs"))).select("leaf", "template")
+    used = held.join(templates, ["leaf", "line"]).select("leaf", "template", *marks).distinct()
+    recurring = used.groupBy("leaf", "template").agg(*[F.count_distinct(c).alias(c) for c in marks])
+    recurring = recurring.where(F.sort_array(F.array(*marks))[MARKS // 2] >= least_docs).select("leaf", "template")
     gone = templates.join(recurring, ["leaf", "template"]).select("leaf", "line")
     out = held.join(gone, ["leaf", "line"]).groupBy("_k1", "_k2").agg(F.collect_set("place").alias("places"))
     return scratch.table(out)

@@ -344,6 +344,33 @@ def test_line_templates(spark, docs, rows, none):
     assert line_templates.digest(none).count() == 0
 
 
+def dropped(spark, texts):
+    """The lines that each text loses."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r for r in line_templates.drop_templates(df).collect()}
+    out = [sorted((Counter(t.split("\n")) - Counter(left[i].text.split("\n") if left[i].n_dropped < left[i].n_lines else [])).elements()) for i, t in enumerate(texts)]
+    assert [len(x) for x in out] == [left[i].n_dropped for i in range(len(texts))]
+    return out
+
+
+def prose(rng):
+    return lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_line_templates_count_each_family_once(spark):
+    line = prose(random.Random(11))
+    weekly, passage, notice, pair = "Sign up for the weekly letter today", line(60), line(30), [line(25), line(24)]
+    near = [line(14) for _ in range(5)]
+    texts = ["\n".join([*near, near[0] + f" {line(1)}", weekly]) for _ in range(30)]  # one family of copies
+    texts += ["\n".join([line(12), line(9), weekly]) for _ in range(9)]
+    texts += ["\n".join([line(12), passage, line(9)]) for _ in range(8)]
+    texts += ["\n".join([notice, line(5)]) for _ in range(8)]
+    texts += ["\n".join([*pair, line(6), line(5)]) for _ in range(8)]
+    texts += [f"Report of the day {line(20)}\nAll prices are without any tax" for _ in range(8)]
+    wanted = [[weekly]] * 39 + [[passage]] * 8 + [[notice]] * 8 + [sorted(pair)] * 8 + [["All prices are without any tax"]] * 8
+    assert dropped(spark, texts) == wanted
+
+
 def test_url_rules(spark):
     urls = [f"http://{h}.example.{t}/{lang}/{n}" for h in "abc" for t in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in range(3)]
     urls += ["x", None, "", "HTTP://A.NET", "http://net/", "https://sub.NET/p?q=1#f", "a://b", "http://xexample.net/en/1", "http://example.com/de/", "http://example.com/DE/"]
