@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-The tree has a fixed depth: a line goes by its number of tokens (spaces cut them), then by its first LEAD tokens
-(tokens with digits are variable fields there). In each leaf that lines of several documents reach,
+The tree has a fixed depth: a line goes by its number of tokens (runs of white space cut them, those around the
+line don't count), then by its first LEAD tokens (tokens with digits are variable fields there); a line
+of fewer than ``least_tokens`` tokens, but of LEAST_BYTES or more, goes by its whole text. In each leaf that lines of several documents reach,
 a token is constant at its place if several documents have it there; all others are variable fields.
 What remains is the line's template. A template is dropped, with all its lines, if it recurs in
 ``least_docs`` families of documents or more. Documents are counted by distinct text, and families by
@@ -10,7 +11,7 @@ leads, or tails where lines are few). Of the three counts of distinct marks the
 one more recurring line, or longest lines that start alike, don't make one family of different
 documents. The lines of copied documents stay, as whole documents are another operator's task.
 
-Defined cases: null text is empty; lines of fewer than ``least_tokens`` tokens stay; a document that
+Defined cases: null text is empty; shorter lines of fewer than ``least_tokens`` tokens stay; a document that
 loses all lines becomes empty, and its row stays; equal rows count as one document; other columns pass.
 """
 
@@ -23,6 +24,7 @@ from .dist import Scratch, joined
 from .substring_dedup import text_key
 
 LEAD, LEAST_DOCS, LEAST_TOKENS, LEAST_CONSTANT = 3, 5, 3, 0.7
+LEAST_BYTES = 20
 FIELD, MARKS = "<*>", 3
 
 
@@ -34,6 +36,14 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _even(text: Column) -> Column:
+    """The text with single spaces for runs of white space within its lines."""
+    uneven = F.lit(False)
+    for x in ("  ", "\t", "\x0b", "\f", "\r"):
+        uneven = uneven | F.contains(text, F.lit(x))
+    return F.when(uneven, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+
+
 def _lead(line: Column) -> Column:
     tokens = F.split(line, " ", LEAD + 1)
     return F.xxhash64(*[_general(F.get(tokens, F.lit(k))) for k in range(LEAD)])
@@ -59,7 +69,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     """One row for each distinct text that loses lines: its key (_k1, _k2) and the places of these lines (from 0)."""
     scratch = Scratch(docs.sparkSession)
     # keys and the longest lines are worked out below the explode, once for each document
-    whole = docs.select(*text_key(text), _lines(F.col(text)).alias("lines"))
+    whole = docs.select(*text_key(text), F.transform(_lines(_even(F.col(text))), lambda x: F.trim(x)).alias("lines"))
     whole = whole.withColumn("rest", _longest(F.col("lines")))
     for k in range(MARKS + 1):  # the longest line of each of the first leads: one of them may be the judged template's
         whole = whole.withColumn(f"top{k}", F.get("rest", F.lit(0)))
@@ -67,9 +77,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
         whole = whole.withColumn("rest", F.filter("rest", lambda x: x["lead"] != known))  # noqa: B023
     lines = whole.select("_k1", "_k2", *[f"top{k}" for k in range(MARKS + 1)], F.posexplode("lines").alias("place", "text"))
     count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("count", count).where(F.col("count") >= least_tokens).withColumn("lead", _lead(F.col("text")))
+    lines = lines.withColumn("count", count).where((F.col("count") >= least_tokens) | (F.octet_length("text") >= LEAST_BYTES)).withColumn("lead", _lead(F.col("text")))
     marks = [f"mark{k}" for k in range(MARKS)]
-    lines = lines.select("_k1", "_k2", *[m.alias(c) for m, c in zip(_marks(F.col("lead")), marks, strict=True)], "place", "text", F.xxhash64("count", "lead").alias("leaf"))
+    lines = lines.select("_k1", "_k2", *[m.alias(c) for m, c in zip(_marks(F.col("lead")), marks, strict=True)], "place", "text", F.when(F.col("count") >= least_tokens, F.xxhash64("count", "lead")).otherwise(F.xxhash64("text")).alias("leaf"))
 
     leaves = lines.groupBy("leaf", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("one").alias("n")).where(F.col("n") >= least_docs).select("leaf")
     leaves = scratch.table(leaves)

@@ -371,6 +371,18 @@ def test_line_templates_count_each_family_once(spark):
     assert dropped(spark, texts) == wanted
 
 
+def test_line_templates_cut_tokens_at_white_space(spark):
+    line = prose(random.Random(12))
+    menu, long_token, script = "Home\tAbout\tContact\tHelp", "Home|About|Contact|Help|Imprint", "版权所有，未经许可不得转载"
+    uneven = [f"{' ' * k}All rights  of this{' ' * (k + 1)}site are\t{' ' * k}reserved\r" for k in range(8)]
+    texts = ["\n".join([line(12), menu, line(9), x, long_token, script, "short"]) for x in uneven]
+    wanted = [sorted([menu, x, long_token, script]) for x in uneven]
+    near = [f"    {line(13)}" for _ in range(6)]
+    texts += ["\n".join(f"    {line(14)}" for _ in range(3)) + "\n    See the rules of this board" for _ in range(8)] + ["\n".join([*near, line(1)]) for _ in range(8)]
+    wanted += [["    See the rules of this board"]] * 8 + [[]] * 8
+    assert dropped(spark, texts) == wanted
+
+
 def test_url_rules(spark):
     urls = [f"http://{h}.example.{t}/{lang}/{n}" for h in "abc" for t in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in range(3)]
     urls += ["x", None, "", "HTTP://A.NET", "http://net/", "https://sub.NET/p?q=1#f", "a://b", "http://xexample.net/en/1", "http://example.com/de/", "http://example.com/DE/"]
