@@ -4,7 +4,9 @@ The tree has a fixed depth: a line goes by its number of tokens (runs of white s
 line don't count), then by its first LEAD tokens (tokens with digits are variable fields there); a line
 of fewer than ``least_tokens`` tokens, but of LEAST_BYTES or more, goes by its whole text. In each leaf that lines of several documents reach,
 a token is constant at its place if several documents have it there; all others are variable fields.
-What remains is the line's template. A template is dropped, with all its lines, if it recurs in
+What remains is the line's template. It counts if of its tokens without digits the fixed ones are more
+than the others, and ``least_constant`` of them at least or all but one: fields with digits may be any
+number. A line that recurs verbatim is a template as well, whatever its tokens are. A template is dropped, with all its lines, if it recurs in
 ``least_docs`` families of documents or more. Documents are counted by distinct text, and families by
 what a document has besides the template: three marks from its longest lines of another lead (their
 leads, or tails where lines are few). Of the three counts of distinct marks the middle one holds, so
@@ -65,7 +67,7 @@ def _marks(lead: Column) -> list[Column]:
     return [F.coalesce(*x, F.lit(0)) for x in ([first["lead"]], [second["lead"], first["tail"]], [third["lead"], second["tail"], first["tail"]])]
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, least_constant: float = LEAST_CONSTANT) -> DataFrame:
     """One row for each distinct text that loses lines: its key (_k1, _k2) and the places of these lines (from 0)."""
     scratch = Scratch(docs.sparkSession)
     # keys and the longest lines are worked out below the explode, once for each document
@@ -93,13 +95,16 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     constant = tokens.join(carried, ["leaf", "line"]).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).where(~F.col("token").rlike("[0-9]"))
     masked = tokens.join(constant.select("leaf", "at", "token", F.lit(True).alias("fixed")), ["leaf", "at", "token"], "left")
     shape = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(FIELD).alias("token"))))
-    templates = masked.groupBy("leaf", "line").agg(F.xxhash64(shape).alias("template"), (F.count("fixed") / F.count("*")).alias("share"))
-    templates = templates.where(F.col("share") >= LEAST_CONSTANT).select("leaf", "line", "template")
+    free = F.count_if(F.col("fixed").isNull() & ~F.col("token").rlike("[0-9]"))
+    templates = masked.groupBy("leaf", "line").agg(F.xxhash64(shape).alias("template"), F.count("fixed").alias("fixed"), free.alias("free"))
+    templates = templates.where((F.col("fixed") > F.col("free")) & ((F.col("free") <= 1) | (F.col("fixed") >= least_constant * (F.col("fixed") + F.col("free")))))
+    verbatim = carried.where(F.col("docs") >= least_docs).select("leaf", "line", F.xxhash64("line", F.lit("verbatim")).alias("template"))
+    templates = scratch.table(templates.select("leaf", "line", "template").union(verbatim))
 
     used = held.join(templates, ["leaf", "line"]).select("leaf", "template", *marks).distinct()
     recurring = used.groupBy("leaf", "template").agg(*[F.count_distinct(c).alias(c) for c in marks])
     recurring = recurring.where(F.sort_array(F.array(*marks))[MARKS // 2] >= least_docs).select("leaf", "template")
-    gone = templates.join(recurring, ["leaf", "template"]).select("leaf", "line")
+    gone = templates.join(recurring, ["leaf", "template"]).select("leaf", "line").distinct()
     out = held.join(gone, ["leaf", "line"]).groupBy("_k1", "_k2").agg(F.collect_set("place").alias("places"))
     return scratch.table(out)
 

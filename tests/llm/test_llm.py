@@ -383,6 +383,18 @@ def test_line_templates_cut_tokens_at_white_space(spark):
     assert dropped(spark, texts) == wanted
 
 
+def test_line_templates_drop_lines_of_variable_fields(spark):
+    rng = random.Random(13)
+    line = prose(rng)
+    stamps = [f"Posted {k + 10} Mar 2024 at 1{k}:31" for k in range(8)]
+    pages = [f"Page {k} of {k + 10}" for k in range(8)]
+    fixed = ["12.50 13.50 14.50 15.50", "Page 3 of 10", "2024-03-12 10:31 99"]
+    texts = ["\n".join([line(12), s, line(10), p, *fixed]) for s, p in zip(stamps, pages, strict=True)]
+    alike = [f"It is a {line(3)}" for _ in range(8)]  # sentences, not a template
+    texts += ["\n".join([line(12), line(11), x]) for x in alike]
+    assert dropped(spark, texts) == [sorted([s, p, *fixed]) for s, p in zip(stamps, pages, strict=True)] + [[]] * 8
+
+
 def test_url_rules(spark):
     urls = [f"http://{h}.example.{t}/{lang}/{n}" for h in "abc" for t in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in range(3)]
     urls += ["x", None, "", "HTTP://A.NET", "http://net/", "https://sub.NET/p?q=1#f", "a://b", "http://xexample.net/en/1", "http://example.com/de/", "http://example.com/DE/"]
