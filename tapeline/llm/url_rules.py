@@ -2,14 +2,15 @@
 
 Fixed rules label pages: a rule (host, path, verdict) fits its host and all subdomains if the URL's
 path starts with the rule's; the longest wins. From the pages that they label, FP-growth mines sets
-of URL tokens (suffixes of the host, first path segments, query keys) together with the verdict; rules
+of URL tokens (all suffixes of the host, path segments and query keys) together with the verdict; rules
 ``tokens -> verdict`` are kept from MIN_SUPPORT and MIN_CONFIDENCE on, and dropped if a shorter rule
 of the same verdict is as confident. A page without a fixed rule takes the verdict of the most
 confident mined rule (then of the larger support, the longer, the smaller in order) that its tokens
 hold, found by an inverted index: from each token to its rules, and a rule matches when all its
 tokens are counted. Without any, the verdict is DEFAULT.
 
-What FP-growth and the index hold is bounded by the support threshold, not by the pages. Defined
+All tokens are counted first; FP-growth mines over those that reach the support threshold, which
+bounds what it and the index hold, not the pages. Defined
 cases: a null URL or one without ``://`` has empty host and path; equal pages are judged alike, each
 row for itself; an empty table gives no rows.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT, SEGMENTS, KEYS = 0.01, 0.6, "allow", 2, 4
+MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.01, 0.6, "allow"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -48,14 +49,14 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: host suffixes of one to three labels, first path segments with their place, query keys; digits are one kind."""
+    """Distinct tokens of a URL: host suffixes, path segments with their place, query keys; digits of segments are one kind."""
     labels = F.split(host, r"\.")
-    suffix = [F.when((F.size(labels) >= k) & (host != ""), F.concat(F.lit("h:"), F.array_join(F.slice(labels, -k, k), "."))) for k in (1, 2, 3)]
-    parts = F.split(path, "/")
-    segment = [F.when(F.coalesce(F.get(parts, F.lit(k)), F.lit("")) != "", F.concat(F.lit(f"p{k}:"), F.regexp_replace(F.get(parts, F.lit(k)), "[0-9]+", "0"))) for k in range(1, SEGMENTS + 1)]
+    suffix = F.when(host != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("h:"), F.array_join(F.slice(labels, -k, k), "."))))
+    parts = F.transform(F.split(path, "/"), lambda x, k: F.when((k > 0) & (x != ""), F.concat(F.lit("p"), k, F.lit(":"), F.regexp_replace(x, "[0-9]+", "0"))))
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(""))
-    keys = F.slice(F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0])))), 1, KEYS)
-    return F.array_distinct(F.array_compact(F.concat(F.array(*suffix, *segment), F.array_remove(keys, "q:"))))
+    keys = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0]))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(F.coalesce(suffix, none), parts, F.array_remove(keys, "q:"))))
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:

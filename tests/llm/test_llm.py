@@ -413,6 +413,20 @@ def test_url_rules(spark):
     assert url_rules.judged(df.where("false")).count() == 0
 
 
+def test_url_rules_keep_all_tokens(spark):
+    keys = "a=1&b=2&c=3&d=4&e=5&"
+    urls = [f"http://s{n}.example.net/x/{'ads' if n % 2 else 'en'}/{n}" for n in range(4)]
+    urls += [f"http://h{n}.net/a/b/promo/{n}?{keys}utm_source=x" for n in range(30)] + [f"http://h{n}.org/fr/b/story/{n}?{keys}view=1" for n in range(30)]
+    asked = ["http://q.info/z/z/promo", f"http://q.info/?{keys}utm_source=y", "http://q.info/z/z/story", f"http://q.info/?{keys}view=2"]
+    df = spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.mined) for r in url_rules.judged(df).collect()}
+    assert [found[i] for i in range(4)] == [("block", "p3:promo"), ("block", "q:utm_source"), ("allow", "p3:story"), ("allow", "q:view")]
+    deep = spark.createDataFrame([("http://a.b.c.d.e/1x/y/z?k=1&k=2&&l",), ("x",), (None,)], "url string")
+    u = deep["url"]
+    got = [sorted(r.t) for r in deep.select(url_rules.tokens(u, url_rules.host_of(u), url_rules.path_of(u)).alias("t")).collect()]
+    assert got == [sorted(["h:e", "h:d.e", "h:c.d.e", "h:b.c.d.e", "h:a.b.c.d.e", "p1:0x", "p2:y", "p3:z", "q:k", "q:l"]), [], []]
+
+
 def test_lattice_hash(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(300, 24))
