@@ -45,7 +45,6 @@ class EngineConfig:
     costs_bps: tuple[float, ...] = (0.0, 10.0, 25.0, 50.0, 100.0)
     days_per_year: int = 252
     low_coverage: float = 0.95
-    check_rows: int = 10_000
     check_tolerance: float = 1e-6
     folds: int = 5
     purge_days: int = 20

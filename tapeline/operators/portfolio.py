@@ -222,10 +222,12 @@ def overlap_summary(overlap: DataFrame) -> DataFrame:
     return overlap.groupBy("experiment_name", "universe_group", "portfolio_name", "leg").agg(F.count("*").alias("n_rebalances"), F.avg(j).alias("jaccard_mean"), F.median(j).alias("jaccard_median"), F.percentile(j, F.lit(0.25)).alias("jaccard_p25"), F.percentile(j, F.lit(0.75)).alias("jaccard_p75"), *[F.avg(c).alias(f"avg_{c}") for c in ("intersection_n", "logistic_n", "cnn_n")])
 
 
-def compounding_check(pred: DataFrame, features: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Future returns rebuilt from daily ones for the first rows by date and code: (1 + open-to-close) * product of (1 + ret), against future_ret."""
+def compounding_check(pred: DataFrame, features: DataFrame, check_rows: int | None = None) -> DataFrame:
+    """Future returns rebuilt from daily ones for all rows, or the first ``check_rows`` by date and code: (1 + open-to-close) * product of (1 + ret), against future_ret."""
     cal, d = placed(daily_context(features))
-    rows = pred.select("date", "code", "horizon", "future_ret").distinct().orderBy("date", "code").limit(cfg.check_rows).join(F.broadcast(cal), "date").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("horizon"))))
+    rows = pred.select("date", "code", "horizon", "future_ret").distinct()
+    rows = rows if check_rows is None else rows.orderBy("date", "code").limit(check_rows)
+    rows = rows.join(F.broadcast(cal), "date").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("horizon"))))
     rows = rows.withColumn("pos", F.col("pos") + F.col("k")).join(d, ["pos", "code"])
     rows = rows.groupBy("date", "code", "horizon", "future_ret").agg((F.product(1 + F.when(F.col("k") == 1, F.col("o2c")).otherwise(F.col("ret"))) - 1).alias("rebuilt"), F.count(F.when(F.col("k") == 1, F.col("o2c")).otherwise(F.col("ret"))).alias("n"))
     return rows.where("n = horizon").agg(F.count("*").alias("n_rows"), F.max(F.abs(F.col("rebuilt") - F.col("future_ret"))).alias("max_difference"))

@@ -185,4 +185,4 @@ def nonoverlap_long_short(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("n_rows:i max_difference:f")
 def compounding_check(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.compounding_check(ranked(spark, sf), week_features(spark, sf), CFG)
+    return portfolio.compounding_check(ranked(spark, sf), week_features(spark, sf))

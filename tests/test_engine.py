@@ -205,6 +205,21 @@ def test_overlapping_book_equals_simulation(spark, seed, horizon):
     assert all(r.gross_return == 0.0 for p, r in got.items() if p not in wanted)
 
 
+def test_compounding_check_reads_all_rows(spark):
+    from tapeline.plans import portfolio_queries
+
+    days, codes = 105, [f"{k:06d}" for k in range(100)]
+    daily = spark.createDataFrame([(D(n), c, 0.01, 0.02, 1.0, 0, 0, 0) for n in range(days) for c in codes], "date date, code string, ret_1d double, open_to_close_ret_1d double, volume double, is_suspended int, is_low_volume_limit_up int, is_low_volume_limit_down int")
+    wrong = (D(days - 3), codes[-1])
+    pred = spark.createDataFrame([(D(n), c, 2, 1.02 * 1.01 - 1 + (0.5 if (D(n), c) == wrong else 0.0)) for n in range(days - 2) for c in codes], "date date, code string, horizon int, future_ret double")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(portfolio_queries, "ranked", lambda *_: pred)
+        patch.setattr(portfolio_queries, "week_features", lambda *_: daily)
+        whole = portfolio_queries.compounding_check(spark, "").first()
+    assert whole.n_rows == (days - 2) * len(codes) > 10_000 and math.isclose(whole.max_difference, 0.5)
+    assert portfolio.compounding_check(pred, daily, check_rows=50).first().n_rows == 50
+
+
 def test_costs_and_performance(spark):
     days = spark.createDataFrame([(D(i), "E", "m", "all", d, f"D{d}", g, 0.5, 0.25, 0.25, 1, 3, 0.9, g, g, 0.0, 0.0, i == 0) for i, g in enumerate((0.1, -0.2, 0.3)) for d in (1, 10)], "date date, experiment_name string, model_name string, universe_group string, decile int, portfolio_name string, gross_return double, turnover double, start_turnover double, end_turnover double, active_cohorts int, num_holdings int, valid_weight double, signal_gross_alpha double, buy_constrained_gross_return double, buy_blocked_loss double, sell_blocked_forced_hold_loss double, is_warmup boolean")
     cfg = EngineConfig(costs_bps=(0.0, 100.0))
