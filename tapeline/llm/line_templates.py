@@ -51,12 +51,14 @@ def _lead(line: Column) -> Column:
     return F.xxhash64(*[_general(F.get(tokens, F.lit(k))) for k in range(LEAD)])
 
 
-def _longest(lines: Column) -> Column:
-    """(lead, tail) of lines by length, all or so many that MARKS + 1 leads are among them."""
-    ranked = F.sort_array(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct((-F.length(x)).alias("size"), x.alias("text"))))
+def _with_longest(whole: DataFrame) -> DataFrame:
+    """With rest: (lead, tail) of lines by length, all or so many that MARKS + 1 leads are among them."""
     marked = lambda some: F.transform(some, lambda x: F.struct(_lead(x["text"]).alias("lead"), F.xxhash64(F.substring_index(x["text"], " ", -LEAD)).alias("tail")))
-    few = marked(F.slice(ranked, 1, MARKS + 2))
-    return F.when((F.size(ranked) <= MARKS + 2) | (F.size(F.array_distinct(few["lead"])) > MARKS), few).otherwise(marked(ranked))
+    ranked = F.sort_array(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct((-F.length(x)).alias("size"), x.alias("text"))))
+    whole = whole.withColumn("ranked", ranked)
+    whole = whole.withColumn("few", marked(F.slice("ranked", 1, MARKS + 2)))  # each in a step of its own, so that none is worked out twice
+    enough = (F.size("ranked") <= MARKS + 2) | (F.size(F.array_distinct("few.lead")) > MARKS)
+    return whole.withColumn("rest", F.when(enough, F.col("few")).otherwise(marked(F.col("ranked")))).drop("ranked", "few")
 
 
 def _marks(lead: Column) -> list[Column]:
@@ -72,7 +74,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     scratch = Scratch(docs.sparkSession)
     # keys and the longest lines are worked out below the explode, once for each document
     whole = docs.select(*text_key(text), F.transform(_lines(_even(F.col(text))), lambda x: F.trim(x)).alias("lines"))
-    whole = whole.withColumn("rest", _longest(F.col("lines")))
+    whole = _with_longest(whole)
     for k in range(MARKS + 1):  # the longest line of each of the first leads: one of them may be the judged template's
         whole = whole.withColumn(f"top{k}", F.get("rest", F.lit(0)))
         known = F.col(f"top{k}")["lead"]
