@@ -7,9 +7,13 @@ O(log length). The output has one row for each packed row of the id matrix: ids
 length (little-endian, 2 bytes if the vocabulary allows, else 4), cumulative segment lengths, the
 places where positions restart, and which part of which document each segment is.
 
-A task packs its own rows in blocks of BLOCK_TOKENS and hands rows that aren't full enough on to the
-next block, so nothing is shuffled and memory is bounded. Defined cases: null text is empty and gives
-the end id alone; equal rows, null ids and null texts are packed like others; an empty table gives none.
+A task packs its own rows in blocks of BLOCK_TOKENS. Rows that aren't full enough are handed on to the
+next block, the emptiest first and a quarter of a block at most; the others are sealed as they are. So
+nothing is shuffled, and a task holds less than two blocks of pieces whatever their sizes are.
+
+Defined cases: null text is empty and gives the end id alone; equal rows, null ids and null texts are
+packed like others; pieces of equal length go in the order of their rows; very long texts are split;
+an empty table gives none; ids keep their type; other columns, of whatever names, aren't read.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import Encoder
 
 LENGTH, BLOCK_TOKENS, END_ID, PAD_ID = 2048, 1 << 22, 1, 0
-SCHEMA = "sequence_id long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<int>"
+SCHEMA = "sequence_id long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{id}>, doc_starts array<int>"
 
 
 class Capacities:
@@ -85,6 +90,13 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
+def handed_on(filled: list[int], length: int, most: int) -> set[int]:
+    """Of rows with so many ids, those that the next block fills up: not nearly full, the emptiest first, ``most`` ids in all."""
+    order = [k for k in sorted(range(len(filled)), key=filled.__getitem__) if filled[k] < length - length // 64]
+    total = np.cumsum([filled[k] for k in order])
+    return set(order[: int(np.searchsorted(total, most, "right"))])
+
+
 def split(ids: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     """(start, ids) of the pieces of one document."""
     return [(b, ids[b : b + length]) for b in range(0, len(ids), length)]
@@ -95,20 +107,19 @@ def _pack(tokenizer: str, length: int, end_id: int, pad_id: int, block: int):
         encode = Encoder(tokenizer)
         kind = np.dtype("<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         number = TaskContext.get().partitionId() << 40
-        pieces: list[tuple[int | None, int, np.ndarray]] = []
-        held = 0
+        pieces: list[tuple[object, int, np.ndarray]] = []
+        held, id_type = 0, pa.int64()
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, pieces, held
             rows = best_fit_decreasing(np.array([len(p[2]) for p in pieces], np.int64), length)
-            later: list[tuple[int | None, int, np.ndarray]] = []
+            later = [] if last else handed_on([sum(len(pieces[i][2]) for i in row) for row in rows], length, block // 4)
             out: list[list] = [[] for _ in range(8)]
-            for row in rows:
+            for k, row in enumerate(rows):
+                if k in later:
+                    continue
                 used = [pieces[i] for i in row]
                 total = sum(len(p[2]) for p in used)
-                if not last and total < length - length // 64:
-                    later += used
-                    continue
                 cu = np.cumsum([0, *(len(p[2]) for p in used)])
                 matrix = np.full(length, pad_id, kind)
                 matrix[:total] = np.concatenate([p[2] for p in used])
@@ -119,16 +130,17 @@ def _pack(tokenizer: str, length: int, end_id: int, pad_id: int, block: int):
                     yield batch_of(out)
                     out = [[] for _ in range(8)]
             yield batch_of(out)
-            pieces, held = later, sum(len(p[2]) for p in later)
+            pieces = [pieces[i] for k in sorted(later) for i in rows[k]]
+            held = sum(len(p[2]) for p in pieces)
 
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def batch_of(out: list[list]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(id_type), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
         for batch in batches:
-            doc = batch.column("doc_id").to_pylist()
+            doc, id_type = batch.column("doc_id").to_pylist(), batch.schema.field("doc_id").type
             for row, ids, at in encode(batch.column("text"), end_id):
                 for i in range(len(at) - 1):
                     pieces += [(doc[row + i], b, p) for b, p in split(ids[at[i] : at[i + 1]], length)]
@@ -142,8 +154,9 @@ def _pack(tokenizer: str, length: int, end_id: int, pad_id: int, block: int):
 
 
 def packed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end_id: int = END_ID, pad_id: int = PAD_ID, block: int = BLOCK_TOKENS) -> DataFrame:
-    """The packed rows of ``docs`` (SCHEMA)."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pack(tokenizer, length, end_id, pad_id, block), SCHEMA)
+    """The packed rows of ``docs`` (SCHEMA, with the type of its ids)."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_pack(tokenizer, length, end_id, pad_id, block), SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -153,7 +166,9 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 def read_documents(packed: DataFrame, bytes_per_id: int = 2) -> DataFrame:
     """Back from packed rows to (doc_id, start, ids: array<int>) of each segment, for round trips."""
-    schema = "doc_id long, start int, ids array<int>"
+    id_type = packed.schema["doc_ids"].dataType.elementType
+    schema = f"doc_id {id_type.simpleString()}, start int, ids array<int>"
+    id_kind = to_arrow_type(id_type)
     kind = np.dtype(f"<u{bytes_per_id}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +180,6 @@ def read_documents(packed: DataFrame, bytes_per_id: int = 2) -> DataFrame:
                     doc.append(r["doc_ids"][k])
                     start.append(r["doc_starts"][k])
                     ids.append(matrix[b:e].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, id_kind), pa.array(start, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     return packed.mapInArrow(run, schema)
