@@ -7,9 +7,15 @@ and the two neighbours) and transition weights; it is fitted by AdaGrad on its e
 Forward-backward gives each token's marginal; a document's score is a logistic function of its
 marginals (their sum, maximum and share), and runs of tokens over one half are its spans.
 
-The model is fitted on at most SAMPLE labelled documents, chosen by a hash of the id; every document
-is scored, whole. Defined cases: null text is empty; labels that are null don't count; without both
-labels every score is the share of toxic labels (0 if there are none).
+The model is fitted in one task on at most SAMPLE labelled documents, in the order of a hash of the id, and of
+these on whole texts of SAMPLE_BYTES in all at most (a text that doesn't fit in any more is passed over). That
+bounds the fit's memory, about 10 bytes for each byte of text. Every document is scored, whole, a run of
+CHUNK_BYTES of text at a time.
+
+Defined cases: null text is empty; labels and ids of labels that are null don't count; of several labels of one id
+the largest holds; equal rows are scored alike, each for itself; a score of exactly the threshold is toxic; without
+both labels every score is the share of toxic labels (0 if there are none); a very long text is a run of its own;
+an empty table gives no rows; columns named score, text or like any helper pass through ``remove_toxic`` untouched.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .words import _BYTE, _LOWER, ALNUM, chunks, grams, mix, words
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE = 6000
+#: Labelled documents that the model is fitted on, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
 BITS, EPOCHS, RATE = 18, 3, 0.5
 #: A word or a stem is listed from this z and these shares (of its documents, of the toxic ones) on.
 Z, LEAST_RATE, LEAST_SHARE = 6.0, 0.3, 0.01
@@ -242,28 +248,38 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The model of at most ``sample`` labelled documents that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of at most ``sample`` labelled documents, ``sample_bytes`` of text, that aren't held out."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(known), "_id")
     rows = rows.select("t", F.col("_label").cast("int").alias("y"), F.xxhash64("_id").alias("o")).orderBy("o", "t").limit(sample)
     # the sample's rows are in one partition, where the model is fitted
-    found = rows.mapInArrow(_fit_here, "model binary").first()
+    found = rows.mapInArrow(_fit_here(sample_bytes), "model binary").first()
     return Model.from_bytes(found[0]) if found else Model(pa.array([], pa.string()), np.zeros(0))
 
 
-def _fit_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if held:
-        rows = pa.Table.from_batches(held)
-        model = Model(rows["t"].combine_chunks(), rows["y"].to_numpy().astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary())], ["model"])
+def _fit_here(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, left = [], [], most
+        for batch in batches:
+            size = pa.compute.binary_length(batch.column("t")).to_numpy()
+            keep = np.zeros(len(size), dtype=bool)
+            for i, n in enumerate(size.tolist()):
+                if n <= left:
+                    keep[i], left = True, left - n
+            texts.append(batch.column("t").filter(pa.array(keep)))
+            labels.append(batch.column("y").to_numpy()[keep])
+        if texts:
+            model = Model(pa.chunked_array(texts).combine_chunks(), np.concatenate(labels).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary())], ["model"])
+
+    return run
 
 
-def tagged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+def tagged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **sample: int) -> DataFrame:
     """doc_id, _k (hash of the text), score, and character spans of toxic runs, for every row of ``docs``."""
-    model = fit(docs, labels, doc_id, text, label, sample)
+    model = fit(docs, labels, doc_id, text, label, **sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k"), F.col(text).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _k long, score double, span_starts array<int>, span_ends array<int>"
     return rows.mapInArrow(_tag(model), schema)
