@@ -5,25 +5,28 @@ point of the E8 lattice: a cell of a table. A vector is filed under its own cell
 those of the next lattice points (the best of the other coset of D8, and the next best of its own). Vectors that share a cell
 are compared by cosine in double precision. A pair that shares several cells counts in the smallest.
 
-Equal vectors of one label are one node with a size, so copies are never paired. A cell with more than
+Equal vectors of one label are one node with a size, so copies are never paired. Nodes are filed as
+(cell, node) pairs; a vector itself is sent only to cells that it shares with another. A cell with more than
 BLOCK nodes is split into blocks, and each pair of blocks is a task of its own. Links are counted, and
 only a spanning forest of each task goes on to the components.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite numbers, and vectors with a null
-label, link with nothing and are their own component; vectors of different length never link; equal
-rows are copies; an empty table gives no rows.
+label, link with nothing and are their own component; vectors of different length never link; labels may be of any
+simple type; equal rows are copies, and of several rows of one id each has its own links; the smallest id of a component
+names it; an empty table gives no rows; no other column is read or clashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dist import Scratch, by_runs, components, joined
+from .dist import Scratch, by_runs, components
 from .words import mix
 
 THRESHOLD, TABLES, SCALE, SEED, BLOCK = 0.93, 8, 0.45, 7, 4096
@@ -71,38 +74,40 @@ def cells(unit: np.ndarray, tables: int, scale: float, seed: int = SEED) -> np.n
     return np.concatenate(out, axis=1).view(np.int64)
 
 
+def _salt(label: str, dim: int) -> np.uint64:
+    return np.frombuffer(blake2b(f"{dim} {label}".encode(), digest_size=8).digest(), np.uint64)[0]
+
+
+def _salted(unit: np.ndarray, label: str, tables: int, scale: float) -> np.ndarray:
+    """Sorted cells of unit vectors of one label."""
+    return np.sort((cells(unit, tables, scale).view(np.uint64) ^ _salt(label, unit.shape[1])).view(np.int64), axis=1)
+
+
 def _file(tables: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("v")
             length = pa.compute.list_value_length(vectors).to_numpy()
-            label, k, size = (batch.column(c).to_numpy() for c in ("label", "k", "size"))
+            label = batch.column("label").dictionary_encode()
+            code = label.indices.to_numpy()
             for dim in np.unique(length):
-                own = np.flatnonzero(length == dim)
-                v = vectors.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim)
-                unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
-                with np.errstate(over="ignore"):
-                    salt = mix(label[own].astype(np.int64).view(np.uint64) * np.uint64(1000003) + np.uint64(dim))[:, None]
-                    at = np.sort((cells(unit, tables, scale).view(np.uint64) ^ salt).view(np.int64), axis=1)
-                width = at.shape[1]
-                row = np.repeat(np.arange(len(own)), width)
-                first = np.ones(at.shape, dtype=bool)
-                first[:, 1:] = at[:, 1:] != at[:, :-1]
-                row, cell = row[first.ravel()], at.ravel()[first.ravel()]
-                packed = [x.tobytes() for x in unit]
-                keys = [x.tobytes() for x in at]
-                for b in range(0, len(row), 4096):
-                    r = row[b : b + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[b : b + 4096]), pa.array(k[own[r]]), pa.array(size[own[r]]), pa.array([packed[i] for i in r], pa.binary()), pa.array([keys[i] for i in r], pa.binary())], ["cell", "k", "size", "unit", "cells"])
+                for c in np.unique(code[length == dim]):
+                    own = np.flatnonzero((length == dim) & (code == c))
+                    v = vectors.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim)
+                    v = v / np.abs(v).max(axis=1, keepdims=True)
+                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    at = _salted(unit, label.dictionary[int(c)].as_py(), tables, scale)
+                    rest = [batch.column(x).take(pa.array(own)) for x in ("k", "size", "label")]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([x.tobytes() for x in unit], pa.binary()), pa.array([np.unique(x) for x in at], pa.list_(pa.int64()))], ["k", "size", "label", "unit", "cells"])
 
     return run
 
 
-def _links(threshold: float):
-    def compare(cell: int, cross: bool, half: np.ndarray, k: np.ndarray, size: np.ndarray, unit: list[bytes], keys: list[bytes]):
+def _links(threshold: float, tables: int, scale: float):
+    def compare(cell: int, cross: bool, half: np.ndarray, k: np.ndarray, size: np.ndarray, unit: list[bytes], label: str):
         u = np.frombuffer(b"".join(unit), np.float64).reshape(len(k), -1)
-        c = np.frombuffer(b"".join(keys), np.int64).reshape(len(k), -1)
         gain, root = np.zeros(len(k), np.int64), np.arange(len(k))
+        at: np.ndarray | None = None
         found = [(np.zeros(0, np.int64),) * 2]
         for b in range(0, len(k), 1024):
             i, j = np.nonzero(u[b : b + 1024] @ u.T >= threshold - 1e-9)
@@ -111,12 +116,14 @@ def _links(threshold: float):
             if cross:
                 ok &= half[i] != half[j]
             i, j = i[ok], j[ok]
+            if len(i) and at is None:
+                at = _salted(u, label, tables, scale)
             for p in range(0, len(i), 8192):
                 x, y = i[p : p + 8192], j[p : p + 8192]
                 sure = np.einsum("nd,nd->n", u[x], u[y]) >= threshold
                 x, y = x[sure], y[sure]
-                common = c[x][:, :, None] == c[y][:, None, :]
-                least = np.where(common.any(axis=2), c[x], np.iinfo(np.int64).max).min(axis=1)
+                common = at[x][:, :, None] == at[y][:, None, :]
+                least = np.where(common.any(axis=2), at[x], np.iinfo(np.int64).max).min(axis=1)
                 x, y = x[least == cell], y[least == cell]
                 np.add.at(gain, x, size[y])
                 np.add.at(gain, y, size[x])
@@ -142,14 +149,19 @@ def _links(threshold: float):
                 return None
             cell, cross = part[0][0], part[1][0]
             half, k, size = (np.concatenate(part[c]) for c in (6, 2, 3))
-            out = compare(cell, cross, half, k, size, sum(part[4], []), sum(part[5], []))
+            unit, label = sum(part[4], []), sum(part[5], [])
+            alike: dict[tuple[str, int], list[int]] = {}
+            for i, kind in enumerate(zip(label, map(len, unit), strict=True)):
+                alike.setdefault(kind, []).append(i)
+            out = [compare(cell, cross, half[i], k[i], size[i], [unit[x] for x in i], kind[0]) for kind, i in alike.items()]
+            out = [np.concatenate(x) for x in zip(*out, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["k", "gain", "root"]) if len(out[0]) else None
 
         for batch in batches:
             tasks = batch.column("task").to_numpy()
             cell, k, size, half = (batch.column(c).to_numpy() for c in ("cell", "k", "size", "half"))
             cross = batch.column("cross").to_numpy(zero_copy_only=False)
-            unit, keys = batch.column("unit"), batch.column("cells")
+            unit, label = batch.column("unit"), batch.column("label")
             edges = np.flatnonzero(np.append(True, tasks[1:] != tasks[:-1])).tolist() + [len(tasks)]
             for b, e in zip(edges, edges[1:]):
                 if task != tasks[b]:
@@ -158,7 +170,7 @@ def _links(threshold: float):
                     task, part = tasks[b], [[] for _ in range(7)]
                     if e - b == 1 and e < len(tasks):
                         continue  # alone in its cell
-                for x, v in zip(part, (cell[b], cross[b], k[b:e], size[b:e], unit[b:e].to_pylist(), keys[b:e].to_pylist(), half[b:e]), strict=True):
+                for x, v in zip(part, (cell[b], cross[b], k[b:e], size[b:e], unit[b:e].to_pylist(), label[b:e].to_pylist(), half[b:e]), strict=True):
                     x.append(v)
         if (out := flush()) is not None:
             yield out
@@ -171,15 +183,16 @@ def similar_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     scratch = Scratch(vectors.sparkSession)
     v = F.col(vector).cast("array<double>")
     usable = F.coalesce(F.col(label).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0.0), F.lit(False))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(usable, F.xxhash64(F.col(label), v)).alias("k"), F.col(label).cast("long").alias("label"), v.alias("v"))
+    own = F.col(label) + 0.0 if vectors.schema[label].dataType.typeName() in ("float", "double") else F.col(label)  # 0.0 for -0.0
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(usable, F.xxhash64(own, v)).alias("k"), own.cast("string").alias("label"), v.alias("v"))
     nodes = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
-    filed = nodes.select("k", "size", "label", "v").mapInArrow(_file(tables, scale), "cell long, k long, size long, unit binary, cells binary")
-    large = scratch.table(filed.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    dealt = joined(filed, large, large.count(), 16, ["cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("half", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", (F.col("half") != F.col("with")).alias("cross"), "half", F.xxhash64("cell", F.least("half", "with"), F.greatest("half", "with")).alias("task"), "k", "size", "unit", "cells")
+    units = scratch.table(nodes.select("k", "size", "label", "v").mapInArrow(_file(tables, scale), "k long, size long, label string, unit binary, cells array<long>"))
+    filed = units.select(F.explode("cells").alias("cell"), "k")
+    shared = filed.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = filed.join(shared, "cell").withColumn("half", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", (F.col("half") != F.col("with")).alias("cross"), "half", F.xxhash64("cell", F.least("half", "with"), F.greatest("half", "with")).alias("task"), "k").join(units.drop("cells"), "k")
     # a block meets itself once and every other block once: rows of both are in that task
-    found = scratch.table(by_runs(dealt, "task", ["cell"], _links(threshold), "k long, gain long, root long"))
+    found = scratch.table(by_runs(dealt, "task", ["cell"], _links(threshold, tables, scale), "k long, gain long, root long"))
     gains = found.groupBy("k").agg(F.sum("gain").alias("gain"))
     roots = components(found.select(F.col("k").alias("u"), F.col("root").alias("v")), scratch)
     held = nodes.select("k", "size", "least").join(gains, "k", "left").join(roots.select(F.col("node").alias("k"), "root"), "k", "left")
@@ -188,7 +201,7 @@ def similar_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     held = held.join(lowest, "root").select("k", "n_links", "component_id")
     out = rows.select("vec_id", "k").join(held, "k", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def digest(vectors: DataFrame) -> DataFrame:
