@@ -117,8 +117,8 @@ class Carry:
             yield self.rest
 
 
-def repeated(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Of rows sorted by all ``columns`` (the first is the key), those whose key has two distinct rows at least, each distinct row once.
+def repeated(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int = 1) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Of rows sorted by all ``columns`` (the first ``keys`` are the key), those whose key has two distinct rows at least, each distinct row once.
 
     Yields the columns and, for each row, how many rows its key has shown so far (to the batch's
     end). One row is all that is kept from batch to batch, however long a run of one key is.
@@ -137,22 +137,22 @@ def repeated(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
         if pending is not None:
             cols = [np.concatenate([p, c]) for p, c in zip(pending, cols, strict=True)]
             pending = None
-        key = cols[0]
-        if not len(key):
+        key = cols[:keys]
+        if not len(key[0]):
             continue
-        same = np.zeros(len(key) + 1, dtype=bool)
-        same[1:-1] = key[1:] == key[:-1]
-        same[0] = open_key is not None and key[0] == open_key
+        same = np.zeros(len(key[0]) + 1, dtype=bool)
+        same[1:-1] = np.logical_and.reduce([k[1:] == k[:-1] for k in key])
+        same[0] = open_key is not None and all(k[0] == x for k, x in zip(key, open_key, strict=True))
         keep = same[:-1] | same[1:]
         first = np.flatnonzero(~same[:-1])
         run = np.cumsum(~same[:-1]) - (0 if same[0] else 1)
-        sizes = np.diff(np.append(first if not same[0] else np.append(0, first), len(key)))
+        sizes = np.diff(np.append(first if not same[0] else np.append(0, first), len(key[0])))
         if same[0]:
             sizes[0] += seen
         if not keep[-1]:
             pending = [c[-1:] for c in cols]
             open_key, seen = None, 0
         else:
-            open_key, seen = key[-1], int(sizes[-1])
+            open_key, seen = [k[-1] for k in key], int(sizes[-1])
         if keep.any():
             yield [c[keep] for c in cols], sizes[run][keep]

@@ -4,12 +4,17 @@ Two equal passages of ``window`` words start anywhere in their documents. With a
 D of the residues modulo ``PERIOD`` there is, for any two starts, a shift below PERIOD that brings
 both to places whose residue is in D. So grams of ``window - PERIOD + 1`` words are hashed at those
 places only (5 of 21), and any long match shares an aligned anchor. Windows around anchors that
-occur twice are then extended to the full ``window`` words and compared; what a repeated window
-covers is removed, all its occurrences alike.
+occur twice are then extended to the full ``window`` words and compared by 96 bits of hash; what a repeated
+window covers is removed, all its occurrences alike.
+
+Whether a hash recurs is settled in the task that makes it where it can be: a place whose hash the task has met
+elsewhere is a hit, dealt out by its text, and sends its hash on only once. So however often one passage
+occurs, no task gets more of it than one place from each task, and the places that a task settled itself spread.
 
 Work is done once for each distinct text; copies of a text of ``window`` words or more are covered
 whole. Defined cases: a null text is an empty one, an empty table gives an empty result, equal rows
-count as separate occurrences, other columns of the input are passed through untouched.
+count as separate occurrences, very long texts are handled whole, each a chunk of its own; there are no ties, as
+all places of a repeated window go; other columns of the input, of whatever names, are passed through untouched.
 """
 
 from __future__ import annotations
@@ -23,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dist import by_runs, hidden, repeated
-from .words import chunks, grams, signed, words
+from .words import chunks, grams, mix, words
 
 WINDOW = 35
+#: Texts, and repeated hashes, that a task remembers; beyond it they start anew, and a few places are sent twice.
+REMEMBERED = 1 << 18
 #: A perfect difference set: every residue modulo 21 is the difference of two of these.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 
@@ -40,68 +47,126 @@ def _parameters(window: int) -> tuple[int, tuple[int, ...]]:
     return (PERIOD, COVER) if window >= PERIOD + 5 else (1, (0,))
 
 
+class Met:
+    """Settles what a task can: which places have a hash that the task has met at another place."""
+
+    schema = pa.schema([("deal", pa.int64()), ("hash", pa.int64()), ("check", pa.int32()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("pos", pa.int32())])
+    ddl = "deal long, hash long, check int, _k1 long, _k2 long, pos int"
+
+    def __init__(self):
+        self.repeated = np.zeros((0, 2), np.uint64)
+
+    def rows(self, h: np.ndarray, check: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        """Rows of distinct places: of a hash met elsewhere without it (hits), and each hash that is new to the task once with it."""
+        both = np.stack([h, check.astype(np.uint64)], axis=1)
+        order = np.lexsort((both[:, 1], h))
+        both, k1, k2, pos = both[order], k1[order], k2[order], pos[order]
+        new = np.append(True, (both[1:] != both[:-1]).any(axis=1))
+        run = np.cumsum(new) - 1
+        size = np.bincount(run)
+        known = np.zeros(len(size), dtype=bool)
+        if len(self.repeated):
+            first = both[new]
+            at = np.minimum(np.searchsorted(self.repeated[:, 0], first[:, 0]), len(self.repeated) - 1)
+            known = (self.repeated[at] == first).all(axis=1)
+        hit = (known | (size > 1))[run]
+        sent = new & ~known[run]
+        fresh = both[new][(size > 1) & ~known]
+        if len(self.repeated) + len(fresh) > REMEMBERED:
+            self.repeated = np.zeros((0, 2), np.uint64)
+        self.repeated = np.concatenate([self.repeated, fresh[:REMEMBERED]])
+        self.repeated = self.repeated[np.lexsort((self.repeated[:, 1], self.repeated[:, 0]))]
+        i, j = np.flatnonzero(hit), np.flatnonzero(sent)
+        none, at = np.concatenate([np.ones(len(i), dtype=bool), np.zeros(len(j), dtype=bool)]), np.concatenate([i, j])
+        h, check = both[at, 0].view(np.int64), both[at, 1].astype(np.uint32).view(np.int32)
+        deal = np.where(none, mix((k1[at] + pos[at]).view(np.uint64)).view(np.int64), h)
+        return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(h, mask=none), pa.array(check, mask=none), pa.array(k1[at]), pa.array(k2[at]), pa.array(pos[at])], schema=self.schema)
+
+
+def _check(g: np.ndarray) -> np.ndarray:
+    """32 bits besides a hash, of the same words."""
+    return (mix(g ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once for a partition, so that copies aren't sent by the thousand."""
+    seen = Seen()
+    for batch in batches:
+        yield batch.filter(pa.array(seen.fresh(batch.column("_k1").to_numpy(), batch.column("_k2").to_numpy())))
+
+
+class Seen:
+    """The text keys that a task has met."""
+
+    def __init__(self):
+        self.keys: set[tuple[int, int]] = set()
+
+    def fresh(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Which rows hold a key for the first time."""
+        if len(self.keys) > REMEMBERED:
+            self.keys = set()
+        out = np.zeros(len(k1), dtype=bool)
+        for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+            if key not in self.keys:
+                self.keys.add(key)
+                out[i] = True
+        return out
+
+
 def _anchors(window: int):
     period, cover = _parameters(window)
     n = window - period + 1
     at_cover = np.zeros(period, dtype=bool)
     at_cover[list(cover)] = True
-    schema = pa.schema([("anchor", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen, met = Seen(), Met()
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in ("_k1", "_k2"))
             for row, data, at in chunks(batch.column("text")):
                 h, _, _, before = words(data, at)
                 g = grams(h, n)
-                rows = len(at) - 1
-                fresh = np.zeros(rows, dtype=bool)
-                for i in range(rows):
-                    key = (k1[row + i], k2[row + i])
-                    if before[i + 1] - before[i] >= window and key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                count = np.diff(before)
+                rows, count = len(at) - 1, np.diff(before)
+                fresh = count >= window
+                fresh[fresh] = seen.fresh(k1[row : row + rows][fresh], k2[row : row + rows][fresh])
                 doc = np.repeat(np.arange(rows), count)
                 pos = np.arange(len(h)) - before[doc]
-                ok = at_cover[pos % period] & fresh[doc] & (pos + n <= count[doc])
-                i = np.flatnonzero(ok)
+                i = np.flatnonzero(at_cover[pos % period] & fresh[doc] & (pos + n <= count[doc]))
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([signed(g[i]), pa.array(k1[row + doc[i]]), pa.array(k2[row + doc[i]]), pa.array(pos[i].astype(np.int32))], schema=schema)
+                    yield met.rows(g[i], _check(g[i]), k1[row + doc[i]], k2[row + doc[i]], pos[i].astype(np.int32))
 
     return run
 
 
-def _repeated_places(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, k1, k2, pos), _ in repeated(batches, [name, "_k1", "_k2", "pos"]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, pos)], ["_k1", "_k2", "pos"])
-
-    return run
+def _repeated_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits, and of the other rows those whose hash has two places at least."""
 
+    def unsettled(hits: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            settled = batch.column("hash").is_null()
+            hits.append(batch.filter(settled).select(["_k1", "_k2", "pos"]))
+            yield batch.filter(pa.compute.invert(settled))
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text once for a partition, so that copies aren't sent by the thousand."""
-    seen: set[tuple[int, int]] = set()
-    for batch in batches:
-        keep = []
-        for key in zip(batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist(), strict=True):
-            keep.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(keep))
+    hits: list[pa.RecordBatch] = []
+    for (_, _, k1, k2, pos), _ in repeated(unsettled(hits), ["hash", "check", "_k1", "_k2", "pos"], keys=2):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, pos)], ["_k1", "_k2", "pos"])
+        yield from hits
+        hits.clear()
+    yield from hits
 
 
 def _extend(window: int):
     period, _ = _parameters(window)
-    schema = pa.schema([("full", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, met = Seen(), Met()
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in ("_k1", "_k2"))
             places = batch.column("places")
             for row, data, at in chunks(batch.column("text")):
                 h, _, _, before = words(data, at)
                 g = grams(h, window)
+                fresh = seen.fresh(k1[row : row + len(at) - 1], k2[row : row + len(at) - 1])
                 if not len(g):
                     continue
                 part = places.slice(row, len(at) - 1)
@@ -110,14 +175,14 @@ def _extend(window: int):
                 # windows that begin up to period - 1 words before an anchor, inside the anchor's document
                 low = np.maximum(start - period + 1, before[doc])
                 high = np.minimum(start, before[doc + 1] - window) + 1
-                ok = high > low
+                ok = (high > low) & fresh[doc]
                 mark = np.zeros(len(h) + 2, dtype=np.int32)
                 np.add.at(mark, low[ok], 1)
                 np.add.at(mark, high[ok], -1)
                 i = np.flatnonzero(np.cumsum(mark)[: len(g)] > 0)
                 if len(i):
                     d = np.searchsorted(before, i, "right") - 1
-                    yield pa.RecordBatch.from_arrays([signed(g[i]), pa.array(k1[row + d]), pa.array(k2[row + d]), pa.array((i - before[d]).astype(np.int32))], schema=schema)
+                    yield met.rows(g[i], _check(g[i]), k1[row + d], k2[row + d], (i - before[d]).astype(np.int32))
 
     return run
 
@@ -158,12 +223,12 @@ def _keep(window: int):
 def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each distinct text: its key (_k1, _k2), n_words, n_removed, kept_text, and the removed word spans (starts, ends)."""
     keyed = docs.select(*text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = keyed.mapInArrow(_anchors(window), "anchor long, _k1 long, _k2 long, pos int")
-    hits = by_runs(anchors, "anchor", ["_k1", "_k2", "pos"], _repeated_places("anchor"), "_k1 long, _k2 long, pos int")
+    anchors = keyed.mapInArrow(_anchors(window), Met.ddl)
+    hits = by_runs(anchors, "deal", ["hash", "check", "_k1", "_k2", "pos"], _repeated_places, "_k1 long, _k2 long, pos int")
     places = hits.groupBy("_k1", "_k2").agg(F.collect_list("pos").alias("places"))
     once = keyed.mapInArrow(_once, keyed.schema).repartition("_k1", "_k2")
-    full = once.join(places, ["_k1", "_k2"]).mapInArrow(_extend(window), "full long, _k1 long, _k2 long, pos int")
-    hits = by_runs(full, "full", ["_k1", "_k2", "pos"], _repeated_places("full"), "_k1 long, _k2 long, pos int")
+    full = once.join(places, ["_k1", "_k2"]).mapInArrow(_extend(window), Met.ddl)
+    hits = by_runs(full, "deal", ["hash", "check", "_k1", "_k2", "pos"], _repeated_places, "_k1 long, _k2 long, pos int")
     starts = hits.groupBy("_k1", "_k2").agg(F.collect_list("pos").alias("places"))
     counted = keyed.groupBy("_k1", "_k2").agg((F.count("*") > 1).alias("copied"))
     all_texts = once.join(counted, ["_k1", "_k2"]).join(starts, ["_k1", "_k2"], "left")
