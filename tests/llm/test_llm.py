@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeline.llm import jaccard_join, lattice_hash, license_scan, line_templates, string_tiling, substring_dedup, token_output, toxicity_crf, url_rules, vector_packing
@@ -131,7 +132,7 @@ def test_vector_packing(docs, rows, none):
     for s in sequences.values():
         s.sort(key=lambda r: r.offset)
         ends = np.cumsum([r.length for r in s])
-        assert [r.offset for r in s] == [0, *ends[:-1]] and ends[-1] <= 2048 and len(s) <= vector_packing.SEGMENTS
+        assert [r.offset for r in s] == [0, *ends[:-1]] and ends[-1] <= 2048
         assert ends[-1] == 2048 or not ends[-1] & (ends[-1] - 1)
     for r in rows:
         if r[0] is None or r[0] == 3:
@@ -475,3 +476,172 @@ def test_pipeline(spark, tmp_path):
         if k < 4:
             assert docs.columns == before.columns and docs.count() <= before.count()
     assert docs.select("doc_id").distinct().count() == before.count()
+
+
+def test_token_output_holds_two_blocks_at_most(spark):
+    """Documents of a little over half a row: no two share a row, and yet rows leave and the packer's input stays bounded."""
+    block, length = 1 << 14, 2048
+    seen = []
+    text = " ".join(["the"] * 1100)
+    run = token_output._pack("word_bpe_49k.json", length, 1, 0, block)
+    plain = token_output.best_fit_decreasing
+
+    def spy(sizes, most):
+        seen.append(int(sizes.sum()))
+        return plain(sizes, most)
+
+    token_output.best_fit_decreasing, context = spy, token_output.TaskContext
+    token_output.TaskContext = type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))})
+    try:
+        batches = [pa.RecordBatch.from_arrays([pa.array([str(10 * k + i) for i in range(10)]), pa.array([text] * 10)], ["doc_id", "text"]) for k in range(30)]
+        rows = [r for b in run(iter(batches)) for r in b.to_pylist()]
+    finally:
+        token_output.best_fit_decreasing, token_output.TaskContext = plain, context
+    assert sorted(d for r in rows for d in r["doc_ids"]) == sorted(str(k) for k in range(300))
+    assert len(seen) > 5 and max(seen) < 2 * block + 11_010
+    assert token_output.handed_on([2048, 10, 2040, 500, 700], length, 600) == {1, 3}
+
+
+def test_vector_packing_fills_sequences_with_short_texts(spark):
+    docs = spark.createDataFrame([(str(k), "of the" if k % 7 else None) for k in range(9000)], "doc_id string, text string").coalesce(1)
+    rows = vector_packing.packed_pieces(docs).collect()
+    size = Counter()
+    for r in rows:
+        size[r.sequence_id] += r.length
+    assert sum(s == 2048 for s in size.values()) == sum(size.values()) // 2048
+    assert all(s == 2048 or not s & (s - 1) for s in size.values()) and isinstance(rows[0].doc_id, str)
+
+
+def test_examples_under_three_limits(spark, none):
+    ids = encode()
+    rng = random.Random(2)
+    turns = [(c, t, "assistant" if t % 2 else "user", " ".join(["word", "more", "text"][rng.randrange(3)] for _ in range(rng.randint(0, 40)))) for c in range(300) for t in range(rng.randint(1, 6))]
+    turns += [(300, 0, "user", None), (301, 1, None, "no role"), (302, 0, "assistant", " ".join(["long"] * 900)), (303, 0, "assistant", "tie"), (303, 0, "assistant", "tie")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    limits = (400, 6, 150)
+    found = vector_packing.packed_examples(vector_packing.conversations(df), limits=limits, block=4000).collect()
+    wanted = {}
+    for c in {t[0] for t in turns}:
+        own = sorted((t for t in turns if t[0] == c), key=lambda t: (t[1], t[2] or "", t[3] or ""))
+        wanted[c] = ([x for t in own for x in ids(t[3])], [int(t[2] == "assistant") for t in own for _ in ids(t[3])])
+    sequences = defaultdict(list)
+    for r in found:
+        assert (np.frombuffer(r.ids, "<u4").tolist(), np.frombuffer(r.loss, np.uint8).tolist()) == wanted[r.example_id]
+        assert (r.n_tokens, r.n_loss) == (len(wanted[r.example_id][0]), sum(wanted[r.example_id][1]))
+        sequences[r.sequence_id].append(r)
+    assert sorted(r.example_id for r in found) == sorted(wanted)
+    bound = Counter()
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == [0, *np.cumsum([r.n_tokens for r in s])[:-1]]
+        used = (sum(r.n_tokens for r in s), len(s), sum(r.n_loss for r in s))
+        assert len(s) == 1 or all(u <= m for u, m in zip(used, limits, strict=True))
+        bound[max(range(3), key=lambda k: used[k] / limits[k])] += 1
+    assert bound[0] + bound[2] > 5 and bound[2] > 0  # the loss limit binds somewhere
+    assert len(sequences) <= 1.2 * max(sum(len(w[0]) for w in wanted.values()) / 400, len(wanted) / 6, sum(sum(w[1]) for w in wanted.values()) / 150) + 4
+    assert vector_packing.packed_examples(vector_packing.conversations(df.where("false"))).count() == 0
+
+
+def test_string_tiling_of_short_and_many_items(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(rng.randint(6, 30))] for _ in range(400)] + [["four", "words", "stand", "here"], ["single"]]
+    shared = items[0][:6]
+    items += [[*shared, *[word() for _ in range(n)]] for n in range(1, 9)]
+    rows = [(k, " ".join([*[word() for _ in range(8)], *items[k], *[word() for _ in range(8)]])) for k in range(0, 400, 20)]
+    rows += [(1000, "so Four words,\nstand here now"), (1001, "four words can stand here"), (1002, "a SINGLE word"), (1003, " ".join(" ".join(x) for x in items)), (1003, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, _k1 long, seed string, item_id string")
+    bench = spark.createDataFrame([(f"i{k}", " ".join(x), 7) for k, x in enumerate(items)] + [("again", " ".join(items[20]), 8), (None, "", 1)], "item_id string, text string, _k1 int")
+
+    def plain(text, item):
+        """Coverage by tiles of the brute-force algorithm."""
+        d, w = re.findall(r"[a-z0-9]+", text.lower()), [x.lower() for x in item]
+        least, used_w, used_d = min(5, len(w)), set(), set()
+        if not {tuple(w[i : i + least]) for i in range(len(w) - least + 1)} & {tuple(d[i : i + least]) for i in range(len(d) - least + 1)}:
+            return 0.0
+        places = defaultdict(list)
+        for j, x in enumerate(d):
+            places[x].append(j)
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(w)):
+                for j in places[w[i]]:
+                    k = 0
+                    while i + k < len(w) and j + k < len(d) and w[i + k] == d[j + k] and i + k not in used_w and j + k not in used_d:
+                        k += 1
+                    best = max(best, (k, -i, -j))
+            if best[0] < least:
+                return len(used_w) / len(w)
+            used_w |= set(range(-best[1], -best[1] + best[0]))
+            used_d |= set(range(-best[2], -best[2] + best[0]))
+
+    wanted = Counter()
+    for i, t in rows:
+        for k, x in enumerate(items):
+            share = plain(t, x)
+            if share >= 0.8:
+                wanted[i, f"i{k}", round(share, 9)] += 1
+                if k == 20:
+                    wanted[i, "again", round(share, 9)] += 1
+    for pairs in (string_tiling.PAIRS, 50):  # a document with more items than one task takes
+        string_tiling.PAIRS, before = pairs, string_tiling.PAIRS
+        try:
+            found = Counter((r.doc_id, r.item_id, round(r.coverage, 9)) for r in string_tiling.contaminated(docs, bench).collect())
+        finally:
+            string_tiling.PAIRS = before
+        assert found == wanted
+    assert {i for i, k, _ in wanted if k in ("i400", "i401")} == {1000, 1002, 1003}
+    left = string_tiling.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1000, 1001, 1002}
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark):
+    rows = [(i, ("bad " if i % 2 else "good ") * (20_000 if i == 3 else 5)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, 0.5, "n") for i, t in rows], "doc_id long, text string, score double, held_out string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    held = []
+    real = toxicity_crf.Model
+
+    class Spy:
+        def __init__(self, texts, label):
+            held.append((sum(len(t.as_py()) for t in texts), len(texts)))
+            self.label = label
+
+        def to_bytes(self):
+            return real(pa.array([], pa.string()), np.zeros(0)).to_bytes()
+
+    toxicity_crf.Model = Spy
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows]), pa.array([i % 2 for i, _ in rows])], ["t", "y"])
+        list(toxicity_crf._fit_here(5000)(iter([batch, batch])))
+    finally:
+        toxicity_crf.Model = real
+    assert held[0][0] <= 5000 and held[0][1] > 100
+    out = toxicity_crf.remove_toxic(docs, labels)
+    assert out.columns == docs.columns and all("good" in r.text for r in out.collect())
+
+
+def test_lattice_hash_labels_of_any_type(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(30, 16))
+    near = [(x + 0.01 * rng.normal(size=16)).tolist() for x in v]
+    for labels, kind in (((0.2, 0.7), "double"), (("a", "b"), "string")):
+        rows = [(k, x.tolist(), labels[0]) for k, x in enumerate(v)] + [(100 + k, x, labels[k % 2]) for k, x in enumerate(near)]
+        rows = [(i, x, c, "c", 5) for i, x, c in rows]
+        found = {r.vec_id: r for r in lattice_hash.similar_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}, cell string, k int")).collect()}
+        assert [found[100 + k].component_id for k in range(30)] == [100 + k if k % 2 else k for k in range(30)]
+    zero = spark.createDataFrame([(0, v[0].tolist(), 0.0), (1, near[0], -0.0)], "vec_id long, embedding array<double>, label double")
+    assert {r.component_id for r in lattice_hash.similar_vectors(zero).collect()} == {0}
+
+
+def test_substring_dedup_of_a_hot_passage(spark):
+    """One passage in most documents over many tasks: no hash is sent more than a few times by a task, and rows are as by brute force."""
+    line = prose(random.Random(31))
+    passage = line(40).split()
+    texts = [" ".join([*line(9).split(), *passage, *line(6).split()]) if k % 3 else line(60) for k in range(240)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240), pa.int64()), pa.array(range(240), pa.int64()), pa.array(texts)], ["_k1", "_k2", "text"])
+    sent = Counter(h for b in substring_dedup._anchors(35)(iter([batch, batch])) for h in b.column("hash").to_pylist() if h is not None)
+    assert max(sent.values()) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.digest(df).collect()}
+    assert removed == {k: 40 if k % 3 else 0 for k in range(240)}
