@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tokens import Encoder
+from .tokens import encoder
 
 LENGTH, BLOCK_TOKENS, END_ID, PAD_ID = 2048, 1 << 22, 1, 0
 SCHEMA = "sequence_id long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{id}>, doc_starts array<int>"
@@ -104,7 +104,7 @@ def split(ids: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
 
 def _pack(tokenizer: str, length: int, end_id: int, pad_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         kind = np.dtype("<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         number = TaskContext.get().partitionId() << 40
         pieces: list[tuple[object, int, np.ndarray]] = []

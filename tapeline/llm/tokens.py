@@ -82,3 +82,17 @@ class Encoder:
                 ids = np.insert(ids, ends[1:], np.uint32(end_id))
                 ends = ends + np.arange(len(ends))
             yield row, ids, ends
+
+
+def encoder(name: str = "word_bpe_49k.json") -> Encoder:
+    """The worker's encoder of this name. It is kept from task to task, with the pieces that it knows.
+
+    Functions are sent by value, modules and all, so it hangs on a module that the worker itself imports.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = Encoder(name)
+    return kept[name]
