@@ -4,7 +4,7 @@ Two equal passages of ``window`` words start anywhere in their documents. With a
 D of the residues modulo ``PERIOD`` there is, for any two starts, a shift below PERIOD that brings
 both to places whose residue is in D. So grams of ``window - PERIOD + 1`` words are hashed at those
 places only (5 of 21), and any long match shares an aligned anchor. Windows around anchors that
-occur twice are then extended to the full ``window`` words and compared by 96 bits of hash; what a repeated
+occur twice are then extended to the full ``window`` words and compared by 95 bits of hash; what a repeated
 window covers is removed, all its occurrences alike.
 
 Whether a hash recurs is settled in the task that makes it where it can be: a place whose hash the task has met
@@ -50,16 +50,17 @@ def _parameters(window: int) -> tuple[int, tuple[int, ...]]:
 class Met:
     """Settles what a task can: which places have a hash that the task has met at another place."""
 
-    schema = pa.schema([("deal", pa.int64()), ("hash", pa.int64()), ("check", pa.int32()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("pos", pa.int32())])
-    ddl = "deal long, hash long, check int, _k1 long, _k2 long, pos int"
+    #: hash: of the words, or for hits the text's key, which deals them out; tail: the sign for hits, 31 more bits of hash, 32 bits of place.
+    schema = pa.schema([("hash", pa.int64()), ("tail", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64())])
+    ddl = "hash long, tail long, _k1 long, _k2 long"
 
     def __init__(self):
         self.repeated = np.zeros((0, 2), np.uint64)
 
     def rows(self, h: np.ndarray, check: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         """Rows of distinct places: of a hash met elsewhere without it (hits), and each hash that is new to the task once with it."""
-        both = np.stack([h, check.astype(np.uint64)], axis=1)
-        order = np.lexsort((both[:, 1], h))
+        both = np.stack([h, check], axis=1)
+        order = np.lexsort((check, h)) if check.any() else np.argsort(h, kind="stable")
         both, k1, k2, pos = both[order], k1[order], k2[order], pos[order]
         new = np.append(True, (both[1:] != both[:-1]).any(axis=1))
         run = np.cumsum(new) - 1
@@ -77,15 +78,16 @@ class Met:
         self.repeated = np.concatenate([self.repeated, fresh[:REMEMBERED]])
         self.repeated = self.repeated[np.lexsort((self.repeated[:, 1], self.repeated[:, 0]))]
         i, j = np.flatnonzero(hit), np.flatnonzero(sent)
-        none, at = np.concatenate([np.ones(len(i), dtype=bool), np.zeros(len(j), dtype=bool)]), np.concatenate([i, j])
-        h, check = both[at, 0].view(np.int64), both[at, 1].astype(np.uint32).view(np.int32)
-        deal = np.where(none, mix((k1[at] + pos[at]).view(np.uint64)).view(np.int64), h)
-        return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(h, mask=none), pa.array(check, mask=none), pa.array(k1[at]), pa.array(k2[at]), pa.array(pos[at])], schema=self.schema)
+        settled, at = np.append(np.ones(len(i), dtype=bool), np.zeros(len(j), dtype=bool)), np.append(i, j)
+        tail = both[at, 1] << np.uint64(32) | pos[at].astype(np.uint64)
+        tail[settled] = pos[at][settled].astype(np.uint64) | np.uint64(1 << 63)
+        deal = np.where(settled, k1[at], both[at, 0].view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, tail.view(np.int64), k1[at], k2[at])], schema=self.schema)
 
 
-def _check(g: np.ndarray) -> np.ndarray:
-    """32 bits besides a hash, of the same words."""
-    return (mix(g ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
+def _check(h: np.ndarray, n: int) -> np.ndarray:
+    """31 bits of each n words from their hashes ``h``, apart from ``grams(h, n)``: made of the words anew."""
+    return grams(mix(h ^ np.uint64(0xA24BAED4963EE407)), n) >> np.uint64(33)
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def _anchors(window: int):
                 pos = np.arange(len(h)) - before[doc]
                 i = np.flatnonzero(at_cover[pos % period] & fresh[doc] & (pos + n <= count[doc]))
                 if len(i):
-                    yield met.rows(g[i], _check(g[i]), k1[row + doc[i]], k2[row + doc[i]], pos[i].astype(np.int32))
+                    yield met.rows(g[i], np.zeros(len(i), np.uint64), k1[row + doc[i]], k2[row + doc[i]], pos[i].astype(np.int32))
 
     return run
 
@@ -143,12 +145,14 @@ def _repeated_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def unsettled(hits: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            settled = batch.column("hash").is_null()
-            hits.append(batch.filter(settled).select(["_k1", "_k2", "pos"]))
-            yield batch.filter(pa.compute.invert(settled))
+            tail = batch.column("tail").to_numpy()
+            cols = [batch.column("hash"), pa.array(tail >> 32), pa.array((tail & 0xFFFFFFFF).astype(np.int32)), batch.column("_k1"), batch.column("_k2")]
+            split = pa.RecordBatch.from_arrays(cols, ["hash", "check", "pos", "_k1", "_k2"])
+            hits.append(split.filter(pa.array(tail < 0)).select(["_k1", "_k2", "pos"]))
+            yield split.filter(pa.array(tail >= 0))
 
     hits: list[pa.RecordBatch] = []
-    for (_, _, k1, k2, pos), _ in repeated(unsettled(hits), ["hash", "check", "_k1", "_k2", "pos"], keys=2):
+    for (_, _, pos, k1, k2), _ in repeated(unsettled(hits), ["hash", "check", "pos", "_k1", "_k2"], keys=2):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, pos)], ["_k1", "_k2", "pos"])
         yield from hits
         hits.clear()
@@ -182,7 +186,7 @@ def _extend(window: int):
                 i = np.flatnonzero(np.cumsum(mark)[: len(g)] > 0)
                 if len(i):
                     d = np.searchsorted(before, i, "right") - 1
-                    yield met.rows(g[i], _check(g[i]), k1[row + d], k2[row + d], (i - before[d]).astype(np.int32))
+                    yield met.rows(g[i], _check(h, window)[i], k1[row + d], k2[row + d], (i - before[d]).astype(np.int32))
 
     return run
 
@@ -224,11 +228,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     """One row for each distinct text: its key (_k1, _k2), n_words, n_removed, kept_text, and the removed word spans (starts, ends)."""
     keyed = docs.select(*text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = keyed.mapInArrow(_anchors(window), Met.ddl)
-    hits = by_runs(anchors, "deal", ["hash", "check", "_k1", "_k2", "pos"], _repeated_places, "_k1 long, _k2 long, pos int")
+    hits = by_runs(anchors, "hash", ["tail", "_k1", "_k2"], _repeated_places, "_k1 long, _k2 long, pos int")
     places = hits.groupBy("_k1", "_k2").agg(F.collect_list("pos").alias("places"))
     once = keyed.mapInArrow(_once, keyed.schema).repartition("_k1", "_k2")
     full = once.join(places, ["_k1", "_k2"]).mapInArrow(_extend(window), Met.ddl)
-    hits = by_runs(full, "deal", ["hash", "check", "_k1", "_k2", "pos"], _repeated_places, "_k1 long, _k2 long, pos int")
+    hits = by_runs(full, "hash", ["tail", "_k1", "_k2"], _repeated_places, "_k1 long, _k2 long, pos int")
     starts = hits.groupBy("_k1", "_k2").agg(F.collect_list("pos").alias("places"))
     counted = keyed.groupBy("_k1", "_k2").agg((F.count("*") > 1).alias("copied"))
     all_texts = once.join(counted, ["_k1", "_k2"]).join(starts, ["_k1", "_k2"], "left")

@@ -640,7 +640,7 @@ def test_substring_dedup_of_a_hot_passage(spark):
     passage = line(40).split()
     texts = [" ".join([*line(9).split(), *passage, *line(6).split()]) if k % 3 else line(60) for k in range(240)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(240), pa.int64()), pa.array(range(240), pa.int64()), pa.array(texts)], ["_k1", "_k2", "text"])
-    sent = Counter(h for b in substring_dedup._anchors(35)(iter([batch, batch])) for h in b.column("hash").to_pylist() if h is not None)
+    sent = Counter(h for b in substring_dedup._anchors(35)(iter([batch, batch])) for h, t in zip(b.column("hash").to_pylist(), b.column("tail").to_pylist()) if t >= 0)
     assert max(sent.values()) == 1
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     removed = {r.doc_id: r.n_removed for r in substring_dedup.digest(df).collect()}
