@@ -104,32 +104,46 @@ def _file(tables: int, scale: float):
 
 
 def _links(threshold: float, tables: int, scale: float):
-    def compare(cell: int, cross: bool, half: np.ndarray, k: np.ndarray, size: np.ndarray, unit: list[bytes], label: str):
-        u = np.frombuffer(b"".join(unit), np.float64).reshape(len(k), -1)
-        gain, root = np.zeros(len(k), np.int64), np.arange(len(k))
-        at: np.ndarray | None = None
+    def close(u: np.ndarray, half: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i < j) of unit vectors of cosine >= threshold; with ``cross`` only such of different halves."""
         found = [(np.zeros(0, np.int64),) * 2]
-        for b in range(0, len(k), 1024):
+        for b in range(0, len(u), 1024):
             i, j = np.nonzero(u[b : b + 1024] @ u.T >= threshold - 1e-9)
             i += b
             ok = i < j
             if cross:
                 ok &= half[i] != half[j]
             i, j = i[ok], j[ok]
-            if len(i) and at is None:
-                at = _salted(u, label, tables, scale)
             for p in range(0, len(i), 8192):
                 x, y = i[p : p + 8192], j[p : p + 8192]
                 sure = np.einsum("nd,nd->n", u[x], u[y]) >= threshold
-                x, y = x[sure], y[sure]
-                common = at[x][:, :, None] == at[y][:, None, :]
-                least = np.where(common.any(axis=2), at[x], np.iinfo(np.int64).max).min(axis=1)
-                x, y = x[least == cell], y[least == cell]
-                np.add.at(gain, x, size[y])
-                np.add.at(gain, y, size[x])
-                found.append((x, y))
-        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        while len(x):  # roots of a spanning forest
+                found.append((x[sure], y[sure]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def settled(nodes: list[tuple], pairs: list[tuple]) -> pa.RecordBatch:
+        """Of pairs (cell, x, y; x, y are numbers of ``nodes``: k, size, unit, label) those whose smallest common cell it is: gains and roots of a spanning forest."""
+        k, first, node = np.unique([n[0] for n in nodes], return_index=True, return_inverse=True)
+        one = [nodes[i] for i in first]
+        alike: dict[tuple[str, int], list[int]] = {}
+        for i, n in enumerate(one):
+            alike.setdefault((n[3], len(n[2])), []).append(i)
+        at = np.zeros((len(one), 3 * tables), np.int64)
+        for (label, _), own in alike.items():
+            at[own] = _salted(np.stack([np.frombuffer(one[i][2], np.float64) for i in own]), label, tables, scale)
+        size, gain, root = np.array([n[1] for n in one]), np.zeros(len(one), np.int64), np.arange(len(one))
+        kept = []
+        for cell, x, y in pairs:
+            x, y = node[x], node[y]
+            for p in range(0, len(x), 8192):
+                i, j = x[p : p + 8192], y[p : p + 8192]
+                common = at[i][:, :, None] == at[j][:, None, :]
+                least = np.where(common.any(axis=2), at[i], np.iinfo(np.int64).max).min(axis=1)
+                mine = least == cell[p : p + 8192]
+                kept.append((i[mine], j[mine]))
+        x, y = np.concatenate([f[0] for f in kept]), np.concatenate([f[1] for f in kept])
+        np.add.at(gain, x, size[y])
+        np.add.at(gain, y, size[x])
+        while len(x):
             low = root.copy()
             np.minimum.at(low, x, root[y])
             np.minimum.at(low, y, root[x])
@@ -138,42 +152,48 @@ def _links(threshold: float, tables: int, scale: float):
                 break
             root = low
         tied = np.flatnonzero(gain)
-        return k[tied], gain[tied], k[root[tied]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (k[tied], gain[tied], k[root[tied]])], ["k", "gain", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: list[list] = [[] for _ in range(7)]
+        part: list[tuple] = []
         task = None
-
-        def flush():
-            if task is None or sum(map(len, part[2])) < 2:
-                return None
-            cell, cross = part[0][0], part[1][0]
-            half, k, size = (np.concatenate(part[c]) for c in (6, 2, 3))
-            unit, label = sum(part[4], []), sum(part[5], [])
-            alike: dict[tuple[str, int], list[int]] = {}
-            for i, kind in enumerate(zip(label, map(len, unit), strict=True)):
-                alike.setdefault(kind, []).append(i)
-            out = [compare(cell, cross, half[i], k[i], size[i], [unit[x] for x in i], kind[0]) for kind, i in alike.items()]
-            out = [np.concatenate(x) for x in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["k", "gain", "root"]) if len(out[0]) else None
+        nodes: list[tuple] = []
+        pairs: list[tuple] = []
+
+        def compare() -> None:
+            """The pairs of one task, and the nodes that are in them, go to ``nodes`` and ``pairs``."""
+            alike: dict[tuple[str, int], list[tuple]] = {}
+            for row in part:
+                alike.setdefault((row[6], len(row[5])), []).append(row)
+            for rows in alike.values():
+                if len(rows) < 2:
+                    continue
+                u = np.frombuffer(b"".join(r[5] for r in rows), np.float64).reshape(len(rows), -1)
+                x, y = close(u, np.array([r[2] for r in rows]), rows[0][1])
+                if len(x):
+                    used, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    both = both + len(nodes)
+                    nodes.extend((rows[i][3], rows[i][4], rows[i][5], rows[i][6]) for i in used)
+                    pairs.append((np.full(len(x), rows[0][0]), both[: len(x)], both[len(x) :]))
 
         for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cell", "cross", "half", "k", "size", "unit", "label")]
             tasks = batch.column("task").to_numpy()
-            cell, k, size, half = (batch.column(c).to_numpy() for c in ("cell", "k", "size", "half"))
-            cross = batch.column("cross").to_numpy(zero_copy_only=False)
-            unit, label = batch.column("unit"), batch.column("label")
             edges = np.flatnonzero(np.append(True, tasks[1:] != tasks[:-1])).tolist() + [len(tasks)]
+            rows = list(zip(*columns, strict=True))
             for b, e in zip(edges, edges[1:]):
                 if task != tasks[b]:
-                    if (out := flush()) is not None:
-                        yield out
-                    task, part = tasks[b], [[] for _ in range(7)]
-                    if e - b == 1 and e < len(tasks):
-                        continue  # alone in its cell
-                for x, v in zip(part, (cell[b], cross[b], k[b:e], size[b:e], unit[b:e].to_pylist(), label[b:e].to_pylist(), half[b:e]), strict=True):
-                    x.append(v)
-        if (out := flush()) is not None:
-            yield out
+                    if len(part) > 1:
+                        compare()
+                    task, part = tasks[b], []
+                    if len(nodes) > BLOCK:
+                        yield settled(nodes, pairs)
+                        nodes, pairs = [], []
+                part += rows[b:e]
+        if len(part) > 1:
+            compare()
+        if nodes:
+            yield settled(nodes, pairs)
 
     return run
 
