@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,11 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it is deleted when the driver ends, as results are read from it until then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            at.getFileSystem(conf).delete(at, True)
+
+    atexit.register(clean)
+    return path
+
+
 class Scratch:
     """Tables written once into the shared folder: what follows reads them, not their lineage, also after an executor is lost."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, shared_path(spark, "scratch")
         self.made: dict[int, str] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
