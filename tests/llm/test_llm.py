@@ -6,12 +6,16 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.llm import jaccard_join, lattice_hash, license_scan, line_templates, string_tiling, substring_dedup, token_output, toxicity_crf, url_rules, vector_packing
 from tapeline.llm.dist import Scratch, components
+from tapeline.llm.queries import oracle_sql as sql_of
+from tapeline.llm.queries import queries as queries_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _k1 long, sid string"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -464,18 +468,169 @@ def test_nearest_lattice_point():
         assert (near <= ((x - first - (np.array(s) - 1)) ** 2).sum(axis=1) + 1e-9).all()
 
 
+def plain_groups(texts, n, threshold):
+    """Group numbers of texts by links of Jaccard similarity, and the sizes of their sets."""
+    sets = []
+    for t in texts:
+        w = space_words((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    group, holders = list(range(len(texts))), defaultdict(list)
+    for i, x in enumerate(sets):
+        near = Counter(j for g in x for j in holders[g])
+        for j, both in near.items():
+            if 100 * both >= threshold * (len(x) + len(sets[j]) - both):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+        for g in x:
+            holders[g].append(i)
+    return group, [len(x) for x in sets]
+
+
+def plain_templates(texts, least=5):
+    """The places of the lines that each text loses, by the rule of line templates."""
+    general = lambda t: "<*>" if re.search("[0-9]", t) else t
+    lead_of = lambda x: tuple(general(t) for t in x.split(" ")[:3])
+    lines = {t: [re.sub(r"[ \t\x0B\f\r]+", " ", x).strip(" ") for x in (t or "").split("\n")] for t in {t or "" for t in texts}}
+    tops = {}
+    for t, own in lines.items():
+        tops[t] = {}
+        for x in sorted((x for x in own if x), key=lambda x: (-len(x), x.encode())):
+            tops[t].setdefault(lead_of(x), " ".join(x.split(" ")[-3:]))
+    held = []  # text, place, leaf, line
+    for t, own in lines.items():
+        for k, x in enumerate(own):
+            count = len(x.split(" "))
+            if count >= 3 or len(x.encode()) >= 20:
+                held.append((t, k, (count, lead_of(x)) if count >= 3 else x, x))
+    reached = defaultdict(set)
+    for t, _, leaf, _ in held:
+        reached[leaf].add(t)
+    held = [h for h in held if len(reached[h[2]]) >= least]
+    docs = defaultdict(set)
+    for t, _, leaf, x in held:
+        docs[leaf, x].add(t)
+    constant = Counter()
+    for (leaf, x), who in docs.items():
+        for k, token in enumerate(x.split(" ")):
+            constant[leaf, k, token] += len(who)
+    templates = defaultdict(set)
+    for (leaf, x), who in docs.items():
+        words = x.split(" ")
+        fixed = [constant[leaf, k, t] >= least and not re.search("[0-9]", t) for k, t in enumerate(words)]
+        free = sum(not f and not re.search("[0-9]", t) for f, t in zip(fixed, words, strict=True))
+        if sum(fixed) > free and (free <= 1 or sum(fixed) >= 0.7 * (sum(fixed) + free)):
+            templates[leaf, x].add(tuple(t if f else "<*>" for f, t in zip(fixed, words, strict=True)))
+        if len(who) >= least:
+            templates[leaf, x].add(x)
+    marks = defaultdict(lambda: [set(), set(), set()])
+    for t, _, leaf, x in held:
+        others = [(lead, tail) for lead, tail in tops[t].items() if lead != lead_of(x)]
+        pick = lambda k, f: [(f, others[k][f])] if len(others) > k else []  # noqa: B023, E731
+        own = [pick(0, 0), pick(1, 0) + pick(0, 1), pick(2, 0) + pick(1, 1) + pick(0, 1)]
+        for template in templates[leaf, x]:
+            for seen, m in zip(marks[leaf, template], own, strict=True):
+                seen.add(m[0] if m else 0)
+    recurring = {k for k, seen in marks.items() if sorted(map(len, seen))[1] >= least}
+    out = defaultdict(set)
+    for t, k, leaf, x in held:
+        if any((leaf, template) in recurring for template in templates[leaf, x]):
+            out[t].add(k)
+    return [sorted(out[t or ""]) for t in texts]
+
+
+def without(text, places):
+    return "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in places)
+
+
+def test_line_templates_against_the_plain_rule(spark, rows):
+    line, rng = prose(random.Random(17)), random.Random(18)
+    texts = [r[1] for r in rows]
+    frames = ["Sign up for the weekly letter", "Page {} of {}", "Posted by {} on {} at the board", "All rights\treserved  here", "menu|about|contact|imprint|help", "ab", "It is a {} of the {} day", "{} {} {}"]
+    for _ in range(150):
+        own = [rng.choice(frames).format(*rng.choices(["7", "x1", "cat", "dog", "owl", "12.5"], k=3)) for _ in range(rng.randint(0, 4))]
+        own += [line(rng.randint(1, 12)) for _ in range(rng.randint(0, 4))] + rng.choice([[], [""], ["  "]])
+        rng.shuffle(own)
+        texts += ["\n".join(own)] * rng.choice([1, 1, 1, 4])
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame([(k, t, "n", 5) for k, t in enumerate(texts)], "doc_id long, text string, leaf string, n_lines int").repartition(5)
+    wanted = plain_templates(texts)
+    assert sum(map(len, wanted)) > 100
+    found = {r.doc_id: r for r in line_templates.drop_templates(df).collect()}
+    for k, (t, gone) in enumerate(zip(texts, wanted, strict=True)):
+        assert (found[k].n_dropped, found[k].text) == (len(gone), without(t, gone) if gone else t)
+
+
+def same_as_sql(spark, name, found, **tables):
+    db = duckdb.connect()
+    for k, df in tables.items():
+        db.register(k, df.toArrow())
+    sql = db.execute(sql_of()[name])
+    columns = [d[0] for d in sql.description]
+    text = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    assert sorted(columns) == sorted(found.columns)
+    rows = Counter(tuple(text(r[c]) for c in columns) for r in found.collect())
+    assert rows == Counter(tuple(map(text, r)) for r in sql.fetchall())
+
+
+@pytest.mark.parametrize(("name", "table"), [("op2_license_scan", "documents"), ("op5_ngram_jaccard_join", "documents"), ("op6_url_rules", "pages"), ("op7_lattice_hash", "embeddings"), ("op8_substring_dedup", "documents")])
+def test_query_equals_sql(spark, name, table):
+    sf = "/root/testdata/sf0.001"
+    same_as_sql(spark, name, queries_of()[name](spark, sf), **{table: spark.read.parquet(f"{sf}/{table}.parquet")})
+
+
+def test_url_rules_of_several_tokens_against_sql(spark):
+    rng = random.Random(9)
+    urls = [f"http://{h}.example.net/{p}/{n}" for h in "ab" for p in ("en", "x") for n in range(3)]
+    urls += [f"http://shop.net/deals/{n}?ref={n}&promo" for n in range(20)] + [f"http://shop.org/fr/{n}?ref={n}" for n in range(20)] + [f"http://blog.org/fr/{n}?promo={n}" for n in range(20)] + [f"http://blog.net/post/{n}" for n in range(20)]
+    urls += [f"http://{rng.choice(['q', 'z'])}.info/{rng.choice(['sale', 'x'])}/{n}?{rng.choice(['ref=1', 'k=2&k=3', 'ref&promo', ''])}" for n in range(30)]
+    urls += ["http://q.info/sale/7?ref=1&promo=2", None, "", "x", "http://", "HTTP://A.B.info//deals/?=1&&ref", urls[0]]
+    pages = spark.createDataFrame([(k % 140, u) for k, u in enumerate(urls)], "page_id long, url string")
+    found = url_rules.judged(pages)
+    same_as_sql(spark, "op6_url_rules", found, pages=pages)
+    decided = {r.mined for r in found.collect() if r.mined}
+    assert "q:promo q:ref" in decided  # neither token alone is as sure
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
+    sf = "/root/testdata/sf0.01"
+    stages = dict(corpus_pipeline.STAGES)
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    hard = [(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "a few words", "en", "s", 11), (9003, "a few words", "en", "s", 11), (9004, "long " * 30_000, "en", "s", 150_000)]
+    docs = source.union(spark.createDataFrame(hard, source.schema))
+    step = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
-        docs = spark.read.parquet(f"{tmp_path}/{k}")
-        assert docs.count() > 0
-        if k < 4:
-            assert docs.columns == before.columns and docs.count() <= before.count()
-    assert docs.select("doc_id").distinct().count() == before.count()
+        step[name] = (docs.collect(), (after := spark.read.parquet(f"{tmp_path}/{k}")).collect())
+        assert k == 4 or after.columns == source.columns
+        docs = after
+    # each stage against the plain rule on its own input
+    before, after = step["toxicity"]
+    judged = toxicity_crf.digest(spark.createDataFrame(before, source.schema), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in judged if not r.predicted) and len(after) < len(before)
+    before, after = step["line dedup"]
+    gone = plain_templates([r.text for r in before])
+    assert Counter((r.doc_id, r.text) for r in after) == Counter((r.doc_id, without(r.text, g) if g else r.text) for r, g in zip(before, gone, strict=True))
+    before, after = step["n-gram Jaccard join"]
+    group, sizes = plain_groups([r.text for r in before], 5, 80)
+    least = {}
+    for g, n, r in zip(group, sizes, before, strict=True):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id) if n else r.doc_id
+    assert Counter(r.doc_id for r in after) == Counter([least[g] for g in {g for g, n in zip(group, sizes, strict=True) if n}] + [r.doc_id for r, n in zip(before, sizes, strict=True) if not n])
+    before, after = step["benchmark decontamination"]
+    bad = {r.doc_id for r in string_tiling.contaminated(spark.createDataFrame(before, source.schema), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before if r.doc_id not in bad)
+    before, after = step["packing"]
+    ids, total = encode(), Counter()
+    for r in after:
+        total[r.doc_id] += r.length
+    assert total == {r.doc_id: len(ids(r.text)) for r in before}
+    # empty tables and other columns
+    for name in ("toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination"):
+        assert stages[name](spark, source.where("false"), sf).count() == 0
+    assert stages["packing"](spark, source.where("false"), sf).count() == 0
+    same = stages["line dedup"](spark, source.withColumns({"_k1": F.lit(1), "leaf": F.lit("x")}), sf)
+    assert same.columns == source.columns and same.count() == source.count()
 
 
 def test_token_output_holds_two_blocks_at_most(spark):
