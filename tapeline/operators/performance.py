@@ -60,7 +60,7 @@ def performance(days: DataFrame, cfg: EngineConfig) -> DataFrame:
     out = df.groupBy(*SERIES).agg(
         F.count("_n").alias("n_periods"), F.count("*").alias("n_total_days"), F.sum(F.col("is_warmup").cast("int")).alias("n_warmup_days"), mean.alias("annualized_return"), sd.alias("annualized_volatility"), safe_div(mean, F.when(sd > 0, sd)).alias("sharpe"),
         F.min("_dd").alias("max_drawdown"), F.avg((F.col("_n") > 0).cast("double")).alias("win_rate"), F.avg(F.when(on, F.col("turnover"))).alias("avg_turnover"), F.avg(F.when(on, F.col("net_return").isNotNull().cast("double"))).alias("valid_day_ratio"),
-        F.avg(F.when(on, F.col("valid_weight"))).alias("avg_valid_weight"), F.avg(F.when(on, (F.col("valid_weight") < cfg.low_coverage).cast("double"))).alias("low_coverage_day_ratio"), last("_gn", "_g").alias("final_gross_nav"), last("_nn", "_n").alias("final_net_nav"),
+        F.avg(F.when(on, F.col("valid_weight"))).alias("avg_valid_weight"), F.avg(F.when(on, (F.round("valid_weight", 12) < cfg.low_coverage).cast("double"))).alias("low_coverage_day_ratio"), last("_gn", "_g").alias("final_gross_nav"), last("_nn", "_n").alias("final_net_nav"),
     ).where("n_periods > 0")
     return out.withColumns({"gross_cumulative_return": F.col("final_gross_nav") - 1, "net_cumulative_return": F.col("final_net_nav") - 1})
 

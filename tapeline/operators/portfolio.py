@@ -18,7 +18,7 @@ from tapeline.operators.cross_section import GROUP
 from tapeline.operators.targets import calendar
 
 BOOK = [*GROUP, "decile"]
-COHORT = [*BOOK, "signal_pos"]
+CODED = ["g", "decile"]
 
 
 def daily_context(features: DataFrame) -> DataFrame:
@@ -29,9 +29,19 @@ def daily_context(features: DataFrame) -> DataFrame:
     return df.groupBy("date", "code").agg(*[F.avg(c).alias(c) for c in numbers], *[F.max(F.coalesce(c, F.lit(0))).alias(c) for c in flags])
 
 
+_KEPT: list[DataFrame] = []
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """A step that several branches of one plan read: kept in memory and on disk, recomputed where an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A step that several branches of one plan read: kept in memory and on disk until ``release``, recomputed where an executor is lost."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Give up the kept steps of all books whose results have been written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def placed(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,105 +94,136 @@ def executed(sig: DataFrame, d: DataFrame, overlapping: bool, short: bool = Fals
     return df.drop("after")
 
 
-def _days(df: DataFrame, until: Column) -> DataFrame:
-    return df.withColumn("pos", F.explode(F.sequence("start", until)))
+def coded(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sig`` with a number g for its group, and the names (g, GROUP): positions are exploded and sorted by numbers, not by text."""
+    names = sig.select(*GROUP).distinct().withColumn("g", F.row_number().over(Window.orderBy(*GROUP)))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in GROUP]
+    return sig.alias("s").join(F.broadcast(names.alias("n")), same).select("s.*", "n.g").drop(*GROUP), names
 
 
-def holdings_by_day(pos: DataFrame, book: str, overlapping: bool) -> DataFrame:
-    """(BOOK, pos, code): weight at the day's start and end, whether it opens, and what its exits tell.
+def held_days(pos: DataFrame, d: DataFrame, books: tuple[str, ...], overlapping: bool) -> DataFrame:
+    """(book, g, decile, pos, code): weight at the day's start and end, the day's return r (null: unknown), and counts of what opens and is due.
 
-    Overlapping: each cohort's slot of 1/H is shared by those alive in it. Otherwise weights stay as they were at the start.
+    ``ideal`` holds all positions to their target, ``constrained`` those that could be opened, ``actual`` these until
+    they can be sold. Overlapping: each cohort's slot of 1/H is shared by those alive in it. Otherwise weights stay as
+    they were at the start. How many are alive follows from the cohort's size and its late exits, so it is worked out
+    for positions; their days are only joined with returns and added up, both in one partitioning by day and code.
     """
-    if book != "ideal":
-        pos = pos.where("open")
-    last_day = F.least(F.coalesce(F.col("exit"), F.col("last")), F.col("last")) if book == "actual" else F.col("end")
-    leaves = F.col("exit") if book == "actual" else F.col("end")
-    if not overlapping:
-        pos = pos.withColumn("_w", 1 / F.count("*").over(Window.partitionBy(*COHORT)))
-    df = _days(pos, last_day)
-    stays = F.coalesce(leaves > F.col("pos"), F.lit(True))
-    if overlapping:
-        day = Window.partitionBy(*COHORT, "pos")
-        slot = 1 / F.col("horizon")
-        df = df.withColumns({"w": slot / F.count("*").over(day), "w_end": F.when(stays, slot / F.sum(stays.cast("int")).over(day)).otherwise(0.0)})
-    else:
-        df = df.withColumns({"w": F.col("_w"), "w_end": F.when(stays, F.col("_w")).otherwise(0.0)})
-    due = F.col("pos") >= F.col("end")
-    return df.groupBy(*BOOK, "pos", "code").agg(
-        F.sum("w").alias("w"), F.sum("w_end").alias("w_end"), F.max((F.col("start") == F.col("pos")).cast("int")).alias("opens"),
-        F.collect_set("signal_pos").alias("cohorts"), F.sum((due & stays).cast("int")).alias("blocked"), F.sum(due.cast("int")).alias("due"), F.sum((due & (F.col("start") == F.col("pos"))).cast("int")).alias("due_first"),
+    cohort = Window.partitionBy("g", "decile", "signal_pos")
+    gone = F.coalesce(F.col("exit"), F.lit(1 << 60))
+    df = pos.withColumns({"n_all": F.count("*").over(cohort), "n_open": F.count_if("open").over(cohort), "late": F.collect_list(F.when(F.col("open") & (gone > F.col("end")), gone)).over(cohort)})
+    last_day = F.least(gone, F.col("last"))
+    kinds = {"ideal": (F.lit(True), F.col("end"), F.col("n_all")), "constrained": (F.col("open"), F.col("end"), F.col("n_open")), "actual": (F.col("open"), last_day, F.col("n_open"))}
+    each = F.array(*[F.struct(F.lit(b).alias("book"), kinds[b][0].alias("on"), kinds[b][1].alias("until"), kinds[b][2].alias("n")) for b in books])
+    slot = (1 / F.col("horizon")) if overlapping else F.lit(1.0)
+    df = df.withColumn("_b", F.explode(each)).where("_b.on").select("g", "decile", "code", "start", "end", "open", "unknown", "late", gone.alias("gone"), slot.alias("slot"), "_b.book", "_b.until", "_b.n")
+    df = df.withColumn("pos", F.explode(F.sequence("start", "until"))).join(d.select("pos", "code", "ret", "o2c", "susp"), ["pos", "code"], "left")
+    later = lambda k: F.size(F.filter("late", lambda x: x > k))
+    held, day = F.col("book") == "actual", F.col("pos")
+    due, opens = day >= F.col("end"), F.col("start") == day
+    stays = F.when(held, F.col("gone") > day).otherwise(~due)
+    alive = F.when(held & (day > F.col("end")), later(day - 1)).otherwise(F.col("n"))
+    df = df.withColumns({"alive": alive, "stays": stays})
+    w = F.col("slot") / (F.col("alive") if overlapping else F.col("n"))
+    kept = F.when(due & held, later(day)).otherwise(F.col("n")) if overlapping else F.col("n")
+    count = lambda c: F.sum(c.cast("int"))
+    df = df.groupBy("book", "g", "decile", "pos", "code").agg(
+        F.sum(w).alias("w"), F.sum(F.when(F.col("stays"), F.col("slot") / kept).otherwise(0.0)).alias("w_end"), F.max(opens.cast("int")).alias("opens"), F.sum(1 / F.col("alive")).alias("share"), count(due & F.col("stays")).alias("blocked"), count(due & ~opens).alias("due"), count(due & opens).alias("due_first"),
+        count(opens & ~F.col("open")).alias("not_opened"), count(opens & F.col("unknown")).alias("not_known"), *[F.max(c).alias(c) for c in ("ret", "o2c", "susp")],
     )
-
-
-def marked(held: DataFrame, d: DataFrame) -> DataFrame:
-    """Holdings with the day's return r (null: unknown): from the open for those that open, 0 for a suspended code without one."""
-    df = held.join(d, ["pos", "code"], "left")
     r = F.when(F.col("opens") == 1, F.col("o2c")).otherwise(F.col("ret"))
     return df.withColumn("r", F.when(r.isNull() & (F.col("susp") == 1), 0.0).otherwise(r))
 
 
-def book_returns(held: DataFrame, name: str) -> DataFrame:
-    """Return by valid weight, valid and missing weight, holdings and cohorts of each book and day."""
+def book_days(held: DataFrame) -> DataFrame:
+    """Return by valid weight, valid and missing weight, and counts of each book and day."""
     valid = F.col("r").isNotNull()
     weight = F.sum(F.when(valid, F.col("w")))
-    return held.groupBy(*BOOK, "pos").agg(
-        safe_div(F.sum(F.when(valid, F.col("w") * F.col("r"))), F.when(weight > 0, weight)).alias(f"{name}_return"), F.coalesce(weight, F.lit(0.0)).alias(f"{name}_valid"), F.coalesce(F.sum(F.when(~valid, F.col("w"))), F.lit(0.0)).alias(f"{name}_missing"),
-        F.sum((~valid).cast("int")).alias(f"{name}_unknown"), F.count("*").alias(f"{name}_holdings"), F.size(F.array_distinct(F.flatten(F.collect_set("cohorts")))).alias(f"{name}_cohorts"),
-        F.sum("blocked").alias(f"{name}_blocked"), F.sum(F.col("due_first") * F.col("o2c").isNull().cast("int") + (F.col("due") - F.col("due_first")) * F.col("ret").isNull().cast("int")).alias(f"{name}_due_unknown"),
+    due_unknown = F.when(F.col("o2c").isNull(), F.col("due_first")).otherwise(0) + F.when(F.col("ret").isNull(), F.col("due")).otherwise(0)
+    return held.groupBy("book", *CODED, "pos").agg(
+        safe_div(F.sum(F.when(valid, F.col("w") * F.col("r"))), F.when(weight > 0, weight)).alias("return"), F.coalesce(weight, F.lit(0.0)).alias("valid"), F.coalesce(F.sum(F.when(~valid, F.col("w"))), F.lit(0.0)).alias("missing"), F.sum((~valid).cast("int")).alias("unknown"),
+        F.count("*").alias("holdings"), F.round(F.sum("share")).cast("long").alias("cohorts"), F.sum("blocked").alias("blocked"), F.sum(due_unknown).alias("due_unknown"), F.sum("not_opened").alias("not_opened"), F.sum("not_known").alias("not_known"),
     )
 
 
+def side_by_side(days: DataFrame, books: tuple[str, ...]) -> DataFrame:
+    """One row for each BOOK and day, with the columns of each book under its name."""
+    values = [c for c in days.columns if c not in ("book", *CODED, "pos")]
+    return days.groupBy(*CODED, "pos").agg(*[F.max(F.when(F.col("book") == b, F.col(c))).alias(f"{b}_{c}") for b in books for c in values])
+
+
 def turnover(held: DataFrame) -> DataFrame:
     """Sums of absolute weight changes: overnight into a day's start, and from its start to its end."""
-    opening = held.select(*BOOK, "pos", "code", F.col("w").alias("x")).union(held.select(*BOOK, (F.col("pos") + 1).alias("pos"), "code", (-F.col("w_end")).alias("x")).where("x <> 0"))
-    opening = opening.groupBy(*BOOK, "pos", "code").agg(F.sum("x").alias("x")).groupBy(*BOOK, "pos").agg(F.sum(F.abs("x")).alias("start_turnover"))
-    closing = held.groupBy(*BOOK, "pos").agg(F.sum(F.abs(F.col("w_end") - F.col("w"))).alias("end_turnover"))
-    return closing.join(opening, [*BOOK, "pos"])
+    own = Window.partitionBy(*CODED, "code").orderBy("pos")
+    before = F.when(F.lag("pos").over(own) == F.col("pos") - 1, F.lag("w_end").over(own)).otherwise(0.0)
+    gone = (F.coalesce(F.lead("pos").over(own), F.lit(-1)) != F.col("pos") + 1) & (F.col("w_end") != 0)
+    df = held.select(*CODED, "pos", "code", "w", "w_end").withColumns({"a": F.abs(F.col("w") - F.coalesce(before, F.lit(0.0))), "b": F.abs(F.col("w_end") - F.col("w")), "c": F.when(gone, F.abs("w_end"))})
+    moves = F.array(F.struct(F.col("pos").alias("at"), F.col("a").alias("opening"), F.col("b").alias("closing")), F.struct((F.col("pos") + 1).alias("at"), F.col("c").alias("opening"), F.lit(None).cast("double").alias("closing")))
+    df = df.select(*CODED, F.explode(moves).alias("m")).where("m.opening is not null")
+    return df.groupBy(*CODED, F.col("m.at").alias("pos")).agg(F.sum("m.opening").alias("start_turnover"), F.sum("m.closing").alias("end_turnover"))
 
 
 def _zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0))
 
 
+def _loss(a: str, b: str, overlapping: bool) -> Column:
+    return _zero(a) - _zero(b) if overlapping else F.col(a) - F.col(b)
+
+
+def _count(*columns: str) -> Column:
+    return sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
+
+
+BOOKS = ("ideal", "constrained", "actual")
+
+
 def portfolio_days(pred: DataFrame, features: DataFrame, cfg: EngineConfig, overlapping: bool = True) -> DataFrame:
     """One row for each group, decile and day on which any of the three books holds something, before costs."""
     cal, d = placed(daily_context(features))
-    sig = shared(signals(pred, cal, overlapping))
-    pos = shared(executed(sig, d, overlapping))
-    actual = shared(marked(holdings_by_day(pos, "actual", overlapping), d))
-    parts = [book_returns(actual, "actual"), *(book_returns(marked(holdings_by_day(pos, b, overlapping), d), b) for b in ("ideal", "constrained"))]
-    opened = pos.groupBy(*BOOK, F.col("start").alias("pos")).agg(F.sum((~F.col("open")).cast("int")).alias("num_blocked_buys"), F.sum(F.col("unknown").cast("int")).alias("_buy_unknown"))
-    df = parts[1].join(parts[0], [*BOOK, "pos"], "full").join(parts[2], [*BOOK, "pos"], "left").join(turnover(actual), [*BOOK, "pos"], "left").join(opened, [*BOOK, "pos"], "left")
-    first = sig.groupBy(*GROUP).agg(F.min("start").alias("_first"), F.max("horizon").alias("_h"))
-    df = df.join(F.broadcast(first), GROUP).join(F.broadcast(cal), "pos")
+    sig, names = coded(shared(signals(pred, cal, overlapping)))
+    held = shared(held_days(executed(sig, d, overlapping), d, BOOKS, overlapping))
+    df = side_by_side(book_days(held), BOOKS).join(turnover(held.where("book = 'actual'")), [*CODED, "pos"], "left")
+    first = sig.groupBy("g").agg(F.min("start").alias("_first"), F.max("horizon").alias("_h"))
+    df = df.where("ideal_holdings is not null or actual_holdings is not null").join(F.broadcast(first.join(names, "g")), "g").join(F.broadcast(cal), "pos")
     # a book without positions has a return of 0; one whose positions are all unknown has none
-    for b in ("actual", "ideal", "constrained"):
+    for b in BOOKS:
         df = df.withColumn(f"{b}_return", F.when(F.col(f"{b}_holdings").isNull(), 0.0).otherwise(F.col(f"{b}_return")))
-    loss = (lambda a, b: _zero(a) - _zero(b)) if overlapping else (lambda a, b: F.col(a) - F.col(b))
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return df.select(
         "date", *BOOK, F.concat(F.lit("D"), F.col("decile").cast("string")).alias("portfolio_name"), F.col("actual_return").alias("gross_return"), (_zero("start_turnover") + _zero("end_turnover")).alias("turnover"), _zero("start_turnover").alias("start_turnover"), _zero("end_turnover").alias("end_turnover"),
-        count("actual_cohorts").alias("active_cohorts"), count("actual_holdings").alias("num_holdings"), count("num_blocked_buys").alias("num_blocked_buys"), count("actual_blocked").alias("num_blocked_sells"), count("actual_blocked").alias("num_forced_holds"),
-        (count("actual_unknown") + count("_buy_unknown") + count("actual_due_unknown")).alias("num_data_missing_returns"), _zero("actual_valid").alias("valid_weight"), _zero("actual_missing").alias("missing_weight"), _zero("ideal_valid").alias("signal_valid_weight"), _zero("ideal_missing").alias("signal_missing_weight"),
-        F.col("ideal_return").alias("signal_gross_alpha"), F.col("constrained_return").alias("buy_constrained_gross_return"), loss("ideal_return", "constrained_return").alias("buy_blocked_loss"), loss("constrained_return", "actual_return").alias("sell_blocked_forced_hold_loss"),
+        _count("actual_cohorts").alias("active_cohorts"), _count("actual_holdings").alias("num_holdings"), _count("ideal_not_opened").alias("num_blocked_buys"), _count("actual_blocked").alias("num_blocked_sells"), _count("actual_blocked").alias("num_forced_holds"),
+        _count("actual_unknown", "ideal_not_known", "actual_due_unknown").alias("num_data_missing_returns"), _zero("actual_valid").alias("valid_weight"), _zero("actual_missing").alias("missing_weight"), _zero("ideal_valid").alias("signal_valid_weight"), _zero("ideal_missing").alias("signal_missing_weight"),
+        F.col("ideal_return").alias("signal_gross_alpha"), F.col("constrained_return").alias("buy_constrained_gross_return"), _loss("ideal_return", "constrained_return", overlapping).alias("buy_blocked_loss"), _loss("constrained_return", "actual_return", overlapping).alias("sell_blocked_forced_hold_loss"),
         ((F.col("pos") - F.col("_first") + 1 < F.col("_h")) if overlapping else F.lit(False)).alias("is_warmup"),
     )
 
 
 def long_short_days(pred: DataFrame, features: DataFrame, top: int = 10, bottom: int = 1) -> DataFrame:
-    """The non-overlapping long-short book of each group and day: long the top decile, short the bottom one, turnover on netted weights."""
+    """The non-overlapping long-short book of each group and day: long the top decile, short the bottom one, in all three books.
+
+    Returns are long less short where both legs have one, weights the smaller of both, counts their sums, turnover that of netted weights.
+    """
     cal, d = placed(daily_context(features))
-    sig = shared(signals(pred, cal, False))
-    sides = []
-    for sign, decile in ((1, top), (-1, bottom)):
-        held = shared(marked(holdings_by_day(executed(sig.where(F.col("decile") == decile), d, False, short=sign < 0), "actual", False), d))
-        sides.append((held, sign))
-    legs = [book_returns(h.withColumn("decile", F.lit(0)), n) for (h, _), n in zip(sides, ("long", "short"), strict=True)]
-    net = sides[0][0].select(*GROUP, "pos", "code", "w", "w_end").union(sides[1][0].select(*GROUP, "pos", "code", -F.col("w"), -F.col("w_end")))
-    net = net.groupBy(*GROUP, "pos", "code").agg(F.sum("w").alias("w"), F.sum("w_end").alias("w_end")).withColumn("decile", F.lit(0))
-    both = legs[0].join(legs[1], [*BOOK, "pos"], "full").join(turnover(net), [*BOOK, "pos"]).join(net.groupBy(*BOOK, "pos").agg(F.count("*").alias("num_holdings")), [*BOOK, "pos"])
-    gross = F.when((_zero("long_valid") > 0) & (_zero("short_valid") > 0), F.col("long_return") - F.col("short_return"))
-    return both.join(F.broadcast(cal), "pos").select("date", *BOOK, F.lit("D10_minus_D1").alias("portfolio_name"), gross.alias("gross_return"), (F.col("start_turnover") + F.col("end_turnover")).alias("turnover"), "start_turnover", "end_turnover", F.col("num_holdings").cast("long").alias("num_holdings"), F.least(_zero("long_valid"), _zero("short_valid")).alias("valid_weight"), F.lit(False).alias("is_warmup"))
+    sig, names = coded(shared(signals(pred, cal, False)))
+    legs = {}
+    for name, sign, decile in (("long", 1, top), ("short", -1, bottom)):
+        held = held_days(executed(sig.where(F.col("decile") == decile), d, False, short=sign < 0), d, BOOKS, False)
+        legs[name] = shared(held.withColumn("decile", F.lit(0)))
+    sides = [side_by_side(book_days(h), BOOKS).select(*CODED, "pos", *[F.col(f"{b}_{c}").alias(f"{n}_{b}_{c}") for b in BOOKS for c in ("return", "valid", "missing", "unknown", "blocked", "due_unknown", "not_opened", "not_known")]) for n, h in legs.items()]
+    weights = [h.where("book = 'actual'").select(*CODED, "pos", "code", sign * F.col("w"), sign * F.col("w_end")) for h, sign in zip(legs.values(), (1, -1), strict=True)]
+    net = weights[0].union(weights[1]).toDF(*CODED, "pos", "code", "w", "w_end").groupBy(*CODED, "pos", "code").agg(F.sum("w").alias("w"), F.sum("w_end").alias("w_end"))
+    count = net.groupBy(*CODED, "pos").agg(F.count("*").alias("num_holdings"))
+    df = sides[0].join(sides[1], [*CODED, "pos"], "full").join(turnover(net), [*CODED, "pos"], "left").join(count, [*CODED, "pos"], "left").join(F.broadcast(names), "g").join(F.broadcast(cal), "pos")
+    spread = lambda b: F.when((_zero(f"long_{b}_valid") > 0) & (_zero(f"short_{b}_valid") > 0), F.col(f"long_{b}_return") - F.col(f"short_{b}_return"))
+    df = df.withColumns({f"{b}_return": spread(b) for b in BOOKS})
+    both = lambda *names: _count(*[f"{s}_{n}" for s in legs for n in names])
+    less = lambda c: F.least(_zero(f"long_{c}"), _zero(f"short_{c}"))
+    return df.where("num_holdings is not null").select(
+        "date", *BOOK, F.lit(f"D{top}_minus_D{bottom}").alias("portfolio_name"), F.col("actual_return").alias("gross_return"), (_zero("start_turnover") + _zero("end_turnover")).alias("turnover"), _zero("start_turnover").alias("start_turnover"), _zero("end_turnover").alias("end_turnover"),
+        F.col("num_holdings").cast("long").alias("num_holdings"), both("ideal_not_opened").alias("num_blocked_buys"), both("actual_blocked").alias("num_blocked_sells"), both("actual_blocked").alias("num_forced_holds"), both("actual_unknown", "ideal_not_known", "actual_due_unknown").alias("num_data_missing_returns"),
+        less("actual_valid").alias("valid_weight"), F.greatest(_zero("long_actual_missing"), _zero("short_actual_missing")).alias("missing_weight"), less("ideal_valid").alias("signal_valid_weight"), F.greatest(_zero("long_ideal_missing"), _zero("short_ideal_missing")).alias("signal_missing_weight"),
+        F.col("ideal_return").alias("signal_gross_alpha"), F.col("constrained_return").alias("buy_constrained_gross_return"), _loss("ideal_return", "constrained_return", False).alias("buy_blocked_loss"), _loss("constrained_return", "actual_return", False).alias("sell_blocked_forced_hold_loss"), F.lit(False).alias("is_warmup"),
+    )
 
 
 def holdings(pred: DataFrame, features: DataFrame, top: int = 10, bottom: int = 1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +99,13 @@ def cost_grid(spark: SparkSession, sf: str) -> DataFrame:
 _LS = f"date:d {G} cost_bps:f gross_return:f net_return:f turnover:f turnover_cost:f valid_weight:f is_warmup:b"
 
 
-@query(_LS, steps("dec", f"SELECT a.date, {', '.join('a.' + x for x in GS.split(', '))}, a.cost_bps, a.gross_return - b.gross_return AS gross_return, a.gross_return - b.gross_return - (a.turnover_cost + b.turnover_cost) AS net_return, a.turnover + b.turnover AS turnover, a.turnover_cost + b.turnover_cost AS turnover_cost, least(a.valid_weight, b.valid_weight) AS valid_weight, a.is_warmup OR b.is_warmup AS is_warmup FROM costs AS a JOIN costs AS b USING (date, {GS}, cost_bps) WHERE a.decile = 10 AND b.decile = 1", _O))
+_SPREAD = {
+    "sides": f"""SELECT date, {GS}, max(CASE WHEN decile = 10 THEN gross_return END) - max(CASE WHEN decile = 1 THEN gross_return END) AS gross_return, sum(turnover) AS turnover, min(valid_weight) AS valid_weight, bool_or(is_warmup) AS is_warmup FROM days WHERE decile IN (1, 10) GROUP BY date, {GS} HAVING count(*) = 2""",
+    "spread": "SELECT *, turnover * (cost_bps / 10000.0::DOUBLE) AS turnover_cost, gross_return - turnover * (cost_bps / 10000.0::DOUBLE) AS net_return FROM sides CROSS JOIN (SELECT unnest([0.0::DOUBLE, 10.0, 25.0, 50.0, 100.0]) AS cost_bps) AS k",
+}
+
+
+@query(_LS, steps("dec", "SELECT * FROM spread", {k: v for k, v in _O.items() if not k.startswith("costs")} | _SPREAD))
 def long_short_spread(spark: SparkSession, sf: str) -> DataFrame:
     return performance.long_short(performance.with_costs(_days(spark, sf, True), CFG))
 
@@ -121,7 +129,7 @@ _PERF = f"{_SC} n_periods:i n_total_days:i n_warmup_days:i annualized_return:f a
 def _performance(source: str) -> str:
     return f"""SELECT p.*, dd.max_drawdown, CASE WHEN final_gross_nav > 0 THEN ln(final_gross_nav) END AS log_final_gross_nav, CASE WHEN final_net_nav > 0 THEN ln(final_net_nav) END AS log_final_net_nav FROM (SELECT {_S}, count(net_return) FILTER (NOT is_warmup) AS n_periods, count(*) AS n_total_days, sum(CASE WHEN is_warmup THEN 1 ELSE 0 END) AS n_warmup_days, avg(net_return) FILTER (NOT is_warmup) * 252 AS annualized_return, stddev_samp(net_return) FILTER (NOT is_warmup) * sqrt(252) AS annualized_volatility,
         avg(net_return) FILTER (NOT is_warmup) * 252 / nullif(stddev_samp(net_return) FILTER (NOT is_warmup) * sqrt(252), 0) AS sharpe, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT is_warmup AND net_return IS NOT NULL) AS win_rate, avg(turnover) FILTER (NOT is_warmup) AS avg_turnover, avg(CASE WHEN net_return IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (NOT is_warmup) AS valid_day_ratio,
-        avg(valid_weight) FILTER (NOT is_warmup) AS avg_valid_weight, avg(CASE WHEN valid_weight < 0.95 THEN 1.0 ELSE 0.0 END) FILTER (NOT is_warmup) AS low_coverage_day_ratio FROM {source} GROUP BY {_S}) AS p
+        avg(valid_weight) FILTER (NOT is_warmup) AS avg_valid_weight, avg(CASE WHEN round(valid_weight, 12) < 0.95 THEN 1.0 ELSE 0.0 END) FILTER (NOT is_warmup) AS low_coverage_day_ratio FROM {source} GROUP BY {_S}) AS p
         JOIN (SELECT {_S}, min(x) AS max_drawdown FROM (SELECT {_S}, n / nullif(max(n) OVER (PARTITION BY {_S} ORDER BY date), 0) - 1 AS x FROM (SELECT {_S}, date, product(1 + net_return) OVER (PARTITION BY {_S} ORDER BY date) AS n FROM {source} WHERE NOT is_warmup AND net_return IS NOT NULL) AS y) AS z GROUP BY {_S}) AS dd USING ({_S})
         JOIN (SELECT {_S}, product(1 + gross_return) AS final_gross_nav FROM {source} WHERE NOT is_warmup AND gross_return IS NOT NULL GROUP BY {_S}) AS fg USING ({_S}) JOIN (SELECT {_S}, product(1 + net_return) AS final_net_nav FROM {source} WHERE NOT is_warmup AND net_return IS NOT NULL GROUP BY {_S}) AS fn USING ({_S}) WHERE n_periods > 0"""
 
@@ -146,8 +154,7 @@ def return_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf: str) -> DataFrame:
-    """Holdings from a day on that both models have scores for, so that they rebalance on the same days."""
-    return portfolio.holdings(ranked(spark, sf).where("date >= date '1996-01-01'"), week_features(spark, sf))
+    return portfolio.holdings(ranked(spark, sf), week_features(spark, sf))
 
 
 def _hold_steps() -> dict[str, str]:
@@ -155,8 +162,7 @@ def _hold_steps() -> dict[str, str]:
     keys = f"{GS}, horizon, signal_pos, t_start, t_end"
     legs = {f"{n}_leg": f"SELECT {keys}, list_sort(list(DISTINCT code)) AS codes FROM (SELECT sig.* FROM sig JOIN d ON d.code = sig.code AND d.pos = t_start WHERE decile = {k} AND {ok.format(b)}) AS x GROUP BY {keys}" for n, k, b in (("long", 10, "up"), ("short", 1, "down"))}
     one = "SELECT c.*, '{0}' AS portfolio_name, '{1}' AS leg, coalesce(codes, []) AS codes FROM cycles AS c LEFT JOIN {1}_leg USING (" + keys + ")"
-    since = {"sig0": _N["sig0"] + " AND date >= DATE '1996-01-01'"}
-    return _N | since | {"cycles": f"SELECT DISTINCT {keys} FROM sig"} | legs | {"held0": " UNION ALL ".join(one.format(p, s) for p, s in (("D10", "long"), ("D10_minus_D1", "long"), ("D10_minus_D1", "short"))), "held": "SELECT s.date AS signal_date, r.date AS rebalance_date, t.date AS target_end_date, h.* FROM held0 AS h JOIN cal AS s ON s.pos = signal_pos JOIN cal AS r ON r.pos = t_start JOIN cal AS t ON t.pos = t_end"}
+    return _N | {"cycles": f"SELECT DISTINCT {keys} FROM sig"} | legs | {"held0": " UNION ALL ".join(one.format(p, s) for p, s in (("D10", "long"), ("D10_minus_D1", "long"), ("D10_minus_D1", "short"))), "held": "SELECT s.date AS signal_date, r.date AS rebalance_date, t.date AS target_end_date, h.* FROM held0 AS h JOIN cal AS s ON s.pos = signal_pos JOIN cal AS r ON r.pos = t_start JOIN cal AS t ON t.pos = t_end"}
 
 
 @query(f"signal_date:d rebalance_date:d target_end_date:d horizon:i {G} portfolio_name:s leg:s n_holdings:i code_list:s", steps("dec", "SELECT *, len(codes) AS n_holdings, array_to_string(codes, '|') AS code_list FROM held", _hold_steps()))
@@ -178,11 +184,50 @@ def overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.overlap_summary(portfolio.holding_overlap(_held(spark, sf)))
 
 
-@query(f"date:d {G} portfolio_name:s gross_return:f turnover:f start_turnover:f end_turnover:f num_holdings:i valid_weight:f")
+def _net_steps() -> dict[str, str]:
+    """The non-overlapping books of the top decile, and of the bottom one as it is sold: blocked by falls on opening, by rises on closing."""
+    sold = {k: v.replace("susp = 0 AND down = 0", "susp = 0 AND up = 0").replace("d.up = 0 AND d.o2c", "d.down = 0 AND d.o2c") for k, v in _N.items()}
+    books = ("actual", "ideal", "constrained")
+    names = ["pos0", "posn", *[f"{b}_{x}" for b in books for x in "xwhmb"], "buys"]
+    out = {k: _N[k] for k in ("daily", "cal", "d", "sig0", "sig")}
+    for leg, steps_of, decile in (("long", _N, 10), ("short", sold, 1)):
+        for k in names:
+            sql = steps_of[k].replace("FROM sig ", f"FROM (SELECT * FROM sig WHERE decile = {decile}) AS sig ")
+            for other in names:
+                sql = re.sub(rf"FROM {other}\b", f"FROM {leg}_{other}", sql)
+            out[f"{leg}_{k}"] = sql
+    key = f"{GS}, pos"
+    count = lambda c: " + ".join(f"coalesce({x}, 0)" for x in c)
+    out["net"] = f"SELECT {key}, code, sum(w) AS w, sum(w_end) AS w_end FROM (SELECT {key}, code, w, w_end FROM long_actual_h UNION ALL SELECT {key}, code, -w, -w_end FROM short_actual_h) AS u GROUP BY {key}, code"
+    out["net_closing"] = f"SELECT {key}, count(*) AS num_holdings, sum(abs(w_end - w)) AS end_turnover FROM net GROUP BY {key}"
+    out["net_opening"] = f"SELECT {key}, sum(abs(x)) AS start_turnover FROM (SELECT {key}, code, sum(x) AS x FROM (SELECT {key}, code, w AS x FROM net UNION ALL SELECT {GS}, pos + 1, code, -w_end FROM net WHERE w_end <> 0) AS y GROUP BY {key}, code) AS z GROUP BY {key}"
+    for leg in ("long", "short"):
+        parts = " ".join(f"LEFT JOIN (SELECT {key}, ret AS {b}_ret, valid AS {b}_valid, missing AS {b}_missing, unk AS {b}_unk, blocked AS {b}_blocked, due_unk AS {b}_due_unk FROM {leg}_{b}_b) AS {b} USING ({key})" for b in books)
+        out[f"{leg}_side"] = f"SELECT k.*, {', '.join(f'{b}_{c} AS {leg}_{b}_{c}' for b in books for c in ('ret', 'valid', 'missing', 'unk', 'blocked', 'due_unk'))}, blocked_buys AS {leg}_blocked_buys, unk_buys AS {leg}_unk_buys FROM (SELECT {key}, num_holdings FROM net_closing) AS k {parts} LEFT JOIN (SELECT {key}, blocked_buys, unk_buys FROM {leg}_buys) AS o USING ({key})"
+    spread = {b: f"CASE WHEN coalesce(long_{b}_valid, 0) > 0 AND coalesce(short_{b}_valid, 0) > 0 THEN long_{b}_ret - short_{b}_ret END" for b in books}
+    both = lambda *c: count([f"{leg}_{x}" for leg in ("long", "short") for x in c])
+    out["net_days"] = f"""SELECT cal.date, {GS}, 0 AS decile, 'D10_minus_D1' AS portfolio_name, num_holdings, {spread["actual"]} AS gross_return, coalesce(start_turnover, 0) + coalesce(end_turnover, 0) AS turnover, coalesce(start_turnover, 0) AS start_turnover, coalesce(end_turnover, 0) AS end_turnover,
+        {both("blocked_buys")} AS num_blocked_buys, {both("actual_blocked")} AS num_blocked_sells, {both("actual_unk", "unk_buys", "actual_due_unk")} AS num_data_missing_returns, least(coalesce(long_actual_valid, 0), coalesce(short_actual_valid, 0)) AS valid_weight,
+        {spread["ideal"]} AS signal_gross_alpha, {spread["constrained"]} AS buy_constrained_gross_return, ({spread["ideal"]}) - ({spread["constrained"]}) AS buy_blocked_loss, ({spread["constrained"]}) - ({spread["actual"]}) AS sell_blocked_forced_hold_loss
+        FROM long_side JOIN short_side USING ({key}, num_holdings) JOIN net_closing USING ({key}, num_holdings) LEFT JOIN net_opening USING ({key}) JOIN cal USING (pos)"""
+    return out
+
+
+_NET = f"date:d {G} decile:i portfolio_name:s gross_return:f turnover:f start_turnover:f end_turnover:f num_holdings:i num_blocked_buys:i num_blocked_sells:i num_data_missing_returns:i valid_weight:f signal_gross_alpha:f buy_constrained_gross_return:f buy_blocked_loss:f sell_blocked_forced_hold_loss:f"
+
+
+@query(_NET, steps("dec", "SELECT * FROM net_days", _net_steps()))
 def nonoverlap_long_short(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.long_short_days(ranked(spark, sf), week_features(spark, sf))
 
 
-@query("n_rows:i max_difference:f")
+_REBUILT = {
+    "asked": "SELECT DISTINCT date, code, horizon, future_ret FROM dec",
+    "rebuilt": """SELECT a.date, a.code, a.horizon, a.future_ret, product(1 + CASE WHEN d.pos = cal.pos + 1 THEN d.o2c ELSE d.ret END) - 1 AS x, count(CASE WHEN d.pos = cal.pos + 1 THEN d.o2c ELSE d.ret END) AS n
+        FROM asked AS a JOIN cal USING (date) JOIN d ON d.code = a.code AND d.pos BETWEEN cal.pos + 1 AND cal.pos + a.horizon GROUP BY ALL""",
+}
+
+
+@query("n_rows:i max_difference:f", steps("dec", "SELECT count(*) AS n_rows, max(abs(x - future_ret)) AS max_difference FROM rebuilt WHERE n = horizon", {k: _O[k] for k in ("daily", "cal", "d")} | _REBUILT))
 def compounding_check(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.compounding_check(ranked(spark, sf), week_features(spark, sf))
