@@ -77,14 +77,15 @@ def executed(sig: DataFrame, d: DataFrame, overlapping: bool, short: bool = Fals
     can = F.col("_row") & (F.col("susp") == 0) & F.col("_free") & F.col("o2c").isNotNull() & (F.col("vol") > 0)
     df = df.withColumns({"open": F.coalesce(can, F.lit(False)), "unknown": F.col("_row").isNull() | F.col("o2c").isNull()}).drop("o2c", "_free", "vol", "susp", "_row")
 
-    # the first day from each (code, day) on which the code can be sold: one pass over the code's days
+    # the first day from each (code, day) on which the code can be sold: one pass over the code's days, the last first,
+    # as a frame that ends where the partition does would be read anew for each row
     free = d.where((F.col("susp") == 0) & (held == 0))
     sells = free.where("ret is not null").select("code", F.col("pos").alias("at"), F.col("pos").alias("sell"))
     asked = df.where("open").select("code", F.col("end").alias("at")).distinct()
     both = sells.union(asked.select("code", "at", F.lit(None).cast("long"))).groupBy("code", "at").agg(F.max("sell").alias("sell"))
-    ahead = Window.partitionBy("code").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-    later = Window.partitionBy("code").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
-    both = both.withColumns({"exit": F.first("sell", ignorenulls=True).over(ahead), "after": F.first("sell", ignorenulls=True).over(later)})
+    ahead = Window.partitionBy("code").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("exit", F.last("sell", ignorenulls=True).over(ahead))
+    both = both.withColumn("after", F.lag("exit").over(Window.partitionBy("code").orderBy(F.desc("at"))))
     df = df.join(both.select("code", F.col("at").alias("end"), "exit", "after"), ["code", "end"], "left")
     if overlapping:
         # sold on its first day, a position asks for the return from open to close

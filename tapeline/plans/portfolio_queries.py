@@ -157,12 +157,21 @@ def _held(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.holdings(ranked(spark, sf), week_features(spark, sf))
 
 
-def _hold_steps() -> dict[str, str]:
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    """Holdings of both models from the first day on that both have scores for: books of different first days don't rebalance together."""
+    r = ranked(spark, sf)
+    both = r.where("decile is not null").groupBy("universe_group", "date").agg(F.countDistinct("model_name").alias("n")).where("n = 2")
+    first = both.groupBy("universe_group").agg(F.min("date").alias("first"))
+    return portfolio.holdings(r.join(F.broadcast(first), "universe_group").where("date >= first").drop("first"), week_features(spark, sf))
+
+
+def _hold_steps(compared: bool = False) -> dict[str, str]:
     ok = "d.pos IS NOT NULL AND d.susp = 0 AND d.{0} = 0 AND d.o2c IS NOT NULL AND d.vol > 0"
     keys = f"{GS}, horizon, signal_pos, t_start, t_end"
     legs = {f"{n}_leg": f"SELECT {keys}, list_sort(list(DISTINCT code)) AS codes FROM (SELECT sig.* FROM sig JOIN d ON d.code = sig.code AND d.pos = t_start WHERE decile = {k} AND {ok.format(b)}) AS x GROUP BY {keys}" for n, k, b in (("long", 10, "up"), ("short", 1, "down"))}
     one = "SELECT c.*, '{0}' AS portfolio_name, '{1}' AS leg, coalesce(codes, []) AS codes FROM cycles AS c LEFT JOIN {1}_leg USING (" + keys + ")"
-    return _N | {"cycles": f"SELECT DISTINCT {keys} FROM sig"} | legs | {"held0": " UNION ALL ".join(one.format(p, s) for p, s in (("D10", "long"), ("D10_minus_D1", "long"), ("D10_minus_D1", "short"))), "held": "SELECT s.date AS signal_date, r.date AS rebalance_date, t.date AS target_end_date, h.* FROM held0 AS h JOIN cal AS s ON s.pos = signal_pos JOIN cal AS r ON r.pos = t_start JOIN cal AS t ON t.pos = t_end"}
+    since = {"sig0": _N["sig0"] + " AND date >= (SELECT min(date) FROM (SELECT universe_group AS u, date FROM dec WHERE decile IS NOT NULL GROUP BY ALL HAVING count(DISTINCT model_name) = 2) AS f WHERE u = universe_group)"} if compared else {}
+    return _N | since | {"cycles": f"SELECT DISTINCT {keys} FROM sig"} | legs | {"held0": " UNION ALL ".join(one.format(p, s) for p, s in (("D10", "long"), ("D10_minus_D1", "long"), ("D10_minus_D1", "short"))), "held": "SELECT s.date AS signal_date, r.date AS rebalance_date, t.date AS target_end_date, h.* FROM held0 AS h JOIN cal AS s ON s.pos = signal_pos JOIN cal AS r ON r.pos = t_start JOIN cal AS t ON t.pos = t_end"}
 
 
 @query(f"signal_date:d rebalance_date:d target_end_date:d horizon:i {G} portfolio_name:s leg:s n_holdings:i code_list:s", steps("dec", "SELECT *, len(codes) AS n_holdings, array_to_string(codes, '|') AS code_list FROM held", _hold_steps()))
@@ -174,14 +183,14 @@ _K = "experiment_name, universe_group, portfolio_name, leg"
 _JAC = {"jac": f"SELECT {_K}, rebalance_date, len(a.codes) AS logistic_n, len(b.codes) AS cnn_n, len(list_intersect(a.codes, b.codes)) AS intersection_n, len(list_distinct(list_concat(a.codes, b.codes))) AS union_n, array_to_string(list_sort(list_intersect(a.codes, b.codes)), '|') AS intersection_codes FROM (SELECT * FROM held WHERE model_name LIKE '%logistic%') AS a JOIN (SELECT * FROM held WHERE model_name LIKE '%cnn%') AS b USING ({_K}, rebalance_date)", "jacs": "SELECT *, intersection_n / nullif(union_n, 0)::DOUBLE AS jaccard_overlap FROM jac"}
 
 
-@query("experiment_name:s universe_group:s portfolio_name:s leg:s rebalance_date:d logistic_n:i cnn_n:i intersection_n:i union_n:i jaccard_overlap:f intersection_codes:s", steps("dec", "SELECT * FROM jacs", _hold_steps() | _JAC))
+@query("experiment_name:s universe_group:s portfolio_name:s leg:s rebalance_date:d logistic_n:i cnn_n:i intersection_n:i union_n:i jaccard_overlap:f intersection_codes:s", steps("dec", "SELECT * FROM jacs", _hold_steps(True) | _JAC))
 def holding_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.holding_overlap(_held(spark, sf))
+    return portfolio.holding_overlap(_compared(spark, sf))
 
 
-@query("experiment_name:s universe_group:s portfolio_name:s leg:s n_rebalances:i jaccard_mean:f jaccard_median:f jaccard_p25:f jaccard_p75:f avg_intersection_n:f avg_logistic_n:f avg_cnn_n:f", steps("dec", f"SELECT {_K}, count(*) AS n_rebalances, avg(jaccard_overlap) AS jaccard_mean, median(jaccard_overlap) AS jaccard_median, quantile_cont(jaccard_overlap, 0.25) AS jaccard_p25, quantile_cont(jaccard_overlap, 0.75) AS jaccard_p75, avg(intersection_n) AS avg_intersection_n, avg(logistic_n) AS avg_logistic_n, avg(cnn_n) AS avg_cnn_n FROM jacs GROUP BY {_K}", _hold_steps() | _JAC))
+@query("experiment_name:s universe_group:s portfolio_name:s leg:s n_rebalances:i jaccard_mean:f jaccard_median:f jaccard_p25:f jaccard_p75:f avg_intersection_n:f avg_logistic_n:f avg_cnn_n:f", steps("dec", f"SELECT {_K}, count(*) AS n_rebalances, avg(jaccard_overlap) AS jaccard_mean, median(jaccard_overlap) AS jaccard_median, quantile_cont(jaccard_overlap, 0.25) AS jaccard_p25, quantile_cont(jaccard_overlap, 0.75) AS jaccard_p75, avg(intersection_n) AS avg_intersection_n, avg(logistic_n) AS avg_logistic_n, avg(cnn_n) AS avg_cnn_n FROM jacs GROUP BY {_K}", _hold_steps(True) | _JAC))
 def overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.overlap_summary(portfolio.holding_overlap(_held(spark, sf)))
+    return portfolio.overlap_summary(portfolio.holding_overlap(_compared(spark, sf)))
 
 
 def _net_steps() -> dict[str, str]:
