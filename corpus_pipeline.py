@@ -1,13 +1,17 @@
-"""The corpus pipeline: documents without toxic ones, recurring lines, copies and benchmark items, packed."""
+"""The corpus pipeline: documents without toxic ones, recurring lines, copies and benchmark items, packed.
 
-from __future__ import annotations
+Defined cases, alike in all stages: a null or empty text is an empty document, which no stage rejects; null ids are
+kept; equal rows are judged alike, and the join keeps one of them (empty ones all); very long texts are read whole; ties
+in the join go to the smallest doc_id; an empty table gives an empty result; of the columns of ``documents`` only
+those in COLUMNS are passed on, so others, of whatever names, don't clash.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm import jaccard_join, line_templates, string_tiling, toxicity_crf, vector_packing
-from tapeline.llm.dist import shared_dir
+from tapeline.llm.dist import shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
     docs = _table(spark, sf_dir, "documents")
-    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = shared_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
         docs = spark.read.parquet(f"{path}/{k}")

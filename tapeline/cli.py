@@ -14,7 +14,7 @@ from tapeline.sources import bars, prices, tables
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("stage", choices=("panel", "features", "images", "logistic", "backtest", "nonoverlap", "qa"))
+    p.add_argument("stage", choices=("panel", "features", "images", "logistic", "backtest", "nonoverlap", "aggregate", "qa"))
     p.add_argument("--out", required=True)
     p.add_argument("--raw-dir", help="directory of raw price CSV files (panel)")
     p.add_argument("--adjusted-dir", help="directory of adjusted price CSV files (panel)")
@@ -22,6 +22,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--data", help="directory of tick tables instead of price files (panel)")
     p.add_argument("--limit-codes", help="codes to keep, with commas (panel)")
     p.add_argument("--experiments", help="names, with commas")
+    p.add_argument("--members", help="directory of member predictions by loss, experiment, fold and seed (aggregate)")
+    p.add_argument("--loss", default="bce", help="of the members (aggregate)")
     p.add_argument("--pred-dir")
     p.add_argument("--pred-pattern", default="*.parquet")
     p.add_argument("--output-prefix", default="")
@@ -44,6 +46,9 @@ def main(args: list[str] | None = None) -> None:
         pipeline.build_images(spark, cfg, a.out, a.experiments)
     elif a.stage == "logistic":
         pipeline.train_logistic(spark, cfg, a.out, a.features.split(","), a.experiments)
+    elif a.stage == "aggregate":
+        for e in cfg.select(a.experiments):
+            pipeline.aggregate(spark, a.members, a.loss, e.name, a.out)
     elif a.stage == "qa":
         pipeline.check_quality(spark, cfg, a.out)
     else:

@@ -64,8 +64,9 @@ def basic_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"is_suspended": stopped.cast("int"), "is_st": st.cast("int"), "days_since_list": days}).withColumn("is_tradable_basic", ((F.col("is_st") == 0) & (F.col("is_suspended") == 0)).cast("int"))
 
 
-def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineConfig | None = None) -> DataFrame:
-    df = basic_flags(merge_prices(raw, adjusted))
+def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineConfig | None = None, check: bool = False) -> DataFrame:
+    """The merged panel with its flags, within the configuration's dates; ``check`` as in ``merge_prices``."""
+    df = basic_flags(merge_prices(raw, adjusted, check))
     return in_range(df, cfg) if cfg else df
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.config import EngineConfig
+from tapeline.config import EngineConfig, image_shape
 from tapeline.models import logistic
 from tapeline.operators import cross_section, features, images, panel, performance, portfolio, qa, targets
 from tapeline.sinks import writers
+from tapeline.sources import tables
 
 
 def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineConfig, out: str) -> None:
-    writers.by_year(panel.to_storage(panel.build_panel(raw, adjusted, cfg)), f"{out}/panel_by_year")
+    """The stored panel; keys that aren't unique in a price table are an error."""
+    writers.by_year(panel.to_storage(panel.build_panel(raw, adjusted, cfg, check=True)), f"{out}/panel_by_year")
 
 
 def build_features(spark: SparkSession, cfg: EngineConfig, out: str) -> None:
@@ -44,22 +46,46 @@ def evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, ove
     returns = cross_section.decile_returns(ranked)
     summary = cross_section.decile_summary(returns)
     days = performance.with_costs(portfolio.portfolio_days(ranked, daily, cfg, overlapping), cfg)
-    if overlapping:
-        days = days.unionByName(performance.long_short(days), allowMissingColumns=True)
-    days = days.persist()
+    net = performance.long_short(days) if overlapping else performance.with_costs(portfolio.long_short_days(ranked, daily), cfg)
+    days = days.unionByName(net, allowMissingColumns=True).persist()
     performed = performance.performance(days, cfg)
-    tables = {
+    results = {
         "ic_by_period": ic, "ic_summary": cross_section.ic_summary(ic), "cumulative_ic": cross_section.cumulative_ic(ic), "decile_returns": returns, "decile_summary": summary, "decile_monotonicity": cross_section.monotonicity(summary),
         "portfolio_returns": days, "portfolio_turnover": days.where("cost_bps = 0").drop("cost_bps"), "portfolio_nav": performance.nav(days), "performance_summary": performed, "return_attribution": performance.attribution(days, cfg), "cost_sensitivity": performance.cost_sensitivity(performed),
     }
     if not overlapping:
         held = portfolio.holdings(ranked, daily).persist()
         overlap = portfolio.holding_overlap(held)
-        tables |= {"portfolio_holdings": held, "holding_overlap": overlap, "holding_overlap_summary": portfolio.overlap_summary(overlap)}
-    for name, df in tables.items():
+        results |= {"portfolio_holdings": held, "holding_overlap": overlap, "holding_overlap_summary": portfolio.overlap_summary(overlap)}
+    for name, df in results.items():
         writers.csv_table(df, f"{out}/tables/{name}", prefix or ("" if overlapping else "nonoverlap_"))
+    for kept in (ranked, days):
+        kept.unpersist()
+    portfolio.release()
+
+
+def aggregate(spark: SparkSession, path: str, loss: str, experiment: str, out: str, score: str = "pred_score_raw", probability: str = "pred_probability", folds: int = 5, seeds: int = 4) -> None:
+    """One prediction table of a loss and experiment: the mean of its members' scores, each standardised within its date.
+
+    A member without spread or with a missing score on some date, and keys that not all members have, are an error.
+    """
+    members = tables.read_members(spark, path, loss, experiment, folds, seeds).withColumnRenamed(probability, "probability").persist()
+    own = ["date", "fold", "seed"]
+    if bad := targets.degenerate_members(members, score, own).head(1):
+        raise ValueError(f"scores that can't be standardised: {bad[0]}")
+    if short := members.groupBy("date", "code").count().where(F.col("count") != folds * seeds).head(1):
+        raise ValueError(f"not one row of each member: {short[0]}")
+    facts = members.groupBy("date", "code").agg(*[F.first(c).alias(c) for c in ("future_ret", "label", "float_mktcap", "horizon") if c in members.columns])
+    merged = targets.ensemble(targets.member_zscore(members, score, own), folds * seeds).join(facts, ["date", "code"])
+    merged.withColumns({"experiment_name": F.lit(experiment), "model_name": F.lit(f"cnn_{loss}")}).write.mode("overwrite").parquet(f"{out}/predictions/{experiment}_{loss}")
+    members.unpersist()
 
 
 def check_quality(spark: SparkSession, cfg: EngineConfig, out: str) -> None:
     writers.json_report(qa.by_year(spark.read.parquet(f"{out}/panel_by_year")), f"{out}/qa/panel")
     writers.json_report(qa.by_year(spark.read.parquet(f"{out}/features_by_year")), f"{out}/qa/features")
+    for window in cfg.windows:
+        path = f"{out}/images/window={window}"
+        if tables.exists(spark, path):
+            height, width, *_ = image_shape(window, cfg.day_width)
+            writers.json_report(qa.images(spark.read.parquet(path), height, width, cfg.horizons_of_window(window)), f"{out}/qa/images_{window}")

@@ -37,6 +37,11 @@ def read_predictions(spark: SparkSession, *paths: str, pattern: str | None = Non
     return df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def earliest_date(pred: DataFrame) -> dt.date | None:
     return pred.agg(F.min("date")).first()[0]
 

@@ -280,3 +280,22 @@ def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found) and len(found) > 40
+
+
+def test_aggregate_members(spark, tmp_path):
+    from tapeline.plans import pipeline
+
+    rows = [(f"2020-01-0{d}", f"00000{c}", float(c * (f + 1) + s), 0.5, 0.1, "bce", "I5R5", f, s) for d in (1, 2) for c in range(4) for f in range(2) for s in range(2)]
+    schema = "date string, code string, pred_score_raw double, pred_probability double, future_ret double, loss string, experiment string, fold int, seed int"
+    df = spark.createDataFrame(rows, schema)
+    df.write.partitionBy("loss", "experiment").parquet(f"{tmp_path}/members")
+    pipeline.aggregate(spark, f"{tmp_path}/members", "bce", "I5R5", str(tmp_path), folds=2, seeds=2)
+    out = spark.read.parquet(f"{tmp_path}/predictions/I5R5_bce").collect()
+    deviation = (5 / 4) ** 0.5
+    assert len(out) == 8 and all(abs(r.pred_score - (int(r.code) - 1.5) / deviation) < 1e-9 and r.ensemble_member_count == 4 for r in out)
+    df.where("not (code = '000003' and fold = 1)").write.partitionBy("loss", "experiment").parquet(f"{tmp_path}/short")
+    with pytest.raises(ValueError, match="each member"):
+        pipeline.aggregate(spark, f"{tmp_path}/short", "bce", "I5R5", str(tmp_path), folds=2, seeds=2)
+    df.selectExpr("date", "code", "1.0 pred_score_raw", "pred_probability", "future_ret", "loss", "experiment", "fold", "seed").write.partitionBy("loss", "experiment").parquet(f"{tmp_path}/flat")
+    with pytest.raises(ValueError, match="standardised"):
+        pipeline.aggregate(spark, f"{tmp_path}/flat", "bce", "I5R5", str(tmp_path), folds=2, seeds=2)
