@@ -8,7 +8,6 @@ and aggregated; nothing is simulated day by day. Positions count trading days of
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from tapeline.config import EngineConfig
 from tapeline.functions.exprs import safe_div
 from tapeline.operators.cross_section import GROUP
 from tapeline.operators.targets import calendar
+from tapeline.sinks.stored import stored
 
 BOOK = [*GROUP, "decile"]
 CODED = ["g", "decile"]
@@ -29,27 +29,12 @@ def daily_context(features: DataFrame) -> DataFrame:
     return df.groupBy("date", "code").agg(*[F.avg(c).alias(c) for c in numbers], *[F.max(F.coalesce(c, F.lit(0))).alias(c) for c in flags])
 
 
-_KEPT: list[DataFrame] = []
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """A step that several branches of one plan read: kept in memory and on disk until ``release``, recomputed where an executor is lost."""
-    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
-
-
-def release() -> None:
-    """Give up the kept steps of all books whose results have been written."""
-    while _KEPT:
-        _KEPT.pop().unpersist()
-
-
 def placed(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The calendar (date, pos), and the daily rows by position with short names."""
-    daily = shared(daily)
-    cal = shared(calendar(daily))
+    daily = stored(daily)
+    cal = stored(calendar(daily))
     d = daily.join(F.broadcast(cal), "date").select("pos", "code", F.col("ret_1d").alias("ret"), F.col("open_to_close_ret_1d").alias("o2c"), F.col("volume").alias("vol"), F.col("is_suspended").alias("susp"), F.col("is_low_volume_limit_up").alias("up"), F.col("is_low_volume_limit_down").alias("down"))
-    return cal, shared(d)
+    return cal, stored(d)
 
 
 def signals(pred: DataFrame, cal: DataFrame, overlapping: bool) -> DataFrame:
@@ -97,7 +82,7 @@ def executed(sig: DataFrame, d: DataFrame, overlapping: bool, short: bool = Fals
 
 def coded(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sig`` with a number g for its group, and the names (g, GROUP): positions are exploded and sorted by numbers, not by text."""
-    names = sig.select(*GROUP).distinct().withColumn("g", F.row_number().over(Window.orderBy(*GROUP)))
+    names = stored(sig.select(*GROUP).distinct().withColumn("g", F.row_number().over(Window.orderBy(*GROUP))))
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in GROUP]
     return sig.alias("s").join(F.broadcast(names.alias("n")), same).select("s.*", "n.g").drop(*GROUP), names
 
@@ -182,8 +167,8 @@ BOOKS = ("ideal", "constrained", "actual")
 def portfolio_days(pred: DataFrame, features: DataFrame, cfg: EngineConfig, overlapping: bool = True) -> DataFrame:
     """One row for each group, decile and day on which any of the three books holds something, before costs."""
     cal, d = placed(daily_context(features))
-    sig, names = coded(shared(signals(pred, cal, overlapping)))
-    held = shared(held_days(executed(sig, d, overlapping), d, BOOKS, overlapping))
+    sig, names = coded(stored(signals(pred, cal, overlapping)))
+    held = stored(held_days(executed(sig, d, overlapping), d, BOOKS, overlapping))
     df = side_by_side(book_days(held), BOOKS).join(turnover(held.where("book = 'actual'")), [*CODED, "pos"], "left")
     first = sig.groupBy("g").agg(F.min("start").alias("_first"), F.max("horizon").alias("_h"))
     df = df.where("ideal_holdings is not null or actual_holdings is not null").join(F.broadcast(first.join(names, "g")), "g").join(F.broadcast(cal), "pos")
@@ -205,11 +190,11 @@ def long_short_days(pred: DataFrame, features: DataFrame, top: int = 10, bottom:
     Returns are long less short where both legs have one, weights the smaller of both, counts their sums, turnover that of netted weights.
     """
     cal, d = placed(daily_context(features))
-    sig, names = coded(shared(signals(pred, cal, False)))
+    sig, names = coded(stored(signals(pred, cal, False)))
     legs = {}
     for name, sign, decile in (("long", 1, top), ("short", -1, bottom)):
         held = held_days(executed(sig.where(F.col("decile") == decile), d, False, short=sign < 0), d, BOOKS, False)
-        legs[name] = shared(held.withColumn("decile", F.lit(0)))
+        legs[name] = stored(held.withColumn("decile", F.lit(0)))
     sides = [side_by_side(book_days(h), BOOKS).select(*CODED, "pos", *[F.col(f"{b}_{c}").alias(f"{n}_{b}_{c}") for b in BOOKS for c in ("return", "valid", "missing", "unknown", "blocked", "due_unknown", "not_opened", "not_known")]) for n, h in legs.items()]
     weights = [h.where("book = 'actual'").select(*CODED, "pos", "code", sign * F.col("w"), sign * F.col("w_end")) for h, sign in zip(legs.values(), (1, -1), strict=True)]
     net = weights[0].union(weights[1]).toDF(*CODED, "pos", "code", "w", "w_end").groupBy(*CODED, "pos", "code").agg(F.sum("w").alias("w"), F.sum("w_end").alias("w_end"))
@@ -230,7 +215,7 @@ def long_short_days(pred: DataFrame, features: DataFrame, top: int = 10, bottom:
 def holdings(pred: DataFrame, features: DataFrame, top: int = 10, bottom: int = 1) -> DataFrame:
     """What each rebalance opens: three rows, D10 long, D10_minus_D1 long and short, with their codes."""
     cal, d = placed(daily_context(features))
-    sig = shared(signals(pred, cal, False))
+    sig = stored(signals(pred, cal, False))
     keys = [*GROUP, "horizon", "signal_pos", "start", "end"]
     out = []
     cycles = sig.select(*keys).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeline.config import EngineConfig
 from tapeline.operators import cross_section, features, panel
+from tapeline.sinks.stored import stored
 from tapeline.sources import bars
 
 #: The configuration that suits the test data's dates and sizes: short history, frequent limit moves.
@@ -31,17 +32,21 @@ def week_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.build_features(week_panel(spark, sf), CFG)
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
+def scores(f: DataFrame) -> DataFrame:
     """Two deterministic scores of the features as predictions: a reversal and a momentum."""
-    f = week_features(spark, sf)
     one = F.struct(F.lit("logistic_reversal").alias("model_name"), F.col("reversal_5d").alias("pred_score"))
     two = F.struct(F.lit("cnn_momentum").alias("model_name"), F.col("momentum_20d").alias("pred_score"))
     df = f.withColumn("_m", F.explode(F.array(one, two))).select("date", "code", F.col("future_ret_5d").alias("future_ret"), "float_mktcap", F.lit(5).alias("horizon"), F.lit("I5R5").alias("experiment_name"), "_m.model_name", "_m.pred_score", F.col("label_5d").alias("label"))
     return cross_section.predictions(df)
 
 
-def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section.deciles(cross_section.universes(scores(spark, sf)), CFG.deciles)
+def ranked(f: DataFrame) -> DataFrame:
+    return cross_section.deciles(cross_section.universes(scores(f)), CFG.deciles)
+
+
+def kept_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that scores and books read, as a stored table, as a backtest finds them."""
+    return stored(week_features(spark, sf).select("date", "code", "ret_1d", "open_to_close_ret_1d", "volume", "is_suspended", "is_low_volume_limit_up", "is_low_volume_limit_down", "reversal_5d", "momentum_20d", "future_ret_5d", "label_5d", "float_mktcap"))
 
 
 _TICK = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"

@@ -9,6 +9,7 @@ from tapeline.config import EngineConfig, image_shape
 from tapeline.models import logistic
 from tapeline.operators import cross_section, features, images, panel, performance, portfolio, qa, targets
 from tapeline.sinks import writers
+from tapeline.sinks.stored import release
 from tapeline.sources import tables
 
 
@@ -61,7 +62,7 @@ def evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, ove
         writers.csv_table(df, f"{out}/tables/{name}", prefix or ("" if overlapping else "nonoverlap_"))
     for kept in (ranked, days):
         kept.unpersist()
-    portfolio.release()
+    release()
 
 
 def aggregate(spark: SparkSession, path: str, loss: str, experiment: str, out: str, score: str = "pred_score_raw", probability: str = "pred_probability", folds: int = 5, seeds: int = 4) -> None:

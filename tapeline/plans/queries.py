@@ -138,16 +138,16 @@ def code_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{P} code:s score:f", steps("univ", f"SELECT {PS}, code, score FROM univ"))
 def universe_tercile(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section.universes(scores(spark, sf))
+    return cross_section.universes(scores(week_features(spark, sf)))
 
 
 @query(f"{P} code:s decile:i", steps("dec", f"SELECT {PS}, code, decile FROM dec"))
 def decile_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return ranked(spark, sf)
+    return ranked(week_features(spark, sf))
 
 
 def _ic(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section.ic_by_period(cross_section.universes(scores(spark, sf)))
+    return cross_section.ic_by_period(cross_section.universes(scores(week_features(spark, sf))))
 
 
 @query(f"{P} num_stocks:i ic:f rankic:f", steps("ic", "SELECT * FROM ic"))
@@ -171,12 +171,12 @@ def cumulative_ic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{P} decile:i portfolio_name:s mean_future_ret:f median_future_ret:f avg_pred_prob:f num_stocks:i", steps("decret", "SELECT * FROM decret"))
 def decile_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section.decile_returns(ranked(spark, sf))
+    return cross_section.decile_returns(ranked(week_features(spark, sf)))
 
 
 @query(f"{G} decile:i portfolio_name:s n_periods:i mean_future_ret:f std_period_future_ret:f median_period_future_ret:f avg_pred_prob:f avg_num_stocks:f", steps("decsum", "SELECT * FROM decsum"))
 def decile_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section.decile_summary(cross_section.decile_returns(ranked(spark, sf)))
+    return cross_section.decile_summary(cross_section.decile_returns(ranked(week_features(spark, sf))))
 
 
 @query(
@@ -186,7 +186,7 @@ def decile_summary(spark: SparkSession, sf: str) -> DataFrame:
         FROM (SELECT {GS}, mean_future_ret AS m, lag(mean_future_ret) OVER (PARTITION BY {GS} ORDER BY decile) AS prev, rank() OVER (PARTITION BY {GS} ORDER BY decile) AS a, rank() OVER (PARTITION BY {GS} ORDER BY mean_future_ret) AS b FROM decsum WHERE mean_future_ret IS NOT NULL) AS x GROUP BY {GS}"""),
 )
 def decile_monotonicity(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section.monotonicity(cross_section.decile_summary(cross_section.decile_returns(ranked(spark, sf))))
+    return cross_section.monotonicity(cross_section.decile_summary(cross_section.decile_returns(ranked(week_features(spark, sf)))))
 
 
 _SAMPLE = {"sample": "SELECT date, code, label_5d AS label, future_ret_5d AS future_ret, reversal_5d AS score FROM feat WHERE is_tradable = 1 AND label_5d IS NOT NULL AND future_ret_5d IS NOT NULL AND ret_20d IS NOT NULL"}
@@ -235,7 +235,7 @@ _MEM = {"mem": "SELECT date, code, model_name, score, 1 / (1 + exp(-greatest(-30
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
-    return scores(spark, sf).withColumn("probability", exprs.clipped_sigmoid(F.col("score")))
+    return scores(week_features(spark, sf)).withColumn("probability", exprs.clipped_sigmoid(F.col("score")))
 
 
 @query("date:d code:s model_name:s z:f", steps("pred", "SELECT date, code, model_name, z FROM zs", _MEM))
