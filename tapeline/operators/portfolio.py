@@ -87,55 +87,56 @@ def coded(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sig.alias("s").join(F.broadcast(names.alias("n")), same).select("s.*", "n.g").drop(*GROUP), names
 
 
-def held_days(pos: DataFrame, d: DataFrame, books: tuple[str, ...], overlapping: bool) -> DataFrame:
-    """(book, g, decile, pos, code): weight at the day's start and end, the day's return r (null: unknown), and counts of what opens and is due.
+BOOKS = ("ideal", "constrained", "actual")
+
+
+def held_days(pos: DataFrame, d: DataFrame, overlapping: bool) -> DataFrame:
+    """(g, decile, pos, code): each book's weight at the day's start (null: not held) and whether it opens then, the day's returns, and counts of what opens and is due.
 
     ``ideal`` holds all positions to their target, ``constrained`` those that could be opened, ``actual`` these until
     they can be sold. Overlapping: each cohort's slot of 1/H is shared by those alive in it. Otherwise weights stay as
     they were at the start. How many are alive follows from the cohort's size and its late exits, so it is worked out
-    for positions; their days are only joined with returns and added up, both in one partitioning by day and code.
+    for positions; their days are exploded once for all books, only joined with returns and added up, both in one
+    partitioning by day and code.
     """
     cohort = Window.partitionBy("g", "decile", "signal_pos")
     gone = F.coalesce(F.col("exit"), F.lit(1 << 60))
-    df = pos.withColumns({"n_all": F.count("*").over(cohort), "n_open": F.count_if("open").over(cohort), "late": F.collect_list(F.when(F.col("open") & (gone > F.col("end")), gone)).over(cohort)})
-    last_day = F.least(gone, F.col("last"))
-    kinds = {"ideal": (F.lit(True), F.col("end"), F.col("n_all")), "constrained": (F.col("open"), F.col("end"), F.col("n_open")), "actual": (F.col("open"), last_day, F.col("n_open"))}
-    each = F.array(*[F.struct(F.lit(b).alias("book"), kinds[b][0].alias("on"), kinds[b][1].alias("until"), kinds[b][2].alias("n")) for b in books])
+    df = pos.withColumns({"n_all": F.count("*").over(cohort), "n_open": F.count_if("open").over(cohort), "late": F.collect_list(F.when(F.col("open") & (gone > F.col("end")), gone)).over(cohort), "gone": gone})
+    until = F.when(F.col("open"), F.greatest(F.col("end"), F.least(F.col("gone"), F.col("last")))).otherwise(F.col("end"))
     slot = (1 / F.col("horizon")) if overlapping else F.lit(1.0)
-    df = df.withColumn("_b", F.explode(each)).where("_b.on").select("g", "decile", "code", "start", "end", "open", "unknown", "late", gone.alias("gone"), slot.alias("slot"), "_b.book", "_b.until", "_b.n")
-    df = df.withColumn("pos", F.explode(F.sequence("start", "until"))).join(d.select("pos", "code", "ret", "o2c", "susp"), ["pos", "code"], "left")
+    df = df.select("g", "decile", "code", "start", "end", "open", "unknown", "late", "gone", "n_all", "n_open", slot.alias("slot"), F.explode(F.sequence("start", until)).alias("pos"))
+    df = df.join(d.select("pos", "code", "ret", "o2c", "susp"), ["pos", "code"], "left")
+    day, slot, n = F.col("pos"), F.col("slot"), F.col("n_open")
     later = lambda k: F.size(F.filter("late", lambda x: x > k))
-    held, day = F.col("book") == "actual", F.col("pos")
-    due, opens = day >= F.col("end"), F.col("start") == day
-    stays = F.when(held, F.col("gone") > day).otherwise(~due)
-    alive = F.when(held & (day > F.col("end")), later(day - 1)).otherwise(F.col("n"))
-    df = df.withColumns({"alive": alive, "stays": stays})
-    w = F.col("slot") / (F.col("alive") if overlapping else F.col("n"))
-    kept = F.when(due & held, later(day)).otherwise(F.col("n")) if overlapping else F.col("n")
+    planned, due, opens = day <= F.col("end"), day >= F.col("end"), F.col("start") == day
+    on = {"ideal": planned, "constrained": F.col("open") & planned, "actual": F.col("open") & (day <= F.col("gone"))}
+    alive = F.when(planned, n).otherwise(later(day - 1))
+    w = {"ideal": slot / F.col("n_all"), "constrained": slot / n, "actual": slot / (alive if overlapping else n)}
+    kept = F.when(due, later(day)).otherwise(n) if overlapping else n
+    stays = on["actual"] & (F.col("gone") > day)
     count = lambda c: F.sum(c.cast("int"))
-    df = df.groupBy("book", "g", "decile", "pos", "code").agg(
-        F.sum(w).alias("w"), F.sum(F.when(F.col("stays"), F.col("slot") / kept).otherwise(0.0)).alias("w_end"), F.max(opens.cast("int")).alias("opens"), F.sum(1 / F.col("alive")).alias("share"), count(due & F.col("stays")).alias("blocked"), count(due & ~opens).alias("due"), count(due & opens).alias("due_first"),
-        count(opens & ~F.col("open")).alias("not_opened"), count(opens & F.col("unknown")).alias("not_known"), *[F.max(c).alias(c) for c in ("ret", "o2c", "susp")],
+    return df.groupBy("g", "decile", "pos", "code").agg(
+        *[F.sum(F.when(on[b], w[b])).alias(f"{b}_w") for b in BOOKS], *[F.max(on[b] & opens).alias(f"{b}_opens") for b in BOOKS], F.sum(F.when(stays, slot / kept).otherwise(0.0)).alias("w_end"), F.sum(F.when(on["actual"], 1 / alive)).alias("share"),
+        count(due & stays).alias("blocked"), count(on["actual"] & due & ~opens).alias("due"), count(on["actual"] & due & opens).alias("due_first"), count(opens & ~F.col("open")).alias("not_opened"), count(opens & F.col("unknown")).alias("not_known"), *[F.max(c).alias(c) for c in ("ret", "o2c", "susp")],
     )
-    r = F.when(F.col("opens") == 1, F.col("o2c")).otherwise(F.col("ret"))
-    return df.withColumn("r", F.when(r.isNull() & (F.col("susp") == 1), 0.0).otherwise(r))
 
 
 def book_days(held: DataFrame) -> DataFrame:
-    """Return by valid weight, valid and missing weight, and counts of each book and day."""
-    valid = F.col("r").isNotNull()
-    weight = F.sum(F.when(valid, F.col("w")))
+    """One row for each BOOK and day: each book's return by valid weight, valid and missing weight and counts, under its name; null holdings: none."""
+    out = []
+    for b in BOOKS:
+        r = F.when(F.col(f"{b}_opens"), F.col("o2c")).otherwise(F.col("ret"))
+        r = F.when(r.isNull() & (F.col("susp") == 1), 0.0).otherwise(r)
+        w = F.col(f"{b}_w")
+        weight = F.sum(F.when(r.isNotNull(), w))
+        out += [safe_div(F.sum(w * r), F.when(weight > 0, weight)).alias(f"{b}_return"), weight.alias(f"{b}_valid"), F.sum(F.when(r.isNull(), w)).alias(f"{b}_missing"), F.count_if(w.isNotNull() & r.isNull()).alias(f"{b}_unknown"), F.nullif(F.count(w), F.lit(0)).alias(f"{b}_holdings")]
     due_unknown = F.when(F.col("o2c").isNull(), F.col("due_first")).otherwise(0) + F.when(F.col("ret").isNull(), F.col("due")).otherwise(0)
-    return held.groupBy("book", *CODED, "pos").agg(
-        safe_div(F.sum(F.when(valid, F.col("w") * F.col("r"))), F.when(weight > 0, weight)).alias("return"), F.coalesce(weight, F.lit(0.0)).alias("valid"), F.coalesce(F.sum(F.when(~valid, F.col("w"))), F.lit(0.0)).alias("missing"), F.sum((~valid).cast("int")).alias("unknown"),
-        F.count("*").alias("holdings"), F.round(F.sum("share")).cast("long").alias("cohorts"), F.sum("blocked").alias("blocked"), F.sum(due_unknown).alias("due_unknown"), F.sum("not_opened").alias("not_opened"), F.sum("not_known").alias("not_known"),
-    )
+    return held.groupBy(*CODED, "pos").agg(*out, F.round(F.sum("share")).cast("long").alias("actual_cohorts"), F.sum("blocked").alias("actual_blocked"), F.sum(due_unknown).alias("actual_due_unknown"), F.sum("not_opened").alias("ideal_not_opened"), F.sum("not_known").alias("ideal_not_known"))
 
 
-def side_by_side(days: DataFrame, books: tuple[str, ...]) -> DataFrame:
-    """One row for each BOOK and day, with the columns of each book under its name."""
-    values = [c for c in days.columns if c not in ("book", *CODED, "pos")]
-    return days.groupBy(*CODED, "pos").agg(*[F.max(F.when(F.col("book") == b, F.col(c))).alias(f"{b}_{c}") for b in books for c in values])
+def actual(held: DataFrame, sign: int = 1) -> DataFrame:
+    """Weights of the actual book at each day's start and end."""
+    return held.where("actual_w is not null").select(*CODED, "pos", "code", (sign * F.col("actual_w")).alias("w"), (sign * F.col("w_end")).alias("w_end"))
 
 
 def turnover(held: DataFrame) -> DataFrame:
@@ -161,15 +162,12 @@ def _count(*columns: str) -> Column:
     return sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
 
 
-BOOKS = ("ideal", "constrained", "actual")
-
-
 def portfolio_days(pred: DataFrame, features: DataFrame, cfg: EngineConfig, overlapping: bool = True) -> DataFrame:
     """One row for each group, decile and day on which any of the three books holds something, before costs."""
     cal, d = placed(daily_context(features))
     sig, names = coded(stored(signals(pred, cal, overlapping)))
-    held = stored(held_days(executed(sig, d, overlapping), d, BOOKS, overlapping))
-    df = side_by_side(book_days(held), BOOKS).join(turnover(held.where("book = 'actual'")), [*CODED, "pos"], "left")
+    held = stored(held_days(executed(sig, d, overlapping), d, overlapping))
+    df = book_days(held).join(turnover(actual(held)), [*CODED, "pos"], "left")
     first = sig.groupBy("g").agg(F.min("start").alias("_first"), F.max("horizon").alias("_h"))
     df = df.where("ideal_holdings is not null or actual_holdings is not null").join(F.broadcast(first.join(names, "g")), "g").join(F.broadcast(cal), "pos")
     # a book without positions has a return of 0; one whose positions are all unknown has none
@@ -193,11 +191,11 @@ def long_short_days(pred: DataFrame, features: DataFrame, top: int = 10, bottom:
     sig, names = coded(stored(signals(pred, cal, False)))
     legs = {}
     for name, sign, decile in (("long", 1, top), ("short", -1, bottom)):
-        held = held_days(executed(sig.where(F.col("decile") == decile), d, False, short=sign < 0), d, BOOKS, False)
+        held = held_days(executed(sig.where(F.col("decile") == decile), d, False, short=sign < 0), d, False)
         legs[name] = stored(held.withColumn("decile", F.lit(0)))
-    sides = [side_by_side(book_days(h), BOOKS).select(*CODED, "pos", *[F.col(f"{b}_{c}").alias(f"{n}_{b}_{c}") for b in BOOKS for c in ("return", "valid", "missing", "unknown", "blocked", "due_unknown", "not_opened", "not_known")]) for n, h in legs.items()]
-    weights = [h.where("book = 'actual'").select(*CODED, "pos", "code", sign * F.col("w"), sign * F.col("w_end")) for h, sign in zip(legs.values(), (1, -1), strict=True)]
-    net = weights[0].union(weights[1]).toDF(*CODED, "pos", "code", "w", "w_end").groupBy(*CODED, "pos", "code").agg(F.sum("w").alias("w"), F.sum("w_end").alias("w_end"))
+    days = {n: book_days(h) for n, h in legs.items()}
+    sides = [df.select(*CODED, "pos", *[F.col(c).alias(f"{n}_{c}") for c in df.columns if c not in (*CODED, "pos")]) for n, df in days.items()]
+    net = actual(legs["long"]).union(actual(legs["short"], -1)).groupBy(*CODED, "pos", "code").agg(F.sum("w").alias("w"), F.sum("w_end").alias("w_end"))
     count = net.groupBy(*CODED, "pos").agg(F.count("*").alias("num_holdings"))
     df = sides[0].join(sides[1], [*CODED, "pos"], "full").join(turnover(net), [*CODED, "pos"], "left").join(count, [*CODED, "pos"], "left").join(F.broadcast(names), "g").join(F.broadcast(cal), "pos")
     spread = lambda b: F.when((_zero(f"long_{b}_valid") > 0) & (_zero(f"short_{b}_valid") > 0), F.col(f"long_{b}_return") - F.col(f"short_{b}_return"))
