@@ -44,9 +44,13 @@ def ranked(f: DataFrame) -> DataFrame:
     return cross_section.deciles(cross_section.universes(scores(f)), CFG.deciles)
 
 
-def kept_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The features that scores and books read, as a stored table, as a backtest finds them."""
-    return stored(week_features(spark, sf).select("date", "code", "ret_1d", "open_to_close_ret_1d", "volume", "is_suspended", "is_low_volume_limit_up", "is_low_volume_limit_down", "reversal_5d", "momentum_20d", "future_ret_5d", "label_5d", "float_mktcap"))
+#: What scores and books read of the features.
+READ = ("date", "code", "ret_1d", "open_to_close_ret_1d", "volume", "is_suspended", "is_low_volume_limit_up", "is_low_volume_limit_down", "reversal_5d", "momentum_20d", "future_ret_5d", "label_5d", "float_mktcap")
+
+
+def kept(f: DataFrame) -> DataFrame:
+    """The features that scores and books read, those of them that there are, as a stored table, as a backtest finds them."""
+    return stored(f.select(*[c for c in READ if c in f.columns]))
 
 
 _TICK = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"

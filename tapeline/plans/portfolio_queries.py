@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.operators import performance, portfolio
-from tapeline.plans.base import CFG, kept_features, ranked, steps
+from tapeline.plans.base import CFG, kept, ranked, steps, week_features
 from tapeline.plans.registry import query
 from tapeline.sinks.stored import stored
 
@@ -76,7 +76,7 @@ _SC = f"{G} decile:i portfolio_name:s cost_bps:f"
 
 
 def _days(spark: SparkSession, sf: str, overlapping: bool) -> DataFrame:
-    f = kept_features(spark, sf)
+    f = kept(week_features(spark, sf))
     return portfolio.portfolio_days(ranked(f), f, CFG, overlapping)
 
 
@@ -156,13 +156,13 @@ def return_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf: str) -> DataFrame:
-    f = kept_features(spark, sf)
+    f = kept(week_features(spark, sf))
     return portfolio.holdings(ranked(f), f)
 
 
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
     """Holdings of both models from the first day on that both have scores for: books of different first days don't rebalance together."""
-    f = kept_features(spark, sf)
+    f = kept(week_features(spark, sf))
     r = stored(ranked(f))
     both = r.where("decile is not null").groupBy("universe_group", "date").agg(F.countDistinct("model_name").alias("n")).where("n = 2")
     first = both.groupBy("universe_group").agg(F.min("date").alias("first"))
@@ -231,7 +231,7 @@ _NET = f"date:d {G} decile:i portfolio_name:s gross_return:f turnover:f start_tu
 
 @query(_NET, steps("dec", "SELECT * FROM net_days", _net_steps()))
 def nonoverlap_long_short(spark: SparkSession, sf: str) -> DataFrame:
-    f = kept_features(spark, sf)
+    f = kept(week_features(spark, sf))
     return portfolio.long_short_days(ranked(f), f)
 
 
@@ -244,5 +244,5 @@ _REBUILT = {
 
 @query("n_rows:i max_difference:f", steps("dec", "SELECT count(*) AS n_rows, max(abs(x - future_ret)) AS max_difference FROM rebuilt WHERE n = horizon", {k: _O[k] for k in ("daily", "cal", "d")} | _REBUILT))
 def compounding_check(spark: SparkSession, sf: str) -> DataFrame:
-    f = kept_features(spark, sf)
+    f = kept(week_features(spark, sf))
     return portfolio.compounding_check(ranked(f), f)
