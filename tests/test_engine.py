@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import Row
@@ -220,6 +221,19 @@ def test_compounding_check_reads_all_rows(spark):
     assert portfolio.compounding_check(pred, daily, check_rows=50).first().n_rows == 50
 
 
+def test_stored_steps(spark):
+    """A stored step keeps its types and rows, empty ones too, and is gone after its release."""
+    from tapeline.sinks import stored
+
+    df = spark.createDataFrame([(D(0), None, 1.5, [1]), (D(0), None, 1.5, [1]), (None, "a", None, [])], "`a b` date, code string, x double, y array<int>")
+    for one in (df, df.limit(0)):
+        found = stored.stored(one)
+        assert found.dtypes == one.dtypes and sorted(map(str, found.collect())) == sorted(map(str, one.collect()))
+    paths = found.inputFiles() + [p for _, p in stored._KEPT]
+    stored.release()
+    assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
 def test_costs_and_performance(spark):
     days = spark.createDataFrame([(D(i), "E", "m", "all", d, f"D{d}", g, 0.5, 0.25, 0.25, 1, 3, 0.9, g, g, 0.0, 0.0, i == 0) for i, g in enumerate((0.1, -0.2, 0.3)) for d in (1, 10)], "date date, experiment_name string, model_name string, universe_group string, decile int, portfolio_name string, gross_return double, turnover double, start_turnover double, end_turnover double, active_cohorts int, num_holdings int, valid_weight double, signal_gross_alpha double, buy_constrained_gross_return double, buy_blocked_loss double, sell_blocked_forced_hold_loss double, is_warmup boolean")
     cfg = EngineConfig(costs_bps=(0.0, 100.0))
