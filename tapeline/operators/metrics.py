@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.exprs import average_rank, diagnostic_group, first_rank, safe_corr, safe_div
+from tapeline.operators.order import quantiles, running
+from tapeline.sinks.stored import stored
 
 
 def binary_metrics(df: DataFrame, keys: list[str], probability: str = "probability", label: str = "label") -> DataFrame:
-    """AUC by average ranks (null with one class), accuracy above one half, Brier score."""
-    y, p = F.col(label).cast("double"), F.col(probability)
-    ranked = df.where(y.isNotNull() & p.isNotNull()).withColumn("_r", average_rank(p, keys))
-    n1, n0 = F.sum(y), F.sum(1 - y)
-    auc = safe_div(F.sum(F.col("_r") * y) - n1 * (n1 + 1) / 2, n1 * n0)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), auc.alias("auc"), F.avg(((p > 0.5).cast("double") == y).cast("double")).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"))
+    """AUC by average ranks (null with one class), accuracy above one half, Brier score.
+
+    Equal probabilities are counted as one row, whose average rank follows from the rows before it (operators.order).
+    """
+    y, p = F.col(label).cast("double"), F.col(probability).cast("double")
+    one = df.select(*keys, y.alias("_y"), p.alias("_p")).where("_y is not null and _p is not null")
+    right, square = ((F.col("_p") > 0.5).cast("double") == F.col("_y")).cast("double"), (F.col("_p") - F.col("_y")) * (F.col("_p") - F.col("_y"))
+    tally = one.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.sum("_y").alias("_y"), F.sum(right).alias("_right"), F.sum(square).alias("_square"))
+    placed = running(tally, keys, ["_p"], ["_n"])
+    n, n1 = F.sum("_n"), F.sum("_y")
+    auc = safe_div(F.sum(F.col("_y") * (F.col("before__n") + (F.col("_n") + 1) / 2)) - n1 * (n1 + 1) / 2, n1 * (n - n1))
+    return placed.groupBy(*keys).agg(n.alias("n"), auc.alias("auc"), (F.sum("_right") / n).alias("accuracy"), (F.sum("_square") / n).alias("brier"))
 
 
 def objective_metrics(df: DataFrame, score: str, label: str, target: str, beta: float = 1.0, ic_weight: float = 1.0) -> DataFrame:
@@ -42,5 +50,11 @@ def signal_metrics(df: DataFrame, score: str = "score", ret: str = "future_ret",
 
 
 def probability_summary(df: DataFrame, keys: list[str], p: str = "probability") -> DataFrame:
-    x = F.col(p)
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), *[F.percentile(x, F.lit(q)).alias(f"p{int(q * 100):02d}") for q in (0.01, 0.5, 0.99)], F.avg((x > 0.5).cast("double")).alias("positive_rate"))
+    """Count, mean, population deviation, exact quantiles and the share above one half; one row for each group."""
+    df = stored(df.select(*keys, F.col(p).alias("_x")))
+    x = F.col("_x")
+    simple = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.avg((x > 0.5).cast("double")).alias("positive_rate"))
+    places = {f"p{int(q * 100):02d}": q for q in (0.01, 0.5, 0.99)}
+    exact = quantiles(df, keys, "_x", places)
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys] or [F.lit(True)]
+    return simple.alias("s").join(exact.alias("e"), same, "left").select(*[f"s.{k}" for k in keys], "s.n", "mean", "std", *places, "positive_rate")

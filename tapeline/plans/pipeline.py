@@ -9,7 +9,7 @@ from tapeline.config import EngineConfig, image_shape
 from tapeline.models import logistic
 from tapeline.operators import cross_section, features, images, panel, performance, portfolio, qa, targets
 from tapeline.sinks import writers
-from tapeline.sinks.stored import release
+from tapeline.sinks.stored import Steps
 from tapeline.sources import tables
 
 
@@ -41,7 +41,12 @@ def train_logistic(spark: SparkSession, cfg: EngineConfig, out: str, columns: li
 
 
 def evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, overlapping: bool = True, prefix: str = "") -> None:
-    """All result tables of one kind of portfolio."""
+    """All result tables of one kind of portfolio; the steps made for them, and no others, are deleted at the end."""
+    with Steps():
+        _evaluate(pred, daily, cfg, out, overlapping, prefix)
+
+
+def _evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, overlapping: bool, prefix: str) -> None:
     ranked = cross_section.deciles(cross_section.universes(pred), cfg.deciles).persist()
     ic = cross_section.ic_by_period(ranked)
     returns = cross_section.decile_returns(ranked)
@@ -62,7 +67,6 @@ def evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, ove
         writers.csv_table(df, f"{out}/tables/{name}", prefix or ("" if overlapping else "nonoverlap_"))
     for kept in (ranked, days):
         kept.unpersist()
-    release()
 
 
 def aggregate(spark: SparkSession, path: str, loss: str, experiment: str, out: str, score: str = "pred_score_raw", probability: str = "pred_probability", folds: int = 5, seeds: int = 4) -> None:

@@ -9,20 +9,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _TYPES = {"d": "date", "s": "string", "i": "bigint", "b": "boolean"}
-_SQL = {"d": "CAST({0} AS DATE)", "s": "CAST({0} AS VARCHAR)", "i": "CAST({0} AS BIGINT)", "f": "floor(CAST({0} AS DOUBLE) * 1e6 + 0.50371) / 1e6", "b": "CAST({0} AS BOOLEAN)"}
+_SQL = {"d": "CAST({0} AS DATE)", "s": "CAST({0} AS VARCHAR)", "i": "CAST({0} AS BIGINT)", "f": "CASE WHEN abs(CAST({0} AS DOUBLE)) < 1e9 THEN floor(CAST({0} AS DOUBLE) * 1e6 + 0.50371) / 1e6 ELSE CAST({0} AS DOUBLE) END", "b": "CAST({0} AS BOOLEAN)"}
+
+
+#: Beyond this a double's own places are coarser than a millionth's half, so it stays as it is.
+_COARSE = 1e9
+
+
+def _six(c: Column) -> Column:
+    """At six places; large values unchanged, as floor() gives whole numbers of 64 bits."""
+    return F.when(F.abs(c) < _COARSE, F.floor(c * 1e6 + 0.50371).cast("double") / 1e6).otherwise(c)
 
 
 def shaped(df: DataFrame, columns: str) -> DataFrame:
     out = []
     for name, kind in (c.split(":") for c in columns.split()):
         c = F.col(name)
-        out.append((F.floor(c.cast("double") * 1e6 + 0.50371).cast("double") / 1e6 if kind == "f" else c.cast(_TYPES[kind])).alias(name))
+        out.append((_six(c.cast("double")) if kind == "f" else c.cast(_TYPES[kind])).alias(name))
     return df.select(*out)
 
 

@@ -222,15 +222,15 @@ def test_compounding_check_reads_all_rows(spark):
 
 
 def test_stored_steps(spark):
-    """A stored step keeps its types and rows, empty ones too, and is gone after its release."""
+    """A stored step keeps its types and rows, empty ones too, and is gone after its owner closes."""
     from tapeline.sinks import stored
 
     df = spark.createDataFrame([(D(0), None, 1.5, [1]), (D(0), None, 1.5, [1]), (None, "a", None, [])], "`a b` date, code string, x double, y array<int>")
-    for one in (df, df.limit(0)):
-        found = stored.stored(one)
-        assert found.dtypes == one.dtypes and sorted(map(str, found.collect())) == sorted(map(str, one.collect()))
-    paths = found.inputFiles() + [p for _, p in stored._KEPT]
-    stored.release()
+    with stored.Steps() as steps:
+        for one in (df, df.limit(0)):
+            found = stored.stored(one)
+            assert found.dtypes == one.dtypes and sorted(map(str, found.collect())) == sorted(map(str, one.collect()))
+        paths = found.inputFiles() + [p for _, p in steps.kept]
     assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
 
 
