@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .importance_resampling import BUCKETS, LEAST_WORDS, ORDERS, PERCENT, SEED
 from .license_scan import BASE, LEAST_MATCH, TEMPLATES
 from .substring_dedup import WINDOW
 from .url_rules import DEFAULT, MIN_CONFIDENCE, MIN_SUPPORT, RULES
@@ -95,3 +96,28 @@ rules AS (SELECT own, b.fixed AS verdict, b.n / c.n::DOUBLE AS confidence, b.n /
 kept AS (SELECT * FROM rules AS r WHERE NOT EXISTS (SELECT 1 FROM rules AS s WHERE s.verdict = r.verdict AND len(s.own) < len(r.own) AND list_has_all(r.own, s.own) AND s.confidence >= r.confidence)),
 best AS (SELECT r, first(verdict ORDER BY confidence DESC, support DESC, len(own) DESC, own, verdict) AS verdict, array_to_string(first(own ORDER BY confidence DESC, support DESC, len(own) DESC, own, verdict), ' ') AS mined FROM t JOIN kept ON list_has_all(items, own) WHERE fixed IS NULL GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(fixed, verdict, '{DEFAULT}') AS verdict, mined FROM t LEFT JOIN best USING (r)"""
+
+
+def op13_importance_resampling() -> str:
+    """crc32 by its table of 256 values, for each distinct run of words once."""
+    low, cut = _LOWER, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def runs(name: str, ident: str, table: str) -> str:
+        some = " UNION ALL ".join(f"SELECT r, array_to_string(w[i:i + {k}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) + 1 - {k})) AS i FROM {name}_d) AS x" for k in range(ORDERS))
+        return f"{name}_d AS (SELECT row_number() OVER () AS r, {ident}list_filter(string_split_regex({low}, '{cut}'), lambda x: x <> '') AS w FROM {table}), {name}_runs AS ({some})"
+
+    step = "xor(c >> 1, (c & 1) * 3988292384)"
+    byte = "c"
+    for _ in range(8):
+        byte = f"list_transform({byte}, lambda c: {step})" if byte != "c" else f"list_transform(range(256), lambda c: {step})"
+    bytes_of = "list_transform(range(1, strlen(g) + 1), lambda i: CAST('0x' || hex(g)[2 * i - 1:2 * i] AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+    return f"""WITH {runs("raw", "doc_id, ", "documents")}, {runs("goal", "", "benchmark")}, crc AS (SELECT {byte} AS t),
+hashed AS MATERIALIZED (SELECT g, {crc} % {BUCKETS} AS b FROM (SELECT g FROM raw_runs UNION SELECT g FROM goal_runs) AS u, crc),
+s AS (SELECT b, count(*) AS s FROM raw_runs JOIN hashed USING (g) GROUP BY b), t AS (SELECT b, count(*) AS t FROM goal_runs JOIN hashed USING (g) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+per AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM raw_runs JOIN hashed USING (g) JOIN gain USING (b) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('{SEED}:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM raw_d LEFT JOIN per USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank FROM scored WHERE n_words >= {LEAST_WORDS} QUALIFY rank <= count(*) OVER () * {PERCENT} // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (r)"""

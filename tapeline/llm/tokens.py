@@ -84,15 +84,20 @@ class Encoder:
             yield row, ids, ends
 
 
-def encoder(name: str = "word_bpe_49k.json") -> Encoder:
-    """The worker's encoder of this name. It is kept from task to task, with the pieces that it knows.
+def kept(name: str, make):
+    """What ``make`` gives, kept by this worker from task to task under ``name``; what other names hold is given up.
 
     Functions are sent by value, modules and all, so it hangs on a module that the worker itself imports.
     """
     import tokenizers
 
-    kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if name not in kept:
-        kept.clear()
-        kept[name] = Encoder(name)
-    return kept[name]
+    held = vars(tokenizers).setdefault("_kept_encoders", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
+
+
+def encoder(name: str = "word_bpe_49k.json") -> Encoder:
+    """The worker's encoder of this name, with the pieces that it knows."""
+    return kept(name, lambda: Encoder(name))
