@@ -7,14 +7,14 @@ import argparse
 from pyspark.sql import functions as F
 
 from tapeline.config import EngineConfig
-from tapeline.plans import pipeline
+from tapeline.plans import pipeline, training
 from tapeline.session import build
 from tapeline.sources import bars, prices, tables
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("stage", choices=("panel", "features", "images", "logistic", "backtest", "nonoverlap", "aggregate", "qa"))
+    p.add_argument("stage", choices=("panel", "features", "images", "logistic", "members", "backtest", "nonoverlap", "aggregate", "qa"))
     p.add_argument("--out", required=True)
     p.add_argument("--raw-dir", help="directory of raw price CSV files (panel)")
     p.add_argument("--adjusted-dir", help="directory of adjusted price CSV files (panel)")
@@ -27,7 +27,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--pred-dir")
     p.add_argument("--pred-pattern", default="*.parquet")
     p.add_argument("--output-prefix", default="")
-    p.add_argument("--features", default="reversal_5d,momentum_20d,vol_20,ma_20_gap", help="columns of the logistic model")
+    p.add_argument("--features", help="columns of the logistic model, with commas; the baseline's own if not given")
+    p.add_argument("--workers", type=int, default=4, help="experiments or members that are trained at once")
     a = p.parse_args(args)
     spark, cfg = build(), EngineConfig()
     if a.stage == "panel":
@@ -45,7 +46,10 @@ def main(args: list[str] | None = None) -> None:
     elif a.stage == "images":
         pipeline.build_images(spark, cfg, a.out, a.experiments)
     elif a.stage == "logistic":
-        pipeline.train_logistic(spark, cfg, a.out, a.features.split(","), a.experiments)
+        training.train_logistic(spark, cfg, a.out, a.features.split(",") if a.features else None, a.experiments, a.workers)
+    elif a.stage == "members":
+        for e in cfg.select(a.experiments):
+            training.train_members(spark, cfg, a.out, e, loss=a.loss, columns=a.features.split(",") if a.features else None, workers=a.workers)
     elif a.stage == "aggregate":
         for e in cfg.select(a.experiments):
             pipeline.aggregate(spark, a.members, a.loss, e.name, a.out)

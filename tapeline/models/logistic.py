@@ -1,40 +1,132 @@
-"""Logistic baseline: exact medians for missing values, population standardisation, L2-regularised fit."""
+"""Logistic baseline as an Estimator and its Model: exact medians for missing values, population standardisation, L2-regularised fit.
+
+Medians come from ranges of the values (operators.order), all features in one pass, so no task holds a feature's values. The model
+is written with its parameters as Spark's own metadata and the inner regression beside them, and read back equal.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.operators.order import quantiles
+from tapeline.sinks.stored import Steps
+
+#: The baseline's features, in the order in which the model takes them.
+FEATURES = (
+    "ret_1d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ret_60d",
+    "reversal_5d", "reversal_10d", "momentum_20d", "momentum_60d",
+    "ma5_gap", "ma10_gap", "ma20_gap", "ma30_gap", "ma60_gap",
+    "position_5d", "position_20d", "position_60d",
+    "vol_20d", "vol_60d",
+    "amount_change_20d", "turnover_change_20d", "log_float_mktcap",
+)
+MODEL_NAME = "LogisticRaw"
+
+
+def _number(c: str) -> Column:
+    """As a double; NaN counts as missing."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def medians(df: DataFrame, features: list[str]) -> dict[str, float]:
+    """The exact median of each feature; 0 for one without values."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), _number(c).alias("v")) for i, c in enumerate(features)])).alias("c")).select("c.f", "c.v")
+    with Steps():
+        found = {r.f: r.middle for r in quantiles(cells, ["f"], "v", {"middle": 0.5}).collect()}  # a row for each feature
+    return {c: found.get(i, 0.0) for i, c in enumerate(features)}
+
+
+class _Parameters(Params):
+    features = Param(Params._dummy(), "features", "names of the features", TypeConverters.toListString)
+    label = Param(Params._dummy(), "label", "name of the label, 0 or 1", TypeConverters.toString)
+    inverse_penalty = Param(Params._dummy(), "inverse_penalty", "inverse of the penalty on the summed loss", TypeConverters.toFloat)
+    iterations = Param(Params._dummy(), "iterations", "most iterations of the fit", TypeConverters.toInt)
+
+
+class LogisticBaseline(_Parameters, Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Fits on rows with a label; an empty training table is an error."""
 
-class LogisticModel:
-    """Medians, means and deviations of the training rows, and the fitted model."""
+    @keyword_only
+    def __init__(self, *, features: list[str] | None = None, label: str = "label", inverse_penalty: float = 1.0, iterations: int = 1000):
+        super().__init__()
+        self._setDefault(features=list(FEATURES), label="label", inverse_penalty=1.0, iterations=1000)
+        self._set(**self._input_kwargs)
 
-    def __init__(self, features: list[str], medians: dict, means: dict, deviations: dict, model):
-        self.features, self.medians, self.means, self.deviations, self.model = features, medians, means, deviations, model
+    def _fit(self, dataset: DataFrame) -> LogisticBaselineModel:
+        features, label = self.getOrDefault("features"), self.getOrDefault("label")
+        train = dataset.where(F.col(label).isNotNull())
+        middle = medians(train, features)
+        filled = [F.coalesce(_number(c), F.lit(middle[c])) for c in features]
+        row = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)], *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)], F.count("*").alias("n")).first()
+        if not row["n"]:
+            raise ValueError("no row to learn from")
+        model = LogisticBaselineModel()._copy_of(self, [middle[c] for c in features], [row[f"m{i}"] for i in range(len(features))], [row[f"s{i}"] or 1.0 for i in range(len(features))])
+        # the mean loss takes 1 / (C * rows) of what the summed loss takes 1 / C of
+        inner = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=self.getOrDefault("iterations"), regParam=1 / (self.getOrDefault("inverse_penalty") * row["n"]), elasticNetParam=0.0, standardization=False, tol=1e-8)
+        model.inner = inner.fit(model.prepared(train))
+        return model
+
+
+class LogisticBaselineModel(_Parameters, Model, MLReadable, MLWritable):
+    """Medians, means and deviations of the training rows, and the fitted regression."""
+
+    middle = Param(Params._dummy(), "middle", "medians", TypeConverters.toListFloat)
+    mean = Param(Params._dummy(), "mean", "means after filling", TypeConverters.toListFloat)
+    deviation = Param(Params._dummy(), "deviation", "population deviations after filling, 1 for constant features", TypeConverters.toListFloat)
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.inner: LogisticRegressionModel | None = None
+
+    def _copy_of(self, fitted: _Parameters, middle: list[float], mean: list[float], deviation: list[float]) -> LogisticBaselineModel:
+        own = {p.name: fitted.getOrDefault(p.name) for p in fitted.params}
+        self._set(**own, middle=middle, mean=mean, deviation=deviation)
+        return self
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        scaled = {}
-        for c in self.features:
-            x = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
-            scaled[f"_z_{c}"] = (x - self.means[c]) / (self.deviations[c] or 1.0)
+        """``df`` with the vector _x of filled and standardised features."""
+        features = self.getOrDefault("features")
+        own = zip(features, self.getOrDefault("middle"), self.getOrDefault("mean"), self.getOrDefault("deviation"), strict=True)
+        scaled = {f"_z{i}": (F.coalesce(_number(c), F.lit(m)) - mean) / sd for i, (c, m, mean, sd) in enumerate(own)}
         return VectorAssembler(inputCols=list(scaled), outputCol="_x").transform(df.withColumns(scaled)).drop(*scaled)
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with pred_prob."""
-        out = self.model.transform(self.prepared(df))
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """``dataset`` with pred_prob."""
+        out = self.inner.transform(self.prepared(dataset))
         return out.withColumn("pred_prob", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader()
+
+
+class _Writer(MLWriter):
+    def __init__(self, model: LogisticBaselineModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.inner.write().save(f"{path}/regression")
+
 
-def fit(train: DataFrame, features: list[str], label: str = "label", c: float = 1.0, iterations: int = 1000) -> LogisticModel:
-    """Fit on rows with a label; ``c`` is the inverse of the penalty on the summed loss, so the mean loss takes 1 / (c * rows)."""
-    train = train.where(F.col(label).isNotNull())
-    medians = train.agg(*[F.median(F.col(f).cast("double")).alias(f) for f in features]).first().asDict()
-    medians = {k: 0.0 if v is None else v for k, v in medians.items()}
-    filled = [F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in features]
-    row = train.agg(*[F.avg(x).alias(f"m_{f}") for f, x in zip(features, filled, strict=True)], *[F.stddev_pop(x).alias(f"s_{f}") for f, x in zip(features, filled, strict=True)], F.count("*").alias("n")).first()
-    out = LogisticModel(features, medians, {f: row[f"m_{f}"] for f in features}, {f: row[f"s_{f}"] for f in features}, None)
-    out.model = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=iterations, regParam=1 / (c * row["n"]), elasticNetParam=0.0, standardization=False, tol=1e-8).fit(out.prepared(train))
-    return out
+class _Reader(MLReader):
+    def load(self, path: str) -> LogisticBaselineModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = LogisticBaselineModel()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model.inner = LogisticRegressionModel.load(f"{path}/regression")
+        return model

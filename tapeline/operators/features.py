@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline import schema
 from tapeline.config import EngineConfig
 from tapeline.functions.exprs import limit_threshold, over_full, safe_div
+from tapeline.schema import conform
+
 
 def by_code():
     """Rows of a code in order of date."""
@@ -47,7 +50,7 @@ def constraints(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     low = (mean > 0) & (F.col("volume") <= cfg.low_volume_ratio * mean)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return df.withColumns({
-        "volume_ratio_20d": safe_div(F.col("volume"), mean),
+        "volume_ratio_to_20d_prev": safe_div(F.col("volume"), mean),
         "is_low_volume_limit_up": flag(low & (F.col("pct_chg") >= F.col("limit_pct"))),
         "is_low_volume_limit_down": flag(low & (F.col("pct_chg") <= -F.col("limit_pct"))),
     })
@@ -58,21 +61,22 @@ def baselines(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     out: dict[str, Column] = {}
     close = F.col("close_adj")
     for n in cfg.ma_windows:
-        out[f"ma_{n}"] = over_full(F.avg("close_adj"), close, last_rows(n), n)
+        out[f"ma{n}_adj"] = over_full(F.avg("close_adj"), close, last_rows(n), n)
     for n in cfg.position_windows:
         low = over_full(F.min("low_adj"), F.col("low_adj"), last_rows(n), n)
         high = over_full(F.max("high_adj"), F.col("high_adj"), last_rows(n), n)
-        out[f"position_{n}"] = safe_div(close - low, high - low)
+        out[f"position_{n}d"] = safe_div(close - low, high - low)
     for n in cfg.vol_windows:
-        out[f"vol_{n}"] = over_full(F.stddev_samp("ret_1d"), F.col("ret_1d"), last_rows(n), n)
-    for c in ("amount", "turnover_rate"):
+        out[f"vol_{n}d"] = over_full(F.stddev_samp("ret_1d"), F.col("ret_1d"), last_rows(n), n)
+    rolled = {"amount": "amount", "turnover": "turnover_rate"}
+    for name, c in rolled.items():
         if c in df.columns:
-            out[f"{c}_mean_20"] = over_full(F.avg(c), F.col(c), last_rows(20), 20)
+            out[f"{name}_mean_20d"] = over_full(F.avg(c), F.col(c), last_rows(20), 20)
     out |= {"reversal_5d": -F.col("ret_5d"), "reversal_10d": -F.col("ret_10d"), "momentum_20d": F.col("ret_20d"), "momentum_60d": F.col("ret_60d")}
     out |= {f"log_{c}": F.when(F.col(c) > 0, F.ln(c)) for c in ("float_mktcap", "total_mktcap") if c in df.columns}
     df = df.withColumns(out)
-    more = {f"ma_{n}_gap": safe_div(close, F.col(f"ma_{n}")) - 1 for n in cfg.ma_windows}
-    more |= {f"{c}_change_20": safe_div(F.col(c), F.col(f"{c}_mean_20")) - 1 for c in ("amount", "turnover_rate") if c in df.columns}
+    more = {f"ma{n}_gap": safe_div(close, F.col(f"ma{n}_adj")) - 1 for n in cfg.ma_windows}
+    more |= {f"{name}_change_20d": safe_div(F.col(c), F.col(f"{name}_mean_20d")) - 1 for name, c in rolled.items() if c in df.columns}
     return df.withColumns(more)
 
 
@@ -88,6 +92,11 @@ def build_features(panel: DataFrame, cfg: EngineConfig) -> DataFrame:
     return tradable(baselines(constraints(labels(returns(panel, cfg), cfg), cfg), cfg), cfg)
 
 
+def to_storage(df: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The stored form of the features: their schema, null flags 0."""
+    return conform(df, schema.features(cfg))
+
+
 def sample_mask(df: DataFrame, horizon: int, needed: list[str]) -> DataFrame:
     """Rows that a model may learn from: tradable, label and return known, needed columns present."""
     ok = (F.col("is_tradable") == 1) & F.col(f"label_{horizon}d").isNotNull() & F.col(f"future_ret_{horizon}d").isNotNull()

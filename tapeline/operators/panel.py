@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tapeline.config import EngineConfig
 from tapeline.functions.exprs import to_day, to_flag, to_number, zfill_code
-from tapeline.schema import ADJUSTED, PANEL, conform
+from tapeline import schema
+from tapeline.schema import ADJUSTED, conform
 
 KEYS = ["date", "code"]
 
@@ -72,7 +73,7 @@ def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineCo
 
 def to_storage(df: DataFrame) -> DataFrame:
     """The stored form of a panel: its schema, null flags 0."""
-    return conform(df.where("date is not null and code is not null"), PANEL)
+    return conform(df.where("date is not null and code is not null"), schema.panel())
 
 
 def build_stats(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.config import EngineConfig, image_shape
-from tapeline.models import logistic
 from tapeline.operators import cross_section, features, images, panel, performance, portfolio, qa, targets
 from tapeline.sinks import writers
 from tapeline.sinks.stored import Steps
@@ -20,7 +19,7 @@ def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineCo
 
 def build_features(spark: SparkSession, cfg: EngineConfig, out: str) -> None:
     f = features.build_features(spark.read.parquet(f"{out}/panel_by_year").drop("year"), cfg)
-    writers.by_year(f, f"{out}/features_by_year")
+    writers.by_year(features.to_storage(f, cfg), f"{out}/features_by_year")
 
 
 def build_images(spark: SparkSession, cfg: EngineConfig, out: str, experiments: str | None = None) -> None:
@@ -29,17 +28,6 @@ def build_images(spark: SparkSession, cfg: EngineConfig, out: str, experiments:
         writers.image_shards(images.dense(images.pixels(images.windows(f, window, cfg), window, cfg), window, cfg), f"{out}/images/window={window}")
 
 
-def train_logistic(spark: SparkSession, cfg: EngineConfig, out: str, columns: list[str], experiments: str | None = None) -> None:
-    """Test predictions of each experiment's logistic baseline."""
-    f = spark.read.parquet(f"{out}/features_by_year")
-    for e in cfg.select(experiments):
-        sample = features.experiment_view(features.sample_mask(f, e.horizon, []), e.horizon)
-        split = targets.fixed_split(sample, e.horizon, cfg)
-        model = logistic.fit(split.where("split = 'train'"), columns)
-        test = model.predict(split.where("split = 'test'")).withColumns({"experiment_name": F.lit(e.name), "window": F.lit(e.window), "horizon": F.lit(e.horizon), "model_name": F.lit("logistic")})
-        test.select("date", "code", "industry", "future_ret", "label", "is_tradable", "amount", "float_mktcap", "experiment_name", "window", "horizon", "model_name", "pred_prob").write.mode("overwrite").parquet(f"{out}/predictions/{e.name}_logistic")
-
-
 def evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, overlapping: bool = True, prefix: str = "") -> None:
     """All result tables of one kind of portfolio; the steps made for them, and no others, are deleted at the end."""
     with Steps():

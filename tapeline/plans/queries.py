@@ -85,10 +85,10 @@ def future_return_label(spark: SparkSession, sf: str) -> DataFrame:
     return features.labels(week_panel(spark, sf), CFG)
 
 
-_CON = "date:d code:s limit_pct:f volume_mean_20d_prev:f volume_ratio_20d:f is_low_volume_limit_up:i is_low_volume_limit_down:i"
+_CON = "date:d code:s limit_pct:f volume_mean_20d_prev:f volume_ratio_to_20d_prev:f is_low_volume_limit_up:i is_low_volume_limit_down:i"
 
 
-@query(_CON, steps("feat", "SELECT *, volume / nullif(volume_mean_20d_prev, 0) AS volume_ratio_20d FROM feat"))
+@query(_CON, steps("feat", "SELECT *, volume / nullif(volume_mean_20d_prev, 0) AS volume_ratio_to_20d_prev FROM feat"))
 def low_volume_limit_flags(spark: SparkSession, sf: str) -> DataFrame:
     return week_features(spark, sf)
 
@@ -98,25 +98,25 @@ def _full(agg: str, c: str, n: int) -> str:
     return f"CASE WHEN count({c}) {frame} = {n} THEN {agg} {frame} END"
 
 
-_MA = "date:d code:s " + " ".join(f"ma_{n}:f ma_{n}_gap:f" for n in CFG.ma_windows)
+_MA = "date:d code:s " + " ".join(f"ma{n}_adj:f ma{n}_gap:f" for n in CFG.ma_windows)
 
 
-@query(_MA, steps("feat", "SELECT *, " + ", ".join(f"close_adj / nullif(ma_{n}, 0) - 1 AS ma_{n}_gap" for n in CFG.ma_windows) + " FROM (SELECT *, " + ", ".join(f"{_full('avg(close_adj)', 'close_adj', n)} AS ma_{n}" for n in CFG.ma_windows) + " FROM feat) AS x"))
+@query(_MA, steps("feat", "SELECT *, " + ", ".join(f"close_adj / nullif(ma{n}_adj, 0) - 1 AS ma{n}_gap" for n in CFG.ma_windows) + " FROM (SELECT *, " + ", ".join(f"{_full('avg(close_adj)', 'close_adj', n)} AS ma{n}_adj" for n in CFG.ma_windows) + " FROM feat) AS x"))
 def rolling_ma_gap(spark: SparkSession, sf: str) -> DataFrame:
     return week_features(spark, sf)
 
 
-@query("date:d code:s position_5:f position_20:f position_60:f", steps("feat", "SELECT date, code, " + ", ".join(f"(close_adj - lo{n}) / nullif(hi{n} - lo{n}, 0) AS position_{n}" for n in (5, 20, 60)) + " FROM (SELECT *, " + ", ".join(f"{_full('min(low_adj)', 'low_adj', n)} AS lo{n}, {_full('max(high_adj)', 'high_adj', n)} AS hi{n}" for n in (5, 20, 60)) + " FROM feat) AS x"))
+@query("date:d code:s position_5d:f position_20d:f position_60d:f", steps("feat", "SELECT date, code, " + ", ".join(f"(close_adj - lo{n}) / nullif(hi{n} - lo{n}, 0) AS position_{n}d" for n in (5, 20, 60)) + " FROM (SELECT *, " + ", ".join(f"{_full('min(low_adj)', 'low_adj', n)} AS lo{n}, {_full('max(high_adj)', 'high_adj', n)} AS hi{n}" for n in (5, 20, 60)) + " FROM feat) AS x"))
 def rolling_position(spark: SparkSession, sf: str) -> DataFrame:
     return week_features(spark, sf)
 
 
-@query("date:d code:s vol_20:f vol_60:f", steps("feat", f"SELECT date, code, {_full('stddev_samp(ret_1d)', 'ret_1d', 20)} AS vol_20, {_full('stddev_samp(ret_1d)', 'ret_1d', 60)} AS vol_60 FROM feat"))
+@query("date:d code:s vol_20d:f vol_60d:f", steps("feat", f"SELECT date, code, {_full('stddev_samp(ret_1d)', 'ret_1d', 20)} AS vol_20d, {_full('stddev_samp(ret_1d)', 'ret_1d', 60)} AS vol_60d FROM feat"))
 def rolling_vol(spark: SparkSession, sf: str) -> DataFrame:
     return week_features(spark, sf)
 
 
-@query("date:d code:s amount_mean_20:f amount_change_20:f log_float_mktcap:f reversal_5d:f reversal_10d:f momentum_20d:f momentum_60d:f", steps("feat", f"SELECT *, amount / nullif(amount_mean_20, 0) - 1 AS amount_change_20, CASE WHEN float_mktcap > 0 THEN ln(float_mktcap) END AS log_float_mktcap FROM (SELECT *, {_full('avg(amount)', 'amount', 20)} AS amount_mean_20 FROM feat) AS x"))
+@query("date:d code:s amount_mean_20d:f amount_change_20d:f log_float_mktcap:f reversal_5d:f reversal_10d:f momentum_20d:f momentum_60d:f", steps("feat", f"SELECT *, amount / nullif(amount_mean_20d, 0) - 1 AS amount_change_20d, CASE WHEN float_mktcap > 0 THEN ln(float_mktcap) END AS log_float_mktcap FROM (SELECT *, {_full('avg(amount)', 'amount', 20)} AS amount_mean_20d FROM feat) AS x"))
 def baseline_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return week_features(spark, sf)
 
@@ -126,9 +126,9 @@ def tradable_flag(spark: SparkSession, sf: str) -> DataFrame:
     return week_features(spark, sf)
 
 
-@query("date:d code:s label:f future_ret:f", steps("feat", f"SELECT date, code, label_5d AS label, future_ret_5d AS future_ret FROM (SELECT *, {_full('avg(close_adj)', 'close_adj', 20)} AS ma_20 FROM feat) AS x WHERE is_tradable = 1 AND label_5d IS NOT NULL AND future_ret_5d IS NOT NULL AND ma_20 IS NOT NULL"))
+@query("date:d code:s label:f future_ret:f", steps("feat", f"SELECT date, code, label_5d AS label, future_ret_5d AS future_ret FROM (SELECT *, {_full('avg(close_adj)', 'close_adj', 20)} AS ma20_adj FROM feat) AS x WHERE is_tradable = 1 AND label_5d IS NOT NULL AND future_ret_5d IS NOT NULL AND ma20_adj IS NOT NULL"))
 def training_sample_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return features.experiment_view(features.sample_mask(week_features(spark, sf), 5, ["ma_20"]), 5)
+    return features.experiment_view(features.sample_mask(week_features(spark, sf), 5, ["ma20_adj"]), 5)
 
 
 @query("bucket:i n_rows:i n_codes:i", steps("panel", "SELECT CAST(code AS BIGINT) % 128 AS bucket, count(*) AS n_rows, count(DISTINCT code) AS n_codes FROM panel GROUP BY ALL"))
@@ -322,9 +322,10 @@ def image_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("date:d code:s label:f pred_prob:f")
 def logistic_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Test rows scored by the logistic baseline (iterative: no SQL)."""
-    from tapeline.models import logistic
+    """Test rows scored by the logistic baseline, over those of its features that the panel has (iterative: no SQL)."""
+    from tapeline.models.logistic import FEATURES, LogisticBaseline
+    from tapeline.sinks.stored import stored
 
-    split = targets.fixed_split(_sample(spark, sf), 5, CFG)
-    model = logistic.fit(split.where("split = 'train'"), ["reversal_5d", "momentum_20d", "vol_20", "ma_20_gap", "position_20"])
-    return model.predict(split.where("split = 'test'"))
+    split = stored(targets.fixed_split(_sample(spark, sf), 5, CFG))
+    have = [c for c in FEATURES if c in split.columns]
+    return LogisticBaseline(features=have).fit(split.where("split = 'train'")).transform(split.where("split = 'test'"))
