@@ -60,10 +60,10 @@ def _runs(table: DataFrame, *keep: str) -> DataFrame:
     return table.select(*keep, F.explode(F.array_compact(F.array(*[c for c in table.columns if c[0] == "b"]))).alias("b"))
 
 
-def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(b, gain) of the buckets that ``raw`` has, from the runs of both."""
+def gains(raw: DataFrame, target: DataFrame, scratch: Scratch, buckets: int = BUCKETS) -> DataFrame:
+    """(b, gain) of the buckets that ``raw`` has, from the runs of both; at most ``buckets`` rows."""
     n = raw.groupBy("b").agg(F.count("*").alias("s")).join(target.groupBy("b").agg(F.count("*").alias("t")), "b", "full")
-    n = n.select("b", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t"))
+    n = scratch.table(n.select("b", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")))  # the totals are read first
     total = n.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("all_s"), F.coalesce(F.sum("t"), F.lit(0)).alias("all_t")).first()  # one row
     share = (F.col("t") + 1).cast("double") * float(total["all_s"] + buckets) / ((F.col("s") + 1).cast("double") * float(total["all_t"] + buckets))
     return n.where("s > 0").select("b", F.floor(1000 * F.log(share)).alias("gain"))
@@ -74,7 +74,7 @@ def weighed(docs: DataFrame, target: DataFrame, scratch: Scratch, text: str = "t
     ident = list(ident)
     table = scratch.table(positions(docs, text, ident, orders, buckets))
     goal = positions(target, target_text, [], orders, buckets)
-    gain = scratch.table(gains(_runs(table), _runs(goal), buckets))  # ``buckets`` rows at most
+    gain = scratch.table(gains(_runs(table), _runs(goal), scratch, buckets))
     per = _runs(table, "_row").join(F.broadcast(gain), "b").groupBy("_row").agg(F.sum("gain").alias("weight"))
     count = sum((F.col(f"b{k}").isNotNull().cast("long") for k in range(1, orders + 1)), F.lit(0))
     size = table.groupBy("_row", *ident).agg(F.count("b1").alias("n_words"), F.sum(count).alias("n_features"))
