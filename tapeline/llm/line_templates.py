@@ -7,14 +7,20 @@ a token is constant at its place if several documents have it there; all others
 What remains is the line's template. It counts if of its tokens without digits the fixed ones are more
 than the others, and ``least_constant`` of them at least or all but one: fields with digits may be any
 number. A line that recurs verbatim is a template as well, whatever its tokens are. A template is dropped, with all its lines, if it recurs in
-``least_docs`` families of documents or more. Documents are counted by distinct text, and families by
-what a document has besides the template: three marks from its longest lines of another lead (their
-leads, or tails where lines are few). Of the three counts of distinct marks the middle one holds, so
-one more recurring line, or longest lines that start alike, don't make one family of different
-documents. The lines of copied documents stay, as whole documents are another operator's task.
+``least_docs`` families of documents or more.
+
+Documents are counted by distinct text, and families by what sets a document apart from all others: its own lines, which
+no template holds and whose last LEAD tokens are not those of lines of ``least_docs`` documents. A document with own lines, two at least or
+one of ``least_tokens`` tokens, is a family by them, whatever else it has: so a notice may be much longer than the pages that
+bear it. A document without is made of what recurs, like a copy of which a few words were changed: a changed line stays in
+its template, or keeps its last tokens. Such documents are told apart by three marks, each the least hash of the leaves of their
+templates' lines; of the three counts of distinct marks the middle one holds. Copies differ in few lines, so their marks
+hardly differ, and the lines of copied documents stay, as whole documents are another operator's task.
 
 Defined cases: null text is empty; shorter lines of fewer than ``least_tokens`` tokens stay; a document that
-loses all lines becomes empty, and its row stays; equal rows count as one document; other columns pass.
+loses all lines becomes empty, and its row stays; equal rows count as one document; very long texts are read whole, line by line;
+templates that reach ``least_docs`` exactly are dropped; an empty table gives no rows; other columns pass, but for those
+named as the operator's own.
 """
 
 from __future__ import annotations
@@ -51,44 +57,36 @@ def _lead(line: Column) -> Column:
     return F.xxhash64(*[_general(F.get(tokens, F.lit(k))) for k in range(LEAD)])
 
 
-def _with_longest(whole: DataFrame) -> DataFrame:
-    """With rest: (lead, tail) of lines by length, all or so many that MARKS + 1 leads are among them."""
-    marked = lambda some: F.transform(some, lambda x: F.struct(_lead(x["text"]).alias("lead"), F.xxhash64(F.substring_index(x["text"], " ", -LEAD)).alias("tail")))
-    ranked = F.sort_array(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct((-F.length(x)).alias("size"), x.alias("text"))))
-    whole = whole.withColumn("ranked", ranked)
-    whole = whole.withColumn("few", marked(F.slice("ranked", 1, MARKS + 2)))  # each in a step of its own, so that none is worked out twice
-    enough = (F.size("ranked") <= MARKS + 2) | (F.size(F.array_distinct("few.lead")) > MARKS)
-    return whole.withColumn("rest", F.when(enough, F.col("few")).otherwise(marked(F.col("ranked")))).drop("ranked", "few")
-
-
-def _marks(lead: Column) -> list[Column]:
-    """Marks of a document besides lines of ``lead``: leads of its longest other lines, tails where these are few, 0 without any."""
-    top = [F.col(f"top{k}") for k in range(MARKS + 1)]
-    own = [x["lead"] == lead for x in top]
-    first, second, third = F.when(own[0], top[1]).otherwise(top[0]), F.when(own[0] | own[1], top[2]).otherwise(top[1]), F.when(own[0] | own[1] | own[2], top[3]).otherwise(top[2])
-    return [F.coalesce(*x, F.lit(0)) for x in ([first["lead"]], [second["lead"], first["tail"]], [third["lead"], second["tail"], first["tail"]])]
+def _families(lines: DataFrame, tails: DataFrame, rows: int, templates: DataFrame, least_tokens: int) -> DataFrame:
+    """One row for each text: family (of its own lines; null if it has too few), and marks of its templates' leaves (null if it has a family)."""
+    lines = lines.withColumn("line", F.xxhash64("text"))
+    fixed = templates.select("leaf", "line", F.lit(True).alias("held")).distinct()
+    both = joined(lines, tails.select(F.col("h").alias("tail"), F.lit(True).alias("recurs")), rows, 16, ["tail"], "left").join(fixed, ["leaf", "line"], "left")
+    own = F.col("held").isNull() & F.col("recurs").isNull()
+    least = [F.min(F.when(F.col("held"), F.xxhash64("leaf", F.lit(k)))).alias(f"mark{k}") for k in range(MARKS)]
+    per = both.groupBy("_k1", "_k2").agg(F.count_if(own).alias("n"), F.max(F.when(own, F.col("count"))).alias("longest"), F.bit_xor(F.when(own, F.col("line"))).alias("sum"), *least)
+    decides = F.coalesce((F.col("n") > 1) | (F.col("longest") >= least_tokens), F.lit(False))
+    marks = [F.when(~decides, F.coalesce(f"mark{k}", F.lit(0))).alias(f"mark{k}") for k in range(MARKS)]
+    return per.select("_k1", "_k2", F.when(decides, F.xxhash64("n", "sum")).alias("family"), *marks)
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, least_constant: float = LEAST_CONSTANT) -> DataFrame:
     """One row for each distinct text that loses lines: its key (_k1, _k2) and the places of these lines (from 0)."""
     scratch = Scratch(docs.sparkSession)
-    # keys and the longest lines are worked out below the explode, once for each document
+    # keys are worked out below the explode, once for each document
     whole = docs.select(*text_key(text), F.transform(_lines(_even(F.col(text))), lambda x: F.trim(x)).alias("lines"))
-    whole = _with_longest(whole)
-    for k in range(MARKS + 1):  # the longest line of each of the first leads: one of them may be the judged template's
-        whole = whole.withColumn(f"top{k}", F.get("rest", F.lit(0)))
-        known = F.col(f"top{k}")["lead"]
-        whole = whole.withColumn("rest", F.filter("rest", lambda x: x["lead"] != known))  # noqa: B023
-    lines = whole.select("_k1", "_k2", *[f"top{k}" for k in range(MARKS + 1)], F.posexplode("lines").alias("place", "text"))
+    lines = whole.select("_k1", "_k2", F.posexplode("lines").alias("place", "text")).where("text <> ''")
     count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("count", count).where((F.col("count") >= least_tokens) | (F.octet_length("text") >= LEAST_BYTES)).withColumn("lead", _lead(F.col("text")))
-    marks = [f"mark{k}" for k in range(MARKS)]
-    lines = lines.select("_k1", "_k2", *[m.alias(c) for m, c in zip(_marks(F.col("lead")), marks, strict=True)], "place", "text", F.when(F.col("count") >= least_tokens, F.xxhash64("count", "lead")).otherwise(F.xxhash64("text")).alias("leaf"))
+    lines = lines.withColumns({"count": count, "lead": _lead(F.col("text")), "tail": F.xxhash64(F.substring_index("text", " ", -LEAD), F.lit("tail"))})
+    leaf = F.when(F.col("count") >= least_tokens, F.xxhash64("count", "lead")).when(F.octet_length("text") >= LEAST_BYTES, F.xxhash64("text", F.lit("leaf")))
+    lines = lines.withColumn("leaf", leaf)
 
-    leaves = lines.groupBy("leaf", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("one").alias("n")).where(F.col("n") >= least_docs).select("leaf")
-    leaves = scratch.table(leaves)
-    held = joined(lines, leaves, leaves.count(), 16, ["leaf"], "inner")
-    held = scratch.table(held.select("_k1", "_k2", *marks, "place", "leaf", F.xxhash64("text").alias("line"), "text"))
+    seen = lines.select("_k1", "_k2", F.explode(F.array("leaf", "tail")).alias("h")).where("h is not null")
+    shared = seen.groupBy("h", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n")).where(F.col("n") >= least_docs).select("h")
+    shared = scratch.table(shared)
+    rows = shared.count()
+    held = joined(lines.where("leaf is not null"), shared.withColumnRenamed("h", "leaf"), rows, 16, ["leaf"], "inner")
+    held = scratch.table(held.select("_k1", "_k2", "place", "leaf", F.xxhash64("text").alias("line"), "text"))
 
     distinct = held.groupBy("leaf", "line").agg(F.min("text").alias("text"))
     tokens = distinct.select("leaf", "line", F.posexplode(F.split("text", " ")).alias("at", "token"))
@@ -103,9 +101,12 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     verbatim = carried.where(F.col("docs") >= least_docs).select("leaf", "line", F.xxhash64("line", F.lit("verbatim")).alias("template"))
     templates = scratch.table(templates.select("leaf", "line", "template").union(verbatim))
 
-    used = held.join(templates, ["leaf", "line"]).select("leaf", "template", *marks).distinct()
-    recurring = used.groupBy("leaf", "template").agg(*[F.count_distinct(c).alias(c) for c in marks])
-    recurring = recurring.where(F.sort_array(F.array(*marks))[MARKS // 2] >= least_docs).select("leaf", "template")
+    families = _families(lines, shared, rows, templates, least_tokens)
+    marks = [f"mark{k}" for k in range(MARKS)]
+    used = held.join(templates, ["leaf", "line"]).select("leaf", "template", "_k1", "_k2").distinct()
+    used = used.join(families, ["_k1", "_k2"]).select("leaf", "template", "family", *marks).distinct()
+    recurring = used.groupBy("leaf", "template").agg(F.count_distinct("family").alias("own"), *[F.count_distinct(c).alias(c) for c in marks])
+    recurring = recurring.where(F.col("own") + F.sort_array(F.array(*marks))[MARKS // 2] >= least_docs).select("leaf", "template")
     gone = templates.join(recurring, ["leaf", "template"]).select("leaf", "line").distinct()
     out = held.join(gone, ["leaf", "line"]).groupBy("_k1", "_k2").agg(F.collect_set("place").alias("places"))
     return scratch.table(out)
