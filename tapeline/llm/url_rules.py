@@ -9,14 +9,22 @@ confident mined rule (then of the larger support, the longer, the smaller in ord
 hold, found by an inverted index: from each token to its rules, and a rule matches when all its
 tokens are counted. Without any, the verdict is DEFAULT.
 
-All tokens are counted first; FP-growth mines over those that reach the support threshold, which
-bounds what it and the index hold, not the pages. Defined
+All tokens are counted first, and those below the support threshold go: what is left is bounded by that threshold and the
+tokens of a mean page, not by the pages. Tokens that hold in exactly the same labelled pages are one class, known by the count and two
+hashes of these pages, and FP-growth mines over classes: a set with two tokens of one class is as confident
+as without one of them, so it would be dropped, while each choice of one token from each class is as good as any other. A
+page matches a class by any of its tokens, and the rule is named by the smallest that it holds. Tokens of all labelled pages
+change no confidence, so they are rules on their own only. Very long URLs are read whole; columns of the input other
+than the two named ones aren't read, whatever their names. Defined
 cases: a null URL or one without ``://`` has empty host and path; equal pages are judged alike, each
 row for itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,43 +67,73 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(F.coalesce(suffix, none), parts, F.array_remove(keys, "q:"))))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) mined from rows (items, verdict), pruned; bounded by the support threshold."""
-    baskets = labelled.select(F.concat("items", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith("=")).where(~F.exists("antecedent", lambda x: x.startswith("=")))
-    rows = [(tuple(sorted(r.antecedent)), r.consequent[0][1:], r.confidence, r.support) for r in found.collect()]
-    best: dict[tuple[frozenset, str], float] = {}
+def token_classes(labelled: DataFrame, min_support: float) -> tuple[list[tuple[list[str], int]], int]:
+    """(tokens, pages) of each class of tokens that hold in the same rows and reach the threshold, and the number of rows."""
+    rows = labelled.count()
+    each = labelled.withColumn("_row", F.monotonically_increasing_id()).select(F.explode("items").alias("x"), F.xxhash64("_row").alias("a"), F.xxhash64("_row", F.lit(7)).alias("b"))
+    held = each.groupBy("x").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= math.ceil(min_support * rows))
+    classes = held.groupBy("n", "a", "b").agg(F.sort_array(F.collect_list("x")).alias("tokens"))  # at most tokens of a mean row / min_support
+    return sorted((r.tokens, r.n) for r in classes.select("tokens", "n").collect()), rows
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[tuple[str, ...], ...], str, float, float]]:
+    """(classes of tokens, verdict, confidence, support) mined from rows (items, verdict), pruned; bounded by the support threshold."""
+    classes, rows = token_classes(labelled, min_support)
+    if not classes:
+        return []
+    member = F.create_map(*[F.lit(v) for k, (own, n) in enumerate(classes) for x in own for v in (x, str(k))])
+    named = F.array_distinct(F.array_compact(F.transform("items", lambda x: F.try_element_at(member, x))))
+    everywhere = [str(k) for k, (_, n) in enumerate(classes) if n == rows]
+    some = F.array_except(named, F.array(*[F.lit(k) for k in everywhere]).cast("array<string>"))
+    baskets = labelled.select(F.concat(some, F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
+    found = [(r.antecedent, r.consequent[0][1:], r.confidence, r.support) for r in _associations(baskets, min_support, min_confidence).collect()]
+    if everywhere:
+        share = {r.verdict: r["count"] / rows for r in labelled.groupBy("verdict").count().collect()}
+        found += [([k], v, p, p) for k in everywhere for v, p in share.items() if p >= min_confidence]
+    found = [(tuple(tuple(classes[int(k)][0]) for k in sorted(own, key=int)), *rest) for own, *rest in found]
+    confidences: dict[tuple[frozenset, str], float] = {}
     kept = []
-    for items, verdict, confidence, support in sorted(rows, key=lambda r: (len(r[0]), r[0], r[1])):
-        own = frozenset(items)
-        if any(v == verdict and s < own and c >= confidence for (s, v), c in best.items()):
-            continue
-        best[own, verdict] = confidence
-        kept.append((items, verdict, confidence, support))
+    for own, verdict, confidence, support in sorted(found, key=lambda r: (len(r[0]), r[0], r[1])):
+        below = (confidences.get((frozenset(s), verdict), 0.0) for k in range(1, len(own)) for s in itertools.combinations(own, k))
+        if max(below, default=0.0) < confidence:
+            confidences[frozenset(own), verdict] = confidence
+            kept.append((own, verdict, confidence, support))
     return kept
 
 
+def _associations(baskets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    return model.associationRules.where(F.element_at("consequent", 1).startswith("=")).where(~F.exists("antecedent", lambda x: x.startswith("=")))
+
+
 def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict, and mined: the mined rule that decided."""
     u = F.col("url")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host_of(u), "path": path_of(u)})
     base = base.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("items", tokens(u, F.col("host"), F.col("path")))
     kept = mined_rules(base.where("fixed is not null").select("items", F.col("fixed.verdict").alias("verdict")))
-    kept.sort(key=lambda r: (-r[2], -r[3], -len(r[0]), r[0], r[1]))
-    postings: dict[str, list[int]] = {}
-    for k, (items, *_) in enumerate(kept):
-        for x in items:
-            postings.setdefault(x, []).append(k)
     if not kept:
         return base.select("page_id", "host", "path", "fixed.rule", F.coalesce("fixed.verdict", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    index = F.create_map(*[y for x, ks in sorted(postings.items()) for y in (F.lit(x), F.array(*map(F.lit, ks)))])
-    size = F.array(*[F.lit(len(r[0])) for r in kept])
-    hits = F.flatten(F.transform("items", lambda x: F.coalesce(F.try_element_at(index, x), F.array().cast("array<int>"))))
-    whole = F.filter(F.array_distinct("hits"), lambda k: F.size(F.filter("hits", lambda y: y == k)) == F.get(size, k))
-    verdicts, names = F.array(*[F.lit(r[1]) for r in kept]), F.array(*[F.lit(" ".join(r[0])) for r in kept])
-    out = base.withColumn("hits", F.when(F.col("fixed").isNull(), hits)).withColumn("best", F.array_min(whole))
-    return out.select("page_id", "host", "path", "fixed.rule", F.coalesce("fixed.verdict", F.get(verdicts, "best"), F.lit(default)).alias("verdict"), F.get(names, "best").alias("mined"))
+    # the inverted index: from a token to its class, from a class to its rules
+    number = {c: k for k, c in enumerate(sorted({c for own, *_ in kept for c in own}))}
+    postings: dict[int, list[int]] = {}
+    for k, (own, *_) in enumerate(kept):
+        for c in own:
+            postings.setdefault(number[c], []).append(k)
+    member = F.create_map(*[F.lit(v) for c, k in number.items() for x in c for v in (x, k)])
+    index = F.array(*[F.array(*map(F.lit, postings[k])) for k in range(len(number))])
+    score = F.array(*[F.struct(F.lit(-r[2]).alias("c"), F.lit(-r[3]).alias("s"), F.lit(-len(r[0])).alias("n")) for r in kept])
+    verdicts, parts = F.array(*[F.lit(r[1]) for r in kept]), F.array(*[F.array(*[F.lit(number[c]) for c in r[0]]) for r in kept])
+    none = F.array().cast("array<int>")
+    held = F.transform("items", lambda x: F.struct(F.try_element_at(member, x).alias("class"), x.alias("token")))
+    out = base.withColumn("held", F.when(F.col("fixed").isNull(), F.filter(held, lambda x: x["class"].isNotNull())))
+    out = out.withColumn("hits", F.flatten(F.transform(F.array_distinct(F.col("held")["class"]), lambda c: F.coalesce(F.get(index, c), none))))
+    whole = F.filter(F.array_distinct("hits"), lambda k: F.size(F.filter("hits", lambda y: y == k)) == F.size(F.get(parts, k)))
+    out = out.withColumn("whole", whole)
+    top = F.array_min(F.transform("whole", lambda k: F.get(score, k)))
+    name = lambda k: F.sort_array(F.transform(F.get(parts, k), lambda c: F.array_min(F.filter("held", lambda x: x["class"] == c)["token"])))
+    out = out.withColumn("top", top).withColumn("best", F.array_min(F.transform(F.filter("whole", lambda k: F.get(score, k) == F.col("top")), lambda k: F.struct(name(k).alias("name"), F.get(verdicts, k).alias("verdict")))))
+    return out.select("page_id", "host", "path", "fixed.rule", F.coalesce("fixed.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.array_join("best.name", " ").alias("mined"))
 
 
 def digest(pages: DataFrame) -> DataFrame:

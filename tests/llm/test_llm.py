@@ -599,6 +599,23 @@ def test_line_templates_against_the_plain_rule(spark, rows):
         assert (found[k].n_dropped, found[k].text) == (len(gone), without(t, gone) if gone else t)
 
 
+def test_url_keys_that_occur_together_are_one_class(spark):
+    """Forty keys in common, and some more in fewer pages: rules are mined over classes, in the time of a few keys."""
+    import time
+
+    keys = "&".join(f"k{k}=1" for k in range(40))
+    urls = [f"http://a.shop.net/x/{n}?{keys}" for n in range(60)] + [f"http://a.org/fr/{n}?{keys}&{'good=1' if n % 3 else 'sale=1'}" for n in range(60)]
+    urls += [f"http://b.info/{n}?k{n}=2" for n in range(45)] + ["http://c.info/?k39=1&good=2", "http://c.info/?good=2", "http://c.info/?sale=1&k7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    found = {r.page_id: r for r in url_rules.judged(pages).collect()}
+    assert time.time() - began < 60
+    classes, rows = url_rules.token_classes(spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],), (["c", "d"],)], "items array<string>"), 0.3)
+    assert classes == [(["a", "b"], 2), (["c"], 2), (["d"], 1)] and rows == 3
+    assert found[165].verdict == "allow" and found[166].verdict == "allow" and found[167].verdict == "allow"
+    assert found[165].mined == "q:good" and found[167].mined == "q:sale"
+
+
 def same_as_sql(spark, name, found, **tables):
     db = duckdb.connect()
     for k, df in tables.items():
