@@ -1,6 +1,7 @@
 """Licence scans by a positional rare-token index, in DataFrame operations only.
 
-Templates are short licence statements. Words are ranked by inverse document frequency, counted over
+Templates are licence statements and the openings of licence headers and texts; licences that differ in a word (a version, "lesser",
+"sharealike") are kept apart by key phrases that hold that word. Words are ranked by inverse document frequency, counted over
 all documents. As a template's mandatory key phrases must stand exactly, its rarest word in them is
 at its place wherever the template matches, so the index has this one place of each template, however
 common the word is. All indexed words are looked up in every document; their places minus the
@@ -9,7 +10,9 @@ key phrases is indexed by so many of its rarest places that a match has one of t
 matched on their own, wherever their words stand consecutively.
 
 Words are the ranges of ASCII letters and digits and of all other characters, after A-Z are lower
-case. Defined cases: null text is empty; all rows are kept one by one; other columns are ignored.
+case. Defined cases: null text is empty; all rows are kept one by one; other columns are ignored. Very long texts
+are scanned whole; of several matches each label counts once, and the score is the best one's; an empty table gives no
+rows. Columns of the input that are named as results give way to them.
 """
 
 from __future__ import annotations
@@ -21,25 +24,52 @@ from .dist import hidden
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates: label, statement, mandatory key phrases.
-TEMPLATES = (
+#: Licences by their SPDX identifiers, as words, and the label of each.
+SPDX = {
+    "mit": "mit", "isc": "isc", "unlicense": "unlicense", "cc0 1 0": "cc0", "apache 2 0": "apache-2.0",
+    "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "mpl 2 0": "mpl-2.0", "epl 1 0": "epl-1.0", "epl 2 0": "epl-2.0",
+    "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3.0", "agpl 3 0": "agpl-3.0",
+    "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa-4.0", "cc by nc 4 0": "cc-by-nc-4.0", "cc by nd 4 0": "cc-by-nd-4.0",
+}
+_GNU = "it under the terms of the gnu {} as published by the free software foundation either version {} of the license"
+#: Statements of licences and the openings of their headers and texts, in words: label, statement, mandatory key phrases.
+STATEMENTS = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "licensed under the mit license", ("mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee is hereby granted")),
+    ("isc", "licensed under the isc license", ("isc license",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "2 0")),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2 0", "in compliance with the license")),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license", "version 2")),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license", "version 3")),
+    ("gpl-2.0", _GNU.format("general public license", "2"), ("gnu general public license", "version 2 of the license")),
+    ("gpl-3.0", _GNU.format("general public license", "3"), ("gnu general public license", "version 3 of the license")),
     ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
+    ("lgpl-2.1", _GNU.format("lesser general public license", "2 1"), ("gnu lesser general public license", "version 2 1 of the license")),
+    ("lgpl-3.0", _GNU.format("lesser general public license", "3"), ("gnu lesser general public license", "version 3 of the license")),
     ("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
+    ("agpl-3.0", _GNU.format("affero general public license", "3"), ("gnu affero general public license", "version 3 of the license")),
     ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by", "licensed under a creative commons attribution license", ("creative commons attribution",)),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    ("cc-by", "licensed under a creative commons attribution license", ("creative commons attribution license",)),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution share alike 4 0 international license", ("creative commons attribution share alike 4 0",)),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
+    ("cc-by-nd-4.0", "licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives 4 0",)),
     ("cc0", "released under creative commons zero cc0 public domain dedication", ("public domain",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0", ("eclipse public license v1 0",)),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("epl-2.0", "made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
+#: Templates: the statements, and a line for each identifier, which must stand whole.
+TEMPLATES = (*STATEMENTS, *[(label, f"spdx license identifier {x}", (f"spdx license identifier {x}",)) for x, label in SPDX.items()])
 LEAST_MATCH = 0.6
 _DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

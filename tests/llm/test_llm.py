@@ -227,7 +227,8 @@ def plain_licences(text):
 def test_license_scan_has_no_cap_of_words(spark):
     rng = random.Random(4)
     statements = [s for _, s, _ in license_scan.TEMPLATES]
-    texts = [" filler words ".join([statements[13], "licensed under the apache license version 2 0", "released under the mit license"]), " and then ".join(statements), " x ".join(reversed(statements))]
+    bsd = next(s for label, s, _ in license_scan.TEMPLATES if label == "bsd")
+    texts = [" filler words ".join([bsd, "licensed under the apache license version 2 0", "released under the mit license"]), " and then ".join(statements), " x ".join(reversed(statements))]
     texts += [" so ".join(rng.sample(statements, rng.randint(2, 6))).replace(" of ", rng.choice([" of ", " from "])) for _ in range(12)]
     df = spark.createDataFrame(list(enumerate(texts + ["plain words"] * 800)), "doc_id long, text string")
     found = {r.doc_id: r.labels for r in license_scan.digest(df).collect()}
@@ -599,6 +600,34 @@ def test_line_templates_against_the_plain_rule(spark, rows):
         assert (found[k].n_dropped, found[k].text) == (len(gone), without(t, gone) if gone else t)
 
 
+#: Headers as they stand in files, and the labels of each.
+HEADERS = (
+    ("This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.", "gpl,gpl-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "gpl,lgpl-2.1"),
+    ("it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3.0,gpl"),
+    ("# SPDX-License-Identifier: MIT\nimport os", "mit"),
+    ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", "mit"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed", "mpl-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "isc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies", "epl-1.0"),
+    ("are made available under the terms of the Eclipse Public License 2.0 which is available at", "epl-2.0"),
+    ("We were permitted to use, copy and modify the plan for any purpose. The general license of the public house is version 2.", ""),
+    ("licensed under the terms of the city council, version 3 of the license fee is hereby granted", ""),
+)
+
+
+def test_license_headers(spark):
+    """Usual headers by their own labels, licences that differ in a word apart, prose about licences without any."""
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(HEADERS)], "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in license_scan.digest(df).collect()}
+    assert [found[k] for k in range(len(HEADERS))] == [labels for _, labels in HEADERS]
+
+
 def test_url_keys_that_occur_together_are_one_class(spark):
     """Forty keys in common, and some more in fewer pages: rules are mined over classes, in the time of a few keys."""
     import time
