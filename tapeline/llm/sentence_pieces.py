@@ -35,7 +35,7 @@ from .tokens import kept, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks, characters of one, and pairs of pieces that a worker keeps; beyond these the cache starts anew or passes a chunk by.
-CACHE_CHUNKS, CACHE_CHARACTERS, CACHE_PAIRS = 1 << 20, 200, 1 << 20
+CACHE_CHUNKS, CACHE_CHARACTERS, CACHE_PAIRS = 1 << 19, 200, 1 << 20
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 DIGEST = "doc_id {id}, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -53,20 +53,20 @@ class Chunks:
         """For each text the values of its chunks, in order."""
         for text in texts:
             parts = self.pattern.findall(text)
-            new = [x for x in dict.fromkeys(parts) if x not in self.known]
-            if new:
-                if len(self.known) + len(new) > CACHE_CHUNKS:
-                    self.known.clear()
-                    new = list(dict.fromkeys(parts))
-                found = dict(zip(new, self.make(new), strict=True))
-                if any(len(x) > CACHE_CHARACTERS for x in new):
-                    self.known.update((k, v) for k, v in found.items() if len(k) <= CACHE_CHARACTERS)
-                    known = {x: self.known[x] if x in self.known else found[x] for x in dict.fromkeys(parts)}
-                    yield [known[x] for x in parts]
-                    continue
-                self.known.update(found)
-            known = self.known
-            yield [known[x] for x in parts]
+            values = list(map(self.known.get, parts))
+            if None in values:
+                found = self._found({x for x, v in zip(parts, values, strict=True) if v is None})
+                values = [found[x] if v is None else v for x, v in zip(parts, values, strict=True)]
+            yield values
+
+    def _found(self, new: set[str]) -> dict:
+        """Values of chunks that aren't known, and become so but for long ones."""
+        chunks = list(new)
+        found = dict(zip(chunks, self.make(chunks), strict=True))
+        if len(self.known) + len(found) > CACHE_CHUNKS:
+            self.known.clear()
+        self.known.update((k, v) for k, v in found.items() if len(k) <= CACHE_CHARACTERS)
+        return found
 
 
 class Pieces:
@@ -125,12 +125,10 @@ class Pieces:
         return out
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether merging the characters of two pieces gives the two again."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        """Whether merging the characters of two pieces gives the two again; the answer is kept."""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return found
 
     def split(self, text: str) -> list[str]:
@@ -138,40 +136,46 @@ class Pieces:
         longest = {end - more: more + 1 for end, more in self.automaton.iter(text)}  # of one place the longer ones end later
         out: list[str] = []
         at, n, failed = 0, len(text), 0
-        piece = ""  # to be tried at ``at``: "" for the longest
+        pairs, shorter = self.pairs.get, self.shorter
+        piece = last = ""  # ``piece`` is to be tried at ``at``: "" for the longest
         while at < n:
-            if at not in longest:
-                out.append(text[at])
-                at += 1
-                piece = ""
-                continue
-            piece = piece or text[at : at + longest[at]]
-            while piece and (failed >> (at + len(piece)) & 1 or (out and not self.compatible(out[-1], piece))):
-                piece = self.shorter[piece]
+            if not piece:
+                size = longest.get(at)
+                if size is None:
+                    last = text[at]
+                    out.append(last)
+                    at += 1
+                    continue
+                piece = text[at : at + size]
+            while piece:
+                if not failed or not failed >> (at + len(piece)) & 1:
+                    if not last:
+                        break
+                    fits = pairs((last, piece))
+                    if fits or (fits is None and self.compatible(last, piece)):
+                        break
+                piece = shorter[piece]
             if piece:
                 out.append(piece)
                 at += len(piece)
-                piece = ""
-            else:
+                last, piece = piece, ""
+                continue
+            while not piece:  # nothing fits here: what stands before is given up for its next shorter one
                 failed |= 1 << at
-                last = out.pop()
-                at -= len(last)
-                piece = self.shorter.get(last, "")
-                while not piece:  # its place has nothing shorter either
-                    failed |= 1 << at
-                    last = out.pop()
-                    at -= len(last)
-                    piece = self.shorter.get(last, "")
+                piece = out.pop()
+                at -= len(piece)
+                piece = shorter.get(piece, "")
+            last = out[-1] if out else ""
         return out
 
     def ids_of(self, chunk: str) -> list[int]:
+        parts = self.split(chunk.replace(" ", SPACE))
+        ids = list(map(self.id.get, parts))
+        if None not in ids:
+            return ids
         out = []
-        for x in self.split(chunk.replace(" ", SPACE)):
-            i = self.id.get(x)
-            if i is None:
-                out += [self.byte[b] for b in x.encode("utf-8", "replace")]
-            else:
-                out.append(i)
+        for x, i in zip(parts, ids, strict=True):
+            out += [i] if i is not None else [self.byte[b] for b in x.encode("utf-8", "replace")]
         return out
 
     def packed(self, chunks: list[str]) -> list[bytes]:

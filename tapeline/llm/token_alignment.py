@@ -20,6 +20,7 @@ no rows; other columns, of whatever names, aren't read.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import os
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dist import Scratch, joined, small_enough
-from .sentence_pieces import MODEL, Chunks, Pieces
+from .sentence_pieces import MODEL, SPACE, Chunks, Pieces
 from .tokens import kept, tokenizer_path
 
 BYTES = "byte_bpe_50k.json"
@@ -39,6 +40,8 @@ BYTES = "byte_bpe_50k.json"
 SALTS, COPIES, PASS_BYTES = 16, 16, 1 << 20
 #: A pair of more texts than one in so many is dealt to several tasks.
 HOT_SHARE = 1000
+#: Chunks that are encoded together.
+JOINED = 64
 #: Bytes of a broadcast row: pair, count, mark.
 ROW_BYTES = 24
 TABLE = "row long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
@@ -58,17 +61,36 @@ class ByteLevel:
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = {i: bytes(letters[c] for c in x) for x, i in vocabulary.items() if all(c in letters for c in x)}
+        if self.tokenizer.normalizer is not None or {x for x in self.bytes.values() if len(x) == 1} != {bytes([b]) for b in range(256)}:
+            raise ValueError(f"{name}: not a tokenizer of texts' own bytes")
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for i, x in self.bytes.items():
             self.size[i] = len(x)
+        self.sizes = self.size.tolist()
 
     def ids(self, chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        """Ids of each chunk. Chunks are encoded together, as a space before a word parts it from the word before."""
+        joined = [x for x in chunks if x[0] == " " and not x[-1].isspace()]
+        found: dict[str, list[int]] = {}
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            ids = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids
+            k = 0
+            for x in part:
+                start, left = k, len(x.encode())
+                while left > 0:
+                    left -= self.sizes[ids[k]]
+                    k += 1
+                found[x] = ids[start:k]
+        alone = [x for x in chunks if x not in found]
+        found.update((x, e.ids) for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        return [found[x] for x in chunks]
 
 
 def common(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets at which tokens of both end, and the group of each token of A and of B."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    single = all(len(e) < 2 or (e[1:] > e[:-1]).all() for e in (ends_a, ends_b))  # but for tokens without bytes
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=single)
     return cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
 
 
@@ -109,22 +131,17 @@ class Aligner:
         self.digits = Digits(max(len(self.a.size), len(self.b.size)))
         self.chunks = Chunks(self._encoded, self.b.cut)
 
-    def _encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """Ids of A and of B, and whether the bytes of both are the chunk's."""
-        out = []
-        for x, a in zip(chunks, self.a.ids(chunks), strict=True):
-            b, raw = self.b.ids_of(x), x.encode()
-            same = b"".join([self.a.bytes[i] for i in a]) == raw == b"".join([self.b.bytes_of(i) for i in b])
-            out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same))
-        return out
+    def _encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and of B."""
+        return [(array.array("i", a).tobytes(), array.array("i", self.b.ids_of(x)).tobytes()) for x, a in zip(chunks, self.a.ids(chunks), strict=True)]
 
     def tokens(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """Packed ids of A and B of each text; none for texts whose tokens don't give the text."""
+        """Packed ids of A and B of each text; none where B reads another text (U+2581 as a space)."""
         ids_a, ids_b = [], []
-        for found in self.chunks([(" " + x) if x and "▁" not in x else "" for x in texts]):
-            own = all([c[2] for c in found])  # noqa: C419  a list is faster for short ones
-            ids_a.append(b"".join([c[0] for c in found]) if own else b"")
-            ids_b.append(b"".join([c[1] for c in found]) if own else b"")
+        for found in self.chunks([(" " + x) if x and SPACE not in x else "" for x in texts]):
+            a, b = zip(*found, strict=True) if found else ((), ())
+            ids_a.append(b"".join(a))
+            ids_b.append(b"".join(b))
         return ids_a, ids_b
 
     def aligned(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
@@ -135,6 +152,9 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
         cuts, group_a, group_b = common(ends_a, ends_b)
         text_a, text_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        some = n_a > 0
+        if (ends_a[text_a[1:][some] - 1] != ends_b[text_b[1:][some] - 1]).any():
+            raise ValueError("the tokenizers cover a text by different numbers of bytes")
         # a text with tokens ends at a cut, so each text's groups follow each other
         group_at = np.append(0, np.where(text_a[1:] > 0, np.append(group_a, 0)[np.maximum(text_a[1:], 1) - 1] + 1, 0))
         group_at = np.maximum.accumulate(group_at)
