@@ -35,6 +35,8 @@ from .substring_dedup import text_key
 from .words import ALNUM, chunks, grams, mix, words
 
 LEAST, COVERAGE = 5, 0.8
+#: Words of the shortest item for which documents are removed.
+LEAST_ITEM = 5
 #: Bits of the map for each seed, and the base-2 logarithm of its bits at most.
 SEED_BITS, MAP_BITS = 32, 27
 #: Items that a task tiles with one document's text.
@@ -211,9 +213,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return both.select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile", "doc_starts", "doc_ends")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: int = LEAST, **options) -> DataFrame:
-    """``docs`` without the documents that hold an item of ``least`` words or more: shorter ones stand in clean text by chance, and are only reported."""
-    long_items = benchmark.where(F.size(F.array_remove(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")) >= least)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: int = LEAST, least_item: int = LEAST_ITEM, **options) -> DataFrame:
+    """``docs`` without the documents that hold an item of ``least_item`` words or more: shorter ones stand in clean text by chance, and are only reported."""
+    long_items = benchmark.where(F.size(F.array_remove(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")) >= least_item)
     bad = tiled(docs, long_items, text, item_text, least, **options).select(F.col("_k1").alias("_a1"), F.col("_k2").alias("_a2")).distinct()
     inner, names = hidden(docs)
     keyed = inner.select("*", *text_key(names[text]))
