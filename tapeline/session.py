@@ -8,6 +8,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",  # filters choose image shards
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",  # code=000001 stays a string
 }
 
