@@ -248,11 +248,33 @@ def overlap_summary(overlap: DataFrame) -> DataFrame:
 
 
 def compounding_check(pred: DataFrame, features: DataFrame, check_rows: int | None = None) -> DataFrame:
-    """Future returns rebuilt from daily ones for all rows, or the first ``check_rows`` by date and code: (1 + open-to-close) * product of (1 + ret), against future_ret."""
+    """Future returns rebuilt from daily ones for all rows, or the first ``check_rows`` by date and code: (1 + open-to-close) * product of (1 + ret), against future_ret.
+
+    Each code's days carry running sums: of the logarithms of the factors' sizes, and of how many factors were zero, negative and
+    known. A horizon's product is the difference of two of them, so its cost is two lookups, however long it is.
+    """
     cal, d = placed(daily_context(features))
     rows = pred.select("date", "code", "horizon", "future_ret").distinct()
     rows = rows if check_rows is None else rows.orderBy("date", "code").limit(check_rows)
-    rows = rows.join(F.broadcast(cal), "date").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("horizon"))))
-    rows = rows.withColumn("pos", F.col("pos") + F.col("k")).join(d, ["pos", "code"])
-    rows = rows.groupBy("date", "code", "horizon", "future_ret").agg((F.product(1 + F.when(F.col("k") == 1, F.col("o2c")).otherwise(F.col("ret"))) - 1).alias("rebuilt"), F.count(F.when(F.col("k") == 1, F.col("o2c")).otherwise(F.col("ret"))).alias("n"))
-    return rows.where("n = horizon").agg(F.count("*").alias("n_rows"), F.max(F.abs(F.col("rebuilt") - F.col("future_ret"))).alias("max_difference"))
+    factor = 1 + F.col("ret")
+    so_far = Window.partitionBy("code").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"logs": F.sum(F.when(factor != 0, F.ln(F.abs(factor)))), "zeros": F.sum((factor == 0).cast("int")), "signs": F.sum((factor < 0).cast("int")), "known": F.count("ret")}
+    days = stored(d.select("code", "pos", "o2c", *[F.coalesce(v.over(so_far), F.lit(0)).alias(k) for k, v in sums.items()]))
+    end = days.select("code", F.col("pos").alias("end"), *[F.col(k).alias(f"end_{k}") for k in sums])
+    rows = rows.join(F.broadcast(cal), "date").withColumns({"first": F.col("pos") + 1, "end": F.col("pos") + F.col("horizon")}).drop("pos")
+    rows = rows.join(days.withColumnRenamed("pos", "first"), ["code", "first"]).join(end, ["code", "end"])
+    of = {k: F.col(f"end_{k}") - F.col(k) for k in sums}
+    size = F.when(of["zeros"] > 0, 0.0).otherwise(F.exp(of["logs"]) * F.when(of["signs"] % 2 == 1, -1.0).otherwise(1.0))
+    rows = rows.where(F.col("o2c").isNotNull() & (of["known"] == F.col("horizon") - 1))
+    rebuilt = (1 + F.col("o2c")) * size - 1
+    return rows.agg(F.count("*").alias("n_rows"), F.max(F.abs(rebuilt - F.col("future_ret"))).alias("max_difference"))
+
+
+def warned(check: DataFrame, tolerance: float) -> str | None:
+    """A warning from the row of ``compounding_check``: nothing to compare, or a difference above the tolerance; None if all is well."""
+    row = check.first()
+    if not row.n_rows:
+        return "compounding check: no row has all its daily returns"
+    if row.max_difference is not None and row.max_difference > tolerance:
+        return f"compounding check: of {row.n_rows} rows one differs by {row.max_difference:.8g}, more than {tolerance:g}"
+    return None

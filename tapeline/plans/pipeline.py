@@ -12,14 +12,23 @@ from tapeline.sinks.stored import Steps
 from tapeline.sources import tables
 
 
-def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineConfig, out: str) -> None:
-    """The stored panel; keys that aren't unique in a price table are an error."""
-    writers.by_year(panel.to_storage(panel.build_panel(raw, adjusted, cfg, check=True)), f"{out}/panel_by_year")
+def build_panel(raw: DataFrame | None, adjusted: DataFrame | None, cfg: EngineConfig, out: str, table: str | None = None) -> dict:
+    """The stored panel, by year and, with ``table``, as a catalog table in buckets of codes; what was written, counted as it was.
 
-
-def build_features(spark: SparkSession, cfg: EngineConfig, out: str) -> None:
-    f = features.build_features(spark.read.parquet(f"{out}/panel_by_year").drop("year"), cfg)
-    writers.by_year(features.to_storage(f, cfg), f"{out}/features_by_year")
+    Keys that aren't unique in a price table are an error.
+    """
+    built = panel.to_storage(panel.build_panel(raw, adjusted, cfg, check=True))
+    found = writers.observed(built, lambda df: writers.by_year(df, f"{out}/panel_by_year"), range(cfg.start.year, cfg.end.year + 1))
+    if table:
+        writers.bucketed_table(built.sparkSession.read.parquet(f"{out}/panel_by_year").drop("year"), table, path=f"{out}/panel_by_code")
+    return found
+
+
+def build_features(spark: SparkSession, cfg: EngineConfig, out: str, table: str | None = None) -> dict:
+    """The stored features, from the panel by year or from the catalog table, whose buckets need no exchange before the windows."""
+    source = spark.table(table) if table else spark.read.parquet(f"{out}/panel_by_year").drop("year")
+    f = features.to_storage(features.build_features(source, cfg), cfg)
+    return writers.observed(f, lambda df: writers.by_year(df, f"{out}/features_by_year"), range(cfg.start.year, cfg.end.year + 1))
 
 
 def build_images(spark: SparkSession, cfg: EngineConfig, out: str, experiments: str | None = None) -> None:
