@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,69 @@ def images(df: DataFrame, height: int, width: int, horizons: tuple[int, ...]) ->
     return keys.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_images"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("_bad", "n_wrong_size"), ("_other", "n_not_binary"), ("_unpaired", "n_unpaired_labels"))], F.coalesce(F.sum((F.col("k") > 1).cast("int")), F.lit(0)).alias("n_duplicate_keys"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-def compare_images(new: DataFrame, old: DataFrame, sample: int, seed: int = 20260828, horizon: int = 5) -> DataFrame:
-    """Pixel and label mismatches over ``sample`` common keys, chosen by a seeded hash."""
-    both = new.select("date", "code", F.col("image").alias("a"), F.col(f"future_ret_{horizon}d").alias("x")).join(old.select("date", "code", F.col("image").alias("b"), F.col(f"future_ret_{horizon}d").alias("y")), ["date", "code"])
-    both = both.orderBy(F.xxhash64(F.lit(seed), "date", "code"), "date", "code").limit(sample)
-    return both.agg(F.count("*").alias("n"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("n_pixel_mismatch"), F.sum((~(F.coalesce(F.abs(F.col("x") - F.col("y")) <= 1e-6, F.col("x").isNull() & F.col("y").isNull()))).cast("int")).alias("n_return_mismatch"))
+def label_stats(df: DataFrame, horizons: tuple[int, ...], end: dt.date) -> DataFrame:
+    """For each horizon: rows whose label and return are known, rows without, and known ones so late that they can't be complete (a guide, as days aren't trading days)."""
+    stats = []
+    for h in horizons:
+        valid = F.col(f"label_{h}d").isNotNull() & F.col(f"future_ret_{h}d").isNotNull()
+        late = valid & (F.col("date") > F.lit(end - dt.timedelta(days=h + 5)))
+        stats.append(F.struct(F.lit(h).alias("horizon"), F.count_if(valid).alias("valid_rows"), F.count_if(~valid).alias("missing_rows"), F.count_if(late).alias("late_valid_rows")))
+    return df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
+
+
+def compare_images(new: DataFrame, old: DataFrame, sample: int, horizons: tuple[int, ...], seed: int = 20260828) -> DataFrame:
+    """One row: common keys, and over ``sample`` of them pixels that differ, the largest difference, and labels or returns that differ by more than 1e-6.
+
+    The sample are the keys with the least seeded hashes, which each task finds among its own keys first.
+    """
+    values = [f"{p}_{h}d" for h in horizons for p in ("label", "future_ret")]
+    one, two = (df.select("date", "code", F.struct("image", *values).alias(name)) for df, name in ((new, "a"), (old, "b")))
+    both = one.join(two, ["date", "code"])
+    some = both.orderBy(F.xxhash64(F.lit(seed), "date", "code"), "date", "code").limit(sample)
+    x, y = F.col("a.image"), F.col("b.image")
+    wrong = F.lit(0)
+    for c in values:
+        p, q = F.col(f"a.{c}").cast("double"), F.col(f"b.{c}").cast("double")
+        same = (p.isNull() & q.isNull()) | F.coalesce(F.abs(p - q) <= 1e-6 + 1e-6 * F.abs(q), F.lit(False))
+        wrong = wrong + (~same).cast("int")
+    some = some.select("date", "code", F.hex(x).alias("x"), F.hex(y).alias("y"), wrong.alias("wrong"))
+    byte = lambda t, k: F.conv(F.substr(F.col(t), 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    size = F.greatest(F.length("x"), F.length("y"))
+    differ = F.transform(F.sequence(F.lit(0), F.floor(size / 2).cast("int") - 1), lambda k: F.abs(F.coalesce(byte("x", k), F.lit(-1)) - F.coalesce(byte("y", k), F.lit(-1))))
+    each = some.select("wrong", F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(differ).alias("d"))
+    found = each.agg(F.count("*").alias("n_sampled"), F.coalesce(F.sum(F.size(F.filter("d", lambda v: v > 0))), F.lit(0)).alias("n_pixel_mismatch"), F.coalesce(F.max(F.array_max("d")), F.lit(0)).alias("max_pixel_difference"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_value_mismatch"))
+    return both.agg(F.count("*").alias("n_common")).join(F.broadcast(found))  # one row each
 
 
 def predictions(df: DataFrame, members: int | None = None) -> DataFrame:
-    """Rows, duplicate keys, missing scores and the member counts that occur, for each experiment and model."""
+    """Rows, dates, duplicate keys, scores that are missing or not finite, and the member counts that occur, for each experiment and model."""
     keys = ["experiment_name", "model_name"]
     count = F.col("ensemble_member_count") if "ensemble_member_count" in df.columns else F.lit(members)
-    one = df.groupBy(*keys, "date", "code").agg(F.count("*").alias("k"), F.sum(F.coalesce(F.isnan("score"), F.lit(True)).cast("int")).alias("bad"), F.min(count).alias("lo"), F.max(count).alias("hi"))
-    return one.groupBy(*keys).agg(F.sum("k").alias("n_rows"), F.sum((F.col("k") > 1).cast("int")).alias("n_duplicate_keys"), F.sum("bad").alias("n_missing_scores"), F.min("lo").alias("min_members"), F.max("hi").alias("max_members"))
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    one = df.groupBy(*keys, "date", "code").agg(F.count("*").alias("k"), F.sum(bad.cast("int")).alias("bad"), F.min(count).alias("lo"), F.max(count).alias("hi"))
+    return one.groupBy(*keys).agg(F.sum("k").alias("n_rows"), F.countDistinct("date").alias("n_dates"), F.sum((F.col("k") > 1).cast("int")).alias("n_duplicate_keys"), F.sum("bad").alias("n_missing_scores"), F.min("lo").alias("min_members"), F.max("hi").alias("max_members"))
+
+
+def year_faults(df: DataFrame, years: range, required: tuple[str, ...], name: str) -> tuple[list, list[str]]:
+    """Rows of ``by_year`` (one for each year), and what is wrong with a table by year."""
+    faults = [f"{name}: missing column {c}" for c in required if c not in df.columns]
+    if not {"date", "code"} <= set(df.columns):
+        return [], faults
+    if n := df.where("date is null or code is null").count():
+        faults.append(f"{name}: {n} rows without a key")
+    rows = sorted(by_year(df.where("date is not null and code is not null")).collect(), key=lambda r: r.year)
+    there = {r.year for r in rows}
+    faults += [f"{name}: no row of {y}" for y in years if y not in there] + [f"{name}: rows of {y}, which isn't expected" for y in sorted(there - set(years))]
+    faults += [f"{name}: {r.n_duplicate_keys} keys of {r.year} more than once" for r in rows if r.n_duplicate_keys]
+    return rows, faults
+
+
+def image_faults(row, rows_of_dates: tuple[dt.date, dt.date], name: str) -> list[str]:
+    """What is wrong by a row of ``images``."""
+    said = {"n_wrong_size": "images of another size", "n_not_binary": "images of other than two values", "n_duplicate_keys": "keys more than once", "n_unpaired_labels": "labels without return, or returns without label"}
+    out = [f"{name}: {row[c]} {what}" for c, what in said.items() if row[c]]
+    if not row.n_images:
+        return [f"{name}: no images"]
+    if row["first"] < rows_of_dates[0] or row["last"] > rows_of_dates[1]:
+        out.append(f"{name}: dates from {row['first']} to {row['last']}, outside {rows_of_dates[0]} to {rows_of_dates[1]}")
+    return out

@@ -320,6 +320,39 @@ def image_qa(spark: SparkSession, sf: str) -> DataFrame:
     return qa.images(images.dense(images.pixels(_windows(spark, sf), 5, CFG), 5, CFG), 32, 15, CFG.horizons_of_window(5))
 
 
+#: Defects that the checks must find: keys twice, scores missing, a member short.
+_DEFECTS = """SELECT experiment_name, model_name, CAST(sum(k) AS BIGINT) AS n_rows, count(DISTINCT date) AS n_dates, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_duplicate_keys, CAST(sum(bad) AS BIGINT) AS n_missing_scores, min(lo) AS min_members, max(lo) AS max_members FROM
+    (SELECT experiment_name, model_name, date, code, CASE WHEN code LIKE '%7' THEN 2 ELSE 1 END AS k, CASE WHEN code LIKE '%37' THEN 2 WHEN code LIKE '%3' THEN 1 ELSE 0 END AS bad, CASE WHEN code LIKE '%1' THEN 19 ELSE 20 END AS lo FROM pred) AS x GROUP BY ALL"""
+
+
+@query("experiment_name:s model_name:s n_rows:i n_dates:i n_duplicate_keys:i n_missing_scores:i min_members:i max_members:i", steps("pred", _DEFECTS))
+def prediction_qa(spark: SparkSession, sf: str) -> DataFrame:
+    """The check of predictions over scores with made defects."""
+    from tapeline.operators import qa
+
+    df = scores(week_features(spark, sf))
+    code = F.col("code")
+    df = df.withColumn("ensemble_member_count", F.when(code.endswith("1"), 19).otherwise(20)).withColumn("twice", F.explode(F.when(code.endswith("7"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return qa.predictions(df.withColumn("score", F.when(code.endswith("37"), F.lit(float("inf"))).when(code.endswith("3"), F.lit(None)).otherwise(F.col("score"))))
+
+
+@query("n_common:i n_sampled:i n_pixel_mismatch:i max_pixel_difference:i n_value_mismatch:i", steps("feat", """SELECT count(*) AS n_common, count(*) AS n_sampled, CAST(sum(CASE WHEN code LIKE '%5' THEN 2 ELSE 0 END) AS BIGINT) AS n_pixel_mismatch, max(CASE WHEN code LIKE '%5' THEN 7 ELSE 0 END) AS max_pixel_difference,
+    CAST(sum(CASE WHEN code LIKE '%4' THEN 2 ELSE 0 END) AS BIGINT) AS n_value_mismatch FROM valid WHERE code NOT LIKE '%9'""", _IMAGE))
+def image_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """All images against a copy with made defects: two pixels of some changed, values of others, some gone."""
+    from tapeline.operators import images, qa
+    from tapeline.sinks.stored import stored
+
+    new = stored(images.dense(images.pixels(_windows(spark, sf), 5, CFG), 5, CFG))
+    code, text = F.col("code"), F.hex("image")
+    # byte 3 and the last one, which is lit in every image: seven more or less than they were
+    near = lambda c: F.when(c == "00", F.lit("07")).otherwise(F.lit("F8"))
+    changed = F.unhex(F.concat(F.substring(text, 1, 6), near(F.substring(text, 7, 2)), F.substring(text, 9, 2 * 32 * 15 - 10), near(F.substring(text, 2 * 32 * 15 - 1, 2))))
+    old = new.where(~code.endswith("9")).withColumn("image", F.when(code.endswith("5"), changed).otherwise(F.col("image")))
+    old = old.withColumns({c: F.when(code.endswith("4"), F.col(c) + 0.5).otherwise(F.col(c)) for c in ("label_5d", "future_ret_5d")})
+    return qa.compare_images(new, old, 1_000_000_000, (5,))
+
+
 @query("date:d code:s label:f pred_prob:f")
 def logistic_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Test rows scored by the logistic baseline, over those of its features that the panel has (iterative: no SQL)."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import uuid
 from collections.abc import Callable
 
@@ -114,3 +115,15 @@ def csv_table(df: DataFrame, path: str, prefix: str = "") -> None:
 
 def json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def json_file(spark: SparkSession, report: dict, path: str) -> None:
+    """A small report as one JSON file, by a rename."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs, part = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), f"{path}.{uuid.uuid4().hex}"
+    out = fs.create(at(part), True)
+    out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, default=str).encode()))
+    out.close()
+    fs.delete(at(path), False)
+    if not fs.rename(at(part), at(path)):
+        raise OSError(f"can't rename to {path}")

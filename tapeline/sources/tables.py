@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,24 @@ def training_columns(experiments: tuple[Experiment, ...], features: list[str]) -
     return list(dict.fromkeys(["date", "code", "is_tradable", *features, *own]))
 
 
-def read_predictions(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
-    """Prediction files in their common form; an empty result is an error."""
-    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
-    df = predictions(require_columns(reader.parquet(*paths), PREDICTION, "predictions"))
+def read_predictions(spark: SparkSession, root: str, pattern: str | None = None, most: int | None = None) -> DataFrame:
+    """Prediction tables of a folder in their common form; an empty result is an error."""
+    df = predictions(require_columns(read_tables(spark, root, pattern, most), PREDICTION, "predictions"))
     if not df.head(1):
-        raise ValueError(f"no usable prediction in {paths}")
+        raise ValueError(f"no usable prediction in {root}")
     return df
 
 
+def read_tables(spark: SparkSession, root: str, pattern: str | None = None, most: int | None = None) -> DataFrame:
+    """All prediction tables directly under ``root`` as one, columns that some lack null; ``most`` keeps the first ones by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(x.getPath().toString() for x in fs.globStatus(at(f"{root}/{pattern or '*'}")) if not x.getPath().getName().startswith((".", "_")))[:most]
+    if not found:
+        raise ValueError(f"no prediction table under {root} by the pattern {pattern or '*'}")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in found])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
