@@ -36,6 +36,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks, characters of one, and pairs of pieces that a worker keeps; beyond these the cache starts anew or passes a chunk by.
 CACHE_CHUNKS, CACHE_CHARACTERS, CACHE_PAIRS = 1 << 19, 200, 1 << 20
+#: Characters of texts whose new chunks are worked out together.
+TOGETHER = 1 << 20
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 DIGEST = "doc_id {id}, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -50,14 +52,19 @@ class Chunks:
         self.make, self.known = make, {}
 
     def __call__(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its chunks, in order."""
-        for text in texts:
-            parts = self.pattern.findall(text)
-            values = list(map(self.known.get, parts))
-            if None in values:
-                found = self._found({x for x, v in zip(parts, values, strict=True) if v is None})
-                values = [found[x] if v is None else v for x, v in zip(parts, values, strict=True)]
-            yield values
+        """For each text the values of its chunks, in order; new chunks of several texts are worked out together."""
+        at = 0
+        while at < len(texts):
+            start, size = at, 0
+            while at < len(texts) and (at == start or size + len(texts[at]) <= TOGETHER):
+                size += len(texts[at])
+                at += 1
+            parts = [self.pattern.findall(x) for x in texts[start:at]]
+            values = [list(map(self.known.get, own)) for own in parts]
+            new = {x for own, v in zip(parts, values, strict=True) if None in v for x, y in zip(own, v, strict=True) if y is None}
+            found = self._found(new) if new else {}
+            for own, v in zip(parts, values, strict=True):
+                yield [found[x] if y is None else y for x, y in zip(own, v, strict=True)] if None in v else v
 
     def _found(self, new: set[str]) -> dict:
         """Values of chunks that aren't known, and become so but for long ones."""

@@ -127,13 +127,22 @@ class Aligner:
     """Both tokenizers with the chunks that a worker knows."""
 
     def __init__(self, a: str = BYTES, b: str = MODEL):
+        import sentencepiece
+
         self.a, self.b = ByteLevel(a), Pieces(b)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=b if os.path.sep in b else tokenizer_path(b))
         self.digits = Digits(max(len(self.a.size), len(self.b.size)))
         self.chunks = Chunks(self._encoded, self.b.cut)
 
     def _encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of A and of B."""
-        return [(array.array("i", a).tobytes(), array.array("i", self.b.ids_of(x)).tobytes()) for x, a in zip(chunks, self.a.ids(chunks), strict=True)]
+        return [(array.array("i", a).tobytes(), array.array("i", b).tobytes()) for a, b in zip(self.a.ids(chunks), self.b_ids(chunks), strict=True)]
+
+    def b_ids(self, chunks: list[str]) -> list[list[int]]:
+        """The library's ids of each chunk; it adds a space to a text, which stands for the one that a chunk begins with."""
+        own = [x for x in chunks if len(x) > 1 and x[0] == " "]
+        found = dict(zip(own, self.library.encode([x[1:] for x in own], num_threads=1), strict=True))
+        return [found[x] if x in found else self.b.ids_of(x) for x in chunks]
 
     def tokens(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids of A and B of each text; none where B reads another text (U+2581 as a space)."""
