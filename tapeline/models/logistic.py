@@ -10,7 +10,6 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
@@ -92,17 +91,21 @@ class LogisticBaselineModel(_Parameters, Model, MLReadable, MLWritable):
         self._set(**own, middle=middle, mean=mean, deviation=deviation)
         return self
 
+    def scaled(self) -> list[Column]:
+        """The filled and standardised features."""
+        own = zip(self.getOrDefault("features"), self.getOrDefault("middle"), self.getOrDefault("mean"), self.getOrDefault("deviation"), strict=True)
+        return [(F.coalesce(_number(c), F.lit(m)) - mean) / sd for c, m, mean, sd in own]
+
     def prepared(self, df: DataFrame) -> DataFrame:
-        """``df`` with the vector _x of filled and standardised features."""
-        features = self.getOrDefault("features")
-        own = zip(features, self.getOrDefault("middle"), self.getOrDefault("mean"), self.getOrDefault("deviation"), strict=True)
-        scaled = {f"_z{i}": (F.coalesce(_number(c), F.lit(m)) - mean) / sd for i, (c, m, mean, sd) in enumerate(own)}
+        """``df`` with the vector _x of ``scaled``, as the regression is fitted on."""
+        scaled = {f"_z{i}": z for i, z in enumerate(self.scaled())}
         return VectorAssembler(inputCols=list(scaled), outputCol="_x").transform(df.withColumns(scaled)).drop(*scaled)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """``dataset`` with pred_prob."""
-        out = self.inner.transform(self.prepared(dataset))
-        return out.withColumn("pred_prob", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+        """``dataset`` with pred_prob: column arithmetic, which stays in generated code and carries no model to the tasks."""
+        weights = self.inner.coefficients.toArray().tolist()
+        margin = sum((z * w for z, w in zip(self.scaled(), weights, strict=True)), F.lit(float(self.inner.intercept)))
+        return dataset.withColumn("pred_prob", 1 / (1 + F.exp(-margin)))
 
     def write(self) -> MLWriter:
         return _Writer(self)

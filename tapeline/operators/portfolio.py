@@ -8,6 +8,8 @@ and aggregated; nothing is simulated day by day. Positions count trading days of
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,21 @@ def daily_context(features: DataFrame) -> DataFrame:
     return df.groupBy("date", "code").agg(*[F.avg(c).alias(c) for c in numbers], *[F.max(F.coalesce(c, F.lit(0))).alias(c) for c in flags])
 
 
-def placed(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+class Placed(NamedTuple):
     """The calendar (date, pos), and the daily rows by position with short names."""
-    daily = stored(daily)
+
+    calendar: DataFrame
+    days: DataFrame
+
+
+def placed(daily: DataFrame | Placed) -> Placed:
+    """Daily rows (of ``daily_context``) in their places; what is placed already stays, so several books share it."""
+    if isinstance(daily, Placed):
+        return daily
+    daily = stored(daily_context(daily))
     cal = stored(calendar(daily))
     d = daily.join(F.broadcast(cal), "date").select("pos", "code", F.col("ret_1d").alias("ret"), F.col("open_to_close_ret_1d").alias("o2c"), F.col("volume").alias("vol"), F.col("is_suspended").alias("susp"), F.col("is_low_volume_limit_up").alias("up"), F.col("is_low_volume_limit_down").alias("down"))
-    return cal, stored(d)
+    return Placed(cal, stored(d))
 
 
 def signals(pred: DataFrame, cal: DataFrame, overlapping: bool) -> DataFrame:
@@ -46,8 +57,9 @@ def signals(pred: DataFrame, cal: DataFrame, overlapping: bool) -> DataFrame:
     df = df.join(F.broadcast(cal), "date").withColumnRenamed("pos", "signal_pos")
     df = df.join(F.broadcast(cal.agg(F.max("pos").alias("last"))))
     if not overlapping:
-        anchor = F.min("signal_pos").over(Window.partitionBy(*GROUP, "horizon"))
-        df = df.withColumn("_a", anchor).where((F.col("signal_pos") - F.col("_a")) % F.col("horizon") == 0).drop("_a")
+        first = df.groupBy(*GROUP, "horizon").agg(F.min("signal_pos").alias("_a"))  # a row for each group and horizon, a few dozen
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*GROUP, "horizon")]
+        df = df.alias("l").join(F.broadcast(first).alias("r"), same).select("l.*", "r._a").where((F.col("signal_pos") - F.col("_a")) % F.col("horizon") == 0).drop("_a")
     end = F.col("signal_pos") + F.col("horizon")
     df = df.withColumns({"start": F.col("signal_pos") + 1, "end": F.least(end, F.col("last")) if overlapping else end})
     return df.where("start <= end and end <= last").drop("date")
@@ -101,13 +113,17 @@ def held_days(pos: DataFrame, d: DataFrame, overlapping: bool) -> DataFrame:
     """
     cohort = Window.partitionBy("g", "decile", "signal_pos")
     gone = F.coalesce(F.col("exit"), F.lit(1 << 60))
-    df = pos.withColumns({"n_all": F.count("*").over(cohort), "n_open": F.count_if("open").over(cohort), "late": F.collect_list(F.when(F.col("open") & (gone > F.col("end")), gone)).over(cohort), "gone": gone})
+    df = pos.withColumns({"n_all": F.count("*").over(cohort), "n_open": F.count_if("open").over(cohort), "gone": gone})
+    # late exits by day: an array of as many entries as there are such days, however many positions leave on one
+    late = F.col("open") & (F.col("gone") > F.col("end"))
+    df = df.withColumn("_same", F.count_if(late).over(Window.partitionBy("g", "decile", "signal_pos", "gone")))
+    df = df.withColumn("late", F.collect_set(F.when(late, F.struct("gone", "_same"))).over(cohort)).drop("_same")
     until = F.when(F.col("open"), F.greatest(F.col("end"), F.least(F.col("gone"), F.col("last")))).otherwise(F.col("end"))
     slot = (1 / F.col("horizon")) if overlapping else F.lit(1.0)
     df = df.select("g", "decile", "code", "start", "end", "open", "unknown", "late", "gone", "n_all", "n_open", slot.alias("slot"), F.explode(F.sequence("start", until)).alias("pos"))
     df = df.join(d.select("pos", "code", "ret", "o2c", "susp"), ["pos", "code"], "left")
     day, slot, n = F.col("pos"), F.col("slot"), F.col("n_open")
-    later = lambda k: F.size(F.filter("late", lambda x: x > k))
+    later = lambda k: F.aggregate(F.filter("late", lambda x: x["gone"] > k), F.lit(0).cast("long"), lambda n, x: n + x["_same"])
     planned, due, opens = day <= F.col("end"), day >= F.col("end"), F.col("start") == day
     on = {"ideal": planned, "constrained": F.col("open") & planned, "actual": F.col("open") & (day <= F.col("gone"))}
     alive = F.when(planned, n).otherwise(later(day - 1))
@@ -162,9 +178,9 @@ def _count(*columns: str) -> Column:
     return sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
 
 
-def portfolio_days(pred: DataFrame, features: DataFrame, cfg: EngineConfig, overlapping: bool = True) -> DataFrame:
+def portfolio_days(pred: DataFrame, features: DataFrame | Placed, cfg: EngineConfig, overlapping: bool = True) -> DataFrame:
     """One row for each group, decile and day on which any of the three books holds something, before costs."""
-    cal, d = placed(daily_context(features))
+    cal, d = placed(features)
     sig, names = coded(stored(signals(pred, cal, overlapping)))
     held = stored(held_days(executed(sig, d, overlapping), d, overlapping))
     df = book_days(held).join(turnover(actual(held)), [*CODED, "pos"], "left")
@@ -182,12 +198,12 @@ def portfolio_days(pred: DataFrame, features: DataFrame, cfg: EngineConfig, over
     )
 
 
-def long_short_days(pred: DataFrame, features: DataFrame, top: int = 10, bottom: int = 1) -> DataFrame:
+def long_short_days(pred: DataFrame, features: DataFrame | Placed, top: int = 10, bottom: int = 1) -> DataFrame:
     """The non-overlapping long-short book of each group and day: long the top decile, short the bottom one, in all three books.
 
     Returns are long less short where both legs have one, weights the smaller of both, counts their sums, turnover that of netted weights.
     """
-    cal, d = placed(daily_context(features))
+    cal, d = placed(features)
     sig, names = coded(stored(signals(pred, cal, False)))
     legs = {}
     for name, sign, decile in (("long", 1, top), ("short", -1, bottom)):
@@ -210,9 +226,9 @@ def long_short_days(pred: DataFrame, features: DataFrame, top: int = 10, bottom:
     )
 
 
-def holdings(pred: DataFrame, features: DataFrame, top: int = 10, bottom: int = 1) -> DataFrame:
+def holdings(pred: DataFrame, features: DataFrame | Placed, top: int = 10, bottom: int = 1) -> DataFrame:
     """What each rebalance opens: three rows, D10 long, D10_minus_D1 long and short, with their codes."""
-    cal, d = placed(daily_context(features))
+    cal, d = placed(features)
     sig = stored(signals(pred, cal, False))
     keys = [*GROUP, "horizon", "signal_pos", "start", "end"]
     out = []
@@ -247,13 +263,13 @@ def overlap_summary(overlap: DataFrame) -> DataFrame:
     return overlap.groupBy("experiment_name", "universe_group", "portfolio_name", "leg").agg(F.count("*").alias("n_rebalances"), F.avg(j).alias("jaccard_mean"), F.median(j).alias("jaccard_median"), F.percentile(j, F.lit(0.25)).alias("jaccard_p25"), F.percentile(j, F.lit(0.75)).alias("jaccard_p75"), *[F.avg(c).alias(f"avg_{c}") for c in ("intersection_n", "logistic_n", "cnn_n")])
 
 
-def compounding_check(pred: DataFrame, features: DataFrame, check_rows: int | None = None) -> DataFrame:
+def compounding_check(pred: DataFrame, features: DataFrame | Placed, check_rows: int | None = None) -> DataFrame:
     """Future returns rebuilt from daily ones for all rows, or the first ``check_rows`` by date and code: (1 + open-to-close) * product of (1 + ret), against future_ret.
 
     Each code's days carry running sums: of the logarithms of the factors' sizes, and of how many factors were zero, negative and
     known. A horizon's product is the difference of two of them, so its cost is two lookups, however long it is.
     """
-    cal, d = placed(daily_context(features))
+    cal, d = placed(features)
     rows = pred.select("date", "code", "horizon", "future_ret").distinct()
     rows = rows if check_rows is None else rows.orderBy("date", "code").limit(check_rows)
     factor = 1 + F.col("ret")

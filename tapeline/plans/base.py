@@ -24,7 +24,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def week_panel(spark: SparkSession, sf: str) -> DataFrame:
-    b = weekly(spark, sf)
+    b = stored(weekly(spark, sf))  # both price tables are made of it, so ticks are read and summed up once
     return panel.build_panel(bars.raw_prices(b), bars.adjusted_prices(b), CFG)
 
 

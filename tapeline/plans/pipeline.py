@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,26 +58,27 @@ def evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, ove
 
 
 def _evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, overlapping: bool, prefix: str) -> None:
-    ranked = cross_section.deciles(cross_section.universes(pred), cfg.deciles).persist()
+    ranked = stored(cross_section.deciles(cross_section.universes(pred), cfg.deciles))
     ic = cross_section.ic_by_period(ranked)
     returns = cross_section.decile_returns(ranked)
     summary = cross_section.decile_summary(returns)
-    days = performance.with_costs(portfolio.portfolio_days(ranked, daily, cfg, overlapping), cfg)
-    net = performance.long_short(days) if overlapping else performance.with_costs(portfolio.long_short_days(ranked, daily), cfg)
-    days = days.unionByName(net, allowMissingColumns=True).persist()
+    market = portfolio.placed(daily)  # for all books
+    if said := portfolio.warned(portfolio.compounding_check(pred, market), cfg.check_tolerance):
+        warnings.warn(said, stacklevel=3)
+    days = performance.with_costs(portfolio.portfolio_days(ranked, market, cfg, overlapping), cfg)
+    net = performance.long_short(days) if overlapping else performance.with_costs(portfolio.long_short_days(ranked, market), cfg)
+    days = stored(days.unionByName(net, allowMissingColumns=True))
     performed = performance.performance(days, cfg)
     results = {
         "ic_by_period": ic, "ic_summary": cross_section.ic_summary(ic), "cumulative_ic": cross_section.cumulative_ic(ic), "decile_returns": returns, "decile_summary": summary, "decile_monotonicity": cross_section.monotonicity(summary),
         "portfolio_returns": days, "portfolio_turnover": days.where("cost_bps = 0").drop("cost_bps"), "portfolio_nav": performance.nav(days), "performance_summary": performed, "return_attribution": performance.attribution(days, cfg), "cost_sensitivity": performance.cost_sensitivity(performed),
     }
     if not overlapping:
-        held = portfolio.holdings(ranked, daily).persist()
+        held = stored(portfolio.holdings(ranked, market))
         overlap = portfolio.holding_overlap(held)
         results |= {"portfolio_holdings": held, "holding_overlap": overlap, "holding_overlap_summary": portfolio.overlap_summary(overlap)}
     for name, df in results.items():
         writers.csv_table(df, f"{out}/{name}", prefix or ("" if overlapping else "nonoverlap_"))
-    for kept in (ranked, days):
-        kept.unpersist()
 
 
 def aggregate(spark: SparkSession, path: str, loss: str, experiment: str, out: str, score: str = "pred_score_raw", probability: str = "pred_probability", folds: int = 5, seeds: int = 4) -> dict:
