@@ -59,7 +59,6 @@ def _lead(line: Column) -> Column:
 
 def _families(lines: DataFrame, tails: DataFrame, rows: int, templates: DataFrame, least_tokens: int) -> DataFrame:
     """One row for each text: family (of its own lines; null if it has too few), and marks of its templates' leaves (null if it has a family)."""
-    lines = lines.withColumn("line", F.xxhash64("text"))
     fixed = templates.select("leaf", "line", F.lit(True).alias("held")).distinct()
     both = joined(lines, tails.select(F.col("h").alias("tail"), F.lit(True).alias("recurs")), rows, 16, ["tail"], "left").join(fixed, ["leaf", "line"], "left")
     own = F.col("held").isNull() & F.col("recurs").isNull()
@@ -77,16 +76,18 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     whole = docs.select(*text_key(text), F.transform(_lines(_even(F.col(text))), lambda x: F.trim(x)).alias("lines"))
     lines = whole.select("_k1", "_k2", F.posexplode("lines").alias("place", "text")).where("text <> ''")
     count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumns({"count": count, "lead": _lead(F.col("text")), "tail": F.xxhash64(F.substring_index("text", " ", -LEAD), F.lit("tail"))})
+    lines = lines.withColumns({"count": count, "lead": _lead(F.col("text")), "line": F.xxhash64("text")})
     leaf = F.when(F.col("count") >= least_tokens, F.xxhash64("count", "lead")).when(F.octet_length("text") >= LEAST_BYTES, F.xxhash64("text", F.lit("leaf")))
     lines = lines.withColumn("leaf", leaf)
+    # hashes of all lines are kept; texts are read again only of lines whose leaf recurs
+    marked = scratch.table(lines.select("_k1", "_k2", "count", "leaf", F.xxhash64(F.substring_index("text", " ", -LEAD), F.lit("tail")).alias("tail"), "line"))
 
-    seen = lines.select("_k1", "_k2", F.explode(F.array("leaf", "tail")).alias("h")).where("h is not null")
+    seen = marked.select("_k1", "_k2", F.explode(F.array("leaf", "tail")).alias("h")).where("h is not null")
     shared = seen.groupBy("h", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n")).where(F.col("n") >= least_docs).select("h")
     shared = scratch.table(shared)
     rows = shared.count()
     held = joined(lines.where("leaf is not null"), shared.withColumnRenamed("h", "leaf"), rows, 16, ["leaf"], "inner")
-    held = scratch.table(held.select("_k1", "_k2", "place", "leaf", F.xxhash64("text").alias("line"), "text"))
+    held = scratch.table(held.select("_k1", "_k2", "place", "leaf", "line", "text"))
 
     distinct = held.groupBy("leaf", "line").agg(F.min("text").alias("text"))
     tokens = distinct.select("leaf", "line", F.posexplode(F.split("text", " ")).alias("at", "token"))
@@ -101,7 +102,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
     verbatim = carried.where(F.col("docs") >= least_docs).select("leaf", "line", F.xxhash64("line", F.lit("verbatim")).alias("template"))
     templates = scratch.table(templates.select("leaf", "line", "template").union(verbatim))
 
-    families = _families(lines, shared, rows, templates, least_tokens)
+    families = _families(marked, shared, rows, templates, least_tokens)
     marks = [f"mark{k}" for k in range(MARKS)]
     used = held.join(templates, ["leaf", "line"]).select("leaf", "template", "_k1", "_k2").distinct()
     used = used.join(families, ["_k1", "_k2"]).select("leaf", "template", "family", *marks).distinct()
