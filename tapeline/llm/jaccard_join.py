@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .dist import Scratch, by_runs, components, hidden, joined, repeated
 from .substring_dedup import text_key
+from .tokens import give_up
 from .words import NOT_SPACE, chunks, grams, mix, sequence_hash, words
 
 #: First sizes of the bands; below 100 elements deletions are indexed.
@@ -43,6 +44,8 @@ EXACT, DELETION, PREFIX = 0, 1, 2
 DELETION_GROUPS = list(range(2 * BORDERS.index(DELETION_BELOW)))
 #: Longs of the parity sketch, and its columns.
 PARITY = 8
+#: Sets that a task remembers as indexed.
+SEEN = 1 << 18
 BITS = [f"p{i}" for i in range(PARITY)]
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -131,6 +134,7 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 def _describe(n: int, lower: bool, kind: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for batch in batches:
             size, sid = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
             parity = np.zeros((PARITY, batch.num_rows), np.int64)
@@ -145,6 +149,7 @@ def _index(n: int, lower: bool, kind: np.ndarray, threshold: int):
     smallest = next(i for i in range(2, 1000) if 100 * (i - 1) >= threshold * i)  # below, only equal sets link
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         seen: set[int] = set()
         keys, ids, tags, held = [], [], [], 0
 
@@ -156,6 +161,8 @@ def _index(n: int, lower: bool, kind: np.ndarray, threshold: int):
             for _, s in _sets(batch.column("text"), n, lower, kind):
                 if len(s) < smallest - 1 or (sid := _set_id(s)) in seen:
                     continue
+                if len(seen) >= SEEN:  # a set that is met again is indexed again, and its equal rows count once
+                    seen.clear()
                 seen.add(sid)
                 k, t = _index_rows(s, threshold)
                 keys.append(k)

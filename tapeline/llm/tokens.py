@@ -8,6 +8,7 @@ NumPy. Pieces that hold other white space are encoded as they are.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,13 @@ def kept(name: str, make):
     return held[name]
 
 
+def give_up() -> None:
+    """Frees what this worker keeps, for operators that need its memory and no tokenizer."""
+    if module := sys.modules.get("tokenizers"):
+        vars(module).pop("_kept_encoders", None)
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(name: str = "word_bpe_49k.json") -> Encoder:
     """The worker's encoder of this name, with the pieces that it knows."""
     return kept(name, lambda: Encoder(name))
