@@ -251,11 +251,12 @@ def holding_overlap(held: DataFrame) -> DataFrame:
     keys = ["experiment_name", "universe_group", "portfolio_name", "leg", "rebalance_date"]
     one = held.withColumn("_f", model_family(F.col("model_name"))).where("_f is not null")
     one = one.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_f").orderBy("model_name", "signal_date"))).where("_k = 1")
-    a = one.where("_f = 'Logistic'").select(*keys, F.col("codes").alias("a"), F.col("model_name").alias("logistic_model"))
-    b = one.where("_f = 'CNN'").select(*keys, F.col("codes").alias("b"), F.col("model_name").alias("cnn_model"))
+    sides = ("signal_date", "target_end_date", "horizon")
+    a = one.where("_f = 'Logistic'").select(*keys, *[F.col(c).alias(f"{c}_logistic") for c in sides], F.col("codes").alias("a"), F.col("model_name").alias("logistic_model"))
+    b = one.where("_f = 'CNN'").select(*keys, *[F.col(c).alias(f"{c}_cnn") for c in sides], F.col("codes").alias("b"), F.col("model_name").alias("cnn_model"))
     df = a.join(b, keys)
     both, either = F.array_intersect("a", "b"), F.array_union("a", "b")
-    return df.select(*keys, "logistic_model", "cnn_model", F.size("a").alias("logistic_n"), F.size("b").alias("cnn_n"), F.size(both).alias("intersection_n"), F.size(either).alias("union_n"), safe_div(F.size(both), F.size(either)).alias("jaccard_overlap"), safe_div(F.size(both), F.size("a")).alias("logistic_coverage"), safe_div(F.size(both), F.size("b")).alias("cnn_coverage"), join_codes(both).alias("intersection_codes"))
+    return df.select(*keys, *[f"{c}_{f}" for c in sides for f in ("logistic", "cnn")], "logistic_model", "cnn_model", F.size("a").alias("logistic_n"), F.size("b").alias("cnn_n"), F.size(both).alias("intersection_n"), F.size(either).alias("union_n"), safe_div(F.size(both), F.size(either)).alias("jaccard_overlap"), safe_div(F.size(both), F.size("a")).alias("logistic_coverage"), safe_div(F.size(both), F.size("b")).alias("cnn_coverage"), join_codes(both).alias("intersection_codes"))
 
 
 def overlap_summary(overlap: DataFrame) -> DataFrame:

@@ -76,6 +76,9 @@ def _evaluate(pred: DataFrame, daily: DataFrame, cfg: EngineConfig, out: str, ov
     if not overlapping:
         held = stored(portfolio.holdings(ranked, market))
         overlap = portfolio.holding_overlap(held)
+        top = f"d{cfg.deciles}_long_only"
+        own = [df.where(F.col("portfolio_name") == f"D{cfg.deciles}") for df in (days, results["portfolio_nav"], performed)]
+        results |= dict(zip([f"{top}_returns", f"{top}_nav", f"{top}_performance"], own, strict=True))
         results |= {"portfolio_holdings": held, "holding_overlap": overlap, "holding_overlap_summary": portfolio.overlap_summary(overlap)}
     for name, df in results.items():
         writers.csv_table(df, f"{out}/{name}", prefix or ("" if overlapping else "nonoverlap_"))

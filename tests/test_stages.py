@@ -55,6 +55,9 @@ def test_backtests_of_stored_predictions(spark, out):
             pipeline.evaluate(both.withColumn("future_ret", F.col("future_ret") + 0.5), daily, CFG, str(out), overlapping, table_dir=f"{out}/results")
     names = {p.name for p in (out / "results").iterdir() if not p.name.startswith(".")}
     assert {"ic_by_period.csv", "portfolio_returns.csv", "performance_summary.csv", "nonoverlap_portfolio_holdings.csv", "nonoverlap_holding_overlap_summary.csv"} <= names and all(n.endswith(".csv") for n in names)
+    top = [read(out / f"results/nonoverlap_d10_long_only_{n}.csv") for n in ("returns", "nav", "performance")]
+    assert all(rows and {r["portfolio_name"] for r in rows} == {"D10"} for rows in top)
+    assert {"signal_date_logistic", "target_end_date_cnn", "horizon_cnn"} <= set((out / "results/nonoverlap_holding_overlap.csv").read_text("utf-8-sig").split("\n")[0].split(","))
     rows = read(out / "results/portfolio_returns.csv")
     assert len({(r["date"], r["model_name"], r["universe_group"], r["portfolio_name"], r["cost_bps"]) for r in rows}) == len(rows) > 100
     from tapeline.sinks.stored import shared_folder
