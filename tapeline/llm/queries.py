@@ -66,9 +66,15 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of op10's method where all three limits can bind: whole conversations, of which the assistant's turns bear a loss."""
+    examples = vector_packing.conversations(_table(spark, sf_dir, "conversations"))
+    return vector_packing.packed_examples(examples).select("example_id", "n_tokens", "n_loss", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"packed_conversations": packed_conversations}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -487,6 +487,44 @@ def test_lattice_hash(spark):
     assert lattice_hash.digest(df.where("false")).count() == 0
 
 
+def test_lattice_links_equal_sql(spark):
+    """A made table with links, chains and hubs of clear similarity, by value against all pairs in SQL."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for dims, label in ((64, 0), (64, 1), (768, 2)):
+        unit = lambda x: x / np.linalg.norm(x)
+        for k in range(40):
+            base = unit(rng.normal(size=dims))
+            rows.append((len(rows), base.tolist(), label))
+            for noise in [0.05, 0.15, 0.25][: k % 4]:  # cosines of about 0.999, 0.989 and 0.970
+                rows.append((len(rows), (base + noise * unit(rng.normal(size=dims))).tolist(), label))
+            if k % 7 == 0:
+                rows.append((len(rows), (3 * base).tolist(), (label + 1) % 3))
+            rows.append((len(rows), (base + 0.7 * unit(rng.normal(size=dims))).tolist(), label))  # about 0.82
+    rows += [(len(rows), rows[0][1], 0), (len(rows) + 1, None, 0), (len(rows) + 2, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(6).cache()
+    found = lattice_hash.digest(df)
+    assert found.where("n_links > 0").count() > 150
+    same_as_sql(spark, "op7_lattice_hash", found, embeddings=df)
+
+
+@pytest.mark.parametrize("dims", (64, 768))
+def test_lattice_recall_at_the_threshold(spark, dims):
+    """Of pairs with a cosine of 0.931 to 0.935 at least 0.99 are found."""
+    rng = np.random.default_rng(dims)
+    n, rows = 600, []
+    for k in range(n):
+        a = rng.normal(size=dims)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=dims)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = rng.uniform(0.931, 0.935)
+        rows += [(2 * k, a.tolist(), 1), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(6)
+    assert lattice_hash.digest(df).where("n_links = 1").count() >= 0.99 * 2 * n
+
+
 def test_nearest_lattice_point():
     x = np.random.default_rng(4).normal(size=(200, 8)) * 2
     first = lattice_hash.decode(x)[:, 0] / 2
@@ -782,6 +820,56 @@ def test_examples_under_three_limits(spark, none):
     assert vector_packing.packed_examples(vector_packing.conversations(df.where("false"))).count() == 0
 
 
+def test_packed_conversations_query(spark):
+    """Every conversation once, gapless within its sequence, no limit passed but by one example alone, and the loss limit binds."""
+    sf = "/root/testdata/sf0.001"
+    rows = queries_of()["packed_conversations"](spark, sf).collect()
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    assert sorted(str(r.example_id) for r in rows) == sorted({str(t.conv_id) for t in turns})
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+    near = 0
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [0, *np.cumsum([r.n_tokens for r in own])[:-1]]
+        used = (sum(r.n_tokens for r in own), len(own), sum(r.n_loss for r in own))
+        assert len(own) == 1 or all(u <= m for u, m in zip(used, vector_packing.LIMITS, strict=True))
+        near += used[2] > 0.9 * vector_packing.LIMITS[2]
+    assert near >= len(sequences) // 2
+
+
+def plain_choice(items, limits):
+    """Bins by the heuristic read word by word: of all that fit the largest dot product, the first seen type, its earliest example."""
+    left, out = list(range(len(items))), []
+    order = {}
+    for i in reversed(left):
+        order.setdefault(items[i], len(order))
+    while left:
+        room, row = list(limits), []
+        while True:
+            fits = [i for i in left if items[i][0] <= room[0] and room[1] >= 1 and items[i][1] <= room[2]]
+            if not fits:
+                break
+            value = lambda i: items[i][0] * room[0] / limits[0] ** 2 + room[1] / limits[1] ** 2 + items[i][1] * room[2] / limits[2] ** 2  # noqa: B023, E731
+            best = max(value(i) for i in fits)
+            i = min((i for i in fits if value(i) >= best - 1e-12), key=lambda i: (order[items[i]], i))
+            row.append(i)
+            left.remove(i)
+            room = [room[0] - items[i][0], room[1] - 1, room[2] - items[i][1]]
+        out.append(row)
+    return out
+
+
+def test_choice_of_the_largest_dot_product():
+    rng = random.Random(3)
+    for _ in range(30):
+        limits = (rng.randint(20, 90), rng.randint(2, 6), rng.randint(8, 40))
+        items = [(n, rng.randint(0, min(n, limits[2]))) for n in (rng.randint(1, limits[0]) for _ in range(rng.randint(1, 40)))]
+        found = vector_packing.pack(np.array([x[0] for x in items]), np.array([x[1] for x in items]), limits)
+        assert found == plain_choice(items, limits)
+
+
 def test_string_tiling_of_short_and_many_items(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
