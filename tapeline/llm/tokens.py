@@ -18,6 +18,8 @@ from .words import chunks, words
 
 #: Distinct pieces kept by one task; beyond it the cache starts anew.
 CACHE_PIECES = 1 << 20
+#: Pieces that the tokenizer encodes at once.
+TOGETHER = 1 << 12
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,9 +50,12 @@ class Encoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE_PIECES:
             self._reset()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+        sizes, parts = [], []
+        for k in range(0, len(pieces), TOGETHER):  # an encoded piece takes far more memory than its ids
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + TOGETHER], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
         slot = len(self.size) + np.arange(len(keys))
         self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
