@@ -37,40 +37,59 @@ def windows(df: DataFrame, window: int, cfg: EngineConfig) -> DataFrame:
     return df.where(some & (F.col("is_tradable") == 1) & (F.col("_full") == window) & (F.col("p_max") > F.col("p_min")) & (F.col("amount_max") > 0)).select(*keep)
 
 
-def _line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Pixels of a line: as many points as the longer side needs, half-even rounding."""
-    n = F.greatest(F.abs(x1 - x0), F.abs(y1 - y0))
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.rint(x0 + i * safe_div(x1 - x0, n)).cast("int").alias("x"), F.rint(y0 + i * safe_div(y1 - y0, n)).cast("int").alias("y")))
+def _let(value: Column, use) -> Column:
+    """The elements of the array ``use(value)``, with ``value`` worked out once."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _line(x0: Column, x1: Column, ends: Column, place) -> Column:
+    """Places of a line between the rows ``ends`` (a, b): as many points as the longer side needs, half-even rounding."""
+
+    def points(e: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), e["n"]), lambda i: place(F.rint(x0 + i * e["dx"]).cast("int"), F.rint(e["a"] + i * e["dy"]).cast("int")))
+
+    n = F.greatest(F.abs(x1 - x0), F.abs(ends["b"] - ends["a"]))
+    steps = F.struct(ends["a"].alias("a"), n.alias("n"), safe_div(x1 - x0, n).alias("dx"), safe_div(ends["b"] - ends["a"], n).alias("dy"))
+    return _let(steps, points)
 
 
 def pixels(valid: DataFrame, window: int, cfg: EngineConfig) -> DataFrame:
-    """date, code and the sorted distinct lit pixels (x, y), y from the top."""
+    """date, code and the sorted distinct lit pixels (x, y), y from the top.
+
+    A pixel is a number, x * height + y, until the end, as numbers are told apart by a hash table and sorted as such; and a day's rows are worked out once.
+    """
     height, width, price, volume = image_shape(window, cfg.day_width)
     row = lambda p: pixel_row(p, F.col("p_min"), F.col("p_max"), price)
     step = cfg.day_width
+    place = lambda x, y: x * height + y
+
+    def rows(d: Column) -> Column:
+        tall = F.rint(safe_div(d["a"], F.col("amount_max")) * (volume - 1)).cast("int") + 1
+        return F.struct(*[row(d[c]).alias(c) for c in "ohlcm"], tall.alias("tall"))
 
     def day(d: Column, i: Column) -> Column:
         x = i * step
-        at = lambda dx, y: F.struct((x + dx).cast("int").alias("x"), y.cast("int").alias("y"))
-        bar = F.transform(F.sequence(row(d["h"]), row(d["l"])), lambda y: at(1, y))
-        tall = F.rint(safe_div(d["a"], F.col("amount_max")) * (volume - 1)).cast("int") + 1
-        flow = F.flatten(F.transform(F.sequence(F.lit(0), tall - 1), lambda k: F.array(*[at(j, F.lit(height - 1) - k) for j in range(step)])))
-        return F.concat(F.array(at(0, row(d["o"])), at(2, row(d["c"]))), bar, flow)
+        bar = F.transform(F.sequence(d["h"], d["l"]), lambda y: place(x + 1, y))
+        flow = F.flatten(F.transform(F.sequence(F.lit(0), d["tall"] - 1), lambda k: F.array(*[place(x + j, F.lit(height - 1) - k) for j in range(step)])))
+        return F.concat(F.array(place(x, d["o"]), place(x + 2, d["c"])), bar, flow)
 
     def average(i: Column) -> Column:
-        a, b = F.get("days", i), F.get("days", i + 1)
-        return _line((i * step + 1).cast("int"), row(a["m"]), ((i + 1) * step + 1).cast("int"), row(b["m"]))
+        ends = F.struct(F.get("_rows", i)["m"].alias("a"), F.get("_rows", i + 1)["m"].alias("b"))
+        return _let(ends, lambda e: _line((i * step + 1).cast("int"), ((i + 1) * step + 1).cast("int"), e, place))
 
-    marks = F.flatten(F.transform("days", day))
-    lines = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(window - 2)), average)) if window > 1 else F.array().cast("array<struct<x:int,y:int>>")
-    return valid.select("date", "code", F.array_sort(F.array_distinct(F.concat(marks, lines))).alias("pixels"), *[c for c in valid.columns if c.startswith(("label_", "future_ret_"))])
+    marks = F.flatten(F.transform("_rows", day))
+    lines = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(window - 2)), average)) if window > 1 else F.array().cast("array<int>")
+    others = [c for c in valid.columns if c.startswith(("label_", "future_ret_"))]
+    df = valid.select("date", "code", *others, "p_min", "p_max", "amount_max", "days").withColumn("_rows", F.transform("days", rows))
+    xy = lambda v: F.struct(F.floor(v / height).cast("int").alias("x"), (v % height).alias("y"))
+    return df.select("date", "code", F.transform(F.sort_array(F.array_distinct(F.concat(marks, lines))), xy).alias("pixels"), *others)
 
 
 def dense(lit: DataFrame, window: int, cfg: EngineConfig) -> DataFrame:
     """``image``: height * width bytes, 0 or white, row by row."""
     height, width, _, _ = image_shape(window, cfg.day_width)
-    places = F.array_sort(F.transform("pixels", lambda p: p["y"] * width + p["x"]))
-    # runs of dark bytes between lit ones, in hexadecimal
-    gaps = F.transform(places, lambda v, i: F.concat(F.repeat(F.lit("00"), v - F.when(i == 0, -1).otherwise(F.get(places, i - 1)) - 1), F.lit("FF")))
+    lit = lit.withColumn("_places", F.sort_array(F.transform("pixels", lambda p: p["y"] * width + p["x"])))
+    # runs of dark bytes between lit ones, in hexadecimal; the places are a column, as a lambda works its expressions out anew for each element
+    gaps = F.transform("_places", lambda v, i: F.concat(F.repeat(F.lit("00"), v - F.when(i == 0, -1).otherwise(F.get("_places", i - 1)) - 1), F.lit("FF")))
     text = F.rpad(F.array_join(gaps, ""), 2 * height * width, "0")
-    return lit.withColumn("image", F.unhex(text)).drop("pixels")
+    return lit.withColumn("image", F.unhex(text)).drop("pixels", "_places")

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.operators.order import ranked
+
 
 def by_year(df: DataFrame) -> DataFrame:
     """Rows, codes, first and last date and the number of duplicate keys of each year."""
@@ -49,20 +51,25 @@ def compare_images(new: DataFrame, old: DataFrame, sample: int, horizons: tuple[
     values = [f"{p}_{h}d" for h in horizons for p in ("label", "future_ret")]
     one, two = (df.select("date", "code", F.struct("image", *values).alias(name)) for df, name in ((new, "a"), (old, "b")))
     both = one.join(two, ["date", "code"])
-    some = both.orderBy(F.xxhash64(F.lit(seed), "date", "code"), "date", "code").limit(sample)
-    x, y = F.col("a.image"), F.col("b.image")
+    common = both.count()  # keys, and the sample's choice, are small beside the images
+    some = both
+    if common > sample:
+        keys = both.select("date", "code", F.xxhash64(F.lit(seed), "date", "code").alias("_h"))
+        some = both.join(ranked(keys, [], ["_h", "date", "code"], "_k").where(F.col("_k") <= sample).select("date", "code").distinct(), ["date", "code"])
+    x, y = F.col("x"), F.col("y")
     wrong = F.lit(0)
     for c in values:
         p, q = F.col(f"a.{c}").cast("double"), F.col(f"b.{c}").cast("double")
         same = (p.isNull() & q.isNull()) | F.coalesce(F.abs(p - q) <= 1e-6 + 1e-6 * F.abs(q), F.lit(False))
         wrong = wrong + (~same).cast("int")
-    some = some.select("date", "code", F.hex(x).alias("x"), F.hex(y).alias("y"), wrong.alias("wrong"))
-    byte = lambda t, k: F.conv(F.substr(F.col(t), 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    size = F.greatest(F.length("x"), F.length("y"))
-    differ = F.transform(F.sequence(F.lit(0), F.floor(size / 2).cast("int") - 1), lambda k: F.abs(F.coalesce(byte("x", k), F.lit(-1)) - F.coalesce(byte("y", k), F.lit(-1))))
-    each = some.select("wrong", F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(differ).alias("d"))
-    found = each.agg(F.count("*").alias("n_sampled"), F.coalesce(F.sum(F.size(F.filter("d", lambda v: v > 0))), F.lit(0)).alias("n_pixel_mismatch"), F.coalesce(F.max(F.array_max("d")), F.lit(0)).alias("max_pixel_difference"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_value_mismatch"))
-    return both.agg(F.count("*").alias("n_common")).join(F.broadcast(found))  # one row each
+    some = some.select(F.col("a.image").alias("x"), F.col("b.image").alias("y"), wrong.alias("wrong"))
+    at = lambda t, k: F.substring(t, k + 1, F.lit(1))
+    byte = lambda t, k: F.coalesce(F.conv(F.hex(at(t, k)), 16, 10).cast("int"), F.lit(-1))
+    places = F.sequence(F.lit(0), F.greatest(F.length(x), F.length(y)) - 1)
+    differ = F.transform(F.filter(places, lambda k: ~at(x, k).eqNullSafe(at(y, k))), lambda k: F.abs(byte(x, k) - byte(y, k)))
+    each = some.select("wrong", F.when(x == y, F.array().cast("array<int>")).otherwise(differ).alias("d"))
+    found = each.agg(F.count("*").alias("n_sampled"), F.coalesce(F.sum(F.size("d")), F.lit(0)).alias("n_pixel_mismatch"), F.coalesce(F.max(F.array_max("d")), F.lit(0)).alias("max_pixel_difference"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_value_mismatch"))
+    return found.select(F.lit(common).cast("long").alias("n_common"), *found.columns)
 
 
 def predictions(df: DataFrame, members: int | None = None) -> DataFrame:

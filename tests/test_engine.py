@@ -311,3 +311,29 @@ def test_aggregate_members(spark, tmp_path):
     df.selectExpr("date", "code", "1.0 pred_score_raw", "pred_probability", "future_ret", "loss", "experiment", "fold", "seed").write.partitionBy("loss", "experiment").parquet(f"{tmp_path}/flat")
     with pytest.raises(ValueError, match="standardised"):
         pipeline.aggregate(spark, f"{tmp_path}/flat", "bce", "I5R5", str(tmp_path), folds=2, seeds=2)
+
+
+def test_pixels_are_numbers_until_the_end(spark):
+    """No array of pixels is told apart or sorted as structs, and no lambda holds a sort: both were quadratic in an image's pixels."""
+    day = (1.0, 2.0, 0.5, 1.5, 10.0, 1.2)
+    valid = spark.createDataFrame([(dt.date(2000, 1, 3), "000001", 0.5, 2.0, 10.0, [day] * 5)], "date date, code string, p_min double, p_max double, amount_max double, days array<struct<o:double,h:double,l:double,c:double,a:double,m:double>>")
+    lit = images.pixels(valid, 5, EngineConfig())
+    plan = images.dense(lit, 5, EngineConfig())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 2 and "array_sort(" not in plan and "array_distinct(" in plan
+    assert not any("sort_array(" in part.split("lambdafunction(", 1)[1].split("lambda", 1)[0] for part in plan.split("transform(") if "lambdafunction(" in part)
+    found = [(p.x, p.y) for p in lit.first().pixels]
+    assert found == sorted(set(found))
+
+
+def test_compared_images_over_a_sample_and_all(spark):
+    """Pixels that differ, by their sizes, also where one image is shorter; a sample is chosen without one task for all keys."""
+    from tapeline.operators import qa
+
+    rows = [(dt.date(2000, 1, 3), f"{i:06}", bytearray([0, 255, 0]), 1.0, 0.5) for i in range(40)]
+    new = spark.createDataFrame(rows, "date date, code string, image binary, label_5d double, future_ret_5d double")
+    old = new.withColumn("image", F.when(F.col("code") == "000003", F.unhex(F.lit("00F800"))).when(F.col("code") == "000004", F.unhex(F.lit("00FF"))).otherwise(F.col("image")))
+    row = qa.compare_images(new, old, 1_000_000_000, (5,)).first()
+    assert (row.n_common, row.n_sampled, row.n_pixel_mismatch, row.max_pixel_difference, row.n_value_mismatch) == (40, 40, 2, 7, 0)
+    some = qa.compare_images(new, old, 10, (5,))
+    assert (some.first().n_common, some.first().n_sampled) == (40, 10)
+    assert "TakeOrdered" not in some._jdf.queryExecution().executedPlan().toString()
