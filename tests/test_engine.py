@@ -337,3 +337,18 @@ def test_compared_images_over_a_sample_and_all(spark):
     some = qa.compare_images(new, old, 10, (5,))
     assert (some.first().n_common, some.first().n_sampled) == (40, 10)
     assert "TakeOrdered" not in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_books_explode_where_a_code_lies(spark):
+    """Exploded positions are neither sent nor written: the only exchange by day is that of sums by book, and duplicates of positions count once."""
+    d = lambda i: dt.date(2000, 1, 3) + dt.timedelta(days=i)
+    daily = spark.createDataFrame([(d(i), f"{c:06}", 0.01 * c, 0.02, 5.0, int(c == 1 and i == 3), 0, 0) for i in range(8) for c in range(3)], "date date, code string, ret_1d double, open_to_close_ret_1d double, volume double, is_suspended int, is_low_volume_limit_up int, is_low_volume_limit_down int")
+    rows = [(d(i), f"{c:06}", "e", m, "all", 2, 1) for i in (0, 1, 2) for c in range(3) for m in ("m", None)]
+    schema = "date date, code string, experiment_name string, model_name string, universe_group string, horizon int, decile int"
+    cal, days = portfolio.placed(daily)
+    sig, _ = portfolio.coded(portfolio.signals(spark.createDataFrame(rows, schema), cal, True))
+    held = portfolio.held_days(portfolio.executed(sig, days, 3), days, True, 3)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(code") == 1 and "hashpartitioning(pos" not in plan and "hashpartitioning(g" not in plan
+    once, twice = (sorted(map(str, portfolio.portfolio_days(spark.createDataFrame(r, schema), daily, EngineConfig()).collect())) for r in (rows, rows * 2))
+    assert once == twice and once
