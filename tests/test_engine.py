@@ -352,3 +352,17 @@ def test_books_explode_where_a_code_lies(spark):
     assert plan.count("hashpartitioning(code") == 1 and "hashpartitioning(pos" not in plan and "hashpartitioning(g" not in plan
     once, twice = (sorted(map(str, portfolio.portfolio_days(spark.createDataFrame(r, schema), daily, EngineConfig()).collect())) for r in (rows, rows * 2))
     assert once == twice and once
+
+
+def test_periods_are_dealt_over_more_partitions_for_more_rows(spark, monkeypatch):
+    """One exchange by period and model, whose partitions grow with the rows; ranks, deciles and sums need no other, and one sort for a value's average ranks."""
+    rows = [(dt.date(2000, 1, 1 + k % 20), f"{k:06}", "e", "m", float(k % 7), float(k % 5), 1.0 * k, 5) for k in range(200)]
+    pred = spark.createDataFrame(rows, "date date, code string, experiment_name string, model_name string, score double, future_ret double, float_mktcap double, horizon int")
+    monkeypatch.setattr(cross_section, "TASK_ROWS", 16)
+    out = cross_section.ic_by_period(cross_section.universes(cross_section.dealt(pred, 200)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "experiment_name" in plan and ", 13)" in plan
+    monkeypatch.setattr(cross_section, "TASK_ROWS", 1 << 16)
+    plain = cross_section.ic_by_period(cross_section.universes(cross_section.dealt(pred, 200)))
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    assert plan.count("rank(") >= 2 and plan.count("+- Sort [") <= 3
