@@ -57,7 +57,7 @@ def main(args: list[str] | None = None) -> None:
     columns = a.features.split(",") if a.features else None
     if a.stage == "panel":
         if a.data:
-            b = bars.supplier_bars(spark, a.data)
+            b = bars.supplier_bars(spark, a.data, by=("code", "date"))
             raw, adjusted = bars.raw_prices(b), bars.adjusted_prices(b)
         else:
             raw = prices.raw_table(spark, a.raw_dir, cfg, a.encoding) if a.raw_dir else None

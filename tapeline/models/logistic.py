@@ -1,6 +1,6 @@
 """Logistic baseline as an Estimator and its Model: exact medians for missing values, population standardisation, L2-regularised fit.
 
-Medians come from ranges of the values (operators.order), all features in one pass, so no task holds a feature's values. The model
+Medians come from sketches and what lies within their bounds (operators.order), all features in one pass, so no task holds a feature's values. The model
 is written with its parameters as Spark's own metadata and the inner regression beside them, and read back equal.
 """
 
@@ -15,7 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.operators.order import quantiles
+from tapeline.operators.order import described
 from tapeline.sinks.stored import Steps
 
 #: The baseline's features, in the order in which the model takes them.
@@ -38,10 +38,27 @@ def _number(c: str) -> Column:
 
 def medians(df: DataFrame, features: list[str]) -> dict[str, float]:
     """The exact median of each feature; 0 for one without values."""
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), _number(c).alias("v")) for i, c in enumerate(features)])).alias("c")).select("c.f", "c.v")
+    return {c: middle for c, (middle, *_) in filled_moments(df, features)[0].items()}
+
+
+def filled_moments(df: DataFrame, features: list[str]) -> tuple[dict[str, tuple[float, float, float]], int]:
+    """Of each feature its exact median (0 without values), and mean and population deviation after missing values were filled by it; and the number of rows.
+
+    The moments follow from those of the values that are there, so they come from the pass that sketches the medians.
+    """
     with Steps():
-        found = {r.f: r.middle for r in quantiles(cells, ["f"], "v", {"middle": 0.5}).collect()}  # a row for each feature
-    return {c: found.get(i, 0.0) for i, c in enumerate(features)}
+        rows = df.count()
+        found = described(df, [_number(c) for c in features], 0.5).collect()  # a row for each feature
+    out = {}
+    for r in found:
+        middle, missing = r.quantile or 0.0, rows - r.n
+        if not r.n or not r.deviation:  # equal values, and the filled ones equal them
+            out[features[r.f]] = (middle, middle, 0.0)
+            continue
+        mean = (r.n * r.mean + missing * middle) / rows
+        variance = (r.n * (r.deviation**2 + (r.mean - mean) ** 2) + missing * (middle - mean) ** 2) / rows
+        out[features[r.f]] = (middle, mean, variance**0.5)
+    return out, rows
 
 
 class _Parameters(Params):
@@ -63,14 +80,13 @@ class LogisticBaseline(_Parameters, Estimator, DefaultParamsReadable, DefaultPar
     def _fit(self, dataset: DataFrame) -> LogisticBaselineModel:
         features, label = self.getOrDefault("features"), self.getOrDefault("label")
         train = dataset.where(F.col(label).isNotNull())
-        middle = medians(train, features)
-        filled = [F.coalesce(_number(c), F.lit(middle[c])) for c in features]
-        row = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)], *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)], F.count("*").alias("n")).first()
-        if not row["n"]:
+        found, rows = filled_moments(train, features)
+        if not rows:
             raise ValueError("no row to learn from")
-        model = LogisticBaselineModel()._copy_of(self, [middle[c] for c in features], [row[f"m{i}"] for i in range(len(features))], [row[f"s{i}"] or 1.0 for i in range(len(features))])
+        middle, mean, deviation = zip(*[found[c] for c in features], strict=True)
+        model = LogisticBaselineModel()._copy_of(self, list(middle), list(mean), [d or 1.0 for d in deviation])
         # the mean loss takes 1 / (C * rows) of what the summed loss takes 1 / C of
-        inner = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=self.getOrDefault("iterations"), regParam=1 / (self.getOrDefault("inverse_penalty") * row["n"]), elasticNetParam=0.0, standardization=False, tol=1e-8)
+        inner = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=self.getOrDefault("iterations"), regParam=1 / (self.getOrDefault("inverse_penalty") * rows), elasticNetParam=0.0, standardization=False, tol=1e-8)
         model.inner = inner.fit(model.prepared(train))
         return model
 

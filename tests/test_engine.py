@@ -366,3 +366,28 @@ def test_periods_are_dealt_over_more_partitions_for_more_rows(spark, monkeypatch
     plain = cross_section.ic_by_period(cross_section.universes(cross_section.dealt(pred, 200)))
     assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
     assert plan.count("rank(") >= 2 and plan.count("+- Sort [") <= 3
+
+
+def test_ticks_are_sent_once_and_features_stay(spark, monkeypatch):
+    """One exchange and one sort by code from ticks to features, over more partitions for more ticks; the panel equals the outer join's."""
+    from tapeline.plans import base
+    from tapeline.sources import bars
+
+    sf = "/root/testdata/sf0.001"
+    joined, pairs = base.joined_panel(spark, sf), base.week_panel(spark, sf)
+    assert joined.dtypes == pairs.dtypes and joined.exceptAll(pairs).isEmpty() and pairs.exceptAll(joined).isEmpty() and pairs.where("name is null").head(1)
+    monkeypatch.setattr(bars, "TASK_TICKS", 500)
+    plan = base.week_features(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    ticks = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert plan.count("Exchange hashpartitioning(") == 1 and f", {-(-ticks // 500)})" in plan and plan.count("+- Sort [") == 1
+
+
+def test_split_by_known_dates(spark):
+    """The same split, and the sample is read once."""
+    rows = [(dt.date(1999, 1, 4) + dt.timedelta(days=3 * k), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "date date, k int")
+    cfg = EngineConfig(train_end=dt.date(1999, 12, 31), valid_start=dt.date(2000, 1, 1), valid_end=dt.date(2000, 12, 31), test_start=dt.date(2001, 1, 1))
+    days = spark.createDataFrame([(d,) for d, _ in rows], "date date").localCheckpoint()
+    plain, known = targets.fixed_split(df, 5, cfg), targets.fixed_split(df, 5, cfg, days)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, known.collect()))
+    assert plain.where("split = 'valid'").count() > 100

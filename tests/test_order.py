@@ -112,3 +112,24 @@ def test_steps_go_with_their_owner_only(spark):
         assert outer.count() == 5
         with pytest.raises(Exception, match="(?i)file"):
             inner.count()
+
+
+@pytest.mark.parametrize("accuracy", (2000, 4))
+def test_columns_described_where_they_lie(spark, accuracy, monkeypatch):
+    """All columns at once, each row once: equal to NumPy with nulls, ties, one value only and no value; a sketch that misses is made good."""
+    rng = random.Random(5)
+    rows = [(rng.choice((None, rng.random(), 0.25)), float(k % 3), 0.1 if k % 4 else None, None) for k in range(3001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    explodes = []
+    plain = order.quantiles
+    monkeypatch.setattr(order, "quantiles", lambda *a, **k: explodes.append(1) or plain(*a, **k))
+    with stored.Steps():
+        found = {r.f: r for r in order.described(df, [F.col(c) for c in "abcd"], 0.5, accuracy=accuracy).collect()}
+    assert len(found) == 4 and (accuracy < 2000 or not explodes)
+    for i in range(4):
+        own = np.array([r[i] for r in rows if r[i] is not None])
+        assert found[i].n == len(own)
+        if len(own):
+            assert found[i].quantile == np.median(own) and abs(found[i]["mean"] - own.mean()) < 1e-12 and abs(found[i].deviation - own.std()) < 1e-12
+        else:
+            assert found[i].quantile is None

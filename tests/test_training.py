@@ -193,3 +193,15 @@ def test_pixel_bands(spark):
     assert first.band_0 == 1.0 and first.band_1 == 0.0
     found = pixel_logistic().fit(bands(df, 5)).transform(bands(df, 5)).select("label", "pred_prob").collect()
     assert all((r.pred_prob > 0.5) == (r.label == 1.0) for r in found)
+
+
+def test_moments_of_filled_columns(spark):
+    """Mean and deviation after filling follow from those before it; a constant column with gaps has a deviation of exactly 0."""
+    from tapeline.models.logistic import filled_moments
+
+    rows = [(0.1 * (k * k % 17) if k % 5 else None, 0.1 if k % 3 else None, None) for k in range(700)]
+    found, n = filled_moments(spark.createDataFrame(rows, "a double, b double, c double").repartition(5), ["a", "b", "c"])
+    middle = np.median([r[0] for r in rows if r[0] is not None])
+    filled = np.array([middle if r[0] is None else r[0] for r in rows])
+    assert n == 700 and found["a"][0] == middle and abs(found["a"][1] - filled.mean()) < 1e-12 and abs(found["a"][2] - filled.std()) < 1e-12
+    assert found["b"] == (0.1, 0.1, 0.0) and found["c"] == (0.0, 0.0, 0.0)
