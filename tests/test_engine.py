@@ -391,3 +391,24 @@ def test_split_by_known_dates(spark):
     plain, known = targets.fixed_split(df, 5, cfg), targets.fixed_split(df, 5, cfg, days)
     assert sorted(map(str, plain.collect())) == sorted(map(str, known.collect()))
     assert plain.where("split = 'valid'").count() > 100
+
+
+def test_ranks_stay_where_scores_are_dealt(spark, monkeypatch):
+    """The queries' own scores are sent once, to more partitions for more rows: windows by period find them there."""
+    from tapeline.plans import base
+
+    f = base.kept(base.week_features(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(cross_section, "TASK_ROWS", 100)
+    plan = base.ranked(f)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and f", {-(-2 * f.count() // 100)})" in plan
+
+
+def test_deciles_of_all_universes_by_one_sort(spark):
+    """Equal to deciles of repeated rows, with ties, values without a size and groups too small for deciles; two sorts in all."""
+    rows = [(dt.date(2000, 1, 3 + k % 3), f"{k:06}", "e", ("m", "n")[k % 2], float(k * 7 % 11), 0.1, float(k * 5 % 13) if k % 4 else None, 5) for k in range(150)]
+    rows += [(dt.date(2000, 1, 9), f"{k:06}", "e", "m", 1.0, 0.1, None if k else 2.0, 5) for k in range(12)]
+    pred = spark.createDataFrame(rows, "date date, code string, experiment_name string, model_name string, score double, future_ret double, float_mktcap double, horizon int")
+    plain, fused = cross_section.deciles(cross_section.universes(pred)), cross_section.universe_deciles(pred)
+    assert plain.dtypes == fused.dtypes and sorted(map(str, plain.collect())) == sorted(map(str, fused.collect()))
+    assert fused.where("decile is null").count() and fused.where("decile = 10").count()
+    assert fused._jdf.queryExecution().executedPlan().toString().count("+- Sort [") == 2
