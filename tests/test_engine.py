@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -412,3 +413,62 @@ def test_deciles_of_all_universes_by_one_sort(spark):
     assert plain.dtypes == fused.dtypes and sorted(map(str, plain.collect())) == sorted(map(str, fused.collect()))
     assert fused.where("decile is null").count() and fused.where("decile = 10").count()
     assert fused._jdf.queryExecution().executedPlan().toString().count("+- Sort [") == 2
+
+
+def test_sizes_of_universes_by_counts(spark):
+    """Counts alone give the rows of every universe, whatever the number of rows with a market value."""
+    rows = [(dt.date(2000, 1, 1) + dt.timedelta(days=v), f"{k:06}", "e", "m", float(k % 5) if k < v else None) for v in range(40) for k in range(v + v % 3)]
+    pred = spark.createDataFrame(rows, "date date, code string, experiment_name string, model_name string, float_mktcap double")
+    counted = cross_section.universes(pred).groupBy(*cross_section.PERIOD).count()
+    sizes = cross_section.universe_sizes(pred).select(*counted.columns[:-1], "n")
+    assert sorted(map(str, counted.withColumnRenamed("count", "n").collect())) == sorted(map(str, sizes.collect())) and counted.count() > 100
+
+
+def test_rebalances_rank_their_days_alone(spark):
+    """Ranks of rebalance days equal those cut from all days' ranks, from each universe's own first day on; other days' scores aren't ranked."""
+    from tapeline.plans import base
+
+    # codes come one by one, so that universes reach ten rows one after another; the second model's scores come later
+    rows = [(dt.date(2000, 1, 3) + dt.timedelta(days=k), f"{c:06}", float(c * 7 % 13 + k % 3), float(c * 5 % 11) if k > 6 else None, 0.1 * c, 1.0, float(c * 3 % 17) if c % 6 else None) for k in range(50) for c in range(k + 6)]
+    f = base.kept(spark.createDataFrame(rows, "date date, code string, reversal_5d double, momentum_20d double, future_ret_5d double, label_5d double, float_mktcap double"))
+    cal = portfolio.trading_days(f)
+    whole = base.ranked(f).join(cal, "date")
+    known = whole.where("decile is not null")
+    own = ["date", "code", *cross_section.GROUP, "decile"]
+    for together in (False, True):
+        keys = ["universe_group"] if together else cross_section.GROUP
+        first = known.groupBy(*keys, "date", "pos").agg(F.countDistinct("model_name").alias("m")).where(f"m >= {1 + together}").groupBy(*keys).agg(F.min("pos").alias("first"))
+        expected = known.join(first, keys).where("pos >= first and (pos - first) % 5 = 0").select(*own)
+        found = base.rebalanced(f, cal, together)
+        at = found.where("decile is not null").join(cal, "date").join(first, keys).where("(pos - first) % 5 = 0").select(*own)
+        assert sorted(map(str, expected.collect())) == sorted(map(str, at.collect())) and expected.count() > 100
+        assert first.select("first").distinct().count() > 1
+        assert found.select("date").distinct().count() < known.select("date").distinct().count()
+
+
+def test_holdings_send_first_days_alone(spark):
+    """What opens equals ``executed`` over all days; the plan holds one join of positions and days by code, and no window by code."""
+    rng = random.Random(5)
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=k) for k in range(32)]
+    flag = lambda p: int(rng.random() < p)
+    number = lambda: None if rng.random() < 0.1 else rng.random()
+    rows = [(d, f"{c:06}", number(), number(), float(rng.randrange(3)), flag(0.1), flag(0.2), flag(0.2)) for d in days for c in range(60) if rng.random() < 0.9]
+    daily = spark.createDataFrame([*rows, *rows[:50]], "date date, code string, ret_1d double, open_to_close_ret_1d double, volume double, is_suspended int, is_low_volume_limit_up int, is_low_volume_limit_down int")
+    pred = spark.createDataFrame([(d, f"{c:06}", "e", m, "all", 5, 1 + (c * 7 + k) % 10) for k, d in enumerate(days) for c in range(60) for m in ("logistic", "cnn") if k >= (m == "cnn")], "date date, code string, experiment_name string, model_name string, universe_group string, horizon int, decile int")
+    market = portfolio.placed(daily)
+    expected = {}
+    for decile, short in ((10, False), (1, True)):
+        sig, names = portfolio.coded(portfolio.signals(pred.where(F.col("decile") == decile), market.calendar, False))
+        for r in portfolio.executed(sig, market.days, 3, short).where("open").select("code", "start", F.inline("tags")).join(names, "g").collect():
+            expected.setdefault((r.model_name, r.start, short), set()).add(r.code)
+    pos = {r.date: r.pos for r in market.calendar.collect()}
+    for source in (daily, market):
+        held = portfolio.holdings(pred, source)
+        found = {(r.model_name, pos[r.rebalance_date], r.leg == "short"): set(r.codes) for r in held.where("portfolio_name = 'D10_minus_D1'").collect()}
+        assert {k: v for k, v in found.items() if v} == expected and len(expected) > 10
+        top = lambda name: sorted((r.model_name, r.rebalance_date, r.codes) for r in held.where(f"portfolio_name = '{name}' and leg = 'long'").collect())  # noqa: E731, B023
+        assert top("D10") == top("D10_minus_D1") and all(codes == sorted(codes) for *_, codes in top("D10"))
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("collect_set(") == 1
+    overlap = portfolio.holding_overlap(portfolio.holdings(pred, daily))
+    assert overlap._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1
