@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def missing_years(years: DataFrame, first: int, last: int) -> DataFrame:
 
 def images(df: DataFrame, height: int, width: int, horizons: tuple[int, ...]) -> DataFrame:
     """One row of counts over image rows (date, code, image, label_hd, future_ret_hd): wrong sizes, other than two pixel values, duplicate keys, unpaired labels."""
-    hexed = F.hex("image")
-    other = F.length(F.regexp_replace(hexed, "00|FF", "")) > 0
+    text = F.decode("image", "ISO-8859-1")  # a byte is a character
+    other = F.length(F.replace(F.replace(text, F.lit("\x00"), F.lit("")), F.lit("\xff"), F.lit(""))) > 0
     unpaired: Column = F.lit(0)
     for h in horizons:
         unpaired = unpaired + (F.col(f"label_{h}d").isNull() != F.col(f"future_ret_{h}d").isNull()).cast("int")
@@ -43,6 +44,26 @@ def label_stats(df: DataFrame, horizons: tuple[int, ...], end: dt.date) -> DataF
     return df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
 
 
+#: Pairs of images of a task.
+TASK_IMAGES = 1 << 17
+
+
+def _differences(batches: Iterator) -> Iterator:
+    """Sums over pairs of images, which are null where they are alike; a byte that one of them lacks counts as -1."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        pixels, most = 0, 0
+        for x, y in zip(*(batch.column(c).drop_null() for c in "xy")):
+            a, b = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int16) for v in (x, y))
+            if len(a) != len(b):
+                a, b = (np.pad(v, (0, max(len(a), len(b)) - len(v)), constant_values=-1) for v in (a, b))
+            d = np.abs(a - b)
+            pixels, most = pixels + int(np.count_nonzero(d)), max(most, int(d.max()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((batch.num_rows, pa.int64()), (pixels, pa.int64()), (most, pa.int32()), (sum(batch.column("wrong").to_pylist()), pa.int64()))], names=["n", "pixels", "most", "wrong"])
+
+
 def compare_images(new: DataFrame, old: DataFrame, sample: int, horizons: tuple[int, ...], seed: int = 20260828) -> DataFrame:
     """One row: common keys, and over ``sample`` of them pixels that differ, the largest difference, and labels or returns that differ by more than 1e-6.
 
@@ -52,23 +73,21 @@ def compare_images(new: DataFrame, old: DataFrame, sample: int, horizons: tuple[
     one, two = (df.select("date", "code", F.struct("image", *values).alias(name)) for df, name in ((new, "a"), (old, "b")))
     both = one.join(two, ["date", "code"])
     common = both.count()  # keys, and the sample's choice, are small beside the images
+    n = -(-common // TASK_IMAGES)
+    if n > int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = one.repartition(n, "date", "code").join(two.repartition(n, "date", "code"), ["date", "code"])
     some = both
     if common > sample:
         keys = both.select("date", "code", F.xxhash64(F.lit(seed), "date", "code").alias("_h"))
         some = both.join(ranked(keys, [], ["_h", "date", "code"], "_k").where(F.col("_k") <= sample).select("date", "code").distinct(), ["date", "code"])
-    x, y = F.col("x"), F.col("y")
     wrong = F.lit(0)
     for c in values:
         p, q = F.col(f"a.{c}").cast("double"), F.col(f"b.{c}").cast("double")
         same = (p.isNull() & q.isNull()) | F.coalesce(F.abs(p - q) <= 1e-6 + 1e-6 * F.abs(q), F.lit(False))
         wrong = wrong + (~same).cast("int")
-    some = some.select(F.col("a.image").alias("x"), F.col("b.image").alias("y"), wrong.alias("wrong"))
-    at = lambda t, k: F.substring(t, k + 1, F.lit(1))
-    byte = lambda t, k: F.coalesce(F.conv(F.hex(at(t, k)), 16, 10).cast("int"), F.lit(-1))
-    places = F.sequence(F.lit(0), F.greatest(F.length(x), F.length(y)) - 1)
-    differ = F.transform(F.filter(places, lambda k: ~at(x, k).eqNullSafe(at(y, k))), lambda k: F.abs(byte(x, k) - byte(y, k)))
-    each = some.select("wrong", F.when(x == y, F.array().cast("array<int>")).otherwise(differ).alias("d"))
-    found = each.agg(F.count("*").alias("n_sampled"), F.coalesce(F.sum(F.size("d")), F.lit(0)).alias("n_pixel_mismatch"), F.coalesce(F.max(F.array_max("d")), F.lit(0)).alias("max_pixel_difference"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_value_mismatch"))
+    x, y = F.col("a.image"), F.col("b.image")
+    unlike = some.select(F.when(x != y, x).alias("x"), F.when(x != y, y).alias("y"), wrong.alias("wrong"))
+    found = unlike.mapInArrow(_differences, "n long, pixels long, most int, wrong long").agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in (("n_sampled", F.sum("n")), ("n_pixel_mismatch", F.sum("pixels")), ("max_pixel_difference", F.max("most")), ("n_value_mismatch", F.sum("wrong")))])
     return found.select(F.lit(common).cast("long").alias("n_common"), *found.columns)
 
 

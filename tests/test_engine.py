@@ -326,6 +326,31 @@ def test_pixels_are_numbers_until_the_end(spark):
     assert found == sorted(set(found))
 
 
+def test_drawn_images_are_the_pixels(spark):
+    """Images drawn for many windows at once, a few at a time, are those of the pixels, and no lambda draws them in the queries."""
+    rng = random.Random(11)
+    schema = "date date, code string, label_5d double, p_min double, p_max double, amount_max double, days array<struct<o:double,h:double,l:double,c:double,a:double,m:double>>"
+
+    def one(window, k):
+        # eighths and halves lie on the edges of rows, where rounding is half to even
+        prices = [sorted(rng.randrange(0, 33) / 8 for _ in range(4)) for _ in range(window)]
+        days = [(p[1], p[3], p[0], p[2], rng.randrange(0, 5) / 2, rng.randrange(0, 33) / 8) for p in prices]
+        lo, hi = min(min(d[2], d[5]) for d in days), max(max(d[1], d[5]) for d in days)
+        return (dt.date(2000, 1, 3) + dt.timedelta(days=k), "000001", None if k % 3 else 1.0, lo, hi, max(d[4] for d in days) or 1.0, days)
+
+    for window, n in ((1, 40), (5, 300), (20, 60), (60, 12)):
+        rows = [r for r in (one(window, k) for k in range(n)) if r[4] > r[3]]
+        valid = spark.createDataFrame(rows, schema)
+        made, wanted = images.drawn(valid, window, EngineConfig()), images.dense(images.pixels(valid, window, EngineConfig()), window, EngineConfig())
+        assert made.columns == wanted.columns and made.count() == len(rows)
+        assert made.exceptAll(wanted).count() == 0
+    assert images.drawn(spark.createDataFrame([], schema), 5, EngineConfig()).count() == 0
+    from tapeline.plans import queries
+
+    plan = queries.image_qa(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_distinct(" not in plan and "regexp_replace(" not in plan
+
+
 def test_compared_images_over_a_sample_and_all(spark):
     """Pixels that differ, by their sizes, also where one image is shorter; a sample is chosen without one task for all keys."""
     from tapeline.operators import qa
