@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.operators.order import ranked
 
+# workers may not find this package, so functions go to them with their code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def by_year(df: DataFrame) -> DataFrame:
     """Rows, codes, first and last date and the number of duplicate keys of each year."""
