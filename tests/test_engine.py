@@ -529,3 +529,19 @@ def test_book_days_by_arrays_equal_rows(spark, monkeypatch, seed, overlapping, c
     asked = spark.createDataFrame([], "code string, signal_pos int, horizon int, start int, end int, last int, gone long, open boolean, unknown boolean, tags array<struct<g:int,decile:int>>")
     plan = books.summed_days(asked, days, [], overlapping)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "explode(" not in plan
+
+
+def test_deciles_by_arrays_equal_rows(spark):
+    """Ties, values without a size, NaN, zeros of both signs and groups too small for deciles: the same rows, ranked without a window of Spark."""
+    nan, codes = float("nan"), [f"{k * 37 % 150:06}" for k in range(150)]
+    rows = [(dt.date(2000, 1, 3 + k % 3), codes[k], "e", ("m", "n")[k % 2], (nan, -0.0, 0.0)[k // 3 % 3] if k % 5 == 0 else float(k * 7 % 11), 0.1, (float(k * 5 % 13), nan)[k % 9 == 1] if k % 4 else None, 5) for k in range(150)]
+    rows += [(dt.date(2000, 1, 9), f"{k:06}", "e", "m", 1.0, 0.1, None if k else 2.0, 5) for k in range(12)]
+    pred = spark.createDataFrame(rows, "date date, code string, experiment_name string, model_name string, score double, future_ret double, float_mktcap double, horizon int")
+    plain, made = cross_section.universe_deciles(pred), cross_section.array_deciles(pred, 1)
+    assert plain.columns == made.columns and [f.dataType for f in plain.schema] == [f.dataType for f in made.schema]
+    assert sorted(map(str, plain.collect())) == sorted(map(str, made.collect()))
+    plan = cross_section.array_deciles(pred, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and plan.count("Exchange hashpartitioning(") == 1
+    some = ["date", "code", "model_name"]
+    assert sorted(map(str, plain.select(*some, "universe_group", "decile").collect())) == sorted(map(str, cross_section.array_deciles(pred, 1, keep=some).collect()))
+    assert cross_section.array_deciles(pred.limit(0), 0).count() == 0
