@@ -545,3 +545,13 @@ def test_deciles_by_arrays_equal_rows(spark):
     some = ["date", "code", "model_name"]
     assert sorted(map(str, plain.select(*some, "universe_group", "decile").collect())) == sorted(map(str, cross_section.array_deciles(pred, 1, keep=some).collect()))
     assert cross_section.array_deciles(pred.limit(0), 0).count() == 0
+
+
+def test_bytes_of_images_are_told_apart_one_by_one(spark):
+    """Halves of two bytes that look like 00 or FF are no pixel values, and all others are found, without a pattern over the digits."""
+    found = [b"\x00\xff" * 3, b"\x0f\xf0", b"\xf0\x0f", b"\x00\x01", b"\xc3\xbf", b"\xff\xff"]
+    df = spark.createDataFrame([(D(k), "1", bytearray(b), 1.0, 1.0) for k, b in enumerate(found)], "date date, code string, image binary, label_5d double, future_ret_5d double")
+    checked = qa.images(df, 1, 2, (5,))
+    row = checked.first()
+    assert (row.n_images, row.n_not_binary, row.n_wrong_size) == (6, 4, 1)
+    assert "regexp_replace" not in checked._jdf.queryExecution().optimizedPlan().toString()
